@@ -16,15 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    A folder is set here only where the session names none, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, set here only where the session names none, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,7 +45,7 @@ def own_name(df: DataFrame, wanted: str) -> str:
 
 # ---------------------------------------------------------------- fingerprints of words
 
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 _M = 0xFFFFFFFFFFFFFFFF
 _BASE = 0x9E3779B97F4A7C15 | 5
 _TABLES: dict = {}
@@ -93,10 +95,15 @@ class Words:
         if inside[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
-        p, q, t = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(t[data] * p[: len(data)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * q[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = np.zeros(len(self.start), dtype=np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(data), _CHUNK)), len(self.start)))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            a, s, e = self.start[i], self.start[i:j] - self.start[i], self.end[i:j] - self.start[i]
+            part = data[a : self.end[j - 1]]
+            p, q, t = _powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(t[part] * p[: len(part)], out=sums[1:])
+            self.hash[i:j] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64))
         begins = np.cumsum([0] + [len(x) + 1 for x in texts])
         #: The words of text i are first[i] to first[i + 1].
         self.first = np.searchsorted(self.start, begins)
