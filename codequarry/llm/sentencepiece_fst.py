@@ -33,7 +33,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
 #: Words whose encoding a worker keeps.
-CACHE = 1 << 18
+CACHE = 1 << 19
 
 
 def _fields(data: bytes):
@@ -95,14 +95,15 @@ class Transducer:
         self.unknown = self.kinds.index(_UNKNOWN)
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (_NORMAL, _USER)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
-        self.longest = max(map(len, self.lexicon), default=1)
+        #: All beginnings of pieces: the states of the lexicon.
+        self.begins = {p[:n] for p in self.lexicon for n in range(1, len(p) + 1)}
         self.lowest = min((self.scores[i] for i in self.lexicon.values()), default=0.0)
         # where no piece spans the place before a word's space, words are encoded one by one
         self.by_word = escape and not any(SPACE in p.lstrip(SPACE) for p in self.lexicon)
         alone = r"\n" if not any("\n" in p for p in self.lexicon) else ""
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (r"|\n" if alone else ""))
         self._word = lru_cache(CACHE)(self._shortest)
-        self._allowed = lru_cache(CACHE)(self._stays_apart)
+        self._pairs: dict[tuple[str, str], bool] = {}
         self._whole = lru_cache(CACHE)(self._is_result)
 
     def normalise(self, text: str) -> str:
@@ -128,47 +129,90 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stays_apart(self, left: str, right: str) -> bool:
-        return self._merge(left + right) == [left, right]
-
     def _is_result(self, piece: str) -> bool:
         """Whether the merges can make the piece at all."""
         return self._merge(piece) == [piece]
 
     def _weight(self, piece: str) -> float:
-        """Of an arc of the lexicon; a character without a piece costs more than any piece."""
+        """Of an arc of a unigram lexicon; a character without a piece costs more than any piece."""
         i = self.lexicon.get(piece)
-        if i is not None:
-            return 0.0 if self.model_type == _BPE else -self.scores[i]
-        return 0.0 if self.model_type == _BPE else 10.0 - self.lowest
+        return 10.0 - self.lowest if i is None else -self.scores[i]
+
+    def _arcs(self, text: str, start: int) -> list[int]:
+        """Ends of the lexicon's arcs from ``start``, shortest first; one character always is an arc."""
+        out, end, size = [start + 1], start + 2, len(text)
+        begins, lexicon = self.begins, self.lexicon
+        if text[start : start + 1] in begins:
+            while end <= size and (piece := text[start:end]) in begins:
+                if piece in lexicon:
+                    out.append(end)
+                end += 1
+        return out
 
-    def _shortest(self, text: str) -> tuple[int, ...]:
-        """Output of the least-weight path through input o lexicon o acceptor."""
-        bpe = self.model_type == _BPE
-        best: list[float] = [0.0] + [math.inf] * len(text)
-        last: list[str | None] = [None] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                if best[start] == math.inf:
-                    continue
-                piece = text[start:end]
-                if piece not in self.lexicon and end - start > 1:
+    def _zero_path(self, text: str) -> list[str]:
+        """BPE: the path of weight zero, by depth-first search from long arcs to short.
+
+        All finite paths weigh zero and only one reaches any place, so that a place from which the
+        search had to turn back is dead for good and none is left twice.
+        """
+        size, allowed, merged = len(text), self._pairs, self._whole
+        path: list[str] = []
+        ends, at = [], 0
+        todo = [self._arcs(text, 0)]
+        dead = set()
+        while at < size:
+            arcs = todo[-1]
+            before = path[-1] if path else None
+            while arcs:
+                end = arcs.pop()
+                if end in dead:
                     continue
-                total = best[start] + self._weight(piece)
-                if total >= best[end]:
-                    continue
-                if bpe:
-                    before = last[start]
-                    if not (self._allowed(before, piece) if before else self._whole(piece)):
-                        continue
-                best[end], last[end] = total, piece
-        out: list[str] = []
-        at = len(text)
+                piece = text[at:end]
+                if before is None:
+                    ok = merged(piece)
+                else:
+                    ok = allowed.get((before, piece))
+                    if ok is None:
+                        ok = self._keep_pair(before, piece)
+                if ok:
+                    path.append(piece)
+                    ends.append(at)
+                    at = end
+                    if at < size:
+                        todo.append(self._arcs(text, at))
+                    break
+            else:
+                dead.add(at)
+                todo.pop()
+                path.pop()
+                at = ends.pop()
+        return path
+
+    def _keep_pair(self, left: str, right: str) -> bool:
+        if len(self._pairs) >= CACHE:
+            self._pairs.clear()
+        ok = self._pairs[left, right] = self._merge(left + right) == [left, right]
+        return ok
+
+    def _best_path(self, text: str) -> list[str]:
+        """Unigram: the least sum of weights, place by place."""
+        best = [0.0] + [math.inf] * len(text)
+        last = [0] * (len(text) + 1)
+        for start in range(len(text)):
+            for end in self._arcs(text, start):
+                total = best[start] + self._weight(text[start:end])
+                if total < best[end]:
+                    best[end], last[end] = total, start
+        out, at = [], len(text)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            out.append(text[last[at] : at])
+            at = last[at]
+        return out[::-1]
+
+    def _shortest(self, text: str) -> tuple[int, ...]:
+        """Output of the least-weight path through input o lexicon o acceptor."""
         ids: list[int] = []
-        for piece in reversed(out):
+        for piece in self._zero_path(text) if self.model_type == _BPE else self._best_path(text):
             i = self.lexicon.get(piece)
             if i is not None:
                 ids.append(i)
