@@ -217,8 +217,8 @@ def _counted(k: int):
     return count
 
 
-def _hot_windows(df: DataFrame, hot: np.ndarray, k: int, m: int) -> DataFrame:
-    """(key, start, stop) of repeated windows under hot minimisers, counted window by window."""
+def _hot_runs(df: DataFrame, hot: np.ndarray, k: int, m: int) -> DataFrame:
+    """(r1, r2, key, start, windows) of packed strings under hot minimisers: a fingerprint of the string, and 16 bytes for each of its windows."""
 
     def emit(runs: _Runs | None, keys):
         if runs is None:
@@ -226,19 +226,56 @@ def _hot_windows(df: DataFrame, hot: np.ndarray, k: int, m: int) -> DataFrame:
         chosen = np.flatnonzero(_is_hot(runs, hot))
         if not len(chosen):
             return
-        n = runs.count[chosen]
-        at = np.repeat(runs.begin[chosen] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        one, two = runs.words.grams(k)[at], _second(runs.words, k)[at]
-        text = np.repeat(runs.text[chosen], n)
+        n, begin = runs.count[chosen], runs.begin[chosen]
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.stack([runs.words.grams(k)[at], _second(runs.words, k)[at]], axis=1)
+        cut = np.concatenate([[0], np.cumsum(n)])
+        rank = (np.arange(len(at)) - np.repeat(cut[:-1], n)).astype(np.uint64)
+        whole = np.add.reduceat(mix(both + rank[:, None] * _SALT), cut[:-1], axis=0)
+        text = runs.text[chosen]
+        columns = [
+            pa.array(np.ascontiguousarray(whole[:, 0]).view(np.int64)),
+            pa.array(np.ascontiguousarray(whole[:, 1]).view(np.int64)),
+            pa.array([keys[t] for t in text.tolist()], pa.binary()),
+            pa.array((begin - runs.words.first[text]).astype(np.int32)),
+            pa.array([both[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["r1", "r2", "key", "start", "windows"])
+
+    return _pass(df, emit, "r1 long, r2 long, key binary, start int, windows binary", k, m)
+
+
+def _unpacked(batches):
+    for b in batches:
+        blobs = b.column(3).to_pylist()
+        n = np.array([len(x) // 16 for x in blobs], np.int64)
+        both = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+        rank = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        take = pa.array(np.repeat(np.arange(len(n)), n))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([keys[t] for t in text.tolist()], pa.binary()), pa.array((at - runs.words.first[text]).astype(np.int32))],
-            names=["one", "two", "key", "start"],
+            [b.column(0).take(take), b.column(1).take(take), pa.array(rank.astype(np.int32)), b.column(2).take(take), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))],
+            names=["r1", "r2", "i", "n", "one", "two"],
         )
 
-    windows = _pass(df, emit, "one long, two long, key binary, start int", k, m)
-    placed = durable(windows.groupBy("one", "two", "key", "start").agg(F.count("*").alias("n")))
-    again = placed.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two")
-    return placed.join(again, ["one", "two"]).select("key", "start", (F.col("start") + k).alias("stop"))
+
+def _hot_windows(df: DataFrame, hot: np.ndarray, k: int, m: int) -> DataFrame:
+    """(key, start, stop) of repeated windows under hot minimisers.
+
+    Equal strings are summed up first; the windows of distinct ones are counted one by one, and the
+    runs of repeated windows go back to where each string stands.
+    """
+    placed = durable(_hot_runs(df, hot, k, m).groupBy("r1", "r2", "key", "start").agg(F.count("*").alias("n"), F.min("windows").alias("windows")))
+    strings = placed.groupBy("r1", "r2").agg(F.sum("n").alias("n"), F.min("windows").alias("windows"))
+    windows = strings.mapInArrow(_unpacked, "r1 long, r2 long, i int, n long, one long, two long")
+    again = windows.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1").select("one", "two")
+    places = windows.join(again, ["one", "two"]).groupBy("r1", "r2").agg(F.array_sort(F.collect_set("i")).alias("at"))
+    ranges = F.expr(
+        """aggregate(at, cast(array() as array<struct<f:int,t:int>>), (acc, i) -> if(size(acc) > 0 and element_at(acc, -1).t = i - 1,
+        concat(slice(acc, 1, size(acc) - 1), array(named_struct('f', element_at(acc, -1).f, 't', i))), concat(acc, array(named_struct('f', i, 't', i)))))"""
+    )
+    found = placed.select("r1", "r2", "key", "start").join(places.select("r1", "r2", ranges.alias("ranges")), ["r1", "r2"])
+    found = found.select("key", "start", F.explode("ranges").alias("r"))
+    return found.select("key", (F.col("start") + F.col("r.f")).alias("start"), (F.col("start") + F.col("r.t") + k).alias("stop"))
 
 
 def repeated_spans(df: DataFrame, k: int = WINDOW, m: int = GRAM, share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
