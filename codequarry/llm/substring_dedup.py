@@ -121,7 +121,7 @@ def _bucketed(df: DataFrame, hot: np.ndarray, buckets: int, k: int, m: int) -> D
     def run(batches):
         pending: dict[int, dict[bytes, list]] = {}
         size = 0
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
 
         def flush():
             rows = []
