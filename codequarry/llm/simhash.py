@@ -107,6 +107,7 @@ def links(fps: DataFrame) -> DataFrame:
     """
     n = fps.count()
     buckets = max(1, -(-n * _MEAN // _BUCKET))
+    fps = fps.select("fp").repartition(max(1, -(-n // (4 * _BLOCK))), "fp")
     return _variants(fps, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct()
 
 
