@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, Words, chunks, mix, whole_text
+from .common import NON_WORD, Words, arrow_map, chunks, mix, whole_text
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 26
 #: Items that go to the workers together.
@@ -167,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 ids = pa.array([own.ids[m[0]] for m in found], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), ids, pa.array([m[1] for m in found], pa.int64()), pa.array([m[2] for m in found], pa.float64())], names=["k", "i", "start_word", "similarity"])
 
-        part = rows.mapInArrow(run, schema)
+        part = arrow_map(rows, run, schema)
         out = part if out is None else out.union(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -188,5 +188,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                 clean = [not row for i, j in chunks(texts) for row in own.matches(texts[i:j])]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = arrow_map(out, run, docs.schema)
     return out

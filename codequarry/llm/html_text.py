@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r\xa0]+")
@@ -261,4 +263,4 @@ def extract_main_text(df: DataFrame, page: str = "html", text: str = "text", kee
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*(f.name for f in columns), text, "n_chars"])
 
     page_column = F.col(page).alias("__page")
-    return df.select(page_column, *(F.col(c.name) for c in columns)).mapInArrow(run, out)
+    return arrow_map(df.select(page_column, *(F.col(c.name) for c in columns)), run, out)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Words, chunks, mix, own_name, whole_text
+from .common import SPACES, Words, arrow_map, chunks, mix, own_name, whole_text
 
 #: Documents of the corpus on which the scorer is fitted, on average.
 SAMPLE = 3000
@@ -213,7 +213,7 @@ def vote_patterns(df: DataFrame, text: str = "text") -> DataFrame:
                 code, n = np.unique(_codes(votes(measures(Words(texts[i:j], SPACES)))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["pattern", "n"])
 
-    return df.select(whole_text(text).alias("t")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return arrow_map(df.select(whole_text(text).alias("t")), run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def _sampled_features(df: DataFrame, text: str) -> DataFrame:
@@ -234,7 +234,7 @@ def _sampled_features(df: DataFrame, text: str) -> DataFrame:
                     share.append((n / max(1, e - s)).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], names=["pattern", "at", "share"])
 
-    return df.select(whole_text(text).alias("t")).mapInArrow(run, "pattern long, at array<int>, share array<float>")
+    return arrow_map(df.select(whole_text(text).alias("t")), run, "pattern long, at array<int>, share array<float>")
 
 
 @dataclass
@@ -310,7 +310,7 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", prefix: str =
             new = [pa.array(np.concatenate(x) if x else [], t) for x, t in ((scores, pa.float64()), (posts, pa.float64()), (counts, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def quality(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:

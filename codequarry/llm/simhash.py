@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, whole_text
+from .common import arrow_map, durable, mix, whole_text
 from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -52,7 +52,7 @@ def with_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") ->
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["k", "fp"])
 
-    return df.select(F.col(key).alias("k"), whole_text(text).alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return arrow_map(df.select(F.col(key).alias("k"), whole_text(text).alias("t")), run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
 def _variants(fps: DataFrame, buckets: int) -> DataFrame:
@@ -76,7 +76,7 @@ def _variants(fps: DataFrame, buckets: int) -> DataFrame:
                     names=["bucket", "v", "how"],
                 )
 
-    return fps.select("fp").mapInArrow(run, "bucket int, v binary, how binary")
+    return arrow_map(fps.select("fp"), run, "bucket int, v binary, how binary")
 
 
 def _meet(group: pa.Table) -> pa.Table:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Words, chunks, durable, mix, whole_text
+from .common import SPACES, Words, arrow_map, chunks, durable, mix, whole_text
 
 WINDOW, GRAM = 35, 4
 #: A minimiser is hot from this share of all packed strings (of those in a partition, a tenth).
@@ -81,7 +81,7 @@ def _pass(df: DataFrame, emit, schema: str, k: int, m: int) -> DataFrame:
                 yield from emit(_Runs(texts[i:j], k, m), keys[i:j])
         yield from emit(None, None)
 
-    return df.select("key", "text").mapInArrow(run, schema)
+    return arrow_map(df.select("key", "text"), run, schema)
 
 
 def _hot_minimisers(df: DataFrame, k: int, m: int, share: float, least: int) -> tuple[list[int], int]:
@@ -102,7 +102,7 @@ def _hot_minimisers(df: DataFrame, k: int, m: int, share: float, least: int) ->
         out = (n > 1) & (n >= len(every) * share / 10)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(values[out], np.uint64(0)).view(np.int64)), pa.array(np.append(n[out], 0)), pa.array(np.append(np.zeros(out.sum(), np.int64), len(every)))], names=["minimiser", "n", "total"])
 
-    found = durable(df.select("key", "text").mapInArrow(count, "minimiser long, n long, total long").groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    found = durable(arrow_map(df.select("key", "text"), count, "minimiser long, n long, total long").groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     total = found.agg(F.sum("total")).first()[0] or 0
     need = max(least, total * share)
     return [r[0] for r in found.where(F.col("n") >= need).select("minimiser").collect()], total
@@ -154,7 +154,7 @@ def _bucketed(df: DataFrame, hot: np.ndarray, buckets: int, k: int, m: int) -> D
                     size = 0
         yield from flush()
 
-    return df.select("key", "text").mapInArrow(run, "bucket long, blob binary")
+    return arrow_map(df.select("key", "text"), run, "bucket long, blob binary")
 
 
 def _second(words: Words, k: int) -> np.ndarray:
@@ -266,7 +266,7 @@ def _hot_windows(df: DataFrame, hot: np.ndarray, k: int, m: int) -> DataFrame:
     """
     placed = durable(_hot_runs(df, hot, k, m).groupBy("r1", "r2", "key", "start").agg(F.count("*").alias("n"), F.min("windows").alias("windows")))
     strings = placed.groupBy("r1", "r2").agg(F.sum("n").alias("n"), F.min("windows").alias("windows"))
-    windows = strings.mapInArrow(_unpacked, "r1 long, r2 long, i int, n long, one long, two long")
+    windows = arrow_map(strings, _unpacked, "r1 long, r2 long, i int, n long, one long, two long")
     again = windows.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1").select("one", "two")
     places = windows.join(again, ["one", "two"]).groupBy("r1", "r2").agg(F.array_sort(F.collect_set("i")).alias("at"))
     ranges = F.expr(
@@ -317,4 +317,4 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     joined = rows.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return joined.mapInArrow(keep, schema).withColumnRenamed("id", key)
+    return arrow_map(joined, keep, schema).withColumnRenamed("id", key)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Fields of a 304 that don't update a stored response: they are about the message. Fixed values.
 NOT_MERGED = (
@@ -129,7 +131,7 @@ def read_warc(df: DataFrame, blob: str = "warc", keep: tuple[str, ...] = ()) ->
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[1:]), *columns], names=[*kept.names, *names])
 
-    return df.select(F.col(blob).alias("__blob"), *keep).mapInArrow(run, schema)
+    return arrow_map(df.select(F.col(blob).alias("__blob"), *keep), run, schema)
 
 
 def resolve_revisits(records: DataFrame, keep: tuple[str, ...] = (), width: int = DAY) -> DataFrame:
@@ -204,7 +206,7 @@ def captures(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["page_id", "warc"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, warc binary")
+    return arrow_map(pages.select("page_id", "url", "html"), run, f"page_id {kind}, warc binary")
 
 
 def revisit_digest(pages: DataFrame) -> DataFrame:
