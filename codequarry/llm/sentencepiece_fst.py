@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import arrow_map, whole_text
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
 #: Words whose encoding a worker keeps.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 
 def _fields(data: bytes):
@@ -95,13 +95,26 @@ class Transducer:
         self.unknown = self.kinds.index(_UNKNOWN)
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (_NORMAL, _USER)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
-        #: All beginnings of pieces: the states of the lexicon.
-        self.begins = {p[:n] for p in self.lexicon for n in range(1, len(p) + 1)}
+        self.longest = max(map(len, self.lexicon), default=1)
+        #: The lexicon's states: by character the next one, and an empty key where a longer piece ends.
+        self.states: dict = {}
+        for p in self.lexicon:
+            state = self.states
+            for c in p:
+                state = state.setdefault(c, {})
+            if len(p) > 1:
+                state[""] = True
         self.lowest = min((self.scores[i] for i in self.lexicon.values()), default=0.0)
-        # where no piece spans the place before a word's space, words are encoded one by one
+        # no merge crosses a place that no piece spans: words are encoded one by one, and where no
+        # piece goes on after a letter with anything but letters, so is what follows a letter
         self.by_word = escape and not any(SPACE in p.lstrip(SPACE) for p in self.lexicon)
-        alone = r"\n" if not any("\n" in p for p in self.lexicon) else ""
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (r"|\n" if alone else ""))
+        line = "" if any("\n" in p for p in self.lexicon) else "\n"
+        letter = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u04ff"
+        if any(re.search(f"[{letter}][^{letter}]", p) for p in self.lexicon):
+            cut = f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+"
+        else:
+            cut = f"{SPACE}*[{letter}]+|{SPACE}*[^{SPACE}{line}{letter}]+[{letter}]*|{SPACE}+"
+        self.cut = re.compile(cut + f"|{line}" * bool(line))
         self._word = lru_cache(CACHE)(self._shortest)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole = lru_cache(CACHE)(self._is_result)
@@ -140,13 +153,14 @@ class Transducer:
 
     def _arcs(self, text: str, start: int) -> list[int]:
         """Ends of the lexicon's arcs from ``start``, shortest first; one character always is an arc."""
-        out, end, size = [start + 1], start + 2, len(text)
-        begins, lexicon = self.begins, self.lexicon
-        if text[start : start + 1] in begins:
-            while end <= size and (piece := text[start:end]) in begins:
-                if piece in lexicon:
-                    out.append(end)
-                end += 1
+        out, end, state = [start + 1], start, self.states
+        for c in text[start : start + self.longest]:
+            state = state.get(c)
+            if state is None:
+                break
+            end += 1
+            if "" in state:
+                out.append(end)
         return out
 
     def _zero_path(self, text: str) -> list[str]:
@@ -209,8 +223,8 @@ class Transducer:
             at = last[at]
         return out[::-1]
 
-    def _shortest(self, text: str) -> tuple[int, ...]:
-        """Output of the least-weight path through input o lexicon o acceptor."""
+    def _shortest(self, text: str) -> bytes:
+        """Output of the least-weight path through input o lexicon o acceptor, four bytes an id."""
         ids: list[int] = []
         for piece in self._zero_path(text) if self.model_type == _BPE else self._best_path(text):
             i = self.lexicon.get(piece)
@@ -220,17 +234,17 @@ class Transducer:
                 ids.extend(self.bytes[b] for b in piece.encode())
             else:
                 ids.append(self.unknown)
-        return tuple(ids)
+        return struct.pack(f"<{len(ids)}i", *ids)
 
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
         text = self.normalise(text)
         if not self.by_word:
-            return list(self._shortest(text))
-        out: list[int] = []
-        word = self._word
-        for w in self.cut.findall(text):
-            out.extend(word(w))
-        return out
+            return self._shortest(text)
+        return b"".join(map(self._word, self.cut.findall(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
 
     def decode(self, ids) -> str:
         """Bytes of byte pieces are read as UTF-8; the dummy prefix goes."""
@@ -276,13 +290,13 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", model_path
     def run(batches):
         t = _transducer(model.value)
         for b in batches:
-            found = [t.encode(x or "") for x in b.column(where).to_pylist()]
-            offsets = np.cumsum([0, *map(len, found)])
-            flat = np.fromiter((i for x in found for i in x), np.int32, int(offsets[-1]))
+            found = [t.encode_packed(x or "") for x in b.column(where).to_pylist()]
+            offsets = np.cumsum([0, *map(len, found)]) // 4
+            flat = np.frombuffer(b"".join(found), "<i4")
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, ids])
 
-    return out.mapInArrow(run, schema)
+    return arrow_map(out, run, schema)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -298,7 +312,7 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", model_p
             found = [t.decode(x or []) for x in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, text])
 
-    return out.mapInArrow(run, schema)
+    return arrow_map(out, run, schema)
 
 
 def encoding_digest(df: DataFrame, key: str = "doc_id", text: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -311,13 +325,13 @@ def encoding_digest(df: DataFrame, key: str = "doc_id", text: str = "text", mode
         for b in batches:
             n, ids_sha, back_sha, same = [], [], [], []
             for x in b.column(1).to_pylist():
-                ids = t.encode(x)
-                back = t.decode(ids)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
+                ids = t.encode_packed(x)
+                back = t.decode(np.frombuffer(ids, "<i4").tolist())
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
                 back_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(back_sha), pa.array(same)], names=["k", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     rows = df.select(F.col(key).alias("k"), whole_text(text).alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("k", key)
+    return arrow_map(rows, run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("k", key)
