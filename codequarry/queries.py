@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import assessment, clones, history, lines
+from .functions import python_facts
+from .operators import assessment, clones, flow, history, lines, python_rules
 from .plans import reports
 from .sources import files as sources
+from .sources import reports as imports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,3 +486,57 @@ def final_newline_fix(spark, sf_dir):
     done = reports.applied(f, reports.chosen_edits(fixes))
     return done.select("path", (F.length("fixed") - F.length("text")).alias("added"), F.sha2("fixed", 256).alias("digest"))
 
+
+
+# ---------------------------------------------------------------- program sources: small texts, since the tables hold none
+
+PROGRAMS = {
+    "shop/cart.py": "import os\nimport json\n\n\nclass Cart:\n    def Add(self, item, price=[]):\n        if item == 1.5:\n            if price:\n                return item\n        total = 0\n        return len(price) >= 0\n\n    def __hidden(self):\n        pass\n",
+    "shop/net.py": "import hashlib, subprocess\nfrom ssl import *\n\n\ndef fetch(url):\n    x = 1\n    x = hashlib.md5(url)\n    subprocess.run(url, shell=True)\n    if x is x:\n        return x\n    else:\n        return x\n",
+    "shop/test_cart.py": "import pytest\n\n\n@pytest.mark.skip\ndef test_a():\n    assert (1, 2)\n\n\nasync def slow(a):\n    b = [y for y in a]\n    return any([z for z in b])\n",
+    "shop/broken.py": "def (:\n",
+}
+
+
+def _programs(spark) -> DataFrame:
+    return spark.createDataFrame(list(PROGRAMS.items()), "path string, text string")
+
+
+@_query()
+def python_findings(spark, sf_dir):
+    """All Python rules; files are parsed once."""
+    return python_rules.python_findings(python_facts.nodes(_programs(spark)).persist())
+
+
+@_query()
+def python_functions(spark, sf_dir):
+    """Parameters, lines, cyclomatic and cognitive complexity of each function."""
+    n = python_facts.nodes(_programs(spark)).where("kind in ('FunctionDef', 'AsyncFunctionDef')")
+    return n.select("path", "name", "sl", *(F.col("attrs")[c].cast("int").alias(c) for c in ("params", "lines", "complexity", "cognitive")))
+
+
+@_query()
+def dead_stores(spark, sf_dir):
+    """Rule S1854 by liveness over each function's control flow."""
+    return flow.dead_store_findings(_programs(spark))
+
+
+@_query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_orderpriority AS fn, (o_custkey % 12)::INT AS src, (o_orderkey % 12)::INT AS dst FROM orders),
+    r(fn, block) AS (SELECT DISTINCT fn, 0 FROM e UNION SELECT e.fn, e.dst FROM e JOIN r ON e.fn = r.fn AND e.src = r.block)
+    SELECT fn AS fn_id, block FROM r"""
+)
+def reachable_blocks(spark, sf_dir):
+    """Blocks that a function's entry reaches, over graphs made of orders."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fn_id"), (F.col("o_custkey") % 12).cast("int").alias("src"), (F.col("o_orderkey") % 12).cast("int").alias("dst")).distinct()
+    return flow.graph_facts(o).where("reachable").select("fn_id", "block")
+
+
+LCOV = "TN:\nSF:src/a.py\nDA:1,2\nDA:2,0\nBRDA:2,0,0,1\nBRDA:2,0,1,-\nend_of_record\nSF:src/b.py\nDA:1,1\nDA:x,1\nend_of_record\nDA:9,1\n"
+
+
+@_query()
+def lcov_import(spark, sf_dir):
+    """Entries of a coverage report with their problems, merged."""
+    entries = imports.lcov(spark.createDataFrame([(1, LCOV)], "input_id int, text string"))
+    return assessment.merged_coverage(entries.where("problem is null"))
