@@ -117,7 +117,8 @@ def rules() -> list[Rule]:
     return [*out, *(Rule(label, key, key, n, t) for label, t, key, n in EXTRA)]
 
 
-_GATE = "(?i)licen[cs]e|spdx|subject|accordance|permission|redistribution|software|unencumbered|copyright|reproduced|under"
+#: One of these is in every text that a rule can match.
+_GATE = ("licen", "spdx", "subject", "accordance", "permission", "redistribution", "software", "unencumbered", "copyright", "reproduced", "released", "published", "distributed", "available", "provided")
 _HIT = "array<struct<start:int,stop:int,priority:int,label:string>>"
 
 
@@ -130,6 +131,12 @@ def _count(text: str) -> str:
     return f"size(filter(split({text}, {_q(_G)}, -1), w -> w <> ''))"
 
 
+def _count_whole(text: str) -> str:
+    """SQL: the same by the number of parts, less an empty one at either end."""
+    edge = _q("^" + _G)
+    return f"if({text} = '', 0, size(split({text}, {_q(_G)}, -1)) - int(left({text}, 1) rlike {edge}) - int(right({text}, 1) rlike {edge}))"
+
+
 def _walk(text: str, found: str, pattern: str, measure: str, kind: str, item: str) -> str:
     """SQL: places of the matches ``found``; positions are sums of ``measure`` over what stands before."""
     gaps = f"slice(split({text}, {pattern}, -1), 1, size({found}))"
@@ -141,16 +148,19 @@ def _walk(text: str, found: str, pattern: str, measure: str, kind: str, item: st
 def license_scan(df: DataFrame, text: str = "text", prefix: str = "license_") -> DataFrame:
     """All columns and ``prefix`` + n_words, base (array of (word, label)), hits (kept detections over the
     text's words joined by single spaces: start, stop, priority, label)."""
-    body, low, found = (own_name(df, f"__{x}") for x in ("text", "low", "found"))
+    body, low, found, lower = (own_name(df, f"__{x}") for x in ("text", "low", "found", "lower"))
     out = df.withColumn(body, whole_text(text))
-    out = out.withColumn(found, F.expr(f"regexp_extract_all({body}, {_q(_BASE)}, 0)"))
+    out = out.withColumn(lower, F.lower(body))
+    may = " or ".join("(" + " and ".join(f"contains({lower}, '{w}')" for w in p.split(" ")) + ")" for p, _ in BASE_PHRASES)
+    gate = " or ".join(f"contains({lower}, '{w}')" for w in _GATE)
+    out = out.withColumn(found, F.expr(f"if({may}, regexp_extract_all({body}, {_q(_BASE)}, 0), cast(array() as array<string>))"))
     label = "case lower(left(x.m, 2)) " + " ".join(f"when '{p[:2]}' then '{label}'" for p, label in BASE_PHRASES) + " end"
     base = _walk(body, found, _q(_BASE), _count("{}"), "array<struct<word:int,label:string>>", f"named_struct('word', acc.at + x.g, 'label', {label})")
     out = out.withColumns(
         {
-            prefix + "n_words": F.expr(f"cast({_count(body)} as long)"),
+            prefix + "n_words": F.expr(f"cast({_count_whole(body)} as long)"),
             prefix + "base": F.expr(f"if(size({found}) = 0, cast(array() as array<struct<word:int,label:string>>), {base})"),
-            low: F.expr(f"if({body} rlike '{_GATE}', concat(' ', array_join(filter(split(lower({body}), {_q(_G)}, -1), w -> w <> ''), ' '), ' '), '')"),
+            low: F.expr(f"if({gate}, concat(' ', array_join(filter(split({lower}, {_q(_G)}, -1), w -> w <> ''), ' '), ' '), '')"),
         }
     )
     table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.first).alias("first"), F.lit(r.second).alias("second"), F.lit(r.priority).alias("priority"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")) for r in rules()))
@@ -164,7 +174,7 @@ def license_scan(df: DataFrame, text: str = "text", prefix: str = "license_") ->
     inside = "case h.priority " + " ".join(f"when {n} then acc.e{n}" for n in range(1, 5)) + " end >= h.stop"
     swept = f"aggregate({ordered}, named_struct({start}, 'out', cast(array() as {_HIT})), (acc, h) -> named_struct({ends}, 'out', if({inside}, acc.out, concat(acc.out, array(h)))), acc -> acc.out)"
     out = out.withColumn(prefix + "hits", F.expr(f"if(size({raw}) = 0, {raw}, {swept})"))
-    return out.drop(body, low, found, chosen, raw)
+    return out.drop(body, low, lower, found, chosen, raw)
 
 
 def license_digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
