@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,26 @@ def durable(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 2000
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, since idle workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        return
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with batches of few rows, which bounds the memory of workers; a smaller setting of the session stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def whole_text(column: str = "text") -> Column:
@@ -57,7 +73,7 @@ def own_name(df: DataFrame, wanted: str) -> str:
 
 # ---------------------------------------------------------------- fingerprints of words
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _M = 0xFFFFFFFFFFFFFFFF
 _BASE = 0x9E3779B97F4A7C15 | 5
 _TABLES: dict = {}

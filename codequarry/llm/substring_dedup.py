@@ -20,13 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Words, arrow_map, chunks, durable, mix, whole_text
+from .common import SPACES, Words, arrow_map, chunks, durable, give_back, mix, whole_text
 
 WINDOW, GRAM = 35, 4
 #: A minimiser is hot from this share of all packed strings (of those in a partition, a tenth).
 HOT_SHARE, HOT_LEAST = 1e-4, 64
 #: Packed strings of a bucket, on average.
-BUCKET = 40_000
+BUCKET = 30_000
 _FLUSH = 8 << 20
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -212,6 +212,8 @@ def _counted(k: int):
                     keys.append(names[16 * i : 16 * i + 16])
                     starts.append(begin + f)
                     stops.append(begin + t + k)
+        del strings, places, one, two, who, where, order, a, b, new, total, again
+        give_back()
         return pa.table({"key": pa.array(keys, pa.binary()), "start": pa.array(starts, pa.int32()), "stop": pa.array(stops, pa.int32())})
 
     return count
