@@ -56,7 +56,8 @@ BASE = (
 ADDED = (Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", f"length({_PLAIN}) between 15 and 34 and {_MOD97}", 0.8, "iban|bank|account|konto|cuenta"),)
 #: Characters before and after a span in which context words count, and what they add.
 BEFORE, AFTER, BONUS = 40, 20, 0.2
-_SPAN = "array<struct<start:int,end:int,rank:int,kind:string,m:string>>"
+#: Fields in the order of sorting: by start, then kind as listed.
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,m:string>>"
 
 
 def _quoted(s: str) -> str:
@@ -70,12 +71,12 @@ def _placed(found: str, text: str, kind: Kind, rank: int) -> str:
         zip_with({gaps}, {found}, (g, m) -> named_struct('g', length(g), 'm', m)),
         named_struct('at', 0, 'out', cast(array() as {_SPAN})),
         (acc, x) -> named_struct('at', acc.at + x.g + length(x.m), 'out', concat(acc.out, array(named_struct(
-            'start', acc.at + x.g, 'end', acc.at + x.g + length(x.m), 'rank', {rank}, 'kind', '{kind.name}', 'm', x.m)))),
+            'start', acc.at + x.g, 'rank', {rank}, 'end', acc.at + x.g + length(x.m), 'kind', '{kind.name}', 'm', x.m)))),
         acc -> acc.out), s -> exists(array(s.m), m -> {kind.test})) end"""
 
 
 def pii_spans(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
-    """All columns and ``spans``: array of (start, end, rank, kind, m, score) by start, then kind as listed.
+    """All columns and ``spans``: array of (start, rank, end, kind, m, score) by start, then kind as listed.
 
     Matches whose test fails go and aren't tried again; kinds may overlap.
     """
@@ -91,7 +92,7 @@ def pii_spans(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> Da
         f"when '{k.name}' then {k.score}D + if(lower(concat(substring({body}, greatest(s.start - {BEFORE}, 0) + 1, least(s.start, {BEFORE})), ' ', substring({body}, s.end + 1, {AFTER}))) rlike '{k.context}', {BONUS}D, 0D)" for k in kinds
     ) + " end"
     joined = f"array_sort(concat({', '.join(placed)}))"
-    out = out.withColumn(spans, F.expr(f"transform({joined}, s -> named_struct('start', s.start, 'end', s.end, 'rank', s.rank, 'kind', s.kind, 'm', s.m, 'score', least(1D, {score})))"))
+    out = out.withColumn(spans, F.expr(f"transform({joined}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind, 'm', s.m, 'score', least(1D, {score})))"))
     return out.drop(body, *found.values(), *placed)
 
 

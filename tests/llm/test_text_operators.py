@@ -39,6 +39,7 @@ TEXTS = [
     "9" * 4000 + " 4111-1111-1111-1111 +1234567 1.2.3.4.5.6.7.8 @@ a@b",
     "Licensed under the Apache License, Version 2.0. CC  by cc-BY 4.0! General PUBLIC license; all rights\nreserved reserved",
     "accby general public licenses allrights reserved cc by",
+    "4111111111111111@x.com 1.2.3.4@y.org 0000000000000.0.0.1 +4111111111111111",
     "%$# THE!! NOISE!! HERE!! IS!! LOUD!! AND!! GOES!! ON!! AND!! ON!!",
 ]
 
