@@ -54,7 +54,7 @@ RULES = (
     ("S125", f"{_JS} {_CS}", "comments", r"//[^\n]*?[\w)\]'\"];[ \t]*+(?=\n|\z)|//[^\n]*?\)[ \t]*\{[ \t]*+(?=\n|\z)", "Remove this commented-out code."),
     ("S126", f"{_JS} {_CS} {_GO} {_RS}", "code", r"\belse\s+if\b[^{}]*+\{" + _FLAT + r"\}(?!\s*else\b)", "End the chain with an else."),
     ("S131", f"{_JS} {_CS} {_GO}", "code", r"\bswitch\b[^{}]*+\{(?:(?!\bdefault\b)[^{}]|\{[^{}]*+\})*+\}", "Add a default."),
-    ("S1067", f"{_JS} {_CS} {_GO} {_RB}", "code", r"(?:[^{};&|,?\n]++(?:&&|\|\|)\s*+){4,}+[^{};&|,?\n]*+", "Condition has too many operators."),
+    ("S1067", f"{_JS} {_CS} {_GO} {_RB}", "code", r"(?<![^{};&|,?\n])(?:[^{};&|,?\n]++(?:&&|\|\|)\s*+){4,}+[^{};&|,?\n]*+", "Condition has too many operators."),
     ("S1110", f"{_JS} {_CS} {_GO}", "code", r"\(\((?:[^()]|\([^()]*+\))*+\)\)", "Parentheses are doubled."),
     ("S1116", f"{_JS} {_CS} {_RS}", "code", r";[ \t]*+;(?=[ \t]*(?:\n|\}|\z))", "Statement is empty."),
     ("S1125", f"{_JS} {_CS} {_GO}", "code", r"[=!]==?\s*(?:true|false)\b|\b(?:true|false)\s*[=!]==?", "Compare without the literal."),
@@ -67,8 +67,8 @@ RULES = (
     ("S1314", f"{_JS} {_GO}", "code", r"(?<![\w.])0[0-7]+(?![\w.])", "Octal number."),
     ("S1479", f"{_JS} {_GO}", "code", r"\bswitch\b[^{}]*+\{(?:(?!\bcase\b)[^{}])*+(?:\bcase\b(?:(?!\bcase\b)[^{}])*+){31,}+\}", "Too many cases."),
     ("S1656", f"{_JS} {_CS} {_GO} {_RS}", "code", r"(?<![\w.$])(?<![\w.$][ \t])([A-Za-z_$][\w.$]*+)[ \t]*+=[ \t]*+\1(?![\w.$])(?=[ \t]*(?:;|\n|\z))", "Variable is assigned to itself."),
-    ("S1763", f"{_JS} {_CS}", "code", r"(?<=[;{}]\n[ \t]{0,60})(?:return|throw|break|continue)\b[^;{}\n]*+;\s*+(?!case\b|default\b|function\b|class\b)[A-Za-z_$]", "Code can't be reached."),
-    ("S1764", f"{_JS} {_CS} {_GO} {_RS} {_RB}", "code", r"(?<=(?:[(,;{?\n]|\breturn|&&|\|\||\w =)[ \t]{0,4})([A-Za-z_$][\w.$]*+)\s*+(?:[=!]==?|&&|\|\||[-/%]|[<>]=?)\s*+\1(?!\s*[.\w$(\[*/%+-])", "Both sides are the same."),
+    ("S1763", f"{_JS} {_CS}", "code", r"(?=\b(?:return|throw|break|continue)\b)(?<=[;{}]\n[ \t]{0,60})(?:return|throw|break|continue)\b[^;{}\n]*+;\s*+(?!case\b|default\b|function\b|class\b)[A-Za-z_$]", "Code can't be reached."),
+    ("S1764", f"{_JS} {_CS} {_GO} {_RS} {_RB}", "code", r"(?<![\w.$])(?=[A-Za-z_$][\w.$]*+\s*+[=!&|/%<>-])(?<=(?:[(,;{?\n]|\breturn|&&|\|\||\w =)[ \t]{0,4})([A-Za-z_$][\w.$]*+)\s*+(?:[=!]==?|&&|\|\||[-/%]|[<>]=?)\s*+\1(?!\s*[.\w$(\[*/%+-])", "Both sides are the same."),
     ("S1862", f"{_JS} {_CS} {_GO} {_RS}", "plain", r"\bif\s*([^{}]+?)\s*\{[^{}]*+\}\s*else\s+if\s*\1\s*\{", "Condition repeats the one before."),
     ("S1871", f"{_JS} {_CS} {_GO}", "plain", r"\bif\b[^{}]*+\{\s*+([^{}]*?[;\n][^{}]*?)\s*+\}\s*else\s+if\b[^{}]*+\{\s*\1\s*\}", "Two branches are the same."),
     ("S1940", f"{_JS} {_CS} {_GO}", "code", r"!\(\s*[\w.$]+\s*(?:[=!]==?|[<>]=?)\s*[\w.$]+\s*\)", "Use the opposite operator."),
@@ -180,4 +180,5 @@ def lexical_findings(files: DataFrame, keys: set[str] | None = None) -> DataFram
     out = by_language[0]
     for part in by_language[1:]:
         out = out.unionByName(part)
-    return out.select("path", F.explode("hits").alias("h")).select("path", "h.*")
+    # The outer form keeps the optimizer from a filter on the array, which would work out every view anew for each rule.
+    return out.select("path", F.explode_outer("hits").alias("h")).where("h is not null").select("path", "h.*")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import python_facts
-from .operators import assessment, clones, flow, history, lines, python_rules
+from .operators import assessment, clones, flow, history, lexical_rules, lines, python_rules
 from .plans import reports
 from .sources import files as sources
 from .sources import reports as imports
@@ -424,6 +424,17 @@ def embedded_scripts(spark, sf_dir):
     return s.groupBy("page_id").agg(F.count("*").alias("scripts"), F.sum(F.length("script")).alias("chars"))
 
 
+@_query(
+    r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1)) AS script FROM pages)
+    SELECT page_id, 'S122' AS rule_key, 1 AS sl, 0 AS sc, 1 AS el, length(script)::INT AS ec FROM s WHERE regexp_matches(script, '^[a-z][^;\n]*;[ \t]*[a-z][^;\n]*;$')"""
+)
+def script_findings(spark, sf_dir):
+    """Lexical rules over the inline scripts of pages, as JavaScript."""
+    s = sources.embedded_scripts(table(spark, sf_dir, "pages"), "page_id")
+    found = lexical_rules.lexical_findings(s.select(F.col("page_id").alias("path"), F.lit("javascript").alias("language"), F.col("script").alias("text")))
+    return found.select(F.col("path").alias("page_id"), "rule_key", "sl", "sc", "el", "ec")
+
+
 def _messages(spark, sf_dir):
     return lines.line_findings(_files(spark, sf_dir)).withColumns({"message": F.concat(F.lit("rule "), F.col("rule_key")), "severity": F.lit("MAJOR"), "family": F.col("rule_key")})
 
@@ -508,6 +519,22 @@ def python_findings(spark, sf_dir):
     return python_rules.python_findings(python_facts.nodes(_programs(spark)).persist())
 
 
+SCRIPTS = {
+    "web/app.js": "function load_all(a, b, c, d, e, f, g, h) {\n  if (a === a) {\n  }\n  console.log(a); return Math.random();\n}\n",
+    "web/Service.cs": "public class Service {\n  public void run() {\n    var p = SslProtocols.Tls; // x = y;\n    throw new Exception(\"x\");\n  }\n}\n",
+    "srv/main.go": "package main\n\nfunc do_it(a bool) {\n\tif a == true {\n\t\tx = x\n\t}\n}\n",
+    "srv/lib.rs": "use std::io::*;\n\nfn f() {\n    println!(\"x\");;\n}\n",
+    "bin/run.rb": "exit if a && b && c && d && e\nreturn a.b == a.b\n",
+}
+
+
+@_query()
+def lexical_findings(spark, sf_dir):
+    """Rules on tokens and literals of five more languages."""
+    f = spark.createDataFrame(list(SCRIPTS.items()), "path string, text string")
+    return lexical_rules.lexical_findings(f.select("path", sources.language(F.col("path")).alias("language"), "text"))
+
+
 @_query()
 def python_functions(spark, sf_dir):
     """Parameters, lines, cyclomatic and cognitive complexity of each function."""
