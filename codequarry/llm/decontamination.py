@@ -1,8 +1,9 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 Words are lower-cased (A-Z) runs without white space and ASCII punctuation; shingles have five. A
-window of a document has as many words as the benchmark item; only windows that share a shingle
-with the item, in its place, are fingerprinted, since the others can't be similar. Eight blocks of
+window of a document has as many words as the benchmark item; of all windows, those whose shared
+shingles weigh 0.8 of the item or more are fingerprinted, wherever the shingles stand in it, since
+the others can't be similar. Eight blocks of
 eight bits index the items' fingerprints: within the radius some block differs by no more than
 an eighth of it, so looking up all block values at that distance finds every item in reach. Exact
 weighted-shingle similarity (sum of least over sum of greatest weights) then verifies: weights are
@@ -56,10 +57,12 @@ class ItemIndex:
         self.common = 1.0 + math.log(self.n + 1)
         self.shingles = [Counter(x.tolist()) for x in lists]
         self.fingerprints = np.array([_simhash(x, self.weights(x)) if len(x) else 0 for x in lists], dtype=np.uint64)
-        self.where: dict[int, list[tuple[int, int]]] = {}
-        for i, x in enumerate(lists):
-            for offset, g in enumerate(x.tolist()):
-                self.where.setdefault(g, []).append((i, offset))
+        #: What an item's shingles weigh together, and the items that hold a shingle.
+        self.weight = [sum(n * self.rare[g] for g, n in x.items()) for x in self.shingles]
+        self.where: dict[int, list[int]] = {}
+        for i, x in enumerate(self.shingles):
+            for g in x:
+                self.where.setdefault(g, []).append(i)
         #: By number of words of a shingle: its sorted hashes and a bitmap of their low bits.
         self.steps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for step in {min(SHINGLE, n) for n in self.sizes.tolist() if n}:
@@ -93,10 +96,28 @@ class ItemIndex:
             high += weight * max(a, b)
         return low / high if high else 0.0
 
+    def _starts(self, item: int, w: Words, places: np.ndarray, step: int, first: int, count: int, size: int):
+        """(start, a bound of its similarity) of the windows that share enough, the highest bounds first.
+
+        ``places`` are the positions of the item's shingles in the text that starts at word ``first``.
+        """
+        own, total = self.shingles[item], self.weight[item]
+        weights = self.weights(_at(w.hash, places, step))
+        if not own or weights.sum() < SIMILARITY * total - 1e-9:
+            return
+        shared = np.zeros(count - step + 2)
+        shared[places - first + 1] = weights
+        sums = np.cumsum(shared)
+        sums = sums[size - step + 1 :] - sums[: count - size + 1]
+        starts = np.flatnonzero(sums >= SIMILARITY * total - 1e-9)
+        bounds = np.minimum(1.0, sums[starts] / total + 1e-9)
+        order = np.argsort(-bounds, kind="stable")
+        yield from zip(starts[order].tolist(), bounds[order].tolist())
+
     def matches(self, texts: list[bytes]) -> list[list[tuple[int, int, float]]]:
         """Per text: (item, start word, similarity) of the best window of each item that is similar."""
         w = Words([t.lower() for t in texts], NON_WORD)
-        hits: dict[int, set[tuple[int, int]]] = {}
+        hits: dict[int, dict[int, list[int]]] = {}
         for step, (every, seen) in self.steps.items():
             inside = w.inside(step)
             if not len(inside):
@@ -106,31 +127,42 @@ class ItemIndex:
             place = np.minimum(np.searchsorted(every, grams[maybe]), len(every) - 1)
             for at in maybe[every[place] == grams[maybe]].tolist():
                 owner = int(w.owner[at])
-                for item, offset in self.where[int(grams[at])]:
+                for item in self.where[int(grams[at])]:
                     if min(SHINGLE, int(self.sizes[item])) == step:
-                        hits.setdefault(owner, set()).add((item, at - int(w.first[owner]) - offset))
+                        hits.setdefault(owner, {}).setdefault(item, []).append(at)
         out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-        for owner, starts in hits.items():
+        for owner, items in hits.items():
             first, count = int(w.first[owner]), int(w.counts[owner])
-            best: dict[int, tuple[float, int]] = {}
-            done: dict[tuple[int, int], tuple[np.ndarray, Counter, set]] = {}
-            for item, start in sorted(starts):
-                size = int(self.sizes[item])
-                start = max(0, min(start, count - size))
-                size = min(size, count)
-                window = done.get((start, size))
-                if window is None:
-                    grams = _grams(w.hash[first + start : first + start + size], min(SHINGLE, size))
-                    found = set(self.candidates(_simhash(grams, self.weights(grams))).tolist())
-                    window = done[start, size] = (grams, Counter(grams.tolist()), found)
-                if item in window[2]:
-                    s = self.similarity(item, window[1])
-                    if s >= SIMILARITY and s > best.get(item, (0.0, 0))[0]:
-                        best[item] = (s, start)
-            out[owner] = [(item, start, s) for item, (s, start) in sorted(best.items())]
+            done: dict[tuple[int, int], tuple[Counter, set]] = {}
+            for item, places in sorted(items.items()):
+                step, size = min(SHINGLE, int(self.sizes[item])), min(int(self.sizes[item]), count)
+                best, where = 0.0, 0
+                for start, most in self._starts(item, w, np.array(places), step, first, count, size):
+                    if most < best:
+                        break
+                    if most == best and start > where:
+                        continue
+                    window = done.get((start, size))
+                    if window is None:
+                        grams = _grams(w.hash[first + start : first + start + size], step)
+                        window = done[start, size] = (Counter(grams.tolist()), set(self.candidates(_simhash(grams, self.weights(grams))).tolist()))
+                    if item in window[1]:
+                        s = self.similarity(item, window[0])
+                        if s >= SIMILARITY and (s > best or s == best and start < where):
+                            best, where = s, start
+                if best:
+                    out[owner].append((item, where, best))
         return out
 
 
+def _at(hashes: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """The shingles of n words from each of the places."""
+    out = np.zeros(len(places), dtype=np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[places + k]
+    return mix(out)
+
+
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """As Words.grams, over the words of one text."""
     out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
