@@ -7,7 +7,8 @@ the others can't be similar. Eight blocks of
 eight bits index the items' fingerprints: within the radius some block differs by no more than
 an eighth of it, so looking up all block values at that distance finds every item in reach. Exact
 weighted-shingle similarity (sum of least over sum of greatest weights) then verifies: weights are
-counts times the shingle's rarity among the items.
+counts times the shingle's rarity among all items, which is counted once over the whole benchmark
+(12 bytes a distinct shingle go to the workers).
 
 Null and empty texts match nothing; an item without words is left out; an item of fewer than five
 words has one shingle of all its words.
@@ -15,7 +16,6 @@ words has one shingle of all its words.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from itertools import islice
 
@@ -40,25 +40,20 @@ def _simhash(grams: np.ndarray, weights: np.ndarray) -> np.uint64:
 class ItemIndex:
     """Shingles, fingerprints and Hamming blocks of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = [(t or "").encode().lower() for _, t in items]
-        words = Words(texts, NON_WORD)
+    def __init__(self, items: list[tuple[int, str]], rarity: tuple[np.ndarray, np.ndarray, int] | None = None):
+        """``rarity``: sorted shingles of the whole benchmark, how many items hold each, number of items; these items' own without it."""
         self.ids = [i for i, _ in items]
-        self.sizes = words.counts
-        lists: list[np.ndarray] = []
-        for i, n in enumerate(self.sizes.tolist()):
-            first = int(words.first[i])
-            step = min(SHINGLE, n)
-            part = words.hash[first : first + n]
-            lists.append(_grams(part, step) if n else np.zeros(0, np.uint64))
-        df = Counter(g for x in lists for g in set(x.tolist()))
-        self.n = len(items)
-        self.rare = {g: 1.0 + math.log((self.n + 1) / (c + 1)) for g, c in df.items()}
-        self.common = 1.0 + math.log(self.n + 1)
+        lists, self.sizes = _shingles([t for _, t in items])
+        if rarity is None:
+            own = Counter(g for x in lists for g in set(x.tolist()))
+            rarity = np.array(sorted(own), dtype=np.uint64), np.array([own[g] for g in sorted(own)], dtype=np.int32), len(items)
+        self.known, held, n = rarity
+        #: Rarities of the known shingles, then that of any other.
+        self.rarities = 1.0 + np.log((n + 1) / (np.append(held, 0) + 1))
         self.shingles = [Counter(x.tolist()) for x in lists]
         self.fingerprints = np.array([_simhash(x, self.weights(x)) if len(x) else 0 for x in lists], dtype=np.uint64)
         #: What an item's shingles weigh together, and the items that hold a shingle.
-        self.weight = [sum(n * self.rare[g] for g, n in x.items()) for x in self.shingles]
+        self.weight = [float(self.weights(x).sum()) for x in lists]
         self.where: dict[int, list[int]] = {}
         for i, x in enumerate(self.shingles):
             for g in x:
@@ -75,7 +70,10 @@ class ItemIndex:
         self.reach = [near[:, blocks[:, b]] for b in range(8)]
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
-        return np.array([self.rare.get(g, self.common) for g in grams.tolist()])
+        if not len(self.known):
+            return np.full(len(grams), self.rarities[-1])
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return self.rarities[np.where(self.known[at] == grams, at, len(self.known))]
 
     def candidates(self, fp: np.uint64) -> np.ndarray:
         """Items whose fingerprint is within the radius, by the blocks first."""
@@ -89,8 +87,8 @@ class ItemIndex:
     def similarity(self, item: int, window: Counter) -> float:
         own = self.shingles[item]
         low = high = 0.0
-        for g in own.keys() | window.keys():
-            weight = self.rare.get(g, self.common)
+        every = list(own.keys() | window.keys())
+        for g, weight in zip(every, self.weights(np.array(every, dtype=np.uint64)).tolist()):
             a, b = own.get(g, 0), window.get(g, 0)
             low += weight * min(a, b)
             high += weight * max(a, b)
@@ -163,6 +161,13 @@ def _at(hashes: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def _shingles(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shingles of each item in order, and its number of words."""
+    words = Words([(t or "").encode().lower() for t in texts], NON_WORD)
+    ends = zip(words.first.tolist(), words.counts.tolist())
+    return [_grams(words.hash[i : i + n], min(SHINGLE, n)) if n else np.zeros(0, np.uint64) for i, n in ends], words.counts
+
+
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """As Words.grams, over the words of one text."""
     out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
@@ -178,17 +183,34 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
         yield block
 
 
+def _rarity(benchmark: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Over the whole benchmark: sorted shingles, how many items hold each, number of items."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            sets = [np.unique(x) for i, j in chunks([t or "" for t in texts]) for x in _shingles(texts[i:j])[0]]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["g"])
+
+    held = arrow_map(benchmark.select(text), run, "g long").groupBy("g").agg(F.count("*").cast("int").alias("n")).toArrow()
+    known, n = held.column("g").to_numpy().view(np.uint64), held.column("n").to_numpy()
+    order = np.argsort(known)
+    return known[order], n[order], benchmark.count()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, start_word, similarity) of every document that holds an item's passage."""
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, key), (benchmark, item)))
     rows = docs.select(F.col(key).alias("k"), whole_text(text).alias("t"))
     schema = f"k {kind}, i {item_kind}, start_word long, similarity double"
     out = None
+    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(benchmark, item_text))
     for block in _blocks(benchmark, item, item_text):
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, index=index):
-            own = ItemIndex(index.value)
+            own = ItemIndex(index.value, rarity.value)
             for b in batches:
                 texts = [t.encode() for t in b.column(1).to_pylist()]
                 at, found = [], []
@@ -210,11 +232,12 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """The documents, all columns, that hold no item's passage."""
     where = docs.columns.index(text)
     out = docs
+    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(benchmark, item_text))
     for block in _blocks(benchmark, item, item_text):
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, index=index):
-            own = ItemIndex(index.value)
+            own = ItemIndex(index.value, rarity.value)
             for b in batches:
                 texts = [(t or "").encode() for t in b.column(where).to_pylist()]
                 clean = [not row for i, j in chunks(texts) for row in own.matches(texts[i:j])]

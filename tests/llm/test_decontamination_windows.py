@@ -25,3 +25,20 @@ def test_swapped_halves_are_found(spark):
     found = decontamination.contamination(docs, benchmark).collect()
     assert {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 9)) for r in found} == want
     assert sorted(r.doc_id for r in decontamination.without_contaminated(docs, benchmark).collect()) == [8, 9]
+
+
+def test_similarity_does_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [words(52) for _ in range(40)] + [[], None]
+    items.append(items[0][:30] + words(22))
+    texts = [words(20) + x[:25] + ["other"] + x[26:] + words(20) for x in items if x] + [words(90)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, x and " ".join(x)) for i, x in enumerate(items)], "item_id long, text string").coalesce(1)
+    found = []
+    for n in (5000, 42, 7):
+        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", n)
+        found.append(sorted((r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontamination.contamination(docs, benchmark).collect()))
+    assert len(found[0]) >= 41
+    assert found[0] == found[1] == found[2]
