@@ -27,14 +27,17 @@ def _words(phrase: str) -> str:
 
 _BASE = rf"(?i)(?<!{_W})(?:{'|'.join(_words(p) for p, _ in BASE_PHRASES)})(?!{_W})"
 
-#: Label, keyword that every wording holds, wordings (regular expressions over words that one space joins).
+#: Label, keyword that every wording holds, wordings (regular expressions over words that one space joins). A label has
+#: several entries where its wordings share no keyword.
 FAMILIES = (
-    ("mit", "mit", ("mit", "massachusetts institute of technology")),
+    ("mit", "mit", ("mit",)),
+    ("mit", "massachusetts", ("massachusetts institute of technology",)),
     ("apache-2.0", "apache", ("apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache license")),
     ("apache-1.1", "apache", ("apache(?: software)?(?: license)?(?: version)? 1 1",)),
     ("bsd-2-clause", "bsd", ("bsd 2 clause", "simplified bsd", "freebsd", "two clause bsd")),
     ("bsd-3-clause", "bsd", ("bsd 3 clause", "new bsd", "modified bsd", "revised bsd", "three clause bsd")),
-    ("bsd", "bsd", ("bsd", "berkeley software distribution")),
+    ("bsd", "bsd", ("bsd",)),
+    ("bsd", "berkeley", ("berkeley software distribution",)),
     ("gpl-2.0", "g", ("gnu general public license(?: v| version) ?2(?: 0)?", "gpl ?v?2(?: 0)?")),
     ("gpl-3.0", "g", ("gnu general public license(?: v| version) ?3(?: 0)?", "gpl ?v?3(?: 0)?")),
     ("gpl", "g", ("gnu general public license", "gnu gpl")),
@@ -57,7 +60,8 @@ FAMILIES = (
     ("cc-by-nc-sa", "c", ("cc by nc sa(?: [234] [05])?", "creative commons attribution non ?commercial share ?alike(?: [234] [05])?")),
     ("cc-by-nc-nd", "c", ("cc by nc nd(?: [234] [05])?",)),
     ("unlicense", "unlicense", ("unlicense",)),
-    ("isc", "isc", ("isc", "internet systems consortium")),
+    ("isc", "isc", ("isc",)),
+    ("isc", "consortium", ("internet systems consortium",)),
     ("zlib", "zlib", ("zlib(?: libpng)?",)),
     ("bsl-1.0", "boost", ("boost software(?: license)?(?: version)?(?: 1 0)?",)),
     ("busl-1.1", "business", ("business source(?: license)?(?: 1 1)?",)),
