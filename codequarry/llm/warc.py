@@ -8,15 +8,17 @@ the 304 that may update a stored response are merged into that response's.
 A URL's records are windowed by day, and the days' last responses are carried over in a second,
 small window, so that no URL's whole history sorts in one task.
 
-Null or empty URLs share one canonical URL, the empty one; among responses of the same second the
-greatest record id counts; damaged blobs give the records before the damage; repeated records
-resolve alike; extra columns of ``resolve_revisits`` are kept out.
+A full response has status 200 or 203. Revisits without a URL or a time have no response; among
+responses of the same second the greatest record id counts; damaged blobs (such as a negative
+length) give the records before the damage; repeated records resolve alike; extra columns of
+``resolve_revisits`` are kept out unless named, also where their names clash with its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -43,6 +45,8 @@ NOT_MERGED = (
 )
 #: Query parameters that don't tell resources apart. Fixed values.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|sessionid|phpsessid"
+#: Statuses of responses that hold the whole resource. Fixed values.
+FULL = (200, 203)
 DAY = 86400
 RECORD = "record_id string, kind string, url string, ts long, status int, headers map<string,string>, payload_bytes long, payload_sha256 string"
 
@@ -100,6 +104,8 @@ def parse_records(data: bytes):
         head = _head(data[at:end])
         try:
             size = int(head["content-length"])
+            if size < 0:
+                return
             ts = int(datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
         except (KeyError, ValueError):
             return
@@ -140,16 +146,21 @@ def resolve_revisits(records: DataFrame, keep: tuple[str, ...] = (), width: int
 
     Outcomes: resolved, mismatch (validators differ), unchecked (none in common), no_response.
     """
-    r = records.withColumns({"canonical_url": canonical_url("url"), "span": F.floor(F.col("ts") / width)})
-    full = (F.col("kind") == "response") & F.col("status").between(200, 299)
+    r = records.select(*dict.fromkeys((*keep, "record_id", "kind", "url", "ts", "status", "headers", "payload_bytes", "payload_sha256")))
+    r = r.withColumns({"canonical_url": canonical_url("url"), "span": F.floor(F.col("ts") / width)})
+    full = (F.col("kind") == "response") & F.col("status").isin(*FULL)
     response = F.struct("ts", "record_id", "payload_bytes", "payload_sha256", F.to_json("headers").alias("headers"))
     r = r.where(full | (F.col("kind") == "revisit")).withColumn("full", F.when(full, response))
+    known = F.col("ts").isNotNull() & (F.col("canonical_url") != "")
+    lost = r.where(~known & (F.col("kind") == "revisit")).withColumn("hit", F.col("full"))
+    r = r.where(known)
     inside = Window.partitionBy("canonical_url", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("near", F.max("full").over(inside))
     spans = r.groupBy("canonical_url", "span").agg(F.max("full").alias("latest"))
     before = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select("canonical_url", "span", F.max("latest").over(before).alias("far"))
     found = r.where(F.col("kind") == "revisit").join(carried, ["canonical_url", "span"]).withColumn("hit", F.coalesce("near", "far"))
+    found = found.select(*lost.columns).unionByName(lost)
     old = F.from_json("hit.headers", "map<string,string>")
     found = found.withColumn("old", F.coalesce(old, F.create_map().cast("map<string,string>")))
     tag = lambda m: F.regexp_replace(F.col(m)["etag"], "^W/", "")
@@ -183,7 +194,7 @@ EPOCH, STEP = 1_700_000_000, 600
 def captures(pages: DataFrame) -> DataFrame:
     """page_id and WARC bytes of a crawl of the pages: a response, and later a revisit by another spelling of the URL.
 
-    Pages whose id leaves 7 by 13 have a revisit only; the entity tag has changed where it leaves 5
+    An id that isn't a number counts by its CRC-32, a null one as 0. Pages whose id leaves 7 by 13 have a revisit only; the entity tag has changed where it leaves 5
     by 11; where it leaves 1 by 5 there are only dates.
     """
 
@@ -191,8 +202,9 @@ def captures(pages: DataFrame) -> DataFrame:
         for b in batches:
             blobs = []
             for page_id, url, page in zip(*(c.to_pylist() for c in b.columns)):
-                n, url, body = page_id or 0, url or "", (page or "").encode()
-                ts = EPOCH + n * STEP
+                n = page_id if isinstance(page_id, int) else zlib.crc32(str(page_id or "").encode())
+                url, body = url or "", (page or "").encode()
+                ts = EPOCH + n % 1_000_000 * STEP
                 tag = hashlib.md5(body).hexdigest()[:16]
                 dated = f"{datetime.fromtimestamp(EPOCH - n % 1000 * 3600, UTC):%a, %d %b %Y %H:%M:%S GMT}"
                 headers = {"Content-Type": "text/html; charset=utf-8", "Server": "crawl", "Cache-Control": "max-age=60", "Content-Length": str(len(body)), "Last-Modified": dated}
