@@ -7,6 +7,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is frequent from this share of all rows and this number of rows: a thousand keys at most.
+FREQUENT_SHARE, FREQUENT_LEAST = 1e-3, 64
+
+
+def frequent_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than their share of all rows, counted with partial sums."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
+    total = rows.count()
+    return [r[0] for r in counts.where(F.col("n") >= total * FREQUENT_SHARE).select(key).collect()]
+
+
+def salted(rows: DataFrame, found: DataFrame, key: str, frequent: list) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a salt, and the columns to join on: rows of a frequent key are dealt over all
+    partitions, and what was found for such a key is repeated once a salt; other keys have one salt."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = F.col(key).isin(frequent) if frequent else F.lit(False)
+    dealt = F.when(often, F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(n)).cast("int")).otherwise(0)
+    every = F.when(often, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__salt", dealt), found.withColumn("__salt", F.explode(every)), [key, "__salt"]
+
+
 #: Rows of one Arrow batch at most, since texts are long.
 BATCH_ROWS = 2000
 
@@ -74,9 +96,10 @@ def own_name(df: DataFrame, wanted: str) -> str:
 # ---------------------------------------------------------------- fingerprints of words
 
 _CHUNK = 1 << 19
+#: Words longer than this are hashed one by one.
+_LONG = 256
 _M = 0xFFFFFFFFFFFFFFFF
-_BASE = 0x9E3779B97F4A7C15 | 5
-_TABLES: dict = {}
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,16 +111,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if _TABLES.get("n", 0) < n:
-        n = max(n, _CHUNK + 1)
-        for key, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-            a = np.full(n, base, dtype=np.uint64)
-            a[0] = 1
-            _TABLES[key] = np.multiply.accumulate(a)
-        _TABLES["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-        _TABLES["n"] = n
-    return _TABLES["p"], _TABLES["q"], _TABLES["bytes"]
+def _word_hashes(buf: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each span of ``buf``: eight bytes at a time are folded in, and all bits are mixed between them."""
+    data = buf + bytes(8)
+    eight = np.ndarray((len(buf),), dtype="<u8", buffer=data, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) + _SEED)
+    left = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(left):
+        rest = np.minimum(size[left] - done, 8).astype(np.uint64)
+        part = eight[start[left] + done] & (np.uint64(_M) >> (np.uint64(64) - rest * np.uint64(8)))
+        out[left] = mix(out[left] ^ part)
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]])
+    return out
 
 
 def separator_table(extra: bytes = b"") -> np.ndarray:
@@ -123,15 +153,7 @@ class Words:
         if inside[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = np.zeros(len(self.start), dtype=np.uint64)
-        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(data), _CHUNK)), len(self.start)))
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            a, s, e = self.start[i], self.start[i:j] - self.start[i], self.end[i:j] - self.start[i]
-            part = data[a : self.end[j - 1]]
-            p, q, t = _powers(len(part) + 1)
-            sums = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(t[part] * p[: len(part)], out=sums[1:])
-            self.hash[i:j] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64))
+        self.hash = _word_hashes(self.buf, self.start, self.end)
         begins = np.cumsum([0] + [len(x) + 1 for x in texts])
         #: The words of text i are first[i] to first[i + 1].
         self.first = np.searchsorted(self.start, begins)

@@ -205,7 +205,7 @@ def brute_windows(docs, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("k", "share", "least"), [(35, 1e-4, 64), (35, 1e-9, 2), (7, 1e-9, 3), (4, 1e-4, 64)])
+@pytest.mark.parametrize(("k", "share", "least"), [(35, 1e-6, 1000), (35, 1e-9, 2), (7, 1e-9, 3), (4, 1e-4, 64)])
 def test_substring_dedup(docs, none, k, share, least):
     assert substring_dedup.substring_dedup(none).count() == 0
     rows = substring_dedup.substring_dedup(docs, k=k, share=share, least=least).collect()
@@ -213,6 +213,38 @@ def test_substring_dedup(docs, none, k, share, least):
     assert sorted(map(tuple, rows)) == want
 
 
+def _thue_morse(n):
+    x = [0]
+    while len(x) < n:
+        x += [1 - b for b in x]
+    return x
+
+
+def test_words_that_collide_in_polynomial_hashes_differ(spark):
+    a = "".join("ab"[b] for b in _thue_morse(1024))
+    b = "".join("ba"[b] for b in _thue_morse(1024))
+    around = [words(20), words(20)]
+    texts = [(0, f"{around[0]} {a} {around[1]}"), (1, f"{around[0]} {b} {around[1]}")]
+    rows = substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, rows)) == brute_windows(texts, 35)
+    assert all(r.n_removed == 0 for r in rows)
+
+
+def test_one_fingerprint_of_different_windows_is_told_apart(monkeypatch):
+    monkeypatch.setattr(substring_dedup.Words, "grams", lambda self, n: np.zeros(max(0, len(self.hash) - n + 1), np.uint64))
+    strings = [b"a b c d", b"x b c d", b"a b c e"]
+    who, where = substring_dedup._repeated_windows(strings, np.array([1, 1, 1]), 3)
+    assert sorted(zip(who.tolist(), where.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 0)]
+
+
+@pytest.mark.parametrize("least", [20, 1000])
+def test_hot_passage_between_different_neighbours(spark, least):
+    texts = [(i, f"{words(40)} {PASSAGE} {words(40)}" if i % 3 else words(90)) for i in range(240)] + [(900 + i, "") for i in range(100)] + [(2000 + i, PASSAGE) for i in range(100)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    rows = substring_dedup.substring_dedup(docs, least=least).collect()
+    assert sorted(map(tuple, rows)) == brute_windows(texts, 35)
+
+
 def test_tokenizer_agrees_with_the_library(docs, none):
     library = pytest.importorskip("sentencepiece")
     path = sentencepiece_fst.DEFAULT_MODEL
