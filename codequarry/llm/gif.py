@@ -1,8 +1,10 @@
 """GIF media columns: LZW code streams, palettes, disposal, transparency and timed frames.
 
 ``encode_gif`` and ``decode_gif`` work on bytes; ``text_to_gif`` and ``gif_frames`` are the
-DataFrame operators. Defined results: a null text counts as empty, null or damaged media gives
-no frames, equal bytes give equal results, and extra columns of the input are left out.
+DataFrame operators; ``gif_media`` stores texts as GIFs, reads them back and describes their composed
+frames. Defined results: a null text counts as empty; null or damaged media, or media whose canvas
+has more than ``MAX_PIXELS``, gives no frames; frames are composed one at a time; equal bytes give
+equal results, repeated rows too; and extra columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, whole_text
 
 ROW = 64
-#: Rows of one frame at most, so that a frame holds 1 MiB; a longer payload goes to more frames.
-FRAME_ROWS = 16384
+#: Rows of one frame at most, so that a frame holds 16 KiB; a longer payload goes to more frames.
+FRAME_ROWS = 256
+#: Pixels of a canvas at most, which bounds the memory of damaged or hostile files; a parameter.
+MAX_PIXELS = 1 << 26
 _FULL = 4096
 
 
@@ -57,27 +62,33 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     return _pack(np.array(codes, dtype=np.uint32), bits)
 
 
-def _widths(k: np.ndarray, bits: int) -> np.ndarray:
-    """Bits of the k-th code after a clear code: as many as the table's codes need, 12 at most."""
-    top = np.minimum((1 << bits) + 1 + k, _FULL - 1)
-    return np.maximum(bits + 1, np.floor(np.log2(np.maximum(top, 1))).astype(np.int64) + 1)
+@cache
+def _widths(bits: int) -> np.ndarray:
+    """Bits of the k-th code after a clear code: as many as the table's codes need, 12 at most; the last goes for all further ones."""
+    top = np.minimum((1 << bits) + 1 + np.arange(_FULL), _FULL - 1)
+    return np.maximum(bits + 1, np.floor(np.log2(top)).astype(np.int64) + 1)
+
+
+@cache
+def _ends(bits: int) -> np.ndarray:
+    """Where the k-th code after a clear code ends."""
+    return np.cumsum(_widths(bits))
 
 
 def _pack(codes: np.ndarray, bits: int) -> bytes:
-    at = np.arange(len(codes))
-    last_clear = np.maximum.accumulate(np.where(codes == 1 << bits, at, 0))
-    since = at - last_clear - 1
-    # a clear code still has the width that the table before it had
     clears = np.flatnonzero(codes == 1 << bits)
+    since = np.arange(len(codes)) - np.repeat(clears, np.diff(np.append(clears, len(codes)))) - 1
+    # a clear code still has the width that the table before it had
     since[clears[1:]] = np.diff(clears) - 1
     since[0] = 0
-    width = _widths(since, bits)
-    out = []
-    for a in range(0, len(codes), 1 << 16):
-        c, w = codes[a : a + (1 << 16)], width[a : a + (1 << 16)]
-        grid = (c[:, None] >> np.arange(12, dtype=np.uint32)) & 1
-        out.append(grid.astype(np.uint8)[np.arange(12) < w[:, None]])
-    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+    width = _widths(bits)[np.minimum(since, _FULL - 1)]
+    ends = np.cumsum(width)
+    at = ends - width
+    spread = codes.astype(np.int64) << (at & 7)
+    n = (int(ends[-1]) + 7) // 8
+    # codes share bytes but no bits, so sums put them together
+    out = sum(np.bincount((at >> 3) + i, weights=(spread >> (8 * i)) & 255, minlength=n + 3) for i in range(3))
+    return out[:n].astype(np.uint8).tobytes()
 
 
 def lzw_decode(stream: bytes, bits: int = 8, size: int | None = None) -> bytes:
@@ -87,22 +98,25 @@ def lzw_decode(stream: bytes, bits: int = 8, size: int | None = None) -> bytes:
     are cut out at once and only the phrases are looked up one by one.
     """
     clear, end = 1 << bits, (1 << bits) + 1
-    flat = np.unpackbits(np.frombuffer(stream, dtype=np.uint8), bitorder="little")
+    total, widths = 8 * len(stream), _widths(bits)
+    four = np.ndarray((len(stream),), dtype="<u4", buffer=stream + bytes(4), strides=(1,))
     out: list[bytes] = []
-    at, length = 0, 0
+    at, length, wanted = 0, 0, float("inf") if size is None else size
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, previous, since = list(roots), b"", 0
-    block = _FULL - clear
-    while True:
-        width = _widths(np.arange(since, since + block), bits)
-        ends = at + np.cumsum(width)
-        n = int(np.searchsorted(ends, len(flat), side="right"))
+    while length < wanted:
+        n = min(_FULL - clear, (total - at) // (bits + 1))
+        if since:
+            width = widths[np.minimum(since + np.arange(n), _FULL - 1)]
+            ends = at + np.cumsum(width)
+        else:
+            width, ends = widths[:n], at + _ends(bits)[:n]
+        n = int(np.searchsorted(ends, total, side="right"))
         if not n:
             break
         width, ends = width[:n], ends[:n]
-        spread = (ends - width)[:, None] + np.arange(12)
-        grid = flat[np.minimum(spread, len(flat) - 1)].astype(np.uint32) * (np.arange(12) < width[:, None])
-        codes = (grid << np.arange(12, dtype=np.uint32)).sum(axis=1)
+        begin = ends - width
+        codes = four[begin >> 3] >> (begin & 7).astype(np.uint32) & ((1 << width) - 1).astype(np.uint32)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else n
         for c in codes[:stop].tolist():
@@ -115,6 +129,9 @@ def lzw_decode(stream: bytes, bits: int = 8, size: int | None = None) -> bytes:
             if previous and len(table) < _FULL:
                 table.append(previous + phrase[:1])
             out.append(phrase)
+            length += len(phrase)
+            if length >= wanted:
+                break
             previous = phrase
         since += stop
         at = int(ends[stop]) if stop < n else int(ends[-1])
@@ -213,6 +230,8 @@ def _read(data: bytes) -> tuple[int, int, bytes, list[Frame]]:
             own = data[at : at + (6 << (f & 7))]
             at += len(own)
         bits = data[at]
+        if not 1 <= bits <= 8 or w * h > MAX_PIXELS:
+            raise ValueError("too many colours or pixels")
         stream, at = joined(at + 1)
         samples = lzw_decode(stream, bits, w * h)
         if len(samples) < w * h:
@@ -230,49 +249,59 @@ def composed(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
     """(start in 1/100 s, duration, RGBA canvas) of each frame after disposal and transparency.
 
     Disposal 2 clears the frame's rectangle afterwards, 3 restores what was there before;
-    others leave it. A sample equal to the transparent index keeps the canvas below.
+    others leave it. A sample equal to the transparent index keeps the canvas below. The canvas is
+    the same array for all frames.
     """
-    width, height, shared, frames = read_gif(data)
-    canvas, clock = np.zeros((height, width, 4), np.uint8), 0
+    return _composed(*read_gif(data))
+
+
+def _composed(width: int, height: int, shared: bytes, frames: list[Frame]) -> Iterator[tuple[int, int, np.ndarray]]:
+    if width * height > MAX_PIXELS:
+        raise ValueError("canvas too large")
+    canvas, clock = np.zeros((height, width), "<u4"), 0
+    shown = canvas.view(np.uint8).reshape(height, width, 4)
     for f in frames:
         colours = np.zeros((256, 4), np.uint8)
         rgb = np.frombuffer(f.palette or shared, np.uint8).reshape(-1, 3)
         colours[: len(rgb), :3] = rgb
         colours[:, 3] = 255
-        before = canvas.copy() if f.disposal == 3 else None
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+        before = area.copy() if f.disposal == 3 else None
         index = np.frombuffer(f.samples, np.uint8).reshape(f.height, f.width)[: area.shape[0], : area.shape[1]]
-        drawn = colours[index]
+        drawn = colours.view("<u4").ravel()[index]
         if f.transparent is None:
             area[:] = drawn
         else:
-            seen = index != f.transparent
-            area[seen] = drawn[seen]
-        yield clock, f.delay_cs, canvas.copy()
+            np.copyto(area, drawn, where=index != f.transparent)
+        yield clock, f.delay_cs, shown
         clock += f.delay_cs
         if f.disposal == 2:
             area[:] = 0
         elif before is not None:
-            canvas = before
+            area[:] = before
 
 
-def histogram(canvas: np.ndarray, bins: int = 4) -> list[int]:
-    """Pixels of each cell of a bins x bins x bins grid of opaque RGB colours; the last number counts see-through ones."""
-    opaque = canvas[..., 3] > 0
-    cell = canvas[..., :3][opaque].astype(np.int64) * bins // 256
-    counts = np.bincount(cell @ np.array([bins * bins, bins, 1]), minlength=bins**3)
-    return [*counts.tolist(), int((~opaque).sum())]
+def histogram(canvas: np.ndarray, bits: int = 2) -> np.ndarray:
+    """Pixels of each cell of a grid of opaque RGB colours by the upper ``bits`` (1 or 2) of each part; the last number counts see-through ones."""
+    part = canvas >> (8 - bits)
+    cell = part[..., 0] << (2 * bits) | part[..., 1] << bits | part[..., 2]
+    cell[canvas[..., 3] == 0] = 8**bits
+    return np.bincount(cell.ravel(), minlength=8**bits + 1)
 
 
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: Three bits of red, three of green, two of blue.
+CUBE = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 
 
 def payload_gif(payload: bytes) -> bytes:
-    """A payload of whole rows of 64 bytes as frames of 64 columns."""
+    """A payload of whole rows of 64 bytes as frames of 64 columns over one another.
+
+    Frames stay, clear their place or give it back by turns; their padding, index 0, is see-through.
+    """
     rows = len(payload) // ROW
     step = FRAME_ROWS * ROW
     parts = [payload[i : i + step] for i in range(0, len(payload), step)]
-    return encode_gif(ROW, min(rows, FRAME_ROWS), GREY, [Frame(ROW, len(p) // ROW, p, delay_cs=10, disposal=1) for p in parts])
+    return encode_gif(ROW, min(rows, FRAME_ROWS), CUBE, [Frame(ROW, len(p) // ROW, p, delay_cs=10 + i % 5, disposal=1 + i % 3, transparent=0) for i, p in enumerate(parts)])
 
 
 def gif_payload(media: bytes) -> tuple[bytes, list[Frame]]:
@@ -308,11 +337,13 @@ def gif_frames(df: DataFrame, key: str, media: str = "media") -> DataFrame:
         for b in batches:
             for k, m in zip(b.column(0), b.column(1).to_pylist()):
                 try:
-                    found = list(composed(m)) if m is not None else []
+                    read = read_gif(m) if m is not None else (0, 0, b"", [])
                 except ValueError:
                     continue
-                for i, (start, delay, canvas) in enumerate(found):
-                    row = [[k.as_py()], [i], [start], [delay], [canvas.shape[1]], [canvas.shape[0]], [canvas.tobytes()], [histogram(canvas)]]
+                if read[0] * read[1] > MAX_PIXELS:
+                    continue
+                for i, (start, delay, canvas) in enumerate(_composed(*read)):
+                    row = [[k.as_py()], [i], [start], [delay], [canvas.shape[1]], [canvas.shape[0]], [canvas.tobytes()], [histogram(canvas).tolist()]]
                     types = [b.column(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["key", "frame_no", "start_cs", "duration_cs", "width", "height", "rgba", "histogram"])
 
@@ -323,15 +354,19 @@ def gif_frames(df: DataFrame, key: str, media: str = "media") -> DataFrame:
 def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Reads media back: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    The feature joins the frame count, total duration and 16-bin histogram of grey levels of the pixels.
+    The feature joins the frame count, the total duration and the colour histograms of the composed
+    frames, summed up. Media must be readable.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def one(media: bytes) -> tuple:
-        back, frames = gif_payload(media)
-        bins = np.bincount(np.frombuffer(back, np.uint8) >> 4, minlength=16).tolist()
-        feature = f"frames={len(frames)};cs={sum(f.delay_cs for f in frames)};hist={','.join(map(str, bins))}"
+        width, height, shared, frames = read_gif(media)
+        back = b"".join(f.samples for f in frames)
+        length, bins = 0, 0
+        for start, delay, canvas in _composed(width, height, shared, frames):
+            length, bins = start + delay, bins + histogram(canvas)
+        feature = f"frames={len(frames)};cs={length};hist={','.join(map(str, bins.tolist()))}"
         return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def digests(batches):

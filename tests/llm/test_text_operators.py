@@ -59,6 +59,26 @@ def by_id(rows):
     return {r.doc_id: r for r in rows}
 
 
+def slow_feature(payload):
+    """Frames of 256 rows over one another, pixel by pixel: index 0 keeps what is below."""
+    step, canvas, counts, clock = 64 * 256, {}, [0] * 65, 0
+    area = min(len(payload), step)
+    parts = [payload[i : i + step] for i in range(0, len(payload), step)]
+    for n, part in enumerate(parts):
+        before = dict(canvas)
+        canvas.update((i, v) for i, v in enumerate(part) if v)
+        for i in range(area):
+            v = canvas.get(i)
+            counts[64 if v is None else (v >> 6) * 16 + (v >> 3 & 3) * 4 + (v & 3)] += 1
+        clock += 10 + n % 5
+        if n % 3 == 1:  # this frame's place is cleared
+            for i in range(len(part)):
+                canvas.pop(i, None)
+        elif n % 3 == 2:
+            canvas = before
+    return f"frames={len(parts)};cs={clock};hist={','.join(map(str, counts))}"
+
+
 def test_gif_stores_texts(docs, none):
     assert gif.gif_media(none).count() == 0
     rows = gif.gif_media(docs).collect()
@@ -71,6 +91,7 @@ def test_gif_stores_texts(docs, none):
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
         media = gif.payload_gif(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature == slow_feature(payload)
 
 
 @pytest.mark.parametrize("bits", [2, 4, 8])
@@ -96,7 +117,7 @@ def test_gif_disposal_transparency_and_interlace(spark):
     ]
     media = gif.encode_gif(4, 8, palette, frames)
     assert [f.samples for f in gif.read_gif(media)[3]] == [f.samples for f in frames]
-    shown = list(gif.composed(media))
+    shown = [(start, delay, canvas.copy()) for start, delay, canvas in gif.composed(media)]
     assert [s[:2] for s in shown] == [(0, 5), (5, 7), (12, 9), (21, 1)]
     assert shown[1][2][1, 1].tolist() == [0, 255, 0, 255] and shown[1][2][1, 2].tolist() == [255, 0, 0, 255]
     assert shown[2][2][5, 1].tolist() == [255, 0, 0, 255]  # frame 1 was undone
@@ -106,6 +127,14 @@ def test_gif_disposal_transparency_and_interlace(spark):
     assert all(sum(r.histogram) == 32 for r in rows)
 
 
+def test_gif_with_a_huge_canvas_has_no_frames(spark):
+    head = b"GIF89a" + (65535).to_bytes(2, "little") * 2 + b"\x80\0\0" + bytes(6)
+    image = b"\x2c" + bytes(4) + b"\1\0\1\0\0" + b"\2\2\x44\1\0"
+    large = head + b"\x2c" + bytes(4) + (65535).to_bytes(2, "little") * 2 + b"\0\2\2\x44\1\0\x3b"
+    rows = [(1, bytearray(head + image + b"\x3b")), (2, bytearray(large)), (3, bytearray(gif.payload_gif(bytes(64))))]
+    assert [r.k for r in gif.gif_frames(spark.createDataFrame(rows, "k long, media binary"), "k").collect()] == [3]
+
+
 def page(body):
     return f"<html><head><title>T</title></head><body>{body}</body></html>"
 
