@@ -1,23 +1,30 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 Words are lower-cased (A-Z) runs without white space and ASCII punctuation; shingles have five. A
-window of a document has as many words as the benchmark item; of all windows, those whose shared
-shingles weigh 0.8 of the item or more are fingerprinted, wherever the shingles stand in it, since
-the others can't be similar. Eight blocks of
-eight bits index the items' fingerprints: within the radius some block differs by no more than
-an eighth of it, so looking up all block values at that distance finds every item in reach. Exact
-weighted-shingle similarity (sum of least over sum of greatest weights) then verifies: weights are
-counts times the shingle's rarity among all items, which is counted once over the whole benchmark
-(12 bytes a distinct shingle go to the workers).
+window of a document has as many words as the benchmark item, wherever it starts. Similarity is
+exact: the sum of the lesser over the sum of the greater weights of both sides' shingles, where a
+shingle weighs its count times its rarity among all items, counted once over the whole benchmark.
+
+- A window can only be similar to an item if the shingles they share weigh 0.8 of the item; sums
+  over the document find these windows, wherever the shingles stand in them, and all others are told
+  apart for certain.
+- Every such window gets a fingerprint, by sliding sums of its shingles' weighted bits.
+- Four blocks of 16 bits index the items' fingerprints: within the radius of 15 some block differs
+  by three bits or fewer, so looking up the 697 values at that distance finds every item in reach.
+- Exact similarity verifies the pairs. At similarity 0.8 fingerprints lie about 9.6 bits apart with
+  a deviation of 2.9, so a few of the windows just there are lost (tests/llm measures the recall).
+
+The benchmark goes to the workers in blocks of a bounded number of shingles, each in one pass over
+the documents; 12 bytes of each distinct shingle of the whole benchmark go along.
 
 Null and empty texts match nothing; an item without words is left out; an item of fewer than five
-words has one shingle of all its words.
+words has one shingle of all its words; a document shorter than an item is one window. Of windows
+equally similar the first counts; repeated rows give repeated results; other columns are left alone.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import islice
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,139 +33,175 @@ from pyspark.sql import functions as F
 
 from .common import NON_WORD, Words, arrow_map, chunks, mix, whole_text
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 26
-#: Items that go to the workers together.
-BLOCK_ITEMS = 5000
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
+#: Shingles of the items that go to the workers together, and windows that are fingerprinted together.
+BLOCK_SHINGLES, _STRETCH = 2_000_000, 4096
 _FILTER = 1 << 20
+#: Rarities are whole numbers of this part, so that sums don't depend on their order.
+_PART = 1024
+_BLOCKS, _BITS = 4, 16
+#: All ways to change up to RADIUS // _BLOCKS bits of a block.
+_NEAR = np.array([sum(1 << i for i in c) for n in range(RADIUS // _BLOCKS + 1) for c in combinations(range(_BITS), n)], dtype=np.uint16)
 
 
-def _simhash(grams: np.ndarray, weights: np.ndarray) -> np.uint64:
+def _signs(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A row for each shingle: its weight with the sign of each of 64 bits."""
     bits = np.unpackbits(mix(grams).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits((weights[:, None] * (2.0 * bits - 1)).sum(axis=0) > 0, bitorder="little").view("<u8")[0]
+    return np.where(bits, weights[:, None], -weights[:, None])
+
+
+def _packed(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
+
+
+class Rarity:
+    """How much each shingle of the whole benchmark weighs, and any other."""
+
+    def __init__(self, known: np.ndarray, held: np.ndarray, items: int):
+        """``known``: sorted shingles; ``held``: how many items hold each."""
+        self.known = known
+        self.weight = np.round(_PART * (1.0 + np.log((items + 1) / (np.append(held, 0) + 1)))).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(grams), self.weight[-1])
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return self.weight[np.where(self.known[at] == grams, at, len(self.known))]
+
+
+class HammingIndex:
+    """Finds all fingerprints within the radius by tables of block values."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        values = prints.astype("<u8").view("<u2").reshape(-1, _BLOCKS)
+        self.order = [np.argsort(values[:, b], kind="stable").astype(np.int32) for b in range(_BLOCKS)]
+        self.start = [np.searchsorted(values[self.order[b], b], np.arange((1 << _BITS) + 1)).astype(np.int32) for b in range(_BLOCKS)]
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, entry) of every pair within the radius, sorted."""
+        values = prints.astype("<u8").view("<u2").reshape(-1, _BLOCKS)
+        found = [np.zeros(0, np.int64)]
+        for b in range(_BLOCKS):
+            wanted = values[:, b, None] ^ _NEAR
+            begin = self.start[b][wanted]
+            n = self.start[b][wanted.astype(np.int32) + 1] - begin
+            query, _ = np.nonzero(n)
+            begin, n = begin[n > 0], n[n > 0]
+            query = np.repeat(query, n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+            entry = self.order[b][place].astype(np.int64)
+            ok = np.bitwise_count(self.prints[entry] ^ prints[query]) <= RADIUS
+            found.append(query[ok] * len(self.prints) + entry[ok])
+        both = np.unique(np.concatenate(found))
+        return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
 
 class ItemIndex:
     """Shingles, fingerprints and Hamming blocks of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], rarity: tuple[np.ndarray, np.ndarray, int] | None = None):
-        """``rarity``: sorted shingles of the whole benchmark, how many items hold each, number of items; these items' own without it."""
-        self.ids = [i for i, _ in items]
-        lists, self.sizes = _shingles([t for _, t in items])
+    def __init__(self, items: list[tuple[int, str]], rarity: Rarity | None = None):
+        """``rarity``: of the whole benchmark; of these items alone without it."""
+        lists, sizes = _shingles([t for _, t in items])
         if rarity is None:
-            own = Counter(g for x in lists for g in set(x.tolist()))
-            rarity = np.array(sorted(own), dtype=np.uint64), np.array([own[g] for g in sorted(own)], dtype=np.int32), len(items)
-        self.known, held, n = rarity
-        #: Rarities of the known shingles, then that of any other.
-        self.rarities = 1.0 + np.log((n + 1) / (np.append(held, 0) + 1))
-        self.shingles = [Counter(x.tolist()) for x in lists]
-        self.fingerprints = np.array([_simhash(x, self.weights(x)) if len(x) else 0 for x in lists], dtype=np.uint64)
-        #: What an item's shingles weigh together, and the items that hold a shingle.
-        self.weight = [float(self.weights(x).sum()) for x in lists]
-        self.where: dict[int, list[int]] = {}
-        for i, x in enumerate(self.shingles):
-            for g in x:
-                self.where.setdefault(g, []).append(i)
-        #: By number of words of a shingle: its sorted hashes and a bitmap of their low bits.
-        self.steps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for step in {min(SHINGLE, n) for n in self.sizes.tolist() if n}:
-            every = np.unique(np.concatenate([x for x, n in zip(lists, self.sizes.tolist()) if n and min(SHINGLE, n) == step]))
+            known, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, lists)]), return_counts=True)
+            rarity = Rarity(known, held, len(items))
+        self.rarity = rarity
+        kept = np.flatnonzero(sizes > 0).tolist()
+        self.ids = [items[i][0] for i in kept]
+        self.sizes = sizes[kept]
+        self.shingles = [np.unique(lists[i], return_counts=True) for i in kept]
+        self.weight = np.array([int(rarity(lists[i]).sum()) for i in kept], dtype=np.int64)
+        self.index = HammingIndex(np.array([_packed(_signs(lists[i], rarity(lists[i])).sum(axis=0, keepdims=True))[0] for i in kept], dtype=np.uint64))
+        #: What an item must share with a window.
+        self.need = np.ceil(SIMILARITY * self.weight - 1e-6).astype(np.int64)
+        #: By number of words of a shingle: its sorted hashes, a bitmap of their low bits, the items that hold each, and the least need.
+        self.steps: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]] = {}
+        step_of = np.minimum(SHINGLE, self.sizes)
+        for step in np.unique(step_of).tolist():
+            mine = np.flatnonzero(step_of == step)
+            grams = np.concatenate([self.shingles[i][0] for i in mine.tolist()])
+            holder = np.repeat(mine, [len(self.shingles[i][0]) for i in mine.tolist()]).astype(np.int32)
+            order = np.argsort(grams, kind="stable")
+            every, first = np.unique(grams[order], return_index=True)
             seen = np.zeros(_FILTER, dtype=bool)
             seen[every & np.uint64(_FILTER - 1)] = True
-            self.steps[step] = (every, seen)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // 8
-        blocks = self.fingerprints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        self.reach = [near[:, blocks[:, b]] for b in range(8)]
-
-    def weights(self, grams: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(grams), self.rarities[-1])
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return self.rarities[np.where(self.known[at] == grams, at, len(self.known))]
-
-    def candidates(self, fp: np.uint64) -> np.ndarray:
-        """Items whose fingerprint is within the radius, by the blocks first."""
-        parts = np.array([fp], dtype="<u8").view(np.uint8)
-        found = self.reach[0][parts[0]].copy()
-        for b in range(1, 8):
-            found |= self.reach[b][parts[b]]
-        at = np.flatnonzero(found)
-        return at[np.bitwise_count(self.fingerprints[at] ^ fp) <= RADIUS]
-
-    def similarity(self, item: int, window: Counter) -> float:
-        own = self.shingles[item]
-        low = high = 0.0
-        every = list(own.keys() | window.keys())
-        for g, weight in zip(every, self.weights(np.array(every, dtype=np.uint64)).tolist()):
-            a, b = own.get(g, 0), window.get(g, 0)
-            low += weight * min(a, b)
-            high += weight * max(a, b)
-        return low / high if high else 0.0
-
-    def _starts(self, item: int, w: Words, places: np.ndarray, step: int, first: int, count: int, size: int):
-        """(start, a bound of its similarity) of the windows that share enough, the highest bounds first.
-
-        ``places`` are the positions of the item's shingles in the text that starts at word ``first``.
-        """
-        own, total = self.shingles[item], self.weight[item]
-        weights = self.weights(_at(w.hash, places, step))
-        if not own or weights.sum() < SIMILARITY * total - 1e-9:
-            return
-        shared = np.zeros(count - step + 2)
-        shared[places - first + 1] = weights
-        sums = np.cumsum(shared)
-        sums = sums[size - step + 1 :] - sums[: count - size + 1]
-        starts = np.flatnonzero(sums >= SIMILARITY * total - 1e-9)
-        bounds = np.minimum(1.0, sums[starts] / total + 1e-9)
-        order = np.argsort(-bounds, kind="stable")
-        yield from zip(starts[order].tolist(), bounds[order].tolist())
+            self.steps[step] = (every, seen, holder[order], np.append(first, len(order)), int(self.need[mine].min()))
+
+    def similarity(self, item: int, grams: np.ndarray, counts: np.ndarray) -> float:
+        """Of an item and a window with these distinct shingles, sorted, and their counts."""
+        own, n = self.shingles[item]
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        same = grams[at] == own
+        weights = self.rarity(own)
+        low = int((weights * np.where(same, np.minimum(n, counts[at]), 0)).sum())
+        high = int(self.weight[item]) + int((self.rarity(grams) * counts).sum()) - low
+        return low / high
+
+    def _windows(self, grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """Fingerprints of windows of n shingles from each of the sorted ``starts``."""
+        out = []
+        i = 0
+        while i < len(starts):
+            a = int(starts[i])
+            j = int(np.searchsorted(starts, a + _STRETCH))
+            part = grams[a : int(starts[j - 1]) + n]
+            sums = np.zeros((len(part) + 1, 64), dtype=np.int64)
+            np.cumsum(_signs(part, self.rarity(part)), axis=0, out=sums[1:])
+            at = starts[i:j] - a
+            out.append(_packed(sums[at + n] - sums[at]))
+            i = j
+        return np.concatenate(out)
+
+    def _best(self, grams: np.ndarray, places: np.ndarray, items: np.ndarray, step: int, count: int, best: dict[int, tuple[float, int]]) -> None:
+        """Adds to ``best`` what matches in one text of ``count`` words, of which the shingle at each of ``places`` stands in the item beside it."""
+        weights = self.rarity(grams[places])
+        enough = np.bincount(items, weights=weights, minlength=len(self.need)) >= self.need
+        live: dict[int, list[np.ndarray]] = {}
+        for item in np.unique(items[enough[items]]).tolist():
+            sums = np.zeros(count - step + 2, dtype=np.int64)
+            mine = items == item
+            sums[places[mine] + 1] = weights[mine]
+            sums = np.cumsum(sums)
+            n = min(int(self.sizes[item]), count) - step + 1
+            live.setdefault(int(self.sizes[item]), []).append(np.flatnonzero(sums[n:] - sums[:-n] >= self.need[item]))
+        for size, found in live.items():
+            starts = np.unique(np.concatenate(found))
+            if not len(starts):
+                continue
+            n = min(size, count) - step + 1
+            query, entry = self.index.near(self._windows(grams, starts, n))
+            mine = self.sizes[entry] == size
+            last = -1
+            for q, item in zip(query[mine].tolist(), entry[mine].tolist()):
+                if q != last:
+                    start, last = int(starts[q]), q
+                    window = np.unique(grams[start : start + n], return_counts=True)
+                s = self.similarity(item, *window)
+                if s >= SIMILARITY and (item not in best or s > best[item][0]):
+                    best[item] = s, start
 
     def matches(self, texts: list[bytes]) -> list[list[tuple[int, int, float]]]:
-        """Per text: (item, start word, similarity) of the best window of each item that is similar."""
+        """Per text: (item, start word, similarity) of the best window of each item that is similar and in reach."""
         w = Words([t.lower() for t in texts], NON_WORD)
-        hits: dict[int, dict[int, list[int]]] = {}
-        for step, (every, seen) in self.steps.items():
+        best: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
+        for step, (every, seen, holder, first, least) in self.steps.items():
             inside = w.inside(step)
             if not len(inside):
                 continue
             grams = w.grams(step)
             maybe = inside[seen[grams[inside] & np.uint64(_FILTER - 1)]]
             place = np.minimum(np.searchsorted(every, grams[maybe]), len(every) - 1)
-            for at in maybe[every[place] == grams[maybe]].tolist():
-                owner = int(w.owner[at])
-                for item in self.where[int(grams[at])]:
-                    if min(SHINGLE, int(self.sizes[item])) == step:
-                        hits.setdefault(owner, {}).setdefault(item, []).append(at)
-        out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-        for owner, items in hits.items():
-            first, count = int(w.first[owner]), int(w.counts[owner])
-            done: dict[tuple[int, int], tuple[Counter, set]] = {}
-            for item, places in sorted(items.items()):
-                step, size = min(SHINGLE, int(self.sizes[item])), min(int(self.sizes[item]), count)
-                best, where = 0.0, 0
-                for start, most in self._starts(item, w, np.array(places), step, first, count, size):
-                    if most < best:
-                        break
-                    if most == best and start > where:
-                        continue
-                    window = done.get((start, size))
-                    if window is None:
-                        grams = _grams(w.hash[first + start : first + start + size], step)
-                        window = done[start, size] = (Counter(grams.tolist()), set(self.candidates(_simhash(grams, self.weights(grams))).tolist()))
-                    if item in window[1]:
-                        s = self.similarity(item, window[0])
-                        if s >= SIMILARITY and (s > best or s == best and start < where):
-                            best, where = s, start
-                if best:
-                    out[owner].append((item, where, best))
-        return out
-
-
-def _at(hashes: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
-    """The shingles of n words from each of the places."""
-    out = np.zeros(len(places), dtype=np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[places + k]
-    return mix(out)
+            known = every[place] == grams[maybe]
+            hits, place = maybe[known], place[known]
+            total = np.bincount(w.owner[hits], weights=self.rarity(grams[hits]), minlength=len(texts))
+            for t in np.flatnonzero(total >= least).tolist():
+                a, count = int(w.first[t]), int(w.counts[t])
+                i, j = np.searchsorted(hits, (a, a + count))
+                held = first[place[i:j] + 1] - first[place[i:j]]
+                at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(first[place[i:j]], held)
+                self._best(grams[a : a + count - step + 1], np.repeat(hits[i:j] - a, held), holder[at], step, count, best[t])
+        return [[(i, start, s) for i, (s, start) in sorted(found.items())] for found in best]
 
 
 def _shingles(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -177,26 +220,40 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
-    """The items in blocks of a fixed number, one block in memory at a time."""
-    rows = ((r[0], r[1]) for r in benchmark.select(item, text).toLocalIterator())
-    while block := list(islice(rows, BLOCK_ITEMS)):
+    """The items in blocks of a bounded number of characters, one block in memory at a time; a longer item stands alone."""
+    block, size = [], 0
+    for r in benchmark.select(item, text).toLocalIterator():
+        n = len(r[1] or "")
+        if block and size + n > 6 * BLOCK_SHINGLES:
+            yield block
+            block, size = [], 0
+        block.append((r[0], r[1]))
+        size += n
+    if block:
         yield block
 
 
-def _rarity(benchmark: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Over the whole benchmark: sorted shingles, how many items hold each, number of items."""
+def _rarity(benchmark: DataFrame, text: str) -> Rarity:
+    """Over the whole benchmark, counted with partial sums."""
 
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
-            sets = [np.unique(x) for i, j in chunks([t or "" for t in texts]) for x in _shingles(texts[i:j])[0]]
+            sets = [np.unique(x) for i, j in chunks([(t or "").encode() for t in texts]) for x in _shingles(texts[i:j])[0]]
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["g"])
 
     held = arrow_map(benchmark.select(text), run, "g long").groupBy("g").agg(F.count("*").cast("int").alias("n")).toArrow()
     known, n = held.column("g").to_numpy().view(np.uint64), held.column("n").to_numpy()
     order = np.argsort(known)
-    return known[order], n[order], benchmark.count()
+    return Rarity(known[order], n[order], benchmark.count())
+
+
+def _indexes(benchmark: DataFrame, item: str, text: str):
+    """A broadcast index of each block of items."""
+    rarity = _rarity(benchmark, text)
+    for block in _blocks(benchmark, item, text):
+        yield benchmark.sparkSession.sparkContext.broadcast(ItemIndex(block, rarity))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -205,12 +262,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     rows = docs.select(F.col(key).alias("k"), whole_text(text).alias("t"))
     schema = f"k {kind}, i {item_kind}, start_word long, similarity double"
     out = None
-    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(benchmark, item_text))
-    for block in _blocks(benchmark, item, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(block)
+    for index in _indexes(benchmark, item, item_text):
 
         def run(batches, index=index):
-            own = ItemIndex(index.value, rarity.value)
+            own = index.value
             for b in batches:
                 texts = [t.encode() for t in b.column(1).to_pylist()]
                 at, found = [], []
@@ -232,12 +287,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """The documents, all columns, that hold no item's passage."""
     where = docs.columns.index(text)
     out = docs
-    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(benchmark, item_text))
-    for block in _blocks(benchmark, item, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(block)
+    for index in _indexes(benchmark, item, item_text):
 
         def run(batches, index=index):
-            own = ItemIndex(index.value, rarity.value)
+            own = index.value
             for b in batches:
                 texts = [(t or "").encode() for t in b.column(where).to_pylist()]
                 clean = [not row for i, j in chunks(texts) for row in own.matches(texts[i:j])]
