@@ -2,7 +2,9 @@
 
 Only built-in SQL functions run here. Patterns have possessive repeats (same matches, no deep
 recursion on long runs), and look-behinds that spare restarts inside a run that has failed.
-A null or empty text has no spans. Repeated rows give repeated results.
+A null or empty text has no spans. Spans of one start come in the order of the kinds; repeated rows
+give repeated results; columns with the names used here are left alone. Work on a text grows with
+its length and with its matches to the power of 1.5.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, whole_text
+from .common import own_name, running, whole_text
 
 
 @dataclass(frozen=True)
@@ -54,10 +56,10 @@ BASE = (
 )
 #: What the method adds.
 ADDED = (Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", f"length({_PLAIN}) between 15 and 34 and {_MOD97}", 0.8, "iban|bank|account|konto|cuenta"),)
-#: Characters before and after a span in which context words count, and what they add.
+#: Characters before a span and after it, up to the next match of its kind, in which context words count, and what they add.
 BEFORE, AFTER, BONUS = 40, 20, 0.2
 #: Fields in the order of sorting: by start, then kind as listed.
-_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,m:string>>"
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,m:string,score:double>>"
 
 
 def _quoted(s: str) -> str:
@@ -66,13 +68,12 @@ def _quoted(s: str) -> str:
 
 def _placed(found: str, text: str, kind: Kind, rank: int) -> str:
     """SQL: the accepted matches of ``found`` with code point spans, by the lengths of the gaps between."""
-    gaps = f"slice(split({text}, {_quoted(kind.pattern)}, -1), 1, size({found}))"
-    return f"""case when size({found}) = 0 then cast(array() as {_SPAN}) else filter(aggregate(
-        zip_with({gaps}, {found}, (g, m) -> named_struct('g', length(g), 'm', m)),
-        named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-        (acc, x) -> named_struct('at', acc.at + x.g + length(x.m), 'out', concat(acc.out, array(named_struct(
-            'start', acc.at + x.g, 'rank', {rank}, 'end', acc.at + x.g + length(x.m), 'kind', '{kind.name}', 'm', x.m)))),
-        acc -> acc.out), s -> exists(array(s.m), m -> {kind.test})) end"""
+    gaps = f"split({text}, {_quoted(kind.pattern)}, -1)"
+    pairs = f"""transform(array({gaps}), gaps -> zip_with(zip_with(slice(gaps, 1, size({found})), {found}, (g, m) -> named_struct('g', g, 'm', m)), slice(gaps, 2, size({found})),
+        (x, after) -> named_struct('g', length(x.g), 'm', x.m, 'n', length(x.m), 'near', lower(concat(right(x.g, {BEFORE}), ' ', left(after, {AFTER}))) rlike '{kind.context}')))[0]"""
+    span = f"named_struct('start', acc + x.g, 'rank', {rank}, 'end', acc + x.g + x.n, 'kind', '{kind.name}', 'm', x.m, 'score', least(1D, {kind.score}D + if(x.near, {BONUS}D, 0D)))"
+    every = f"transform(array({pairs}), pairs -> {running('pairs', _SPAN, '0', 'acc + x.g + x.n', 'acc + b', span, 'int')})[0]"
+    return f"if(size({found}) = 0, cast(array() as {_SPAN}), filter({every}, s -> exists(array(s.m), m -> {kind.test})))"
 
 
 def pii_spans(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
@@ -88,11 +89,7 @@ def pii_spans(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> Da
     out = out.withColumns({found[k.name]: F.expr(f"if({may[k.name]}, regexp_extract_all({body}, {_quoted(k.pattern)}, 0), cast(array() as array<string>))") for k in kinds})
     placed = {found[k.name] + "_at": F.expr(_placed(found[k.name], body, k, i)) for i, k in enumerate(kinds)}
     out = out.withColumns(placed)
-    score = "case s.kind " + " ".join(
-        f"when '{k.name}' then {k.score}D + if(lower(concat(substring({body}, greatest(s.start - {BEFORE}, 0) + 1, least(s.start, {BEFORE})), ' ', substring({body}, s.end + 1, {AFTER}))) rlike '{k.context}', {BONUS}D, 0D)" for k in kinds
-    ) + " end"
-    joined = f"array_sort(concat({', '.join(placed)}))"
-    out = out.withColumn(spans, F.expr(f"transform({joined}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind, 'm', s.m, 'score', least(1D, {score})))"))
+    out = out.withColumn(spans, F.expr(f"array_sort(concat({', '.join(placed)}))"))
     return out.drop(body, *found.values(), *placed)
 
 
@@ -114,11 +111,15 @@ def pii_digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def redacted(text: Column | str, spans: str) -> Column:
-    """The text with every span as its kind in brackets; overlapping spans share the first one's."""
-    return F.expr(
-        f"""case when size({spans}) = 0 then {text} else aggregate({spans}, named_struct('out', '', 'at', 0),
-        (acc, s) -> if(s.start >= acc.at,
-            named_struct('out', concat(acc.out, substring({text}, acc.at + 1, s.start - acc.at), '[', upper(s.kind), ']'), 'at', s.end),
-            named_struct('out', acc.out, 'at', greatest(acc.at, s.end))),
-        acc -> concat(acc.out, substring({text}, acc.at + 1))) end"""
-    )
+    """The text with every span as its kind in brackets; overlapping spans share the first one's.
+
+    The text is cut into pieces for blocks of spans first, then within each piece.
+    """
+    kind = "array<struct<start:int,end:int,kind:string,at:int>>"
+    every = running(spans, kind, "0", "greatest(acc, x.end)", "greatest(acc, b)", "named_struct('start', x.start, 'end', x.end, 'kind', upper(x.kind), 'at', acc)", "int")
+    width = "cast(ceil(sqrt(size(kept))) as int)"
+    blocks = f"transform(sequence(0, cast(ceil(size(kept) / {width}) as int) - 1), i -> slice(kept, i * {width} + 1, {width}))"
+    inner = f"""transform(array(named_struct('part', substring({text}, block[0].at + 1, element_at(block, -1).start - block[0].at), 'from', block[0].at)),
+        p -> array_join(transform(block, s -> concat(substring(p.part, s.at - p.from + 1, s.start - s.at), '[', s.kind, ']')), ''))[0]"""
+    whole = f"concat(array_join(transform({blocks}, block -> {inner}), ''), substring({text}, array_max({spans}.end) + 1))"
+    return F.expr(f"if(size({spans}) = 0, {text}, transform(array(filter({every}, s -> s.start >= s.at)), kept -> {whole})[0])")
