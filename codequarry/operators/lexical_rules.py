@@ -1,4 +1,4 @@
-"""Rules on source texts of brace languages and Ruby that need no syntax tree.
+"""Rules on source texts of brace languages, Ruby and Python that need no syntax tree.
 
 A text is cut once into comments, literals and the rest; three views of equal length follow, in which
 parts are blanked, so that a pattern's place in a view is its place in the text. All of it is built-in
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import running
+
 _LINE, _BLOCK = r"//[^\n]*+", r"/\*.*?(?:\*/|\z)"
 _DOUBLE, _SINGLE = r'"(?:[^"\\\n]++|\\.)*+"', r"'(?:[^'\\\n]++|\\.)*+'"
 _CHAR = r"'(?:\\[^'\n]{1,10}|[^'\\\n])'"
@@ -24,17 +26,23 @@ LEXEMES = {
     "csharp": ((_LINE, _BLOCK), (r'@\$?"(?:[^"]++|"")*+"', _DOUBLE, _CHAR)),
     "go": ((_LINE, _BLOCK), (_DOUBLE, r"`[^`]*+`", _CHAR)),
     "rust": ((_LINE, _BLOCK), (r'\br(#*)".*?"\1', _DOUBLE, _CHAR)),
+    "java": ((_LINE, _BLOCK), (r'"{3}(?:[^\\"]|\\.|"{1,2}(?!"))*+"{3}', _DOUBLE, _CHAR)),
+    "python": ((r"#[^\n]*+",), (r'"{3}(?:[^\\"]|\\.|"{1,2}(?!"))*+"{3}', r"'{3}(?:[^\\']|\\.|'{1,2}(?!'))*+'{3}", _DOUBLE, _SINGLE)),
     "ruby": ((r"#[^\n{][^\n]*+", r"(?<![^\n])=begin\b.*?(?:\n=end\b[^\n]*+|\z)"), (_DOUBLE, _SINGLE)),
 }
 
-_JS, _CS, _GO, _RS, _RB = "javascript typescript", "csharp", "go", "rust", "ruby"
+_JS, _CS, _GO, _RS, _RB, _JV, _PY = "javascript typescript", "csharp", "go", "rust", "ruby", "java", "python"
+#: An import line's path, and an earlier argument of a call.
+_IMPORT, _ARGUMENT = r"(?m)(?<=^[ \t]{0,8}|\bimport[ \t]{1,4})(?:(?!_[ \t])[\w.]++[ \t]++)?", r"[^(),\n]{1,200},[ \t]{0,4}"
+_END = r"(?=[ \t]*+(?:[;\n]|\z))"
 _FLAT = r"(?:[^{}]|\{[^{}]*+\})*+"
 _SHORT_KEY = r"(?:[1-9][0-9]{0,2}|1[0-9]{3}|20[0-3][0-9]|204[0-7])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _ACCESS = r"\b(?:public|private|protected|internal)(?:\s+(?:static|async|sealed|unsafe|new))*+\s+"
 
 #: key, languages, view, pattern, message. Views: code (comments and insides of literals blank), plain (comments
-#: blank), solid (as code, but comments filled in, so that a block with one isn't empty), comments (only these).
+#: blank), solid (as code, but comments filled in, so that a block with one isn't empty), comments (only these), text
+#: (as it stands). Go rules take packages by their own names.
 RULES = (
     ("S100", _JS, "code", r"\bfunction\s+[a-z$][A-Za-z0-9$]*_\w*", "Function name should be in camel case."),
     ("S100", _CS, "code", _ACCESS + r"[\w<>\[\],?]+\s+[a-z_]\w*\s*\(", "Method name should be in Pascal case."),
@@ -106,11 +114,40 @@ RULES = (
     ("S5547", _CS, "code", r"\b(?:DES|TripleDES|RC2)(?:\.Create|CryptoServiceProvider)\s*\(", "Use a strong cipher."),
     ("S5659", _JS, "plain", r"\balgorithms?\s*:\s*\[?\s*[\"']none[\"']", "Sign and verify tokens."),
     ("S6418", f"{_JS} {_CS}", "plain", r"(?i)\b\w*(?:api_?key|auth_?token|secret|token)\s*+[:=]\s*+[\"'][\w+/=-]{20,}[\"']", "Secret in the source."),
+    ("S1134", _JV, "comments", r"(?m)^(?:(?!(?i:fixme))[^\n])*+(?<!\p{L})(?i:fixme)(?!\p{L})[^\n]*+$", "Take the required action."),
+    ("S1135", _JV, "comments", r"(?m)^(?:(?!(?i:todo))[^\n])*+(?<!\p{L})(?i:todo)(?!\p{L})[^\n]*+$", "Complete the task."),
+    ("S2211", _JV, "code", r"(?<=\()\w+(?:\s*,\s*\w+){2,}(?=\s*\)\s*->)|(?<=\()\w+(?:\s*,\s*\w+)?(?=\s*\)\s*->\s*\{)|(?<![\w.])(?<!\bcase )\w+(?=\s*->\s*\{)", "Give the parameters their types."),
+    ("S1134", _RB, "comments", r"(?<![\p{L}0-9])(?<!(?<![\p{L}0-9])(?i:fixme)(?![\p{L}0-9])[^\n]{1,300})(?i:fixme)(?![\p{L}0-9])", "Take the required action."),
+    ("S1135", _RB, "comments", r"(?<![\p{L}0-9])(?<!(?<![\p{L}0-9])(?i:todo)(?![\p{L}0-9])[^\n]{1,300})(?i:todo)(?![\p{L}0-9])", "Complete the task."),
+    ("S126", _RB, "code", r"\belsif\b(?=[^\n]*+\n(?:(?!\b(?:elsif|else|end|if|unless|case|while|until|do|def|begin)\b)[\s\S])*+\bend\b)", "End the chain with an else."),
+    ("S1309", _PY, "comments", r"(?m)#(?=(?:[^#\n]*#)*?[ \t]*+(?:noqa(?=[\s;:]|$)|(?i:nosec)(?![A-Za-z0-9_])))[^\n]*+", "Does this hide a problem?"),
+    ("S1291", _JS, "comments", r"//[^\n]*?NOSONAR[^\n]*+|/\*(?:(?!\*/)[\s\S])*?NOSONAR(?:(?!\*/)[\s\S])*+\*/", "Fix what this comment hides."),
+    ("G114", _GO, "code", r"\bhttp\.(?:Serve|ListenAndServe|ListenAndServeTLS)(?=\()", "Use a server with timeouts."),
+    ("G116", _GO, "text", r"[\u061C\u200E\u200F\u202A-\u202E\u2066-\u2069]", "Remove this control character."),
+    ("G112", _GO, "code", r"\bhttp\.Server(?=\{(?:(?!\bReadHeaderTimeout\b)[^{}])*+\})", "Set a time limit for headers."),
+    ("G124", _GO, "code", r"\bhttp\.Cookie(?=\{(?!(?=[^{}]*\bSecure\s*:\s*true\b)(?=[^{}]*\bHttpOnly\s*:\s*true\b)[^{}]*\bSameSite\s*:\s*http\.SameSite(?:Lax|Strict)Mode\b)(?:\s*\}|[^{}]*:[^{}]*\}))", "Set Secure, HttpOnly and SameSite."),
+    ("G301", _GO, "code", r"(?<=\bos\.Mkdir(?:All)?\(" + _ARGUMENT + r")(?!0o?0*(?:[0-7]?[0145])?0(?!\w))0o?[0-7]+(?=[ \t]*\))", "Permissions are wider than 0750."),
+    ("G302", _GO, "code", r"(?<=\bos\.Chmod\(" + _ARGUMENT + r")(?!0o?0*[0246]?0?0(?!\w))0o?[0-7]+(?=[ \t]*\))", "Permissions are wider than 0600."),
+    ("G303", _GO, "plain", r"(?<=\b(?:os|ioutil)\.(?:Create|WriteFile)\([ \t]{0,4})[\"`]/(?:usr/|var/)?tmp(?:/[^\"`\n]*+)?[\"`]", "This path can be foreseen."),
+    ("G306", _GO, "code", r"(?<=\b(?:os|ioutil)\.WriteFile\(" + 2 * _ARGUMENT + r")(?!0o?0*[0246]?0?0(?!\w))0o?[0-7]+(?=[ \t]*\))", "Permissions are wider than 0600."),
+    ("G307", _GO, "code", r"\bos\.Create(?=\()", "Open files with a mode."),
+    ("G401", _GO, "plain", _IMPORT + r'"crypto/(?:md5|sha1)"' + _END, "Weak hash."),
+    ("G402", _GO, "code", r"\bInsecureSkipVerify(?=[ \t]*:[ \t]*true\b)", "Verify certificates."),
+    ("G403", _GO, "code", r"(?<=\brsa\.GenerateKey\(" + _ARGUMENT + r")(?:[0-9]{1,3}|1[0-9]{3}|20[0-3][0-9]|204[0-7])(?=[ \t]*\))", "Use a longer key."),
+    ("G405", _GO, "plain", _IMPORT + r'"crypto/(?:des|rc4)"' + _END, "Use a strong cipher."),
+    ("G406", _GO, "plain", _IMPORT + r'"golang\.org/x/crypto/(?:md4|ripemd160)"' + _END, "Weak hash."),
+    ("SA1004", _GO, "code", r"(?<=\btime\.Sleep\([ \t]{0,4})(?:[1-9][0-9]?|1[01][0-9]|120)(?=[ \t]*\))", "Give the unit of time."),
+    ("permissions-set-readonly-false", _RS, "code", r"\bset_readonly(?=\s*\(\s*false\s*\))", "Anyone may write then."),
+    ("no-async-promise-executor", _JS, "code", r"(?<=\bnew Promise\(\s{0,8})async\b(?=\s*(?:\(|function\b|\w+\s*=>))", "Take async away."),
+    ("CA2026", _CS, "code", r"(?<=\bJsonDocument\.Parse\([^()\n]{1,200}\)\.)RootElement\b", "Parse the element itself."),
 )
 
+#: Rules that give one finding on a whole file. Fixed names.
+FILE_RULES = (("S2143", _JV, "code", r"(?m)^(?!\s*(?:import|package)\b)[^\n]*?\b(?:Date|Calendar|GregorianCalendar|Time)\b", "Use java.time."),)
+
 
 def rule_keys(language: str | None = None) -> list[str]:
-    return sorted({r[0] for r in RULES if language is None or language in r[1].split()})
+    return sorted({r[0] for r in (*RULES, *FILE_RULES) if language is None or language in r[1].split()})
 
 
 def _q(s: str) -> str:
@@ -128,12 +165,12 @@ def _pieces(text: str, language: str) -> str:
 def _is(piece: str, language: str, part: int) -> str:
     """SQL: whether a piece is a comment (part 0) or a literal (part 1)."""
     if part == 0:
-        return f"(left({piece}, 2) in ('//', '/*') and {language} <> 'ruby' or {language} = 'ruby' and length({piece}) > 1 and left({piece}, 1) in ('#', '='))"
+        return f"(left({piece}, 2) in ('//', '/*') and {language} not in ('ruby', 'python') or {language} = 'ruby' and length({piece}) > 1 and left({piece}, 1) in ('#', '=') or {language} = 'python' and left({piece}, 1) = '#')"
     return f"(length({piece}) > 1 and {piece} rlike '^[^A-Za-z0-9_ ]|\"')"
 
 
 def views(files: DataFrame) -> DataFrame:
-    """path, language, code, plain, solid and comments of the files (path, language, text) in known languages."""
+    """path, language, text, code, plain, solid and comments of the files (path, language, text) in known languages."""
     f = files.where(F.col("language").isin(*LEXEMES)).select("path", "language", F.coalesce("text", F.lit("")).alias("text"))
     f = f.withColumn("pieces", F.expr(_pieces("text", "language")))
     blank = "regexp_replace(p, '[^\\n]', '{}')"
@@ -144,35 +181,38 @@ def views(files: DataFrame) -> DataFrame:
         return F.expr(f"array_join(transform(pieces, p -> case when {comment} then {of_comment} when {literal} then {of_literal} else {of_rest} end), '')")
 
     space = blank.format(" ")
-    return f.select("path", "language", view(space, hollow, "p").alias("code"), view(space, "p", "p").alias("plain"), view(blank.format("¤"), hollow, "p").alias("solid"), view("p", space, space).alias("comments"))
+    return f.select("path", "language", "text", view(space, hollow, "p").alias("code"), view(space, "p", "p").alias("plain"), view(blank.format("¤"), hollow, "p").alias("solid"), view("p", space, space).alias("comments"))
 
 
 _OUT = "array<struct<rule_key:string,message:string,sl:int,sc:int,el:int,ec:int>>"
 
 
-def _after(line: str, column: str, text: str) -> tuple[str, str]:
-    """SQL: line and column behind a text that starts at line and column."""
-    breaks = f"(length({text}) - length(replace({text}, '\\n', '')))"
-    return f"{line} + {breaks}", f"if({breaks} > 0, length(substring_index({text}, '\\n', -1)), {column} + length({text}))"
-
-
 def _matches(view: str, pattern: str, key: str, message: str) -> str:
-    """SQL: the findings of one rule; line and column run along over the gaps between the matches."""
+    """SQL: the findings of one rule; ``acc`` is how many lines and columns the text before takes."""
     p = _q(pattern)
-    sl, sc = _after("acc.l", "acc.c", "x.g")
-    el, ec = _after("acc.sl", "acc.sc", "x.m")
     found = f"regexp_extract_all({view}, {p}, 0)"
-    step = f"transform(array(named_struct('sl', {sl}, 'sc', {sc}, 'out', acc.out)), acc -> named_struct('l', {el}, 'c', {ec}, 'out', concat(acc.out, array(named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, 'sl', acc.sl, 'sc', acc.sc, 'el', {el}, 'ec', {ec})))))[0]"
-    walk = f"aggregate(zip_with(slice(split({view}, {p}, -1), 1, size({found})), {found}, (g, m) -> named_struct('g', g, 'm', m)), named_struct('l', 1, 'c', 0, 'out', cast(array() as {_OUT})), (acc, x) -> {step}, acc -> acc.out)"
-    return f"if({view} rlike {p}, {walk}, cast(array() as {_OUT}))"
+    size = lambda n, t: f"'{n}b', length({t}) - length(replace({t}, '\\n', '')), '{n}t', length(substring_index({t}, '\\n', -1))"
+    pairs = f"zip_with(slice(split({view}, {p}, -1), 1, size({found})), {found}, (g, m) -> named_struct({size('g', 'g')}, {size('m', 'm')}))"
+    move = lambda n, lines, tail: f"named_struct('l', {n}.l + {lines}, 'c', if({lines} > 0, {tail}, {n}.c + {tail}))"
+    begin = f"transform(array({move('acc', 'x.gb', 'x.gt')}), s -> "
+    end = move("s", "x.mb", "x.mt")
+    hit = f"{begin} transform(array({end}), e -> named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, 'sl', 1 + s.l, 'sc', s.c, 'el', 1 + e.l, 'ec', e.c))[0])[0]"
+    walk = running("pairs", _OUT, "named_struct('l', 0, 'c', 0)", f"{begin}{end})[0]", move("acc", "b.l", "b.c"), hit, "struct<l:int,c:int>")
+    return f"if({view} rlike {p}, transform(array({pairs}), pairs -> {walk})[0], cast(array() as {_OUT}))"
+
+
+def _on_file(view: str, pattern: str, key: str, message: str) -> str:
+    """SQL: the finding of a rule on whole files, without a place."""
+    zero = "'sl', 0, 'sc', 0, 'el', 0, 'ec', 0"
+    return f"if({view} rlike {_q(pattern)}, array(named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, {zero})), cast(array() as {_OUT}))"
 
 
 def lexical_findings(files: DataFrame, keys: set[str] | None = None) -> DataFrame:
     """path, rule_key, message, sl, sc, el, ec (lines from 1, columns from 0) of all rules in one pass over the files."""
-    chosen = [r for r in RULES if keys is None or r[0] in keys]
+    chosen = [(build, *r) for build, rules in ((_matches, RULES), (_on_file, FILE_RULES)) for r in rules if keys is None or r[0] in keys]
     by_language = []
     for name in LEXEMES:
-        parts = [_matches(view, pattern, key, message) for key, languages, view, pattern, message in chosen if name in languages.split()]
+        parts = [build(view, pattern, key, message) for build, key, languages, view, pattern, message in chosen if name in languages.split()]
         if parts:
             by_language.append(views(files.where(F.col("language") == name)).select("path", F.expr(f"flatten(array({', '.join(parts)}))").alias("hits")))
     if not by_language:

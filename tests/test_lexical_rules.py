@@ -61,6 +61,37 @@ CASES = (
     ("S5547", "javascript", "createCipheriv('des-cbc', k, i)", "createCipheriv('aes-256-gcm', k, i)"),
     ("S5659", "javascript", "verify(t, k, { algorithms: ['none'] })", "verify(t, k, { algorithms: ['RS256'] })"),
     ("S6418", "javascript", "const apiKey = 'abcdefghij0123456789xyz';", "const apiKey = env.KEY;"),
+    ("S1134", "java", "int a; // FixMe later", "int a; // prefixmes\nString s = \"FIXME\";"),
+    ("S1135", "java", "/* x\n * todo: y\n */", "// mytodo todo\n"),
+    ("S2211", "java", "run((a, b, c) -> a);", "run((a, b) -> a); run((int a, int b, int c) -> a);"),
+    ("S2211", "java", "run(a -> { go(); });", "switch (x) { case A -> { go(); } }"),
+    ("S2143", "java", "import java.util.Date;\nclass A { Date d; }", "import java.util.Date;\nclass A { LocalDate d; } // Date"),
+    ("S1134", "ruby", "x # fixme", "x # prefixme"),
+    ("S1135", "ruby", "x # TODO: a", "x = 'TODO' # todos"),
+    ("S126", "ruby", "if a\n  b\nelsif c\n  d\nend", "if a\n  b\nelsif c\n  d\nelse\n  e\nend"),
+    ("S1309", "python", "import a  # noqa: F401", "import a  # noqaf\ns = '# noqa'"),
+    ("S1309", "python", "run(x)  # why # NoSec B602", "run(x)  # nosec_x"),
+    ("S1291", "javascript", "a(); // NOSONAR", "a(); // nosonar"),
+    ("S1291", "typescript", "/* x\n NOSONAR */", "s = 'NOSONAR';"),
+    ("G114", "go", "http.ListenAndServe(a, nil)", "srv.ListenAndServe(a, nil)"),
+    ("G116", "go", 's := "\u202e"', 's := "x"'),
+    ("G112", "go", "s := &http.Server{Addr: a}", "s := &http.Server{Addr: a, ReadHeaderTimeout: t}"),
+    ("G124", "go", "c := http.Cookie{Secure: true}", "c := http.Cookie{Secure: true, HttpOnly: true, SameSite: http.SameSiteLaxMode}"),
+    ("G301", "go", "os.MkdirAll(p, 0755)", "os.Mkdir(p, 0750)\nos.Mkdir(p, 0o700)"),
+    ("G302", "go", "os.Chmod(p, 0640)", "os.Chmod(p, 0o600)\nos.Chmod(p, 0400)"),
+    ("G303", "go", 'os.Create("/tmp/x")', 'os.Create("/data/tmp")'),
+    ("G306", "go", "os.WriteFile(p, d, 0644)", "os.WriteFile(p, d, 0600)"),
+    ("G307", "go", "os.Create(p)", "os.Open(p)"),
+    ("G401", "go", 'import "crypto/md5"', 'import _ "crypto/sha1"'),
+    ("G401", "go", 'import (\n\th "crypto/sha1"\n)', 'x := []string{"crypto/sha1"}'),
+    ("G402", "go", "c := tls.Config{InsecureSkipVerify: true}", "c := tls.Config{InsecureSkipVerify: false}"),
+    ("G403", "go", "rsa.GenerateKey(rand.Reader, 1024)", "rsa.GenerateKey(rand.Reader, 2048)"),
+    ("G405", "go", 'import "crypto/rc4"', 'import "crypto/aes"'),
+    ("G406", "go", 'import "golang.org/x/crypto/md4"', 'import "golang.org/x/crypto/sha3"'),
+    ("SA1004", "go", "time.Sleep(100)", "time.Sleep(100 * time.Second)\ntime.Sleep(121)"),
+    ("permissions-set-readonly-false", "rust", "p.set_readonly(false);", "p.set_readonly(true);"),
+    ("no-async-promise-executor", "javascript", "new Promise(async (a, b) => { c(); })", "new Promise((a, b) => { c(); })"),
+    ("CA2026", "csharp", "var e = JsonDocument.Parse(s).RootElement;", "var e = d.RootElement;"),
 )
 ODD = (None, "", "\n", '"open', "/* open", "'", "a\\", "`${x}`\n// é🙂\n'it\\'s' /[/]'/ \"\\\"\"", "r#\"a\"b\"# 'a 'b'", "=begin\nx\n=end\n# y")
 
