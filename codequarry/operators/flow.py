@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -362,11 +363,32 @@ def dead_store_findings(files: DataFrame) -> DataFrame:
 
 
 def graph_facts(edges: DataFrame) -> DataFrame:
-    """fn_id, block, reachable, component, in_cycle, idom from edges (fn_id, src, dst); one small graph per group."""
+    """fn_id, block, reachable, component, in_cycle, idom from edges (fn_id, src, dst); one small graph per group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Graph(int(max(pdf["src"].max(), pdf["dst"].max())) + 1, set(zip(pdf["src"].astype(int), pdf["dst"].astype(int))))
-        live = reachable(g)
-        return pd.DataFrame({"fn_id": pdf["fn_id"].iloc[0], "block": range(g.n), "reachable": [b in live for b in range(g.n)], "component": components(g), "in_cycle": in_cycle(g), "idom": dominators(g)})
+    Blocks are numbered densely inside, so that ids may be as large as they like; the entry, 0, is
+    always there. A component goes by its least block; the entry and what it doesn't reach have no idom.
+    """
 
-    return edges.select("fn_id", "src", "dst").groupBy("fn_id").applyInPandas(run, "fn_id string, block int, reachable boolean, component int, in_cycle boolean, idom int")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted({0, *pdf["src"], *pdf["dst"]})
+        ids.remove(0)
+        ids = [0, *ids]
+        new = {b: i for i, b in enumerate(ids)}
+        g = Graph(len(ids), {(new[a], new[b]) for a, b in zip(pdf["src"], pdf["dst"])})
+        live, label, idom = reachable(g), components(g), dominators(g)
+        least: dict[int, int] = {}
+        for b in range(g.n):
+            least[label[b]] = min(least.get(label[b], ids[b]), ids[b])
+        return pd.DataFrame(
+            {
+                "fn_id": pdf["fn_id"].iloc[0],
+                "block": ids,
+                "reachable": [b in live for b in range(g.n)],
+                "component": [least[c] for c in label],
+                "in_cycle": in_cycle(g),
+                "idom": pd.array([ids[idom[b]] if b and b in live else None for b in range(g.n)], dtype="Int64"),
+            }
+        )
+
+    few = edges.select("fn_id", F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null")
+    return few.groupBy("fn_id").applyInPandas(run, "fn_id string, block long, reachable boolean, component long, in_cycle boolean, idom long")

@@ -27,7 +27,8 @@ def page(findings: DataFrame, order: tuple[str, ...], after: tuple | None = None
         raise ValueError(f"pages have 1 to {PAGE_MOST} rows")
     rows = findings
     if after is not None:
-        rows = rows.where(F.struct(*order) > F.struct(*(F.lit(v).cast(findings.schema[c].dataType).alias(c) for c, v in zip(order, after))))
+        # the first key's bound is implied; alone, it reaches the scan
+        rows = rows.where(F.col(order[0]) >= F.lit(after[0])).where(F.struct(*order) > F.struct(*(F.lit(v).cast(findings.schema[c].dataType).alias(c) for c, v in zip(order, after))))
     return rows.orderBy(*order).limit(size + 1)
 
 

@@ -33,7 +33,7 @@ LEXEMES = {
 
 _JS, _CS, _GO, _RS, _RB, _JV, _PY = "javascript typescript", "csharp", "go", "rust", "ruby", "java", "python"
 #: An import line's path, and an earlier argument of a call.
-_IMPORT, _ARGUMENT = r"(?m)(?<=^[ \t]{0,8}|\bimport[ \t]{1,4})(?:(?!_[ \t])[\w.]++[ \t]++)?", r"[^(),\n]{1,200},[ \t]{0,4}"
+_IMPORT, _ARGUMENT = r"(?m)(?<=^[ \t]{0,8}|\bimport[ \t]{1,4})(?:(?!_[ \t]|import\b)[\w.]++[ \t]++)?", r"[^(),\n]{1,200},[ \t]{0,4}"
 _END = r"(?=[ \t]*+(?:[;\n]|\z))"
 _FLAT = r"(?:[^{}]|\{[^{}]*+\})*+"
 _SHORT_KEY = r"(?:[1-9][0-9]{0,2}|1[0-9]{3}|20[0-3][0-9]|204[0-7])"
@@ -76,7 +76,7 @@ RULES = (
     ("S1479", f"{_JS} {_GO}", "code", r"\bswitch\b[^{}]*+\{(?:(?!\bcase\b)[^{}])*+(?:\bcase\b(?:(?!\bcase\b)[^{}])*+){31,}+\}", "Too many cases."),
     ("S1656", f"{_JS} {_CS} {_GO} {_RS}", "code", r"(?<![\w.$])(?<![\w.$][ \t])([A-Za-z_$][\w.$]*+)[ \t]*+=[ \t]*+\1(?![\w.$])(?=[ \t]*(?:;|\n|\z))", "Variable is assigned to itself."),
     ("S1763", f"{_JS} {_CS}", "code", r"(?=\b(?:return|throw|break|continue)\b)(?<=[;{}]\n[ \t]{0,60})(?:return|throw|break|continue)\b[^;{}\n]*+;\s*+(?!case\b|default\b|function\b|class\b)[A-Za-z_$]", "Code can't be reached."),
-    ("S1764", f"{_JS} {_CS} {_GO} {_RS} {_RB}", "code", r"(?<![\w.$])(?=[A-Za-z_$][\w.$]*+\s*+[=!&|/%<>-])(?<=(?:[(,;{?\n]|\breturn|&&|\|\||\w =)[ \t]{0,4})([A-Za-z_$][\w.$]*+)\s*+(?:[=!]==?|&&|\|\||[-/%]|[<>]=?)\s*+\1(?!\s*[.\w$(\[*/%+-])", "Both sides are the same."),
+    ("S1764", f"{_JS} {_CS} {_GO} {_RS} {_RB}", "code", r"(?<![\w.$])(?=[A-Za-z_$][\w.$]*+\s*+[=!&|/%<>-])(?<=(?:[(,;{?\n]|\breturn|&&|\|\||\w =)[ \t]{0,4})([A-Za-z_$][\w.$]*+)\s*+(?:[=!]==?|&&|\|\||[-/%]|[<>]=?)\s*+\1(?![ \t]*[.\w$(\[*/%+-]|\s*[.*/%+-])", "Both sides are the same."),
     ("S1862", f"{_JS} {_CS} {_GO} {_RS}", "plain", r"\bif\s*([^{}]+?)\s*\{[^{}]*+\}\s*else\s+if\s*\1\s*\{", "Condition repeats the one before."),
     ("S1871", f"{_JS} {_CS} {_GO}", "plain", r"\bif\b[^{}]*+\{\s*+([^{}]*?[;\n][^{}]*?)\s*+\}\s*else\s+if\b[^{}]*+\{\s*\1\s*\}", "Two branches are the same."),
     ("S1940", f"{_JS} {_CS} {_GO}", "code", r"!\(\s*[\w.$]+\s*(?:[=!]==?|[<>]=?)\s*[\w.$]+\s*\)", "Use the opposite operator."),
@@ -188,17 +188,23 @@ _OUT = "array<struct<rule_key:string,message:string,sl:int,sc:int,el:int,ec:int>
 
 
 def _matches(view: str, pattern: str, key: str, message: str) -> str:
-    """SQL: the findings of one rule; ``acc`` is how many lines and columns the text before takes."""
+    """SQL: a rule with the lines and last columns of the gaps and matches, or null."""
     p = _q(pattern)
     found = f"regexp_extract_all({view}, {p}, 0)"
     size = lambda n, t: f"'{n}b', length({t}) - length(replace({t}, '\\n', '')), '{n}t', length(substring_index({t}, '\\n', -1))"
     pairs = f"zip_with(slice(split({view}, {p}, -1), 1, size({found})), {found}, (g, m) -> named_struct({size('g', 'g')}, {size('m', 'm')}))"
+    return f"if({view} rlike {p}, named_struct('key', {_q(key)}, 'message', {_q(message)}, 'pairs', {pairs}), null)"
+
+
+def _placed(rules: list[str]) -> str:
+    """SQL: the findings of rules that matched; ``acc`` is how many lines and columns the text before takes."""
     move = lambda n, lines, tail: f"named_struct('l', {n}.l + {lines}, 'c', if({lines} > 0, {tail}, {n}.c + {tail}))"
     begin = f"transform(array({move('acc', 'x.gb', 'x.gt')}), s -> "
     end = move("s", "x.mb", "x.mt")
-    hit = f"{begin} transform(array({end}), e -> named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, 'sl', 1 + s.l, 'sc', s.c, 'el', 1 + e.l, 'ec', e.c))[0])[0]"
+    hit = f"{begin} transform(array({end}), e -> named_struct('rule_key', r.key, 'message', r.message, 'sl', 1 + s.l, 'sc', s.c, 'el', 1 + e.l, 'ec', e.c))[0])[0]"
     walk = running("pairs", _OUT, "named_struct('l', 0, 'c', 0)", f"{begin}{end})[0]", move("acc", "b.l", "b.c"), hit, "struct<l:int,c:int>")
-    return f"if({view} rlike {p}, transform(array({pairs}), pairs -> {walk})[0], cast(array() as {_OUT}))"
+    matched = f"filter(array({', '.join(rules)}), r -> r is not null)"
+    return f"flatten(transform({matched}, r -> transform(array(r.pairs), pairs -> {walk})[0]))"
 
 
 def _on_file(view: str, pattern: str, key: str, message: str) -> str:
@@ -209,12 +215,13 @@ def _on_file(view: str, pattern: str, key: str, message: str) -> str:
 
 def lexical_findings(files: DataFrame, keys: set[str] | None = None) -> DataFrame:
     """path, rule_key, message, sl, sc, el, ec (lines from 1, columns from 0) of all rules in one pass over the files."""
-    chosen = [(build, *r) for build, rules in ((_matches, RULES), (_on_file, FILE_RULES)) for r in rules if keys is None or r[0] in keys]
+    wanted = lambda rules, name: [r for r in rules if name in r[1].split() and (keys is None or r[0] in keys)]
     by_language = []
     for name in LEXEMES:
-        parts = [build(view, pattern, key, message) for build, key, languages, view, pattern, message in chosen if name in languages.split()]
+        parts = [_placed([_matches(view, pattern, key, message) for key, _, view, pattern, message in found]) for found in (wanted(RULES, name),) if found]
+        parts += [_on_file(view, pattern, key, message) for key, _, view, pattern, message in wanted(FILE_RULES, name)]
         if parts:
-            by_language.append(views(files.where(F.col("language") == name)).select("path", F.expr(f"flatten(array({', '.join(parts)}))").alias("hits")))
+            by_language.append(views(files.where(F.col("language") == name)).select("path", F.expr(f"concat({', '.join(parts)})").alias("hits")))
     if not by_language:
         return files.limit(0).select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("rule_key", "string"), ("message", "string"), ("sl", "int"), ("sc", "int"), ("el", "int"), ("ec", "int"))))
     out = by_language[0]

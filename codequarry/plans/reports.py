@@ -35,13 +35,19 @@ def native(findings: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", F.to_json(F.struct(F.lit(1).alias("schema_version"), "path", "language", F.struct("lines", "code_lines", "comment_lines").alias("metrics"), "issues")).alias("document"))
 
 
-def generic_issues(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows of the generic issue import: columns are 0-based UTF-16 offsets, findings on a whole file have no range."""
-    at = lambda n: lines.select("path", F.col("line_no").alias(n), F.col("line").alias(n + "_text"))
-    f = findings.join(at("sl"), ["path", "sl"], "left").join(at("el"), ["path", "el"], "left")
-    offset = lambda c, t: utf16_units(F.substring(F.coalesce(F.col(t), F.lit("")), F.lit(1), F.col(c)))
-    span = F.struct(F.col("sl").alias("startLine"), F.col("el").alias("endLine"), offset("sc", "sl_text").alias("startColumn"), offset("ec", "el_text").alias("endColumn"))
-    return f.select(F.col("rule_key").alias("ruleId"), "path", "message", F.when(F.col("sl") > 0, span).alias("textRange"))
+def generic_issues(findings: DataFrame) -> DataFrame:
+    """Rows of the generic issue import: columns are 0-based UTF-16 offsets, findings on a whole file have no range.
+
+    ``findings`` has ``source``, the lines of the range.
+    """
+    offset = lambda c, n: utf16_units(F.substring(F.substring_index("source", "\n", n), F.lit(1), F.col(c)))
+    span = F.struct(F.col("sl").alias("startLine"), F.col("el").alias("endLine"), offset("sc", 1).alias("startColumn"), offset("ec", -1).alias("endColumn"))
+    return findings.select(F.col("rule_key").alias("ruleId"), "path", "message", F.when(F.col("sl") > 0, span).alias("textRange"))
+
+
+def generic_rules(findings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The rules block of the generic issue import: id, name, severity and type of each rule that has a finding."""
+    return catalog.join(findings.select("rule_key").distinct(), "rule_key", "left_semi").select(F.col("rule_key").alias("id"), "name", "severity", "type")
 
 
 def gitlab(findings: DataFrame) -> DataFrame:
@@ -57,13 +63,19 @@ def gitlab(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame) -> DataFrame:
-    """family, run: one SARIF 2.1.0 run per rule family as JSON."""
+    """family, path, results: the results of a SARIF 2.1.0 run as a JSON array per rule family and file, so that no row grows with the project."""
     region = F.struct(F.col("sl").alias("startLine"), (F.col("sc") + 1).alias("startColumn"), F.col("el").alias("endLine"), (F.col("ec") + 1).alias("endColumn"))
     place = F.struct(F.struct(F.struct(uri(F.col("path")).alias("uri")).alias("artifactLocation"), F.when(F.col("sl") > 0, region).alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule_key").alias("ruleId"), _mapped("severity", SARIF_LEVEL, "note").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
-    runs = findings.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("path", "sl", "sc", "el", "ec", "rule_key", result.alias("result")))).alias("r"), F.array_sort(F.collect_set("rule_key")).alias("keys"))
-    tool = F.struct(F.struct(F.concat(F.lit("codequarry-"), F.col("family")).alias("name"), F.transform("keys", lambda k: F.struct(k.alias("id"))).alias("rules")).alias("driver"))
-    return runs.select("family", F.to_json(F.struct(tool.alias("tool"), F.col("r.result").alias("results"))).alias("run"))
+    rows = findings.groupBy("family", "path").agg(F.array_sort(F.collect_list(F.struct("sl", "sc", "el", "ec", "rule_key", "message", result.alias("result")))).alias("r"))
+    return rows.select("family", "path", F.to_json("r.result").alias("results"))
+
+
+def sarif_tools(findings: DataFrame) -> DataFrame:
+    """family, tool: the driver of each family's run with its rules, as JSON."""
+    keys = findings.select("family", "rule_key").distinct().groupBy("family").agg(F.array_sort(F.collect_set("rule_key")).alias("keys"))
+    driver = F.struct(F.concat(F.lit("codequarry-"), F.col("family")).alias("name"), F.transform("keys", lambda k: F.struct(k.alias("id"))).alias("rules"))
+    return keys.select("family", F.to_json(F.struct(driver.alias("driver"))).alias("tool"))
 
 
 def text_lines(findings: DataFrame) -> DataFrame:
@@ -72,28 +84,67 @@ def text_lines(findings: DataFrame) -> DataFrame:
 
 
 EDITS = "array<struct<start:int,stop:int,replacement:string>>"
+_EDIT = "struct<start:int,stop:int,replacement:string>"
 
 
 def chosen_edits(fixes: DataFrame) -> DataFrame:
     """path, edits, conflicts: per file the fixes in order that overlap none taken before; each is one edit.
 
     Insertions at one point conflict, and one at the start of a replacement; touching ends don't.
-    ``fixes`` has path, start, stop (character offsets, end exclusive), replacement.
+    ``fixes`` has path, start, stop (character offsets, end exclusive), replacement. Fixes are taken
+    greedily by start and stop, which a worker does file by file.
     """
-    ordered = fixes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "replacement"))).alias("e"))
-    step = f"""aggregate(e, named_struct('kept', cast(array() as {EDITS}), 'conflicts', 0L), (acc, x) ->
-        if(size(acc.kept) > 0 and (x.start < element_at(acc.kept, -1).stop or x.start = element_at(acc.kept, -1).start),
-           named_struct('kept', acc.kept, 'conflicts', acc.conflicts + 1L), named_struct('kept', concat(acc.kept, array(x)), 'conflicts', acc.conflicts)))"""
-    return ordered.select("path", F.expr(step).alias("r")).select("path", F.col("r.kept").alias("edits"), F.col("r.conflicts").alias("conflicts"))
+
+    def run(group):
+        import pyarrow as pa
+
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("start", "stop", "replacement"))), key=lambda r: (r[0], r[1], r[2] or ""))
+        kept = []
+        for r in rows:
+            if not kept or r[0] >= kept[-1][1] and r[0] != kept[-1][0]:
+                kept.append(r)
+        edits = pa.array([[{"start": a, "stop": b, "replacement": x} for a, b, x in kept]], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("replacement", pa.string())])))
+        return pa.table({"path": pa.array([group.column("path")[0].as_py()], pa.string()), "edits": edits, "conflicts": pa.array([len(rows) - len(kept)], pa.int64())})
+
+    few = fixes.select("path", F.col("start").cast("int"), F.col("stop").cast("int"), "replacement")
+    return few.groupBy("path").applyInArrow(run, f"path string, edits {EDITS}, conflicts long")
 
 
 def applied(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """path, text, fixed: all edits of a file or, if one is out of bounds, none (``fixed`` is null)."""
+    """path, text, fixed: all edits of a file or, if one is out of bounds, none (``fixed`` is null).
+
+    Edits are in order and don't overlap, as ``chosen_edits`` gives them.
+    """
     f = files.select("path", "text").join(edits.select("path", "edits"), "path", "left")
-    step = """aggregate(edits, named_struct('out', '', 'at', 0), (acc, x) ->
-        named_struct('out', concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), x.replacement), 'at', x.stop), acc -> concat(acc.out, substring(text, acc.at + 1)))"""
+    pieces = "transform(edits, (x, i) -> concat(substring(text, if(i = 0, 0, edits[i - 1].stop) + 1, x.start - if(i = 0, 0, edits[i - 1].stop)), x.replacement))"
+    whole = f"concat(array_join({pieces}, ''), substring(text, element_at(edits, -1).stop + 1))"
     good = F.expr("forall(edits, x -> x.start >= 0 and x.start <= x.stop and x.stop <= length(text))")
-    return f.select("path", "text", F.when(F.col("edits").isNull(), F.col("text")).when(good, F.expr(step)).alias("fixed"))
+    return f.select("path", "text", F.when(F.col("edits").isNull() | (F.size("edits") == 0), F.col("text")).when(good, F.expr(whole)).alias("fixed"))
+
+
+def selected_fixes(fixes: DataFrame, wanted: list[str]) -> DataFrame:
+    """Fixes of the rules that are wanted by key or by a prefix of it; all where none is named."""
+    if not wanted:
+        return fixes
+    keep = F.lit(False)
+    for w in wanted:
+        keep = keep | F.col("rule_key").startswith(w)
+    return fixes.where(keep)
+
+
+def unified_diff(files: DataFrame, context: int = 3) -> DataFrame:
+    """path, diff of the files (path, before, after) that differ: one hunk between the common first and last lines."""
+    f = files.where(~F.col("before").eqNullSafe(F.col("after"))).withColumns({"a": F.split("before", "\n", -1), "b": F.split("after", "\n", -1)})
+    same = "aggregate({seq}, 0, (n, i) -> if(n = i and {test}, n + 1, n))"
+    short = "least(size(a), size(b))"
+    f = f.withColumn("head", F.expr(same.format(seq=f"sequence(0, {short} - 1)", test="a[i] = b[i]")))
+    tail = same.format(seq=f"if({short} > head, sequence(0, {short} - head - 1), cast(array() as array<int>))", test="a[size(a) - 1 - i] = b[size(b) - 1 - i]")
+    f = f.withColumn("tail", F.expr(tail)).withColumn("lead", F.expr(f"least(head, {context})")).withColumn("trail", F.expr(f"least(tail, {context})"))
+    cut = lambda x, start, n, mark: f"transform(slice({x}, {start}, {n}), l -> concat('{mark}', l))"
+    rows = ", ".join([cut("a", "head - lead + 1", "lead", " "), cut("a", "head + 1", "size(a) - head - tail", "-"), cut("b", "head + 1", "size(b) - head - tail", "+"), cut("a", "size(a) - tail + 1", "trail", " ")])
+    span = lambda x: f"concat(head - lead + 1, ',', size({x}) - head - tail + lead + trail)"
+    title = f"concat('--- a/', path, '\n+++ b/', path, '\n@@ -', {span('a')}, ' +', {span('b')}, ' @@\n')"
+    return f.select("path", F.expr(f"concat({title}, array_join(concat({rows}), '\n'))").alias("diff"))
 
 
 def fix_outcome(before: DataFrame, after: DataFrame, targeted: DataFrame) -> DataFrame:

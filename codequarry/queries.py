@@ -6,34 +6,14 @@ catalog, conversations review histories, pages templates with scripts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import python_facts
-from .operators import assessment, clones, flow, history, lexical_rules, lines, python_rules
+from .operators import assessment, clones, flow, history, lexical_rules, lines
 from .plans import reports
+from .registry import ORACLE_SQL, QUERIES, table
+from .registry import query as _query
 from .sources import files as sources
-from .sources import reports as imports
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 GLOBS = {"test": ["src1/**"], "generated": ["src2/**"], "vendor": ["src3/**"], "excluded": ["src4/*"]}
 
@@ -60,8 +40,8 @@ def inventory(spark, sf_dir):
 
 _METRICS_SQL = (
     _LINES_SQL
-    + r""", m AS (SELECT path, language, class, count(*) AS lines, count(*) FILTER (trim(line) <> '' AND NOT regexp_matches(line, '^[ \t]*(//|#)')) AS code_lines,
-    count(*) FILTER (regexp_matches(line, '^[ \t]*(//|#)')) AS comment_lines FROM l GROUP BY ALL)"""
+    + r""", m AS (SELECT path, language, class, count(*) AS lines, count(*) FILTER (NOT regexp_matches(line, '^\s*(//.*)?$')) AS code_lines,
+    count(*) FILTER (regexp_matches(line, '^\s*//')) AS comment_lines FROM l GROUP BY ALL)"""
 )
 
 
@@ -77,8 +57,7 @@ def file_metrics(spark, sf_dir):
 )
 def project_totals(spark, sf_dir):
     """Totals of source files; the other classes are inventoried only."""
-    f = _files(spark, sf_dir)
-    return lines.project_totals(lines.file_metrics(f).join(f.select("path", "class", "status"), "path"))
+    return lines.project_totals(lines.file_metrics(_files(spark, sf_dir), keep=("class", "status")))
 
 
 _FINDINGS_SQL = (
@@ -87,6 +66,8 @@ _FINDINGS_SQL = (
     SELECT path, language, 'S103' AS rule_key, line_no AS sl, 0 AS sc, line_no AS el, length(line)::INT AS ec FROM l WHERE length(line) > 120
     UNION ALL SELECT path, language, 'S105', line_no, (strpos(line, chr(9)) - 1)::INT, line_no, strpos(line, chr(9))::INT FROM l WHERE contains(line, chr(9))
     UNION ALL SELECT path, language, 'S1131', line_no, length(rtrim(line))::INT, line_no, length(line)::INT FROM l WHERE rtrim(line) <> line
+    UNION ALL SELECT path, language, 'S1134', line_no, (strpos(lower(line), 'fixme') - 1)::INT, line_no, (strpos(lower(line), 'fixme') + 4)::INT FROM l WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])fixme([^A-Za-z0-9_]|$)')
+    UNION ALL SELECT path, language, 'S1135', line_no, (strpos(lower(line), 'todo') - 1)::INT, line_no, (strpos(lower(line), 'todo') + 3)::INT FROM l WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])todo([^A-Za-z0-9_]|$)')
     UNION ALL SELECT path, language, 'S104', 0, 0, 0, 0 FROM f WHERE len(string_split(text, chr(10))) > 1000
     UNION ALL SELECT path, language, 'S113', 0, 0, 0, 0 FROM f WHERE text <> '' AND right(text, 1) <> chr(10))"""
 )
@@ -168,8 +149,7 @@ def clone_density(spark, sf_dir):
 )
 def finding_identities(spark, sf_dir):
     """Digests of source and context, and the occurrence among equal ones."""
-    f = _files(spark, sf_dir)
-    found = assessment.identities(lines.line_findings(f), f.select("path", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")))
+    found = assessment.identities(lines.line_findings(_files(spark, sf_dir), details=True))
     return found.select("path", "rule_key", "sl", "sc", "el", "ec", "source_digest", "context_digest", "occurrence")
 
 
@@ -334,12 +314,12 @@ def retention(spark, sf_dir):
 
 @_query(
     f"""WITH {_ANALYSES_SQL}, k AS (SELECT project, branch, min(id) AS id, arg_min(content_hash, id) AS h FROM a GROUP BY ALL)
-    SELECT a.id, a.project, a.branch, CASE WHEN a.branch LIKE '1%' THEN 'stored' WHEN k.h = content_hash THEN 'replayed' ELSE 'conflict' END AS outcome FROM a JOIN k USING (project, branch)"""
+    SELECT a.id, a.project, a.branch, CASE WHEN a.branch LIKE '1%' THEN 'stored' WHEN a.branch LIKE '2%' THEN 'conflict' WHEN k.h = content_hash THEN 'replayed' ELSE 'conflict' END AS outcome FROM a JOIN k USING (project, branch)"""
 )
 def ingest_outcomes(spark, sf_dir):
-    """Every analysis against the first of its branch; urgent branches are not known yet."""
+    """Every analysis against the first of its branch; urgent branches are not known yet, those after them are deleted."""
     a = _analyses(spark, sf_dir)
-    known = a.where("branch not like '1%'").groupBy("project", "branch").agg(F.min_by("content_hash", "id").alias("content_hash")).withColumn("deleted_at", F.lit(None).cast("string"))
+    known = a.where("branch not like '1%'").groupBy("project", "branch").agg(F.min_by("content_hash", "id").alias("content_hash")).withColumn("deleted_at", F.when(F.col("branch").startswith("2"), "2024-01-01"))
     return history.ingested(known, a, "project", "branch").select("id", "project", "branch", "outcome")
 
 
@@ -388,22 +368,22 @@ def parity_difference(spark, sf_dir):
     return assessment.bag_difference(bag("benchmark"), bag("documents"), "word")
 
 
-@_query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'a1') OR contains(lower(p_type), 'steel')")
+@_query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'econ')")
 def rule_search(spark, sf_dir):
     """Catalog rows that hold a word in any case."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    return history.search_rules(p, "a1", "p_name").unionByName(history.search_rules(p, "STEEL", "p_type")).dropDuplicates(["p_partkey"])
+    return history.search_rules(p, "RING", "p_name").unionByName(history.search_rules(p, "econ", "p_type")).dropDuplicates(["p_partkey"])
 
 
 @_query(
     """SELECT l_orderkey, l_linenumber, p_type AS rule_type FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE p_size <= 25 AND NOT (p_brand = 'Brand#11' AND p_type LIKE '%STEEL%') AND (p_size > 5 OR l_returnflag <> 'R')"""
+    WHERE p_size <= 25 AND NOT (p_brand = 'Brand#11' AND p_type LIKE '%PROMO%') AND (p_size > 5 OR l_returnflag <> 'R')"""
 )
 def active_findings(spark, sf_dir):
     """Findings of rules in the profile: size is the least profile, small parts are MAIN-only, returned lines are tests."""
     p = table(spark, sf_dir, "part")
-    steel = (F.col("p_brand") == "Brand#11") & F.col("p_type").contains("STEEL")
-    rules = p.select(F.col("p_partkey").alias("rule_key"), F.col("p_size").alias("profile"), F.when(steel, "DEPRECATED").otherwise("READY").alias("status"), F.when(steel, "SECURITY_HOTSPOT").otherwise("CODE_SMELL").alias("rule_type"), F.when(F.col("p_size") <= 5, "MAIN").otherwise("ALL").alias("scope"))
+    promo = (F.col("p_brand") == "Brand#11") & F.col("p_type").contains("PROMO")
+    rules = p.select(F.col("p_partkey").alias("rule_key"), F.col("p_size").alias("profile"), F.when(promo, "DEPRECATED").otherwise("READY").alias("status"), F.when(promo, "SECURITY_HOTSPOT").otherwise("CODE_SMELL").alias("rule_type"), F.when(F.col("p_size") <= 5, "MAIN").otherwise("ALL").alias("scope"))
     f = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("rule_key"), F.when(F.col("l_returnflag") == "R", "test").otherwise("source").alias("class"))
     kinds = p.select(F.col("p_partkey").alias("rule_key"), F.col("p_type").alias("rule_type"))
     return lines.active(f, rules, 25).join(kinds, "rule_key").select("l_orderkey", "l_linenumber", "rule_type")
@@ -436,7 +416,7 @@ def script_findings(spark, sf_dir):
 
 
 def _messages(spark, sf_dir):
-    return lines.line_findings(_files(spark, sf_dir)).withColumns({"message": F.concat(F.lit("rule "), F.col("rule_key")), "severity": F.lit("MAJOR"), "family": F.col("rule_key")})
+    return lines.line_findings(_files(spark, sf_dir), details=True).withColumns({"message": F.concat(F.lit("rule "), F.col("rule_key")), "severity": F.lit("MAJOR"), "family": F.col("rule_key")})
 
 
 @_query(f"WITH {_FINDINGS_SQL} SELECT path, sl, path || ':' || sl || ':' || sc || ': ' || rule_key || ' rule ' || rule_key AS row FROM x")
@@ -457,13 +437,32 @@ def gitlab_report(spark, sf_dir):
     return reports.gitlab(_messages(spark, sf_dir)).select("description", "check_name", "fingerprint", "severity", F.col("location.path").alias("path"), F.col("location.lines.begin").alias("begin"))
 
 
-@_query()
+_JSON_ORDER = "ORDER BY sl, sc, el, ec, rule_key"
+
+
+@_query(
+    f"""WITH {_FINDINGS_SQL} SELECT rule_key AS family, path, '[' || string_agg('{{"ruleId":"' || rule_key || '","level":"warning","message":{{"text":"rule ' || rule_key || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || path || '"}}'
+        || CASE WHEN sl > 0 THEN ',"region":{{"startLine":' || sl || ',"startColumn":' || sc + 1 || ',"endLine":' || el || ',"endColumn":' || ec + 1 || '}}' ELSE '' END || '}}}}]}}', ',' {_JSON_ORDER}) || ']' AS results FROM x GROUP BY rule_key, path"""
+)
 def sarif_report(spark, sf_dir):
+    """SARIF results by rule family and file."""
     return reports.sarif(_messages(spark, sf_dir))
 
 
-@_query()
+@_query(
+    f"""WITH {_FINDINGS_SQL} SELECT rule_key AS family, '{{"driver":{{"name":"codequarry-' || rule_key || '","rules":[{{"id":"' || rule_key || '"}}]}}}}' AS tool FROM x GROUP BY rule_key"""
+)
+def sarif_tools(spark, sf_dir):
+    """The driver of each SARIF run."""
+    return reports.sarif_tools(_messages(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {_METRICS_SQL}, {_FINDINGS_SQL.split(_LINES_SQL + ", ")[1]}, i AS (SELECT path, string_agg('{{"sl":' || sl || ',"sc":' || sc || ',"el":' || el || ',"ec":' || ec || ',"rule_key":"' || rule_key || '","message":"rule ' || rule_key || '"}}', ',' {_JSON_ORDER}) AS issues FROM x GROUP BY path)
+    SELECT path, '{{"schema_version":1,"path":"' || path || '","language":"' || language || '","metrics":{{"lines":' || lines || ',"code_lines":' || code_lines || ',"comment_lines":' || comment_lines || '}},"issues":[' || coalesce(issues, '') || ']}}' AS document FROM m LEFT JOIN i USING (path)"""
+)
 def native_report(spark, sf_dir):
+    """One JSON document a file."""
     return reports.native(_messages(spark, sf_dir), lines.file_metrics(_files(spark, sf_dir)))
 
 
@@ -473,8 +472,7 @@ def native_report(spark, sf_dir):
 )
 def generic_report(spark, sf_dir):
     """Generic issues; the documents hold no character beyond 16 bits, so that units are characters."""
-    f = _files(spark, sf_dir)
-    out = reports.generic_issues(_messages(spark, sf_dir), lines.line_table(f))
+    out = reports.generic_issues(_messages(spark, sf_dir))
     return out.select("ruleId", "path", *(F.col(f"textRange.{c}").alias(c) for c in ("startLine", "endLine", "startColumn", "endColumn")))
 
 
@@ -496,74 +494,3 @@ def final_newline_fix(spark, sf_dir):
     fixes = f.where((F.col("text") != "") & ~F.col("text").endswith("\n")).select("path", at.alias("start"), at.alias("stop"), F.lit("\n").alias("replacement"))
     done = reports.applied(f, reports.chosen_edits(fixes))
     return done.select("path", (F.length("fixed") - F.length("text")).alias("added"), F.sha2("fixed", 256).alias("digest"))
-
-
-
-# ---------------------------------------------------------------- program sources: small texts, since the tables hold none
-
-PROGRAMS = {
-    "shop/cart.py": "import os\nimport json\n\n\nclass Cart:\n    def Add(self, item, price=[]):\n        if item == 1.5:\n            if price:\n                return item\n        total = 0\n        return len(price) >= 0\n\n    def __hidden(self):\n        pass\n",
-    "shop/net.py": "import hashlib, subprocess\nfrom ssl import *\n\n\ndef fetch(url):\n    x = 1\n    x = hashlib.md5(url)\n    subprocess.run(url, shell=True)\n    if x is x:\n        return x\n    else:\n        return x\n",
-    "shop/test_cart.py": "import pytest\n\n\n@pytest.mark.skip\ndef test_a():\n    assert (1, 2)\n\n\nasync def slow(a):\n    b = [y for y in a]\n    return any([z for z in b])\n",
-    "shop/broken.py": "def (:\n",
-}
-
-
-def _programs(spark) -> DataFrame:
-    return spark.createDataFrame(list(PROGRAMS.items()), "path string, text string")
-
-
-@_query()
-def python_findings(spark, sf_dir):
-    """All Python rules; files are parsed once."""
-    return python_rules.python_findings(python_facts.nodes(_programs(spark)).persist())
-
-
-SCRIPTS = {
-    "web/app.js": "function load_all(a, b, c, d, e, f, g, h) {\n  if (a === a) {\n  }\n  console.log(a); return Math.random();\n}\n",
-    "web/Service.cs": "public class Service {\n  public void run() {\n    var p = SslProtocols.Tls; // x = y;\n    throw new Exception(\"x\");\n  }\n}\n",
-    "srv/main.go": "package main\n\nfunc do_it(a bool) {\n\tif a == true {\n\t\tx = x\n\t}\n}\n",
-    "srv/lib.rs": "use std::io::*;\n\nfn f() {\n    println!(\"x\");;\n}\n",
-    "bin/run.rb": "exit if a && b && c && d && e\nreturn a.b == a.b\n",
-}
-
-
-@_query()
-def lexical_findings(spark, sf_dir):
-    """Rules on tokens and literals of five more languages."""
-    f = spark.createDataFrame(list(SCRIPTS.items()), "path string, text string")
-    return lexical_rules.lexical_findings(f.select("path", sources.language(F.col("path")).alias("language"), "text"))
-
-
-@_query()
-def python_functions(spark, sf_dir):
-    """Parameters, lines, cyclomatic and cognitive complexity of each function."""
-    n = python_facts.nodes(_programs(spark)).where("kind in ('FunctionDef', 'AsyncFunctionDef')")
-    return n.select("path", "name", "sl", *(F.col("attrs")[c].cast("int").alias(c) for c in ("params", "lines", "complexity", "cognitive")))
-
-
-@_query()
-def dead_stores(spark, sf_dir):
-    """Rule S1854 by liveness over each function's control flow."""
-    return flow.dead_store_findings(_programs(spark))
-
-
-@_query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_orderpriority AS fn, (o_custkey % 12)::INT AS src, (o_orderkey % 12)::INT AS dst FROM orders),
-    r(fn, block) AS (SELECT DISTINCT fn, 0 FROM e UNION SELECT e.fn, e.dst FROM e JOIN r ON e.fn = r.fn AND e.src = r.block)
-    SELECT fn AS fn_id, block FROM r"""
-)
-def reachable_blocks(spark, sf_dir):
-    """Blocks that a function's entry reaches, over graphs made of orders."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fn_id"), (F.col("o_custkey") % 12).cast("int").alias("src"), (F.col("o_orderkey") % 12).cast("int").alias("dst")).distinct()
-    return flow.graph_facts(o).where("reachable").select("fn_id", "block")
-
-
-LCOV = "TN:\nSF:src/a.py\nDA:1,2\nDA:2,0\nBRDA:2,0,0,1\nBRDA:2,0,1,-\nend_of_record\nSF:src/b.py\nDA:1,1\nDA:x,1\nend_of_record\nDA:9,1\n"
-
-
-@_query()
-def lcov_import(spark, sf_dir):
-    """Entries of a coverage report with their problems, merged."""
-    entries = imports.lcov(spark.createDataFrame([(1, LCOV)], "input_id int, text string"))
-    return assessment.merged_coverage(entries.where("problem is null"))
