@@ -20,6 +20,8 @@ NODES = """path string, id int, parent int, kind string, parent_kind string, fie
     name string, digest string, sl int, sc int, el int, ec int, attrs map<string,string>"""
 _NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Methods that answer NotImplemented. Fixed names.
+_SPECIAL = frozenset(f"__{n}__" for n in "eq lt le gt ge ne add sub mul getitem iter len contains".split())
 _JUMPS = (ast.Return, ast.Raise, ast.Break, ast.Continue)
 
 
@@ -34,16 +36,21 @@ def dotted(node: ast.AST) -> str:
     return "." + parts[0] if parts else ""
 
 
+#: The nodes of each function of the file at hand, walked once.
+_WALKED: dict[int, list[ast.AST]] = {}
+
+
 def _own(fn: ast.AST, kinds) -> list[ast.AST]:
     """Nodes of these kinds in a function but not in functions inside it."""
-    out, todo = [], list(ast.iter_child_nodes(fn))
-    while todo:
-        n = todo.pop()
-        if isinstance(n, kinds):
-            out.append(n)
-        if not isinstance(n, (*_FUNCTIONS, ast.Lambda, ast.ClassDef)):
-            todo.extend(ast.iter_child_nodes(n))
-    return out
+    if id(fn) not in _WALKED:
+        every, todo = [], list(ast.iter_child_nodes(fn))
+        while todo:
+            n = todo.pop()
+            every.append(n)
+            if not isinstance(n, (*_FUNCTIONS, ast.Lambda, ast.ClassDef)):
+                todo.extend(ast.iter_child_nodes(n))
+        _WALKED[id(fn)] = every
+    return [n for n in _WALKED[id(fn)] if isinstance(n, kinds)]
 
 
 def complexity(fn: ast.AST) -> int:
@@ -266,6 +273,7 @@ def _symbols(path: str, text: str):
 def facts(path: str, text: str | None) -> list[tuple]:
     """The rows of one file."""
     text = text or ""
+    _WALKED.clear()
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -276,24 +284,31 @@ def facts(path: str, text: str | None) -> list[tuple]:
         return [(path, 0, -1, "ParseError", "", "", 0, 0, 0, 0, -1, -1, type(e).__name__, "", line, 0, line, 0, [])]
     digest = _digests(tree)
     rows: list[list] = []
-    todo: list[tuple] = [(tree, -1, "", "", 0, 0, 0, -1, -1)]
+    todo: list[tuple] = [(tree, -1, "", "", 0, 0, 0, -1, -1, ())]
     number: dict[int, int] = {}
     while todo:
-        n, parent, parent_kind, field, at, depth, nesting, fn, cls = todo.pop()
+        n, parent, parent_kind, field, at, depth, nesting, fn, cls, around = todo.pop()
         me = number[id(n)] = len(rows)
         name, attrs = _attributes(n, digest)
         inner = nesting + isinstance(n, _NESTING)
-        rows.append([path, me, parent, type(n).__name__, parent_kind, field, at, me, depth, inner, fn, cls, name, digest[id(n)], getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in attrs.items()]])
+        rows.append([path, me, parent, type(n).__name__, parent_kind, field, at, me, depth, inner, fn, cls, name, digest[id(n)], getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in attrs.items()] + [(k, "true") for k in around]])
         own_fn, own_cls = (me, -1) if isinstance(n, (*_FUNCTIONS, ast.Lambda)) else (fn, me) if isinstance(n, ast.ClassDef) else (fn, cls)
         inner = 0 if isinstance(n, (*_FUNCTIONS, ast.ClassDef)) else inner
         children = []
+        inherited = tuple(k for k in around if k in ("in_async", "special_method", "in_handler"))
+        if isinstance(n, (*_FUNCTIONS, ast.Lambda)):
+            inherited = tuple(k for k in inherited if k == "in_handler") + ("in_async",) * isinstance(n, ast.AsyncFunctionDef) + ("special_method",) * (name in _SPECIAL)
+        if isinstance(n, ast.ExceptHandler) and "in_handler" not in inherited:
+            inherited += ("in_handler",)
         for name, value in ast.iter_fields(n):
-            seen_jump = False
-            for i, v in enumerate(value if isinstance(value, list) else [value]):
+            seen_jump = unreachable = False
+            suite = value if isinstance(value, list) else [value]
+            for i, v in enumerate(suite):
                 if isinstance(v, ast.AST) and not isinstance(v, (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)):
                     elif_ = isinstance(n, ast.If) and name == "orelse" and len(n.orelse) == 1 and isinstance(v, ast.If)
-                    children.append((v, me, type(n).__name__, "unreachable" if seen_jump else "elif" if elif_ else name, i, depth + 1, inner - elif_, own_fn, own_cls))
-                    seen_jump = isinstance(v, _JUMPS)
+                    place = inherited + ("prior_unreachable",) * unreachable + ("last_in_suite",) * (i == len(suite) - 1 and isinstance(v, ast.stmt))
+                    children.append((v, me, type(n).__name__, "unreachable" if seen_jump else "elif" if elif_ else name, i, depth + 1, inner - elif_, own_fn, own_cls, place))
+                    unreachable, seen_jump = seen_jump, isinstance(v, _JUMPS)
         todo.extend(reversed(children))
     for r in reversed(rows):  # the last descendant, in preorder
         if r[2] >= 0:
@@ -307,15 +322,29 @@ def facts(path: str, text: str | None) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """The facts of files (path, text)."""
+#: Rows of one record batch, about.
+_ROWS = 20_000
+
+
+def nodes(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The facts of files (path, text), or only the nodes of some kinds."""
     names = [c.split()[0] for c in NODES.split(",") if c.strip() and not c.strip().startswith("string>")]
     types = [pa.string(), *[pa.int32()] * 2, pa.string(), pa.string(), pa.string(), *[pa.int32()] * 6, pa.string(), pa.string(), *[pa.int32()] * 4, pa.map_(pa.string(), pa.string())]
 
     def run(batches):
+        rows: list[tuple] = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = facts(path, text)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                found = facts(path, text)
+                rows += [r for r in found if r[3] in kinds] if kinds else found
+                if len(rows) >= _ROWS:
+                    yield batch()
+                    rows.clear()
+        if rows:
+            yield batch()
 
     return files.select("path", "text").mapInArrow(run, NODES)

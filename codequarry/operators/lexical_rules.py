@@ -216,16 +216,12 @@ def _on_file(view: str, pattern: str, key: str, message: str) -> str:
 def lexical_findings(files: DataFrame, keys: set[str] | None = None) -> DataFrame:
     """path, rule_key, message, sl, sc, el, ec (lines from 1, columns from 0) of all rules in one pass over the files."""
     wanted = lambda rules, name: [r for r in rules if name in r[1].split() and (keys is None or r[0] in keys)]
-    by_language = []
+    by_language = ""
     for name in LEXEMES:
         parts = [_placed([_matches(view, pattern, key, message) for key, _, view, pattern, message in found]) for found in (wanted(RULES, name),) if found]
         parts += [_on_file(view, pattern, key, message) for key, _, view, pattern, message in wanted(FILE_RULES, name)]
         if parts:
-            by_language.append(views(files.where(F.col("language") == name)).select("path", F.expr(f"concat({', '.join(parts)})").alias("hits")))
-    if not by_language:
-        return files.limit(0).select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("rule_key", "string"), ("message", "string"), ("sl", "int"), ("sc", "int"), ("el", "int"), ("ec", "int"))))
-    out = by_language[0]
-    for part in by_language[1:]:
-        out = out.unionByName(part)
+            by_language += f" when '{name}' then concat({', '.join(parts)})"
+    out = views(files).select("path", F.expr(f"case language{by_language} else cast(array() as {_OUT}) end" if by_language else f"cast(array() as {_OUT})").alias("hits"))
     # The outer form keeps the optimizer from a filter on the array, which would work out every view anew for each rule.
     return out.select("path", F.explode_outer("hits").alias("h")).where("h is not null").select("path", "h.*")

@@ -171,18 +171,15 @@ def node_rule_keys() -> list[str]:
     return sorted({r[0] for r in NODE_RULES})
 
 
+def node_kinds(keys: set[str] | None = None) -> tuple[str, ...]:
+    """The kinds of nodes that the rules on single nodes look at."""
+    return tuple(sorted({k for key, kinds, *_ in NODE_RULES if keys is None or key in keys for k in kinds.split()}))
+
+
 def _context(nodes: DataFrame) -> DataFrame:
-    """The nodes with what some rules ask of the surroundings."""
-    suite = Window.partitionBy("path", "parent", F.expr("if(field in ('unreachable','elif'), 'body', field)")).orderBy("at")
-    stmt = F.col("kind").isin("Continue", "Assert", "Return")
-    out = nodes.withColumn("last_in_suite", F.coalesce(F.lead("at").over(suite).isNull(), F.lit(True)) & stmt)
-    out = out.withColumn("prior_unreachable", F.coalesce(F.lag("field").over(suite) == "unreachable", F.lit(False)))
-    functions = nodes.where(F.col("kind").isin(*_FN.split())).select("path", F.col("id").alias("fn"), (F.col("kind") == "AsyncFunctionDef").alias("in_async"), F.col("name").rlike("^__(eq|lt|le|gt|ge|ne|add|sub|mul|getitem|iter|len|contains)__$").alias("special_method"))
-    out = out.join(functions, ["path", "fn"], "left").na.fill(False, ["in_async", "special_method"])
-    handlers = nodes.where("kind = 'ExceptHandler'").select("path", F.col("id").alias("h_from"), F.col("last").alias("h_to"))
-    raises = nodes.where("kind = 'Raise' and attrs['bare'] = 'true'").select("path", "id")
-    inside = raises.join(handlers, "path").where("id between h_from and h_to").select("path", "id", F.lit(True).alias("in_handler")).distinct()
-    return out.join(inside, ["path", "id"], "left").na.fill(False, ["in_handler"])
+    """The nodes with what some rules ask of the surroundings; the parser has seen it all."""
+    told = lambda c: F.coalesce(F.col("attrs")[c] == "true", F.lit(False)).alias(c)
+    return nodes.select("*", *map(told, ("last_in_suite", "prior_unreachable", "in_async", "special_method", "in_handler")))
 
 
 def _expression(predicate: str, limits: dict[str, int]) -> Column:

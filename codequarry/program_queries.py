@@ -104,9 +104,13 @@ def _numbered(spark, sf_dir: str, least: int = 1) -> DataFrame:
 
 
 def _files(rows: DataFrame, part) -> DataFrame:
-    """path, language, text: the parts of each file in the order of their keys."""
+    """path, language, text: the parts of each file in the order of their keys.
+
+    The files are dealt over all partitions, since rules cost far more than their few bytes suggest.
+    """
     whole = F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part"))))
-    return rows.groupBy("path", "language").agg(whole.alias("p")).select("path", "language", F.array_join("p.part", "\n").alias("text"))
+    files = rows.groupBy("path", "language").agg(whole.alias("p")).select("path", "language", F.array_join("p.part", "\n").alias("text"))
+    return files.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def _programs(spark, sf_dir: str) -> DataFrame:
@@ -163,7 +167,7 @@ FUNCTIONS = (
 def _python(spark, sf_dir: str) -> DataFrame:
     """Files of functions, an empty line after each."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"))
-    return _files(o, F.concat(_pick([f[0] for f in FUNCTIONS], (F.col("o_orderkey") % len(FUNCTIONS)).cast("int")), F.lit("\n"))).repartition("path")
+    return _files(o, F.concat(_pick([f[0] for f in FUNCTIONS], (F.col("o_orderkey") % len(FUNCTIONS)).cast("int")), F.lit("\n")))
 
 
 _FUNCTION_SQL = f"""{values("functions", "pick, name, rows, params, lines, complexity, cognitive", [(i, f[0][4 : f[0].index("(")], f[0].count("\n") + 1, *f[1:5]) for i, f in enumerate(FUNCTIONS)])},
@@ -174,20 +178,17 @@ _FUNCTION_SQL = f"""{values("functions", "pick, name, rows, params, lines, compl
 @query(f"WITH {_FUNCTION_SQL} SELECT path, name, sl, params, lines, complexity, cognitive FROM p")
 def python_functions(spark, sf_dir):
     """Parameters, lines, cyclomatic and cognitive complexity of each function."""
-    n = python_facts.nodes(_python(spark, sf_dir)).where("kind in ('FunctionDef', 'AsyncFunctionDef')")
+    n = python_facts.nodes(_python(spark, sf_dir), kinds=("FunctionDef", "AsyncFunctionDef"))
     return n.select("path", "name", "sl", *(F.col("attrs")[c].cast("int").alias(c) for c in ("params", "lines", "complexity", "cognitive")))
 
 
-_PYTHON_KEYS = sorted({key for f in FUNCTIONS for key, _ in f[6]} - {"S1854"})
-
-
 @query(
     f"""WITH {_FUNCTION_SQL}, {values("expected", "pick, rule_key, line", [(i, key, line) for i, f in enumerate(FUNCTIONS) for key, line in f[6] if key != "S1854"])}
     SELECT path, rule_key, (p.sl + line - 1)::INT AS sl FROM p JOIN expected USING (pick)"""
 )
 def python_findings(spark, sf_dir):
     """Rules on nodes of Python's syntax tree; files are parsed once."""
-    return python_rules.node_findings(python_facts.nodes(_python(spark, sf_dir)), keys=set(python_rules.node_rule_keys()) - {"S4144"}).select("path", "rule_key", "sl")
+    return python_rules.node_findings(python_facts.nodes(_python(spark, sf_dir), kinds=python_rules.node_kinds())).select("path", "rule_key", "sl")
 
 
 @query(f"""WITH {_FUNCTION_SQL}, {values("dead", "pick, line, name", [(i, line, name) for i, f in enumerate(FUNCTIONS) for line, name in f[5]])} SELECT path, (p.sl + dead.line - 1)::INT AS line, dead.name FROM p JOIN dead USING (pick)""")

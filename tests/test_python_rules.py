@@ -225,4 +225,9 @@ def test_dead_stores(spark):
 
 def test_graph_facts(spark):
     rows = flow.graph_facts(spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 2, 1), ("f", 3, 2)], "fn_id string, src int, dst int")).orderBy("block").collect()
-    assert [(r.reachable, r.component, r.in_cycle, r.idom) for r in rows] == [(True, 0, False, 0), (True, 1, True, 0), (True, 1, True, 1), (False, 3, False, -1)]
+    assert [(r.reachable, r.component, r.in_cycle, r.idom) for r in rows] == [(True, 0, False, None), (True, 1, True, 0), (True, 1, True, 1), (False, 3, False, None)]
+
+
+def test_graph_facts_take_any_block_ids(spark):
+    rows = flow.graph_facts(spark.createDataFrame([("f", 0, 10**12), ("f", 10**12, 7), ("f", 7, 10**12), ("g", None, 1)], "fn_id string, src long, dst long")).orderBy("block").collect()
+    assert [(r.block, r.component, r.idom) for r in rows] == [(0, 0, None), (7, 7, 10**12), (10**12, 7, 0)]
