@@ -77,3 +77,19 @@ def tenth_percent(covered: Column, eligible: Column) -> Column:
     """Per cent with one decimal, halves up, from whole tenths; null without a denominator."""
     c, e = covered.cast("decimal(38,0)"), eligible.cast("decimal(38,0)")
     return F.when(eligible > 0, F.floor((c * 1000 + F.floor(e / 2)) / e).cast("double") / 10)
+
+
+_RFC3339 = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])[Tt ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])$"
+
+
+def rfc3339(text: Column) -> Column:
+    """(text, epoch) of a date and time with an offset: whole seconds in UTC, and seconds since 1970; null for anything else."""
+    good = text.rlike(_RFC3339)
+    clean = F.upper(F.regexp_replace(F.regexp_replace(text, r"\.[0-9]+", ""), " ", "T"))
+    offset = F.regexp_extract(clean, r"([+-])([0-9]{2}):([0-9]{2})$", 0)
+    minutes = F.when(offset == "", 0).otherwise(F.concat(F.substring(offset, 1, 1), (F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int")).cast("string")).cast("int"))
+    day = F.try_to_date(F.substring(clean, 1, 10), "yyyy-MM-dd")
+    seconds = F.substring(clean, 12, 2).cast("long") * 3600 + F.substring(clean, 15, 2).cast("long") * 60 + F.substring(clean, 18, 2).cast("long")
+    epoch = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + seconds - minutes * 60
+    shown = F.date_format(F.timestamp_seconds(epoch).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(good & day.isNotNull(), F.struct(shown.alias("text"), epoch.alias("epoch")))

@@ -163,3 +163,82 @@ def lines_in_regions(changed: DataFrame, regions: DataFrame, span: int = 64) ->
     keyed = changed.withColumn("cut", F.floor(F.col("line") / span))
     on = (keyed.path == cut.path) & (keyed.cut == cut.cut) & keyed.line.between(cut.start, cut.stop)
     return keyed.join(cut, on, "left_semi").drop("cut")
+
+
+def new_code_coverage(changed: DataFrame, merged: DataFrame) -> DataFrame:
+    """path and coverage counters of the changed lines (path, line)."""
+    return coverage_counters(merged.join(changed.select("path", "line").distinct(), ["path", "line"], "left_semi"), "path")
+
+
+def coverage_status(entries: DataFrame) -> DataFrame:
+    """One row: missing (no entry), invalid (none usable), incomplete (some with a problem), or complete."""
+    n = entries.agg(F.count("*").alias("n"), F.count("problem").alias("bad"))
+    return n.select(F.when(F.col("n") == 0, "missing").when(F.col("n") == F.col("bad"), "invalid").when(F.col("bad") > 0, "incomplete").otherwise("complete").alias("status"))
+
+
+def assessment(findings: DataFrame, coverage: DataFrame, gate: DataFrame) -> DataFrame:
+    """One row: findings by status, ambiguous ones, covered and eligible lines, the gate's status, and whether counts add up.
+
+    ``findings`` has status and ambiguous, ``coverage`` counters, ``gate`` results of conditions.
+    """
+    f = findings.agg(F.count("*").alias("findings"), *(F.count_if(F.col("status") == s).alias(s) for s in ("new", "existing", "uncertain")), F.count_if("ambiguous").alias("ambiguous"))
+    c = coverage.agg(F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))
+    out = f.join(c).join(gate_status(gate).withColumnRenamed("status", "gate"))  # three tables of one row each
+    return out.withColumn("consistent", (F.col("new") + F.col("existing") + F.col("uncertain") == F.col("findings")) & (F.col("covered") <= F.col("eligible")))
+
+
+# ---------------------------------------------------------------- fuzzy pairs of files
+
+
+def common_lines(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    if len(b) < len(a):
+        a, b = b, a
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    row = (1 << len(a)) - 1  # bit-parallel: a zero bit is a line of ``a`` that ends a longer chain
+    full = row
+    for x in b:
+        hit = row & where.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def fuzzy_candidates(current: DataFrame, reference: DataFrame, most: int = 200) -> DataFrame:
+    """path, reference_path, score of leftover files (path, digest, lines) that share a line: the longest common subsequence of lines.
+
+    Candidates meet on lines that at most ``most`` files of either side hold; a pair without such a
+    line isn't looked at, nor are files of equal content, which pairing by digest has settled.
+    """
+    line = lambda d, name: d.select(F.col("path").alias(name), F.explode(F.array_distinct("lines")).alias("line")).where("line <> ''")
+    few = lambda d: d.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("line")
+    c, r = line(current, "path"), line(reference, "reference_path")
+    rare = few(c).join(few(r), "line")
+    pairs = c.join(rare, "line").join(r, "line").select("path", "reference_path").distinct()
+    both = pairs.join(current.select("path", "digest", "lines"), "path").join(reference.select(F.col("path").alias("reference_path"), F.col("digest").alias("other_digest"), F.col("lines").alias("other")), "reference_path")
+
+    def score(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = [common_lines(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32())], names=["path", "reference_path", "score"])
+
+    return both.where("digest <> other_digest").select("path", "reference_path", "lines", "other").mapInArrow(score, "path string, reference_path string, score int").where("score > 0")
+
+
+def fuzzy_pairs(candidates: DataFrame) -> DataFrame:
+    """path, reference_path, pairing of the best candidates.
+
+    A current file takes its only best reference if that reference's own best score is untied; a
+    tie on either side, or a reference that an earlier path took, is ambiguous.
+    """
+    mine, theirs = Window.partitionBy("path"), Window.partitionBy("reference_path")
+    c = candidates.withColumns({"best": F.max("score").over(mine), "top": F.max("score").over(theirs)})
+    c = c.withColumns({"ties": F.count_if(F.col("score") == F.col("best")).over(mine), "rivals": F.count_if(F.col("score") == F.col("top")).over(theirs)}).where("score = best")
+    one = c.groupBy("path").agg(F.min("reference_path").alias("reference_path"), F.bool_or((F.col("ties") > 1) | (F.col("rivals") > 1)).alias("tied"))
+    clear = F.when(~F.col("tied"), F.col("reference_path"))
+    first = F.min(F.when(~F.col("tied"), F.col("path"))).over(Window.partitionBy(clear))
+    out = one.withColumn("taken", clear.isNotNull() & (first == F.col("path")))
+    return out.select("path", F.when(F.col("taken"), F.col("reference_path")).alias("reference_path"), F.when(F.col("taken"), "fuzzy").otherwise("ambiguous").alias("pairing"))

@@ -94,3 +94,53 @@ def search_rules(catalog: DataFrame, word: str, *columns: str) -> DataFrame:
     for c in columns:
         found |= F.exists(c, lambda t: F.contains(F.lower(t), F.lit(low))) if kinds[c].startswith("array") else F.contains(F.lower(c), F.lit(low))
     return catalog.where(found)
+
+
+def backup(projects: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rows of each table (with project) that belong to the projects, and the projects themselves."""
+    return {"projects": projects, **{name: d.join(projects.select("project"), "project", "left_semi") for name, d in tables.items()}}
+
+
+def restore_problems(tables: dict[str, DataFrame], unique: dict[str, tuple[str, ...]]) -> DataFrame:
+    """table, problem, n of a backup: rows of unknown projects, and repeated keys; no row means that it can be restored."""
+    out = []
+    known = tables["projects"].select("project")
+    for name, d in tables.items():
+        if name != "projects":
+            out.append(d.join(known, "project", "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit("unknown project").alias("problem"), "n"))
+        if name in unique:
+            again = d.groupBy(*unique[name]).agg(F.count("*").alias("c")).where("c > 1")
+            out.append(again.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit("repeated key").alias("problem"), "n"))
+    found = out[0]
+    for d in out[1:]:
+        found = found.unionByName(d)
+    return found.where("n > 0")
+
+
+def coverage_audit(catalog: DataFrame, implemented: DataFrame, tested: DataFrame) -> DataFrame:
+    """language, keys, implemented, tested, missing, unknown (implemented but in no catalog) of rule keys (language, rule_key)."""
+    c = catalog.select("language", "rule_key").distinct().withColumn("c", F.lit(True))
+    i = implemented.select("language", "rule_key").distinct().withColumn("i", F.lit(True))
+    t = tested.select("language", "rule_key").distinct().withColumn("t", F.lit(True))
+    j = c.join(i, ["language", "rule_key"], "full").join(t, ["language", "rule_key"], "left")
+    return j.groupBy("language").agg(F.count("c").alias("keys"), F.count_if(F.expr("c and i")).alias("implemented"), F.count_if(F.expr("c and i and t")).alias("tested"), F.count_if(F.expr("c and i is null")).alias("missing"), F.count_if(F.expr("c is null")).alias("unknown"))
+
+
+def registered(findings: DataFrame, registry: DataFrame) -> DataFrame:
+    """Findings of an isolated profile: those whose rule is in its own registry (rule_key)."""
+    return findings.join(registry.select("rule_key").distinct(), "rule_key", "left_semi")
+
+
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", rounds: int = 40) -> DataFrame:
+    """child, ancestor, depth (the least) of a type hierarchy, cycles included; depth doubles with each round."""
+    out = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("child is not null and ancestor is not null").distinct()
+    n = -1
+    for _ in range(rounds):
+        out = out.checkpoint() if out.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else out.persist()
+        now = out.count()
+        if now == n:
+            return out
+        n = now
+        more = out.alias("a").join(out.select(F.col("child").alias("mid"), F.col("ancestor").alias("up"), F.col("depth").alias("d")), F.col("ancestor") == F.col("mid")).select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("d")).alias("depth"))
+        out = out.unionByName(more).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+    raise ValueError(f"hierarchy is deeper than {rounds} doublings")

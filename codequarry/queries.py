@@ -206,15 +206,23 @@ def new_code_lines(spark, sf_dir):
 )
 def baseline_findings(spark, sf_dir):
     """Long-line findings by status: new, existing, uncertain, resolved."""
+    new, old = _long_lines(spark, sf_dir)
+    status = assessment.compare_findings(new, old).groupBy("status").agg(F.count("*").alias("findings"))
+    gone = assessment.resolved_findings(new, old).agg(F.count("*").alias("findings")).select(F.lit("resolved").alias("status"), "findings")
+    return status.unionByName(gone)
 
+
+def _long_lines(spark, sf_dir):
     def found(d: DataFrame) -> DataFrame:
         rows = d.select("path", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") > lines.LINE_LENGTH)
         return rows.select("path", F.sha2("line", 256).alias("content_identity"), (F.count("*").over(Window.partitionBy("path", "line")) > 1).alias("ambiguous"))
 
-    new, old = map(found, _snapshots(spark, sf_dir))
-    status = assessment.compare_findings(new, old).groupBy("status").agg(F.count("*").alias("findings"))
-    gone = assessment.resolved_findings(new, old).agg(F.count("*").alias("findings")).select(F.lit("resolved").alias("status"), "findings")
-    return status.unionByName(gone)
+    return tuple(map(found, _snapshots(spark, sf_dir)))
+
+
+def compared_findings(spark, sf_dir):
+    """The current findings with status and ambiguity."""
+    return assessment.compare_findings(*_long_lines(spark, sf_dir))
 
 
 def _coverage(spark, sf_dir):

@@ -50,10 +50,9 @@ def lcov(reports: DataFrame, key: str = "input_id", text: str = "text") -> DataF
 
 def opencover(reports: DataFrame, key: str = "input_id", text: str = "text") -> DataFrame:
     """The same columns as ``lcov`` from OpenCover XML: sequence points as lines, branch points as branches."""
-    shape = """Modules struct<Module array<struct<Files struct<File array<struct<_uid string, _fullPath string>>>,
-        Classes struct<Class array<struct<Methods struct<Method array<struct<
-            SequencePoints struct<SequencePoint array<struct<_vc long, _sl int, _fileid string>>>,
-            BranchPoints struct<BranchPoint array<struct<_vc long, _sl int, _fileid string, _path string, _offset string>>>>>>>>>>>"""
+    points = "SequencePoints: struct<SequencePoint: array<struct<_vc: long, _sl: int, _fileid: string>>>, BranchPoints: struct<BranchPoint: array<struct<_vc: long, _sl: int, _fileid: string, _path: string, _offset: string>>>"
+    classes = f"Classes: struct<Class: array<struct<Methods: struct<Method: array<struct<{points}>>>>>>"
+    shape = f"Modules struct<Module: array<struct<Files: struct<File: array<struct<_uid: string, _fullPath: string>>>, {classes}>>>"
     doc = reports.select(key, F.from_xml(text, shape).alias("x"))
     module = doc.select(key, F.posexplode("x.Modules.Module").alias("m", "mod"))
     files = module.select(key, "m", F.explode("mod.Files.File").alias("f")).select(key, "m", F.col("f._uid").alias("uid"), F.col("f._fullPath").alias("path"))
@@ -77,3 +76,22 @@ def gate_settings(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.schema(GATE).option("multiLine", True).option("mode", "FAILFAST").json(path)
     checked = read.withColumn("ok", F.assert_true(F.col("schema_version") == 1, F.lit("gate settings have another version")))
     return checked.where(F.col("ok").isNull()).select(F.posexplode("conditions").alias("condition_no", "c")).select("condition_no", "c.*")
+
+
+NATIVE = """schema_version int, path string, language string, metrics struct<lines:long,code_lines:long,comment_lines:long>,
+    issues array<struct<sl:int,sc:int,el:int,ec:int,rule_key:string,message:string>>"""
+
+
+def native_findings(documents: DataFrame, column: str = "document") -> DataFrame:
+    """path, rule_key, message, sl, sc, el, ec of earlier native reports, one JSON document a file; version 1 only."""
+    d = documents.select(F.from_json(column, NATIVE, {"mode": "FAILFAST"}).alias("d")).select("d.*").where("schema_version = 1")
+    return d.select("path", F.explode("issues").alias("i")).select("path", "i.rule_key", "i.message", "i.sl", "i.sc", "i.el", "i.ec")
+
+
+def write_baseline(documents: DataFrame, path: str) -> None:
+    """Writes native documents as a baseline, all or nothing; an existing one is an error."""
+    documents.select("document").write.mode("errorifexists").text(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return native_findings(spark.read.text(path), "value")
