@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folds import running  # noqa: F401
+
 #: White space of the word contracts: space and 0x09-0x0D.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
@@ -20,10 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, set here only where the session names none, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a local master gets a temporary
+    one, as in tests; on a cluster that is an error, since executors couldn't see it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -85,23 +93,6 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def running(items: str, kind: str, zero: str, step: str, merge: str, out: str, acc: str = "bigint") -> str:
-    """SQL: an array of ``out`` for each ``x`` of the array ``items`` (a column), where ``acc`` is the fold of what stands before x.
-
-    ``step`` folds x into acc and ``merge`` two folds ``acc`` and ``b``; ``kind`` and ``acc`` are the types
-    of the array and of a fold. Items go in blocks of the square root of their number, so that no long array is copied
-    for each of them.
-    """
-    width = f"cast(ceil(sqrt(size({items}))) as int)"
-    blocks = f"transform(sequence(0, cast(ceil(size({items}) / {width}) as int) - 1), i -> slice({items}, i * {width} + 1, {width}))"
-    sums = f"transform(blocks, block -> aggregate(block, {zero}, (acc, x) -> {step}))"
-    before = f"aggregate({sums}, named_struct('acc', {zero}, 'out', cast(array() as array<{acc}>)), (s, b) -> named_struct('acc', transform(array(s.acc), acc -> {merge})[0], 'out', concat(s.out, array(s.acc))), s -> s.out)"
-    inner = f"""aggregate(block, named_struct('acc', first, 'out', cast(array() as {kind})), (s, x) -> named_struct(
-        'acc', transform(array(s.acc), acc -> {step})[0], 'out', concat(s.out, transform(array(s.acc), acc -> {out}))), s -> s.out)"""
-    found = f"transform(array({blocks}), blocks -> flatten(zip_with(blocks, {before}, (block, first) -> {inner})))[0]"
-    return f"if(size({items}) = 0, cast(array() as {kind}), {found})"
-
-
 def own_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

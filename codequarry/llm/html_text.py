@@ -1,9 +1,14 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for length and commas to their ancestors, discounted by link density; the
-best container and the siblings that score like it are kept. Parts that are never article text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
-leave the tree before scoring. A null or empty page, or one without text, gives an empty text.
+best container and the siblings that score like it are kept. Before scoring, parts that are never
+article text leave the tree: elements and roles made for menus, headers, footers, sidebars, forms,
+scripts and the like, and elements whose class or id says nothing else than that. A class that says
+it among other things halves the points only, and no element that holds most of the page's text
+goes for its class, nor does a form around the whole page.
+
+A null or empty page, or one without text, gives an empty text. Pages of any length and depth take
+time that grows with their length; repeated rows give repeated results; other columns are left out.
 """
 
 from __future__ import annotations
@@ -50,40 +55,76 @@ OUTSIDE = frozenset(
     complementary contentinfo search form hidden legal copyright disclaimer""".split()
 )
 _OUTSIDE_HINT = re.compile("|".join(sorted(OUTSIDE, key=lambda w: (-len(w), w))), re.I)
+#: Words that only say where or how something stands, and words of what is likely the article. Fixed values.
+LAYOUT = frozenset(
+    """area bar block bottom box button buttons column container content inner item items left link links list main mobile
+    outer page panel primary region right row secondary section site slot small text title top unit wrap wrapper""".split()
+)
+LIKELY = frozenset("article body content entry main post story text".split())
 KEPT = frozenset("html body article main".split())
+#: Items of a list of links at least this long on average make references rather than a menu.
+REFERENCE = 25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "drop", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "items", "drop", "doubt", "score", "chars", "linked", "commas")
 
-    def __init__(self, tag: str, parent: _Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: _Node | None, doubt: int = 0):
+        self.tag, self.parent, self.doubt = tag, parent, doubt
+        self.drop = doubt == _CERTAIN
         self.items: list[_Node | str] = []
         self.score = 0.0
         self.chars = self.linked = self.commas = 0
 
 
-def _outside(tag: str, attrs: str) -> bool:
+_CERTAIN, _READERS, _NAMED, _MENTIONED = 4, 3, 2, 1
+#: Words of what readers wrote, which may well be longer than the article, and characters that an article has at least. Fixed values.
+READERS, LEAST = frozenset("comment comments commentlist disqus respond replies".split()), 80
+
+
+def _outside(tag: str, attrs: str) -> int:
+    """How sure it is that an element is no part of the article: certain, named as what readers wrote, named otherwise (goes
+    unless it holds most of the text), mentioned (halves its points), or 0."""
+    if tag == "form":
+        return _NAMED
     if tag in DROPPED:
-        return True
+        return _CERTAIN
     if tag in KEPT or not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    doubt = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return _CERTAIN
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role", "aria-label") and _OUTSIDE_HINT.search(value) and not OUTSIDE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return _CERTAIN
+        if name in ("class", "id", "role", "aria-label") and _OUTSIDE_HINT.search(value):
+            tokens = [[w for w in re.split(r"[^a-z]+", t) if w] for t in value.split()]
+            named = [t for t in tokens if not OUTSIDE.isdisjoint(t)]
+            if not named:
+                continue
+            likely = any(t and LIKELY.issuperset(t) for t in tokens)
+            sure = any(all(w in OUTSIDE or w in LAYOUT for w in t) for t in named)
+            readers = any(not READERS.isdisjoint(t) for t in named)
+            doubt = max(doubt, (_READERS if readers else _NAMED) if sure and not likely else _MENTIONED)
+    return doubt
 
 
 def parse(page: str) -> _Node:
     """A tolerant tree: unclosed and misnested tags never lose text."""
-    root = _Node("#root", None, False)
+    root = _Node("#root", None)
     node, at = root, 0
     end = len(page)
+    unclosed: dict[str, int] = {}
+
+    def leave(top: _Node) -> _Node:
+        """Closes everything up to and with ``top``."""
+        here = node
+        while here is not top.parent:
+            unclosed[here.tag] -= 1
+            here = here.parent
+        return here
+
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -96,19 +137,19 @@ def parse(page: str) -> _Node:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[5], m[3] or m[7] or ""
         if closing:
-            top = node
-            while top is not root and top.tag != tag:
-                top = top.parent
-            if top is not root:
-                node = top.parent
+            if unclosed.get(tag):
+                top = node
+                while top.tag != tag:
+                    top = top.parent
+                node = leave(top)
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and unclosed.get("p"):
             top = node  # a block ends an open paragraph
-            while top is not root and top.tag != "p" and (top.tag not in BLOCK):
+            while top is not root and top.tag not in BLOCK:
                 top = top.parent
             if top.tag == "p":
-                node = top.parent
-        if tag in CLOSES:
+                node = leave(top)
+        if tag in CLOSES and any(map(unclosed.get, CLOSES[tag][0])):
             ends, barrier = CLOSES[tag]
             top, found = node, None
             while top is not root and top.tag not in barrier:
@@ -116,8 +157,8 @@ def parse(page: str) -> _Node:
                     found = top
                 top = top.parent
             if found:
-                node = found.parent
-        child = _Node(tag, node, node.drop or _outside(tag, attrs))
+                node = leave(found)
+        child = _Node(tag, node, _outside(tag, attrs))
         node.items.append(child)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -126,11 +167,37 @@ def parse(page: str) -> _Node:
             at = close.end() if close else end
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
             node = child
+            unclosed[tag] = unclosed.get(tag, 0) + 1
     if at < end:
         node.items.append(page[at:])
+    _settle(root)
     return root
 
 
+def _settle(root: _Node) -> None:
+    """Drops what is named as no part of the article, but for what holds more than half of the page's text; what readers
+    wrote goes if there is an article's worth of text elsewhere."""
+    order, named, links, plain = [], 0, 0, 0
+    for node, text, entering in _walk(root):
+        if text is not None:
+            n = len(text.strip())
+            node.chars += n
+            plain += 0 if named or links else n
+            continue
+        change = 1 if entering else -1
+        named += change * (node.doubt >= _NAMED)
+        links += change * (node.tag == "a")
+        if entering:
+            order.append(node)
+    for n in reversed(order):
+        if n.parent is not None:
+            n.parent.chars += n.chars
+    for n in order:
+        n.drop = n.doubt >= _NAMED and (2 * n.chars <= root.chars or n.doubt == _READERS and plain >= LEAST)
+    for n in order:
+        n.chars = 0
+
+
 def _walk(root: _Node):
     """(node, entering) pairs and (text, node) pairs in page order, without recursion."""
     stack: list = [(root, 0)]
@@ -190,7 +257,7 @@ def best_nodes(root: _Node) -> list[_Node]:
     for n in order:
         chars, commas = own[id(n)]
         if n.tag in BLOCK and chars:
-            points = (1 + commas + min(chars / 100, 3)) * (1 - _density(n))
+            points = (1 + commas + min(chars / 100, 3)) * (1 - _density(n)) / (1 + (n.doubt > 0))
             up, level = n if n.tag not in ("p", "li", "td", "pre", "h1", "h2", "h3", "h4", "h5", "h6") else n.parent, 0
             while up is not None:
                 up.score += points / (1, 2)[level] if level < 2 else points / (level * 3)
@@ -218,6 +285,11 @@ def best_nodes(root: _Node) -> list[_Node]:
     return kept
 
 
+def _entries(node: _Node) -> int:
+    """How many entries a list or table has."""
+    return max(1, sum(1 for x in node.items if not isinstance(x, str) and x.tag in ("li", "dt", "dd", "tr", "tbody")))
+
+
 def blocks_of(nodes: list[_Node]) -> list[str]:
     """Texts of the blocks in page order; lists and tables that are mostly links are menus and go."""
     out: list[str] = []
@@ -237,7 +309,7 @@ def blocks_of(nodes: list[_Node]) -> list[str]:
                 if not skip:
                     parts.append(text)
                 continue
-            menu = node.tag in ("ul", "ol", "dl", "table") and node is not top and node.chars and _density(node) > 0.66
+            menu = node.tag in ("ul", "ol", "dl", "table") and node is not top and node.chars and _density(node) > 0.66 and node.chars < REFERENCE * _entries(node)
             if menu:
                 skip += 1 if entering else -1
             if node.tag in BLOCK:

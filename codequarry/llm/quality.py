@@ -280,8 +280,11 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> QualityModel
     code, n = (np.array([r[i] for r in patterns], dtype=np.int64) for i in (0, 1))
     labels = fit_label_model(_uncoded(code), n.astype(float))
     share = min(1.0, sample / int(n.sum()))
-    chosen = df.where((F.xxhash64(*[F.col(c) for c, t in df.dtypes if t in ("string", "bigint", "int")]).bitwiseAND(F.lit((1 << 30) - 1))) < int(share * (1 << 30)))
-    rows = [(r[0], r[1], r[2]) for r in _sampled_features(chosen, text).limit(2 * sample).collect()]
+    mark = F.xxhash64(*[F.col(c) for c, t in df.dtypes if t in ("string", "bigint", "int")])
+    marked = df.select(mark.alias("mark"), F.col(text).alias("t")).where(F.col("mark").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)))
+    # repeated rows count once, and the order of partitions doesn't matter
+    chosen = marked.dropDuplicates(["mark"]).orderBy("mark").limit(2 * sample)
+    rows = [(r[0], r[1], r[2]) for r in _sampled_features(chosen, "t").collect()]
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     weights, bias = _fit_scorer(rows, labels)
     return QualityModel(labels, weights, bias)

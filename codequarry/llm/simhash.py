@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, mix, whole_text
+from .common import arrow_map, durable, frequent_keys, mix, salted, whole_text
 from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -124,4 +124,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     least = placed.groupBy("root").agg(F.min("first_key").alias("component_id"))
     found = placed.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(found, rows.fp == found["__fp"]).select(key, hexed.alias("fingerprint"), "component_id")
+    ids, found, on = salted(rows.select(F.col(key).alias("__id"), "fp"), found.withColumnRenamed("__fp", "fp"), "fp", frequent_keys(rows, "fp"))
+    return ids.join(found, on).select(F.col("__id").alias(key), hexed.alias("fingerprint"), "component_id")
