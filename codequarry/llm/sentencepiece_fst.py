@@ -1,16 +1,22 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The model file is compiled into: a normaliser (dummy prefix, white space escaped as U+2581, runs of
-spaces shrunk if the model says so), a lexicon of pieces with byte fallback, and an acceptor of
-neighbouring pieces. An input composed with them is a lattice whose shortest path in the tropical
-semiring (weights add along a path, the least total wins) is the encoding.
-
-For a unigram model an arc weighs minus the piece's score. For a BPE model the acceptor does the
-work: a pair of neighbours is allowed (weight 0) if merging the pair's characters gives back just
-that pair, else its weight is infinite. The one path of finite weight is the result of the merges,
-since the merges inside two neighbours happen in the same order whatever stands around them.
-
-Null texts count as empty; the empty text has no pieces.
+The model file is compiled into three machines. The normaliser rewrites by the model's character
+map (longest match first, along its compiled trie) and then treats spaces by arcs of three states.
+The lexicon's trie has an arc for each piece and, for a character that no piece stands for, one that
+puts out its bytes. The acceptor weighs a piece by the one before it.
+
+An input composed with them is a lattice over its places, and the encoding is the path of least
+weight in the tropical semiring: weights add along a path, the lesser of two is taken where paths
+meet. For a unigram model an arc weighs minus the piece's score. For a BPE model a pair of
+neighbours weighs 0 if merging the pair's characters gives back just that pair, else infinity. The
+one path of finite weight is the result of the merges, since the merges inside two neighbours
+happen in the same order whatever stands around them; so no more than one finite path reaches a
+place, and a place needs one weight and the piece before it.
+
+Null texts count as empty; the empty text has no pieces. Words of any length take time that grows
+with their length times the longest piece; of unigram paths that weigh the same the one whose last
+piece begins first is taken; repeated rows give repeated results, and columns that clash with the
+output are replaced by it.
 """
 
 from __future__ import annotations
@@ -67,6 +73,96 @@ def _fields(data: bytes):
         yield tag >> 3, value
 
 
+_BEGIN, _WORD, _GAP = range(3)
+_RUNS = re.compile(" +|[^ ]+")
+
+
+class Normaliser:
+    """The model's character map and treatment of spaces as a machine that is composed with an input."""
+
+    def __init__(self, charsmap: bytes, prefix: bool, shrink: bool, escape: bool):
+        mark = SPACE if escape else " "
+        first = mark if prefix else ""
+        #: By state and whether the run is of spaces: what goes before the run, what each of its characters becomes (None: itself), next state.
+        self.arcs = {
+            (_BEGIN, False): (first, None, _WORD),
+            (_WORD, False): ("", None, _WORD),
+            (_GAP, False): (mark, None, _WORD),
+            (_BEGIN, True): ("", "", _BEGIN) if shrink else (first, mark, _WORD),
+            (_WORD, True): ("", "", _GAP) if shrink else ("", mark, _WORD),
+        }
+        self.units, self.targets = np.zeros(0, "<u4"), b""
+        if charsmap:
+            size = int.from_bytes(charsmap[:4], "little")
+            self.units, self.targets = np.frombuffer(charsmap[4 : 4 + size], "<u4"), charsmap[4 + size :]
+        #: Whether no key holds a space beside other bytes, so that runs can be mapped one by one.
+        self.by_run = not any(b" " in k and k.strip(b" ") for k in self._keys())
+        self.mapped = lru_cache(CACHE)(self._mapped)
+
+    def _keys(self):
+        """All keys of the trie."""
+        units = self.units
+        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+        todo = [(offset(int(units[0])), b"")] if len(units) else []
+        while todo:
+            node, key = todo.pop()
+            for c in range(1, 256):
+                if node ^ c < len(units) and int(units[node ^ c]) & 0x800000FF == c:
+                    unit = int(units[node ^ c])
+                    if unit >> 8 & 1:
+                        yield key + bytes([c])
+                    todo.append((node ^ c ^ offset(unit), key + bytes([c])))
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, int]:
+        """Length of the longest key of the trie that ``data`` goes on with, and where its target begins; a double-array trie."""
+        units = self.units
+        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+        node, best = offset(int(units[0])), (0, -1)
+        for i in range(at, len(data)):
+            node ^= data[i]
+            if node >= len(units):
+                break
+            unit = int(units[node])
+            if unit & 0x800000FF != data[i]:
+                break
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                best = i + 1 - at, int(units[node]) & 0x7FFFFFFF
+        return best
+
+    def _mapped(self, run: str) -> str:
+        data, out, at = run.encode(), [], 0
+        while at < len(data):
+            n, target = self._longest(data, at)
+            if n:
+                out.append(self.targets[target : self.targets.index(b"\0", target)])
+            else:
+                n = 1
+                while at + n < len(data) and data[at + n] & 0xC0 == 0x80:
+                    n += 1
+                out.append(data[at : at + n])
+            at += n
+        return b"".join(out).decode()
+
+    def __call__(self, text: str) -> str:
+        given = text
+        if len(self.units):
+            text = "".join(map(self.mapped, _RUNS.findall(text))) if self.by_run else self._mapped(text)
+        body = text.lstrip(" ")
+        out, state = [], _BEGIN
+        if len(body) < len(text):
+            before, becomes, state = self.arcs[state, True]
+            out += (before, becomes * (len(text) - len(body)))
+        if body:
+            out.append(self.arcs[state, False][0])
+            _, becomes, after = self.arcs[_WORD, True]
+            # a loop of one state only substitutes; else each gap is left by the arc of the next word
+            out.append(body.replace(" ", becomes) if after == _WORD else self.arcs[_GAP, False][0].join(filter(None, body.split(" "))))
+        elif given and not out and self.arcs[_WORD, True][2] == _WORD:
+            out.append(self.arcs[_BEGIN, False][0])  # a text that the map takes away keeps the prefix
+        return "".join(out)
+
+
 class Transducer:
     """Normaliser, lexicon and neighbour acceptor of one model."""
 
@@ -87,11 +183,10 @@ class Transducer:
                 norm = dict(_fields(value))
                 charsmap, prefix = norm.get(2, b""), bool(norm.get(3, 1))
                 shrink, escape = bool(norm.get(4, 1)), bool(norm.get(5, 1))
-        if charsmap:
-            raise ValueError("models with a character map are not supported")
         if self.model_type not in (_UNIGRAM, _BPE):
             raise ValueError("only unigram and BPE models are supported")
-        self.prefix, self.shrink, self.escape = prefix, shrink, escape
+        self.prefix, self.escape = prefix, escape
+        self.normalise = Normaliser(charsmap, prefix, shrink, escape)
         self.unknown = self.kinds.index(_UNKNOWN)
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (_NORMAL, _USER)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
@@ -115,18 +210,11 @@ class Transducer:
         else:
             cut = f"{SPACE}*[{letter}]+|{SPACE}*[^{SPACE}{line}{letter}]+[{letter}]*|{SPACE}+"
         self.cut = re.compile(cut + f"|{line}" * bool(line))
+        #: What an arc puts out, four bytes an id.
+        self.outputs = {p: struct.pack("<i", i) for p, i in self.lexicon.items()}
         self._word = lru_cache(CACHE)(self._shortest)
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole = lru_cache(CACHE)(self._is_result)
-
-    def normalise(self, text: str) -> str:
-        if self.shrink:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if self.prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
+        self._pairs: dict[tuple[str, str], float] = {}
+        self._weigh = self._merged if self.model_type == _BPE else self._scored
 
     def _merge(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored neighbours join first, the leftmost of equals."""
@@ -142,15 +230,21 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_result(self, piece: str) -> bool:
-        """Whether the merges can make the piece at all."""
-        return self._merge(piece) == [piece]
-
-    def _weight(self, piece: str) -> float:
-        """Of an arc of a unigram lexicon; a character without a piece costs more than any piece."""
+    def _scored(self, before: str, piece: str) -> float:
+        """The acceptor of a unigram model; a character without a piece costs more than any piece."""
         i = self.lexicon.get(piece)
         return 10.0 - self.lowest if i is None else -self.scores[i]
 
+    def _merged(self, before: str, piece: str) -> float:
+        """The acceptor of a BPE model: 0 if merging the characters of both gives back just them, else infinity."""
+        weight = self._pairs.get((before, piece))
+        if weight is None:
+            if len(self._pairs) >= CACHE:
+                self._pairs.clear()
+            wanted = [before, piece] if before else [piece]
+            weight = self._pairs[before, piece] = 0.0 if self._merge(before + piece) == wanted else math.inf
+        return weight
+
     def _arcs(self, text: str, start: int) -> list[int]:
         """Ends of the lexicon's arcs from ``start``, shortest first; one character always is an arc."""
         out, end, state = [start + 1], start, self.states
@@ -163,77 +257,57 @@ class Transducer:
                 out.append(end)
         return out
 
-    def _zero_path(self, text: str) -> list[str]:
-        """BPE: the path of weight zero, by depth-first search from long arcs to short.
-
-        All finite paths weigh zero and only one reaches any place, so that a place from which the
-        search had to turn back is dead for good and none is left twice.
-        """
-        size, allowed, merged = len(text), self._pairs, self._whole
-        path: list[str] = []
-        ends, at = [], 0
-        todo = [self._arcs(text, 0)]
-        dead = set()
-        while at < size:
-            arcs = todo[-1]
-            before = path[-1] if path else None
-            while arcs:
-                end = arcs.pop()
-                if end in dead:
-                    continue
-                piece = text[at:end]
-                if before is None:
-                    ok = merged(piece)
-                else:
-                    ok = allowed.get((before, piece))
-                    if ok is None:
-                        ok = self._keep_pair(before, piece)
-                if ok:
-                    path.append(piece)
-                    ends.append(at)
-                    at = end
-                    if at < size:
-                        todo.append(self._arcs(text, at))
-                    break
-            else:
-                dead.add(at)
-                todo.pop()
-                path.pop()
-                at = ends.pop()
-        return path
-
-    def _keep_pair(self, left: str, right: str) -> bool:
-        if len(self._pairs) >= CACHE:
-            self._pairs.clear()
-        ok = self._pairs[left, right] = self._merge(left + right) == [left, right]
-        return ok
-
-    def _best_path(self, text: str) -> list[str]:
-        """Unigram: the least sum of weights, place by place."""
-        best = [0.0] + [math.inf] * len(text)
-        last = [0] * (len(text) + 1)
-        for start in range(len(text)):
-            for end in self._arcs(text, start):
-                total = best[start] + self._weight(text[start:end])
-                if total < best[end]:
-                    best[end], last[end] = total, start
+    def _path(self, text: str) -> list[str]:
+        """The path of least weight through input o lexicon o acceptor."""
+        last = (self._furthest_first if self.model_type == _BPE else self._by_place)(text)
         out, at = [], len(text)
         while at:
-            out.append(text[last[at] : at])
-            at = last[at]
+            out.append(last[at])
+            at -= len(last[at])
         return out[::-1]
 
+    def _by_place(self, text: str) -> list[str]:
+        """The last piece of the least sum of weights into each place."""
+        size, weigh = len(text), self._weigh
+        total = [0.0] + [math.inf] * size
+        last = [""] * (size + 1)
+        for start in range(size):
+            for end in self._arcs(text, start):
+                piece = text[start:end]
+                weight = total[start] + weigh(last[start], piece)
+                if weight < total[end]:
+                    total[end], last[end] = weight, piece
+        return last
+
+    def _furthest_first(self, text: str) -> list[str]:
+        """The same where weights are 0 or infinite: all places that wait weigh the same, so the furthest may go first,
+        and the search may end with the text; arcs are weighed when their turn comes."""
+        size, weigh, known, infinite = len(text), self._weigh, self._pairs.get, math.inf
+        last = [""] * (size + 1)
+        todo = [(end, 0) for end in self._arcs(text, 0)]
+        while todo:
+            end, start = todo.pop()
+            if last[end]:
+                continue
+            piece = text[start:end]
+            weight = known((last[start], piece))
+            if weight is None:
+                weight = weigh(last[start], piece)
+            if weight == infinite:
+                continue
+            last[end] = piece
+            if end == size:
+                break
+            todo += [(far, end) for far in self._arcs(text, end)]
+        return last
+
     def _shortest(self, text: str) -> bytes:
-        """Output of the least-weight path through input o lexicon o acceptor, four bytes an id."""
-        ids: list[int] = []
-        for piece in self._zero_path(text) if self.model_type == _BPE else self._best_path(text):
-            i = self.lexicon.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in piece.encode())
-            else:
-                ids.append(self.unknown)
+        """Output of the least-weight path, four bytes an id."""
+        return b"".join([self.outputs.get(p) or self._fallback(p) for p in self._path(text)])
+
+    def _fallback(self, piece: str) -> bytes:
+        """What the arc of a character without a piece puts out: its bytes, or the unknown piece."""
+        ids = [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode_packed(self, text: str) -> bytes:

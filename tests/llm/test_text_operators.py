@@ -303,6 +303,81 @@ def test_unigram_path_is_the_least(tmp_path):
     assert t.encode("ax") == [1, 0]
 
 
+def double_array(rules):
+    """A compiled character map: the units of a double-array trie over the keys' bytes, and the targets."""
+    targets, places = b"", {}
+    for key, value in rules.items():
+        places[key.encode()] = len(targets)
+        targets += value.encode() + b"\0"
+    units, taken = {0: 0}, {0}
+    todo = [(0, b"")]
+    while todo:
+        at, prefix = todo.pop(0)
+        next_bytes = sorted({k[len(prefix)] for k in places if k.startswith(prefix) and len(k) > len(prefix)})
+        leaf = prefix in places
+        for base in range(1, 1 << 16):
+            free = (base ^ at) & ~0x1FFFFF == 0 and base not in taken and all(base ^ c not in taken for c in next_bytes)
+            offset = base ^ at
+            if free and offset < 1 << 21:
+                break
+        taken.add(base)
+        units[at] |= offset << 10 | (256 if leaf else 0)
+        if leaf:
+            units[base] = places[prefix] | 1 << 31
+        for c in next_bytes:
+            taken.add(base ^ c)
+            units[base ^ c] = c
+            todo.append((base ^ c, prefix + bytes([c])))
+    n = (max(units) // 256 + 1) * 256
+    blob = b"".join(units.get(i, 0).to_bytes(4, "little") for i in range(n))
+    return len(blob).to_bytes(4, "little") + blob + targets
+
+
+def test_character_map_agrees_with_the_library():
+    library = pytest.importorskip("sentencepiece")
+    rules = {"Ａ": "A", "ﬁ": "fi", "\u3000": " ", "\t": " ", "é": "e\u0301", "e\u0301x": "[ex]", "ß": "ss", "\u200b": "", "...": "…"}
+    charsmap = double_array(rules)
+
+    def field(n, kind, body):
+        size, out = len(body), b""
+        while kind == 2:
+            out += bytes([size & 127 | (128 if size > 127 else 0)])
+            size >>= 7
+            if not size:
+                break
+        return bytes([n << 3 | kind]) + out + body
+
+    letters = [chr(c) for c in (*range(33, 127), 0x2581, 0x301, 0x2026, 0x2047)]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((c, -5.0 - i / 100, 1) for i, c in enumerate(letters)), ("▁A", -2.0, 1), ("fi", -2.5, 1), ("[ex]", -3.0, 1)]
+    body = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, bytes([k]))) for p, s, k in pieces)
+    for shrink in (0, 1):
+        model = body + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(2, 2, charsmap) + field(3, 0, b"\x01") + field(4, 0, bytes([shrink])) + field(5, 0, b"\x01"))
+        known = library.SentencePieceProcessor(model_proto=model)
+        own = sentencepiece_fst.Transducer(model)
+        rng = random.Random(4)
+        texts = ["", " ", "Ａ", " Ａ  ﬁ\u3000x ", "e\u0301x e\u0301y éx", "a\t\tb", "....", "\u200b", "x\u200b y"]
+        texts += ["".join(rng.choices([*rules, " ", "a", "x", "e", ".", "fi"], k=rng.randrange(12))) for _ in range(300)]
+        for t in texts:
+            assert own.encode(t) == known.encode(t), (shrink, t)
+
+
+def test_path_is_the_least_of_all(spark):
+    with open(sentencepiece_fst.DEFAULT_MODEL, "rb") as f:
+        own = sentencepiece_fst.Transducer(f.read())
+
+    def every(text, start=0, before=""):
+        if start == len(text):
+            yield 0.0, []
+        for end in own._arcs(text, start) if start < len(text) else ():
+            weight = own._weigh(before, text[start:end])
+            for rest, path in every(text, end, text[start:end]):
+                yield weight + rest, [text[start:end], *path]
+
+    for word in ("▁banana", "▁theater", "▁über", "▁aaaa", "▁12ab", "▁🙂a"):
+        paths = [p for w, p in every(word) if w == 0]
+        assert paths == [own._path(word)]
+
+
 def brute_simhash(text):
     import xxhash
 
