@@ -23,7 +23,7 @@ _PATTERN = r"(?<=[=(,:!&|?;\n] {0,2})/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\
 LEXEMES = {
     "javascript": ((_LINE, _BLOCK), (_DOUBLE, _SINGLE, _TICKS, _PATTERN)),
     "typescript": ((_LINE, _BLOCK), (_DOUBLE, _SINGLE, _TICKS, _PATTERN)),
-    "csharp": ((_LINE, _BLOCK), (r'@\$?"(?:[^"]++|"")*+"', _DOUBLE, _CHAR)),
+    "csharp": ((_LINE, _BLOCK, r"(?<![^\n])[ \t]*+#[ \t]*+(?:if|elif|else|endif|region|endregion|define|undef|pragma|nullable|line|error|warning)\b[^\n]*+"), (r'@\$?"(?:[^"]++|"")*+"', _DOUBLE, _CHAR)),
     "go": ((_LINE, _BLOCK), (_DOUBLE, r"`[^`]*+`", _CHAR)),
     "rust": ((_LINE, _BLOCK), (r'\br(#*)".*?"\1', _DOUBLE, _CHAR)),
     "java": ((_LINE, _BLOCK), (r'"{3}(?:[^\\"]|\\.|"{1,2}(?!"))*+"{3}', _DOUBLE, _CHAR)),
@@ -142,6 +142,37 @@ RULES = (
     ("CA2026", _CS, "code", r"(?<=\bJsonDocument\.Parse\([^()\n]{1,200}\)\.)RootElement\b", "Parse the element itself."),
 )
 
+#: Code-quality queries by their registered ids: a profile of its own, which no other profile contains.
+QUALITY_RULES = (
+    ("js/conditional-comment", _JS, "comments", r"/\*@(?:cc_on|if|else|end|set)\b", "Conditional comments are gone."),
+    ("js/shift-out-of-range", _JS, "code", r"(?:<<|>>>?)=?[ \t]*(?:3[2-9]|[4-9][0-9]|[1-9][0-9]{2,})(?![\w.])", "Shift is wider than its operand."),
+    ("js/with-statement", _JS, "code", r"(?<![.\w$])with[ \t]*(?=\()", "Name the object instead."),
+    ("js/duplicate-parameter-name", _JS, "code", r"\bfunction\b[ \t]*[\w$]*[ \t]*\((?:[^()]*[,(\s])?([A-Za-z_$][\w$]*)[ \t]*,(?:[^()]*,)?[ \t]*\1[ \t]*(?=[,)])", "Parameter occurs twice."),
+    ("cs/call-to-gc", _CS, "code", r"\bGC\.Collect[ \t]*(?=\()", "Leave this to the runtime."),
+    ("cs/catch-nullreferenceexception", _CS, "code", r"\bcatch[ \t]*\([ \t]*(?:System\.)?NullReferenceException\b", "Test for null instead."),
+    ("cs/class-implements-icloneable", _CS, "code", r"\b(?:class|struct|record)\s+\w+(?:<[^<>]*>)?\s*:[^{;]*?\bICloneable\b", "Cloning may be deep or shallow."),
+    ("cs/empty-lock-statement", _CS, "solid", r"\block[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:\{\s*\}|;)", "Lock guards nothing."),
+    ("cs/lock-this", _CS, "code", r"\block[ \t]*\([ \t]*this[ \t]*\)", "Others may lock this too."),
+    ("cs/type-test-of-this", _CS, "code", r"\bthis[ \t]+is[ \t]+(?!not\b|null\b)[A-Z]\w*", "Override a method instead."),
+    ("go/mistyped-exponentiation", _GO, "code", r"(?<![\w.])(?:2|10)[ \t]*\^[ \t]*[0-9]+(?![\w.])", "This is an exclusive or."),
+    ("go/negative-length-check", _GO, "code", r"\b(?:len|cap)\([\w.]+\)[ \t]*(?:<[ \t]*0|<=[ \t]*-[0-9]+|==[ \t]*-[0-9]+)(?![\w.])", "A length is never negative."),
+    ("go/shift-out-of-range", _GO, "code", r"\bu?int(?:8\([\w.]+\)[ \t]*(?:<<|>>)[ \t]*(?:[89]|[1-9][0-9]+)|16\([\w.]+\)[ \t]*(?:<<|>>)[ \t]*(?:1[6-9]|[2-9][0-9]|[1-9][0-9]{2,})|32\([\w.]+\)[ \t]*(?:<<|>>)[ \t]*(?:3[2-9]|[4-9][0-9]|[1-9][0-9]{2,}))(?![\w.])", "Shift is wider than its operand."),
+    ("go/redundant-recover", _GO, "code", r"\bdefer[ \t]+recover\(\)", "Recover in a deferred function."),
+    ("java/call-to-thread-run", _JV, "code", r"\bnew[ \t]+Thread\([^()]*\)\.run\(\)", "Start the thread instead."),
+    ("java/comparison-with-nan", _JV, "code", r"[=!]=[ \t]*(?:Double|Float)\.NaN\b|\b(?:Double|Float)\.NaN[ \t]*[=!]=", "Use isNaN."),
+    ("java/do-not-call-finalize", _JV, "code", r"(?<!\bsuper)\.finalize\(\)", "Leave this to the runtime."),
+    ("java/inefficient-boxed-constructor", _JV, "code", r"\bnew[ \t]+(?:Integer|Long|Short|Byte|Character|Boolean|Double|Float)[ \t]*(?=\()", "Use valueOf."),
+    ("java/inefficient-empty-string-test", _JV, "plain", r"\.equals\([ \t]*\"\"[ \t]*\)|\"\"\.equals\(", "Use isEmpty."),
+    ("java/inefficient-string-constructor", _JV, "plain", r"\bnew[ \t]+String\([ \t]*(?:\"[^\"\n]*\")?[ \t]*\)", "Use the literal."),
+    ("java/jdk-internal-api-access", _JV, "code", r"\b(?:sun\.misc|sun\.reflect|com\.sun\.proxy|jdk\.internal)\.[A-Z]\w*", "This may go away."),
+    ("java/string-buffer-char-init", _JV, "plain", r"\bnew[ \t]+String(?:Buffer|Builder)\([ \t]*'(?:[^'\\]|\\.)'[ \t]*\)", "This is a size."),
+    ("java/suspicious-date-format", _JV, "plain", r"\bnew[ \t]+SimpleDateFormat\([ \t]*\"[^\"\n]*YYYY[^\"\n]*M[^\"\n]*\"", "Y is the year of the week."),
+    ("java/test-for-negative-container-size", _JV, "code", r"\.(?:size|length)(?:\(\))?[ \t]*(?:<[ \t]*0|>=[ \t]*0)(?![\w.])", "A size is never negative."),
+    ("java/underscore-identifier", _JV, "code", r"(?<![\w.])_(?=[ \t]*[=;,)])", "This is a keyword."),
+    ("java/useless-tostring-call", _JV, "plain", r"\"(?:[^\"\\\n]|\\.)*\"\.toString\(\)", "It is a string already."),
+    ("java/constants-only-interface", _JV, "code", r"\binterface\s+\w+\s*\{(?:\s*(?:(?:public|static|final)\s+)*[\w<>\[\]]+\s+\w+\s*=[^;{}]*;)+\s*\}", "Use a class."),
+)
+
 #: Rules that give one finding on a whole file. Fixed names.
 FILE_RULES = (("S2143", _JV, "code", r"(?m)^(?!\s*(?:import|package)\b)[^\n]*?\b(?:Date|Calendar|GregorianCalendar|Time)\b", "Use java.time."),)
 
@@ -165,7 +196,7 @@ def _pieces(text: str, language: str) -> str:
 def _is(piece: str, language: str, part: int) -> str:
     """SQL: whether a piece is a comment (part 0) or a literal (part 1)."""
     if part == 0:
-        return f"(left({piece}, 2) in ('//', '/*') and {language} not in ('ruby', 'python') or {language} = 'ruby' and length({piece}) > 1 and left({piece}, 1) in ('#', '=') or {language} = 'python' and left({piece}, 1) = '#')"
+        return f"(left({piece}, 2) in ('//', '/*') and {language} not in ('ruby', 'python') or {language} = 'csharp' and length({piece}) > 1 and {piece} rlike '^[ \\\\t]*#' or {language} = 'ruby' and length({piece}) > 1 and left({piece}, 1) in ('#', '=') or {language} = 'python' and left({piece}, 1) = '#')"
     return f"(length({piece}) > 1 and {piece} rlike '^[^A-Za-z0-9_ ]|\"')"
 
 
@@ -213,13 +244,21 @@ def _on_file(view: str, pattern: str, key: str, message: str) -> str:
     return f"if({view} rlike {_q(pattern)}, array(named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, {zero})), cast(array() as {_OUT}))"
 
 
-def lexical_findings(files: DataFrame, keys: set[str] | None = None) -> DataFrame:
+def quality_findings(files: DataFrame, ids: set[str] | None = None) -> DataFrame:
+    """Findings of the isolated code-quality profile; ids that aren't registered are an error."""
+    unknown = (ids or set()) - {r[0] for r in QUALITY_RULES}
+    if unknown:
+        raise ValueError(f"not registered: {', '.join(sorted(unknown))}")
+    return lexical_findings(files, ids, QUALITY_RULES, ())
+
+
+def lexical_findings(files: DataFrame, keys: set[str] | None = None, rules: tuple = RULES, file_rules: tuple = FILE_RULES) -> DataFrame:
     """path, rule_key, message, sl, sc, el, ec (lines from 1, columns from 0) of all rules in one pass over the files."""
     wanted = lambda rules, name: [r for r in rules if name in r[1].split() and (keys is None or r[0] in keys)]
     by_language = ""
     for name in LEXEMES:
-        parts = [_placed([_matches(view, pattern, key, message) for key, _, view, pattern, message in found]) for found in (wanted(RULES, name),) if found]
-        parts += [_on_file(view, pattern, key, message) for key, _, view, pattern, message in wanted(FILE_RULES, name)]
+        parts = [_placed([_matches(view, pattern, key, message) for key, _, view, pattern, message in found]) for found in (wanted(rules, name),) if found]
+        parts += [_on_file(view, pattern, key, message) for key, _, view, pattern, message in wanted(file_rules, name)]
         if parts:
             by_language += f" when '{name}' then concat({', '.join(parts)})"
     out = views(files).select("path", F.expr(f"case language{by_language} else cast(array() as {_OUT}) end" if by_language else f"cast(array() as {_OUT})").alias("hits"))

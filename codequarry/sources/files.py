@@ -18,7 +18,10 @@ LANGUAGES = {
     "java": ("java",),
     "ruby": ("rb", "rake"),
     "html": ("html", "htm"),
+    "razor": ("cshtml", "razor"),
 }
+#: Languages whose facts only a compiler has: they stay in the inventory with a status of their own.
+COMPILED = ("razor",)
 MAX_BYTES, MAX_LINES = 16 << 20, 4 << 20
 #: Classes by precedence.
 CLASSES = ("excluded", "vendor", "generated", "test")
@@ -59,7 +62,10 @@ def bounded(files: DataFrame, max_bytes: int = MAX_BYTES, max_lines: int = MAX_L
     text = F.when(F.octet_length("content") <= max_bytes, F.try_validate_utf8(F.col("content").cast("string")))
     out = files.withColumn("text", text)
     few = F.length(F.regexp_replace("text", "[^\n]", "")) < max_lines
-    out = out.withColumn("status", F.when(F.col("text").isNull() | ~few, "failed").otherwise("complete"))
+    status = F.when(F.col("text").isNull() | ~few, "failed").otherwise("complete")
+    if "language" in files.columns:
+        status = F.when(F.col("language").isin(*COMPILED), "needs compiler").otherwise(status)
+    out = out.withColumn("status", status)
     return out.withColumn("text", F.when(F.col("status") == "complete", F.col("text"))).drop("content")
 
 
@@ -84,3 +90,16 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     up = files.select("path", F.explode(F.array_distinct(above)).alias("folder"))
     known = configs.select(F.col("path").alias("config"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
     return files.join(up.join(known, "folder").groupBy("path").agg(F.max_by("config", F.length("folder")).alias("config")), "path", "left")
+
+
+FACTS = "path string, kind string, name string, type string, sl int, sc int, el int, ec int"
+
+
+def compiler_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts that a compiler's helper has written as Parquet: symbols with their types and places."""
+    return spark.read.schema(FACTS).parquet(path)
+
+
+def merged_results(fresh: DataFrame, cached: DataFrame, changed: DataFrame) -> DataFrame:
+    """The findings of an incremental run: those of changed files, and the cached ones of all others that are still there (changed has path)."""
+    return fresh.unionByName(cached.join(changed.select("path").distinct(), "path", "left_anti"))

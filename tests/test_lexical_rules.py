@@ -128,3 +128,52 @@ def test_keys_and_no_files(spark, found):
     assert {k for k, *_ in CASES} >= set(lexical_rules.rule_keys())
     assert lexical_rules.lexical_findings(found[0].limit(0)).count() == 0
     assert {k for _, k in found[1]} > {"S106"} == {r.rule_key for r in lexical_rules.lexical_findings(found[0], {"S106"}).select("rule_key").distinct().collect()}
+
+
+QUALITY = (
+    ("js/conditional-comment", "javascript", "/*@cc_on x @*/", "/* cc_on */"),
+    ("js/shift-out-of-range", "javascript", "a = b << 32;", "a = b << 31;"),
+    ("js/with-statement", "javascript", "with (a) { b(); }", "a.with(b);"),
+    ("js/duplicate-parameter-name", "javascript", "function f(a, b, a) { g(); }", "function f(a, b, aa) { g(); }"),
+    ("cs/call-to-gc", "csharp", "GC.Collect();", "// GC.Collect();"),
+    ("cs/catch-nullreferenceexception", "csharp", "try { a(); } catch (NullReferenceException e) { b(); }", "try { a(); } catch (IOException e) { b(); }"),
+    ("cs/class-implements-icloneable", "csharp", "class A : B, ICloneable { }", "class A : B { ICloneable c; }"),
+    ("cs/empty-lock-statement", "csharp", "lock (a) { }", "lock (a) { b(); }"),
+    ("cs/lock-this", "csharp", "lock (this) { b(); }", "lock (that) { b(); }"),
+    ("cs/type-test-of-this", "csharp", "if (this is Circle) { a(); }", "if (that is Circle) { a(); }"),
+    ("go/mistyped-exponentiation", "go", "x := 10 ^ 6", "x := a ^ 6"),
+    ("go/negative-length-check", "go", "if len(x) < 0 { y() }", "if len(x) <= 0 { y() }"),
+    ("go/shift-out-of-range", "go", "y := uint8(x) << 8", "y := uint16(x) << 8"),
+    ("go/redundant-recover", "go", "defer recover()", "defer func() { recover() }()"),
+    ("java/call-to-thread-run", "java", "new Thread(r).run();", "new Thread(r).start();"),
+    ("java/comparison-with-nan", "java", "if (a == Double.NaN) b();", "if (Double.isNaN(a)) b();"),
+    ("java/do-not-call-finalize", "java", "a.finalize();", "super.finalize();"),
+    ("java/inefficient-boxed-constructor", "java", "a = new Integer(1);", "a = new IntegerBox(1);"),
+    ("java/inefficient-empty-string-test", "java", 'if (s.equals("")) a();', 'if (s.equals("x")) a();'),
+    ("java/inefficient-string-constructor", "java", 's = new String("a");', "s = new String(bytes);"),
+    ("java/jdk-internal-api-access", "java", "import sun.misc.Unsafe;", "import java.misc.Safe;"),
+    ("java/string-buffer-char-init", "java", "b = new StringBuilder('a');", 'b = new StringBuilder("a");'),
+    ("java/suspicious-date-format", "java", 'f = new SimpleDateFormat("YYYY-MM-dd");', 'f = new SimpleDateFormat("yyyy-MM-dd");'),
+    ("java/test-for-negative-container-size", "java", "if (a.size() >= 0) b();", "if (a.size() > 0) b();"),
+    ("java/underscore-identifier", "java", "int _ = 1;", "int _a = 1;"),
+    ("java/useless-tostring-call", "java", 's = "a".toString();', "s = a.toString();"),
+    ("java/constants-only-interface", "java", "interface A { int B = 1; String C = x; }", "interface A { int B = 1; void c(); }"),
+)
+
+
+def test_quality_profile(spark):
+    rows = [(f"{i}{kind}", language, text) for i, (_, language, bad, good) in enumerate(QUALITY) for kind, text in (("bad", bad), ("good", good))]
+    files = spark.createDataFrame(rows, "path string, language string, text string")
+    found = {(r.path, r.rule_key) for r in lexical_rules.quality_findings(files).collect()}
+    assert {(f"{i}bad", q[0]) for i, q in enumerate(QUALITY)} <= found
+    assert not {(f"{i}good", q[0]) for i, q in enumerate(QUALITY)} & found
+    assert {q[0] for q in QUALITY} == {r[0] for r in lexical_rules.QUALITY_RULES}
+    assert not {r[0] for r in lexical_rules.QUALITY_RULES} & set(lexical_rules.rule_keys())
+    with pytest.raises(ValueError):
+        lexical_rules.quality_findings(files, {"js/none"})
+
+
+def test_csharp_directives_are_no_code(spark):
+    text = "#if DEBUG\nc.Secure = false;\n#else\n#region x; y; z;\nGo();\n#endif\n"
+    found = lexical_rules.lexical_findings(spark.createDataFrame([("a", "csharp", text)], "path string, language string, text string")).collect()
+    assert [(r.rule_key, r.sl) for r in found] == [("S2092", 2)]
