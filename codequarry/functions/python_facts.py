@@ -16,12 +16,16 @@ import warnings
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .regex_facts import regex_rules
+
 NODES = """path string, id int, parent int, kind string, parent_kind string, field string, at int, last int, depth int, nesting int, fn int, cls int,
     name string, digest string, sl int, sc int, el int, ec int, attrs map<string,string>"""
 _NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 #: Methods that answer NotImplemented. Fixed names.
 _SPECIAL = frozenset(f"__{n}__" for n in "eq lt le gt ge ne add sub mul getitem iter len contains".split())
+#: Calls whose first argument is a pattern. Fixed names.
+_REGEX_CALLS = frozenset(f"re.{n}" for n in "compile match search fullmatch split findall finditer sub subn".split())
 _JUMPS = (ast.Return, ast.Raise, ast.Break, ast.Continue)
 
 
@@ -290,6 +294,8 @@ def facts(path: str, text: str | None) -> list[tuple]:
         n, parent, parent_kind, field, at, depth, nesting, fn, cls, around = todo.pop()
         me = number[id(n)] = len(rows)
         name, attrs = _attributes(n, digest)
+        if isinstance(n, ast.Call) and name in _REGEX_CALLS and n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str):
+            attrs["regex"] = f",{','.join(sorted(regex_rules(n.args[0].value)))},"
         inner = nesting + isinstance(n, _NESTING)
         rows.append([path, me, parent, type(n).__name__, parent_kind, field, at, me, depth, inner, fn, cls, name, digest[id(n)], getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in attrs.items()] + [(k, "true") for k in around]])
         own_fn, own_cls = (me, -1) if isinstance(n, (*_FUNCTIONS, ast.Lambda)) else (fn, me) if isinstance(n, ast.ClassDef) else (fn, cls)

@@ -118,8 +118,19 @@ NODE_RULES = (
     ("S5797", "If IfExp", "a.constant = 'true'", "Condition is constant."),
     ("S5806", "Assign", f"name in ({_BUILTINS}) and fn >= 0", "Name hides a builtin."),
     ("S5828", "Call", "name = 'open' and a.second_value <> '' and not a.second_value rlike '^(?=[^rwax]*[rwax][^rwax]*$)(?!.*b.*t|.*t.*b)[rwaxbt+U]+$'", "Mode isn't valid."),
-    ("S5842", "Call", "name rlike '^re[.]' and a.first_value rlike '[*][)][*+]'", "Repeated part matches the empty string."),
-    ("S5856", "Call", "name rlike '^re[.](compile|match|search|fullmatch|split|findall|finditer|sub|subn)$' and a.first_value rlike '^[*+?]|[(][*+?]'", "Regular expression isn't valid."),
+    ("S5842", "Call", "contains(a.regex, ',S5842,')", "Repeated part matches the empty string."),
+    ("S5843", "Call", "contains(a.regex, ',S5843,')", "Regular expression is too complex."),
+    ("S5850", "Call", "contains(a.regex, ',S5850,')", "Anchor holds for one alternative only."),
+    ("S5856", "Call", "contains(a.regex, ',S5856,')", "Regular expression isn't valid."),
+    ("S5869", "Call", "contains(a.regex, ',S5869,')", "Character class has a member twice."),
+    ("S5996", "Call", "contains(a.regex, ',S5996,')", "Boundary can't be matched."),
+    ("S6019", "Call", "contains(a.regex, ',S6019,')", "Reluctant repeat at the end takes the least."),
+    ("S6323", "Call", "contains(a.regex, ',S6323,')", "Alternative is empty."),
+    ("S6326", "Call", "contains(a.regex, ',S6326,')", "Count the spaces."),
+    ("S6331", "Call", "contains(a.regex, ',S6331,')", "Group is empty."),
+    ("S6353", "Call", "contains(a.regex, ',S6353,')", "A shorter form says the same."),
+    ("S6396", "Call", "contains(a.regex, ',S6396,')", "Quantifier says nothing."),
+    ("S6397", "Call", "contains(a.regex, ',S6397,')", "Class has one member."),
     ("S5863", "Call", "name rlike '^self[.]assert[A-Z]' and a.same_args = 'true'", "Assertion has the same argument twice."),
     ("S5905", "Assert", "a.filled = 'true'", "Assertion on a tuple always holds."),
     ("S5914", "Assert", "a.constant = 'true'", "Assertion is constant."),
@@ -225,7 +236,7 @@ def group_findings(nodes: DataFrame, literals: int = LIMITS["literals"]) -> Data
 
 
 def scope_findings(nodes: DataFrame) -> DataFrame:
-    """Rules on names: S1128 unused imports, S1481 unused locals, S1172 unused parameters, S1144 and S4487 unused private members, S5953 undefined names."""
+    """Rules on names: S1128 unused imports, S1481 unused locals, S1172 unused parameters, S1144 and S4487 unused private members."""
     s = nodes.where("kind = 'Symbol'").select("path", "name", "sl", *(F.col("attrs")[c].alias(c) for c in ("scope", "where", "parameter", "imported", "assigned", "used")))
     exported = nodes.where("kind = 'Constant' and attrs['type'] = 'str'").select("path", F.col("attrs")["value"].alias("name")).distinct()
     imports = s.where("imported = 'true' and used = 'false' and name not like '!_%' escape '!' and not path rlike '(^|/)__init__[.]py$'").join(exported, ["path", "name"], "left_anti")

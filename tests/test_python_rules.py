@@ -2,7 +2,7 @@
 
 import pytest
 
-from codequarry.functions import python_facts
+from codequarry.functions import python_facts, regex_facts
 from codequarry.operators import flow, python_rules
 
 BAD = {
@@ -231,3 +231,29 @@ def test_graph_facts(spark):
 def test_graph_facts_take_any_block_ids(spark):
     rows = flow.graph_facts(spark.createDataFrame([("f", 0, 10**12), ("f", 10**12, 7), ("f", 7, 10**12), ("g", None, 1)], "fn_id string, src long, dst long")).orderBy("block").collect()
     assert [(r.block, r.component, r.idom) for r in rows] == [(0, 0, None), (7, 7, 10**12), (10**12, 7, 0)]
+
+
+@pytest.mark.parametrize(
+    ("key", "bad", "good"),
+    [
+        ("S5842", "(a*)*b", "(a+)*b"),
+        ("S5843", "((a|b)+(c|d)?)+((e|f)*(g|h)+)*(i(j(k|l)+)+)+", "(a|b)+c?"),
+        ("S5850", "^a|b", "^(?:a|b)"),
+        ("S5850", "a|b$", "^a|^b"),
+        ("S5856", "(a", "(a)"),
+        ("S5869", "[a-zb]", "[a-z0]"),
+        ("S5996", "a$b", "a$"),
+        ("S5996", "a^b", "(?m)a^b"),
+        ("S6019", "ab*?", "ab*?c"),
+        ("S6323", "a||b", "a|b"),
+        ("S6326", "a  b", "a b"),
+        ("S6331", "a()b", "a(c)b"),
+        ("S6353", "[0-9]+", "[1-9]+"),
+        ("S6353", "a{0,1}", "a{0,2}"),
+        ("S6396", "a{1}", "a{2}"),
+        ("S6397", "[a]b", "[.]b"),
+    ],
+)
+def test_regex_rules(key, bad, good):
+    assert key in regex_facts.regex_rules(bad)
+    assert key not in regex_facts.regex_rules(good)
