@@ -242,3 +242,60 @@ def fuzzy_pairs(candidates: DataFrame) -> DataFrame:
     first = F.min(F.when(~F.col("tied"), F.col("path"))).over(Window.partitionBy(clear))
     out = one.withColumn("taken", clear.isNotNull() & (first == F.col("path")))
     return out.select("path", F.when(F.col("taken"), F.col("reference_path")).alias("reference_path"), F.when(F.col("taken"), "fuzzy").otherwise("ambiguous").alias("pairing"))
+
+
+# ---------------------------------------------------------------- alignment of lines
+
+
+def aligned(current: list, reference: list, cells: int = 4_000_000) -> tuple[list[int], bool] | None:
+    """Lines of ``current`` (from 1) that are in no longest common subsequence, and whether some line may be new or not.
+
+    A line is old if every longest chain holds it; it counts as new where one does without it, which
+    is uncertain unless all do, and so is an old line that may stand at several places. Tables of more than ``cells`` cells give None.
+    """
+    import numpy as np
+
+    n, m = len(current), len(reference)
+    if (n + 1) * (m + 1) > cells:
+        return None
+    ids: dict = {}
+    a = np.array([ids.setdefault(x, len(ids)) for x in current], dtype=np.int64)
+    b = np.array([ids.setdefault(x, len(ids)) for x in reference], dtype=np.int64)
+
+    def table(x, y):
+        """Lengths of the chains of all beginnings: a row at a time, as running maxima."""
+        out = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
+        for i in range(len(x)):
+            step = np.where(y == x[i], out[i, :-1] + 1, out[i, 1:])
+            out[i + 1, 1:] = np.maximum.accumulate(step)
+        return out
+
+    before = table(a, b)
+    after = table(a[::-1], b[::-1])[::-1, ::-1]
+    longest = int(before[n, m])
+    new, uncertain = [], False
+    for i in range(n):
+        through = np.where(b == a[i], before[i, :-1] + 1 + after[i + 1, 1:], 0)
+        best = int(through.max()) if m else 0
+        if longest == 0 or best < longest:
+            new.append(i + 1)
+        else:
+            around = int((before[i] + after[i + 1]).max())
+            if around == longest:
+                new.append(i + 1)
+            uncertain |= around == longest or int((through == best).sum()) > 1
+    return new, uncertain
+
+
+def aligned_lines(pairs: DataFrame) -> DataFrame:
+    """path, new_lines, status (complete, uncertain, or too large) of paired files (path, lines, reference_lines)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [aligned(x or [], y or []) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            status = ["too large" if f is None else "uncertain" if f[1] else "complete" for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f and f[0] for f in found], pa.list_(pa.int32())), pa.array(status, pa.string())], names=["path", "new_lines", "status"])
+
+    return pairs.select("path", "lines", "reference_lines").mapInArrow(run, "path string, new_lines array<int>, status string")

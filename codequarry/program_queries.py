@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import python_facts
 from .operators import assessment, flow, lexical_rules, lines, python_rules
+from .plans import fixes
 from .registry import query, table, values
 from .sources import reports as imports
 
@@ -253,3 +254,77 @@ def lcov_import(spark, sf_dir):
 def lcov_problems(spark, sf_dir):
     """What is wrong with coverage reports."""
     return _lcov(spark, sf_dir).where("problem is not null").groupBy("input_id", "problem").agg(F.count("*").alias("n"))
+
+
+#: Fixes that the lines above get: language, part of the line, what it becomes.
+FIXED = (
+    ("javascript", "== true", ""),
+    ("javascript", "secure: false", "secure: true"),
+    ("javascript", "x.a = x.a", ""),
+    ("javascript", "// NOSONAR", ""),
+    ("javascript", "async", ""),
+    ("go", "0755", "0750"),
+    ("go", "x = x", ""),
+    ("go", "== true", ""),
+    ("go", "1024", "2048"),
+    ("go", "0o644", "0600"),
+    ("rust", "x.a = x.a", ""),
+    ("rust", ";;", ";"),
+    ("csharp", "Secure = false", "Secure = true"),
+    ("csharp", "SslProtocols.Tls11", "SslProtocols.Tls12"),
+    ("csharp", "CipherMode.ECB", "CipherMode.CBC"),
+    ("python", "# noqa: F401", ""),
+    ("python", "# why # NoSec B602", ""),
+)
+
+
+@query(
+    f"""WITH {_EXPECTED_SQL}, {values("fixes", "language, part, becomes", FIXED)}, l AS (SELECT path, language, sl, max(becomes IS NOT NULL)::INT AS edits, any_value(CASE WHEN becomes IS NULL THEN line ELSE replace(line, part, becomes) END) AS line
+        FROM (SELECT o.path, o.language, o.sl, texts.line, fixes.part, becomes FROM o JOIN texts USING (language, pick) LEFT JOIN fixes ON fixes.language = o.language AND contains(texts.line, fixes.part)) GROUP BY path, language, sl)
+    SELECT path, language, string_agg(line, chr(10) ORDER BY sl) AS text, sum(edits)::BIGINT AS edits, 0::BIGINT AS conflicts FROM l GROUP BY path, language HAVING sum(edits) > 0"""
+)
+def fixed_programs(spark, sf_dir):
+    """Files with the fixes of their findings applied."""
+    f = _programs(spark, sf_dir)
+    return fixes.fixed(f, lexical_rules.lexical_findings(f)).withColumn("edits", F.col("edits").cast("long"))
+
+
+@query(
+    f"""WITH {_EXPECTED_SQL}, {values("fixes", "language, part, becomes", FIXED)}, k AS (SELECT o.path, (SELECT count(*) FROM expected e WHERE e.language = o.language AND e.pick = o.pick AND e.part IS NOT NULL) AS before,
+        (SELECT count(*) FROM fixes x WHERE x.language = o.language AND contains(texts.line, x.part)) AS edits FROM o JOIN texts USING (language, pick) WHERE o.language IN ('csharp', 'python'))
+    SELECT path, true AS accepted, sum(before)::BIGINT AS before, sum(before - edits)::BIGINT AS after, sum(edits)::BIGINT AS edits FROM k GROUP BY path HAVING sum(edits) > 0"""
+)
+def verified_fixes(spark, sf_dir):
+    """Fixed files, analysed again: accepted where findings became fewer and no rule has more."""
+    f = _programs(spark, sf_dir).where("language in ('csharp', 'python')")
+    return fixes.verified(f).withColumn("edits", F.col("edits").cast("long"))
+
+
+#: Seed and lines of a synthetic file.
+SEED, FILE_LINES = 42, 50
+
+
+def synthetic_files(spark, files: int, seed: int = SEED) -> DataFrame:
+    """path, language, text of seeded files: line j of file i is chosen by a hash of seed, i and j, the same on every cluster."""
+    ids = spark.range(files).select("id", F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("id") % len(LANGUAGES)).cast("int") + 1).alias("language"))
+    rows = ids.select("id", "language", F.explode(F.sequence(F.lit(0), F.lit(FILE_LINES - 1))).alias("line"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("line").cast("string"))), 1, 8), 16, 10).cast("long")
+    text = F.lit("")
+    for name, options in LINES.items():
+        text = F.when(F.col("language") == name, _pick([o[0] for o in options], (key % len(options)).cast("int"))).otherwise(text)
+    whole = rows.groupBy("id", "language").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("t")))).alias("l"))
+    return whole.select(F.concat("language", F.lit("/"), F.col("id").cast("string")).alias("path"), "language", F.array_join("l.t", "\n").alias("text"))
+
+
+@query(
+    f"""WITH {_LANGUAGE_SQL}, n AS (SELECT count(*) AS files FROM supplier), i AS (SELECT unnest(range(files)) AS id FROM n), l AS (SELECT id, unnest(range({FILE_LINES})) AS line FROM i),
+    k AS (SELECT id, language, line, ((('0x' || left(md5('{SEED}:' || id || ':' || line), 8))::BIGINT) % options)::INT AS pick FROM l JOIN languages ON rank = id % {len(LANGUAGES)}),
+    {values("texts", "language, pick, text", _OPTIONS)}, t AS (SELECT language, id, string_agg(text, chr(10) ORDER BY line) AS text FROM k JOIN texts USING (language, pick) GROUP BY ALL)
+    SELECT language, count(*) AS files, sum(length(text))::BIGINT AS chars, bit_xor(('0x' || left(md5(text), 15))::BIGINT) AS checksum FROM t GROUP BY language"""
+)
+def synthetic_benchmark(spark, sf_dir):
+    """The synthetic workload by language: files, characters, and a checksum that shows that it is the same everywhere."""
+    n = table(spark, sf_dir, "supplier").count()
+    f = synthetic_files(spark, n)
+    check = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+    return f.groupBy("language").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.bit_xor(check).alias("checksum"))

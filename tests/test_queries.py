@@ -103,3 +103,33 @@ def test_deleted_and_inventory(spark):
     a = spark.createDataFrame([(1, 1, None), (2, 1, "old")], "id int, project int, deleted_at string")
     now, audit = history.deleted(a, a.project == 1, "me", "why", "t")
     assert {(r.id, r.deleted_at) for r in now.collect()} == {(1, "t"), (2, "old")} and [r.analysis_id for r in audit.collect()] == [1]
+
+
+def _chains(a, b):
+    """All longest common subsequences, as sets of places (i, j)."""
+    best, found = 0, [()]
+    todo = [((), 0, 0)]
+    while todo:
+        chain, i, j = todo.pop()
+        if len(chain) > best:
+            best, found = len(chain), []
+        if len(chain) == best:
+            found.append(chain)
+        todo += [((*chain, (x, y)), x + 1, y + 1) for x in range(i, len(a)) for y in range(j, len(b)) if a[x] == b[y]]
+    return set(found)
+
+
+def test_alignment_against_all_chains(spark):
+    rng = random.Random(6)
+    rows = [(str(i), [rng.choice("abcd") for _ in range(rng.randrange(6))], [rng.choice("abcd") for _ in range(rng.randrange(6))]) for i in range(120)]
+    found = {r.path: r for r in assessment.aligned_lines(spark.createDataFrame(rows, "path string, lines array<string>, reference_lines array<string>")).collect()}
+    for path, a, b in rows:
+        chains = _chains(a, b)
+        new, uncertain = [], False
+        for i in range(len(a)):
+            places = {next((j for x, j in c if x == i), None) for c in chains}
+            if None in places:
+                new.append(i + 1)
+            uncertain |= len(places) > 1
+        assert (found[path].new_lines, found[path].status) == (new, "uncertain" if uncertain else "complete"), (a, b)
+    assert assessment.aligned(["x"] * 3000, ["y"] * 3000) is None
