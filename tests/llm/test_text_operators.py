@@ -501,7 +501,7 @@ def test_revisits_against_brute_force(spark):
     for rid, kind, url, ts, _, h, *_ in rows:
         if kind == "response":
             continue
-        before = [(r[3], r[0], r[5]) for r in rows if r[1] == "response" and canon[r[2]] == canon[url] and r[3] < ts]
+        before = [(r[3], r[0], r[5]) for r in rows if r[1] == "response" and canon[url] and canon[r[2]] == canon[url] and r[3] < ts]
         if not before:
             want[rid] = ("no_response", None)
             continue
