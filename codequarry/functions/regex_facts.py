@@ -126,3 +126,36 @@ def regex_rules(pattern: str) -> set[str]:
     if _complexity(tree) > COMPLEXITY:
         found.add("S5843")
     return found
+
+
+def needed(pattern: str) -> str:
+    """A text that every match, with what it looks at around it, holds; empty if none is found.
+
+    Java's forms that Python's parser doesn't know are read as something wider.
+    """
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = parser.parse(re.sub(r"\\p\{[^{}]*\}", r"\\w", pattern.replace(r"\z", r"\Z")))
+    except (re.error, RecursionError, OverflowError):
+        return ""
+    if tree.state.flags & re.IGNORECASE:
+        return ""
+    best, run, todo = "", "", [iter(tree)]
+    while todo:
+        step = next(todo[-1], None)
+        if step is None:
+            todo.pop()
+            run = run if len(todo) == 0 else ""
+            continue
+        op, arg = str(step[0]), step[1]
+        if op == "LITERAL":
+            run += chr(arg)
+            best = max(best, run, key=len)
+            continue
+        run = ""
+        if op == "SUBPATTERN" and not (arg[1] & re.IGNORECASE) or op == "ASSERT":
+            todo.append(iter(arg[3] if op == "SUBPATTERN" else arg[1]))
+        elif op in _REPEATS and arg[0] > 0:
+            todo.append(iter(arg[2]))
+    return best

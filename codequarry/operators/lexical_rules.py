@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import running
+from ..functions.regex_facts import needed
 
 _LINE, _BLOCK = r"//[^\n]*+", r"/\*.*?(?:\*/|\z)"
 _DOUBLE, _SINGLE = r'"(?:[^"\\\n]++|\\.)*+"', r"'(?:[^'\\\n]++|\\.)*+'"
@@ -218,13 +219,19 @@ def views(files: DataFrame) -> DataFrame:
 _OUT = "array<struct<rule_key:string,message:string,sl:int,sc:int,el:int,ec:int>>"
 
 
+def _may(view: str, pattern: str) -> str:
+    """SQL: a cheap test that goes before the pattern, where one is known."""
+    word = needed(pattern)
+    return f"contains({view}, {_q(word)}) and " if word else ""
+
+
 def _matches(view: str, pattern: str, key: str, message: str) -> str:
     """SQL: a rule with the lines and last columns of the gaps and matches, or null."""
     p = _q(pattern)
     found = f"regexp_extract_all({view}, {p}, 0)"
     size = lambda n, t: f"'{n}b', length({t}) - length(replace({t}, '\\n', '')), '{n}t', length(substring_index({t}, '\\n', -1))"
     pairs = f"zip_with(slice(split({view}, {p}, -1), 1, size({found})), {found}, (g, m) -> named_struct({size('g', 'g')}, {size('m', 'm')}))"
-    return f"if({view} rlike {p}, named_struct('key', {_q(key)}, 'message', {_q(message)}, 'pairs', {pairs}), null)"
+    return f"if({_may(view, pattern)}{view} rlike {p}, named_struct('key', {_q(key)}, 'message', {_q(message)}, 'pairs', {pairs}), null)"
 
 
 def _placed(rules: list[str]) -> str:
@@ -241,7 +248,7 @@ def _placed(rules: list[str]) -> str:
 def _on_file(view: str, pattern: str, key: str, message: str) -> str:
     """SQL: the finding of a rule on whole files, without a place."""
     zero = "'sl', 0, 'sc', 0, 'el', 0, 'ec', 0"
-    return f"if({view} rlike {_q(pattern)}, array(named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, {zero})), cast(array() as {_OUT}))"
+    return f"if({_may(view, pattern)}{view} rlike {_q(pattern)}, array(named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, {zero})), cast(array() as {_OUT}))"
 
 
 def quality_findings(files: DataFrame, ids: set[str] | None = None) -> DataFrame:

@@ -257,3 +257,11 @@ def test_graph_facts_take_any_block_ids(spark):
 def test_regex_rules(key, bad, good):
     assert key in regex_facts.regex_rules(bad)
     assert key not in regex_facts.regex_rules(good)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text"),
+    [("abc|d", ""), (r"x(?:abc)+y", "abc"), (r"(?<=\bos\.Mkdir(?:All)?\()0[0-7]+", "os.Mkdir"), ("(?i)abc", ""), ("a(?i:bcd)e", "a"), (r"ab?c\z", "a"), ("(?!abc)d", "d"), (r"[ab]cde\p{L}", "cde"), ("(a", ""), ("ab(cd)ef", "ab")],
+)
+def test_needed_texts(pattern, text):
+    assert regex_facts.needed(pattern) == text
