@@ -182,6 +182,11 @@ def rule_keys(language: str | None = None) -> list[str]:
     return sorted({r[0] for r in (*RULES, *FILE_RULES) if language is None or language in r[1].split()})
 
 
+def independent_keys() -> list[str]:
+    """Keys of rules from other sources than the base catalog; their names tell."""
+    return sorted({r[0] for r in RULES if not r[0].startswith("S") or r[0].startswith("SA")})
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import program_queries as programs
 from . import queries as core
 from .functions.text import line_checksum, rfc3339
-from .operators import assessment, clones, history, lines
+from .operators import assessment, clones, history, lexical_rules, lines
 from .plans import reports
 from .registry import ORACLE_SQL, query, table, values
 from .sources import files as sources
@@ -351,3 +352,29 @@ def nearest_configs(spark, sf_dir):
     """The configuration in the nearest folder above each file."""
     configs = spark.createDataFrame([("tsconfig.json",), ("src1/tsconfig.json",), ("src1/deep/tsconfig.json",)], "path string")
     return sources.nearest_config(core._files(spark, sf_dir).select("path"), configs).select("path", "config")
+
+
+IGNORES = (("", "# all\nsrc3/\n*7\n!src1/*7\n\nsrc0/?\n"), ("src2", "1*\n!12*\n/5?\n"))
+
+
+@query(
+    """SELECT path FROM (SELECT concat_ws('/', source, doc_id::VARCHAR) AS path, source, doc_id::VARCHAR AS id FROM documents) WHERE NOT CASE
+        WHEN source = 'src2' AND regexp_matches(id, '^5.$') THEN true WHEN source = 'src2' AND starts_with(id, '12') THEN false WHEN source = 'src2' AND starts_with(id, '1') THEN true
+        WHEN source = 'src0' AND length(id) = 1 THEN true WHEN source = 'src1' AND ends_with(id, '7') THEN false WHEN ends_with(id, '7') THEN true ELSE source = 'src3' END"""
+)
+def walked_files(spark, sf_dir):
+    """The files that ignore files leave."""
+    f = core._files(spark, sf_dir).select("path")
+    return sources.walked(f.unionByName(f), spark.createDataFrame([(f"{folder}/.gitignore".lstrip("/"), text) for folder, text in IGNORES], "path string, text string"))
+
+
+NATIVE_SQL = "regexp_matches(rule_key, '^(G[0-9]|SA[0-9]|CA[0-9])|-')"
+
+
+@query(f"SELECT rule_key, CASE WHEN {NATIVE_SQL} THEN 'independent' ELSE 'base' END AS origin, count(*) AS findings FROM ({ORACLE_SQL['lexical_findings']}) GROUP BY ALL")
+def findings_by_origin(spark, sf_dir):
+    """Base findings together with those of independent rules, by rule."""
+    f = programs._programs(spark, sf_dir)
+    own = set(lexical_rules.independent_keys())
+    both = lexical_rules.lexical_findings(f, set(lexical_rules.rule_keys()) - own).withColumn("origin", F.lit("base")).unionByName(lexical_rules.lexical_findings(f, own).withColumn("origin", F.lit("independent")))
+    return both.groupBy("rule_key", "origin").agg(F.count("*").alias("findings"))

@@ -103,3 +103,43 @@ def compiler_facts(spark: SparkSession, path: str) -> DataFrame:
 def merged_results(fresh: DataFrame, cached: DataFrame, changed: DataFrame) -> DataFrame:
     """The findings of an incremental run: those of changed files, and the cached ones of all others that are still there (changed has path)."""
     return fresh.unionByName(cached.join(changed.select("path").distinct(), "path", "left_anti"))
+
+
+def _glob(pattern: Column) -> Column:
+    """A path glob as a regular expression, by built-in functions: ** spans folders, * and ? stay inside one."""
+    out = F.regexp_replace(pattern, r"([.+^$(){}|\\\[\]])", r"\\$1")
+    for a, b in ((r"\*\*/", "\u0001"), (r"\*\*", "\u0002"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(?:.*/)?"), ("\u0002", ".*")):
+        out = F.regexp_replace(out, a, b)
+    return out
+
+
+def ignore_rules(ignores: DataFrame) -> DataFrame:
+    """folder, at, regex, negated of the lines of ignore files (path, text); comments and blank lines give none.
+
+    A pattern with a slash before its end stands for one place under the file's folder, any other for
+    all places below; what a pattern names takes everything inside with it, and ! takes it back.
+    """
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    rows = ignores.select(folder.alias("folder"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("at", "line"))
+    rows = rows.select("folder", "at", F.rtrim("line").alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    negated = F.col("line").startswith("!")
+    body = F.regexp_replace(F.regexp_replace("line", "^!", ""), "/+$", "")
+    anchored = F.instr(body, "/") > 0
+    prefix = F.when(F.col("folder") == "", "").otherwise(F.concat(_glob(F.col("folder")), F.lit("/")))
+    regex = F.concat(F.lit("^"), prefix, F.when(anchored, "").otherwise("(?:.*/)?"), _glob(F.regexp_replace(body, "^/+", "")), F.lit("(?:/.*)?$"))
+    return rows.select("folder", "at", regex.alias("regex"), negated.alias("negated"))
+
+
+def walked(files: DataFrame, ignores: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """The files, each path once, that no ignore file of a folder above ignores; explicit ones (path) always stay.
+
+    The last pattern that fits decides, those of deeper folders after those above.
+    """
+    paths = files.dropDuplicates(["path"])
+    folders = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    above = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(folders)), lambda n: F.array_join(F.slice(folders, 1, n), "/")))
+    tried = paths.select("path", F.explode(above).alias("folder")).join(ignore_rules(ignores), "folder").where("path rlike regex")
+    last = tried.groupBy("path").agg(F.max_by("negated", F.struct(F.length("folder"), "at")).alias("back")).where("not back").select("path")
+    if explicit is not None:
+        last = last.join(explicit.select("path"), "path", "left_anti")
+    return paths.join(last, "path", "left_anti")
