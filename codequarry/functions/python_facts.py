@@ -16,6 +16,7 @@ import warnings
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .python_checks import checks
 from .regex_facts import regex_rules
 
 NODES = """path string, id int, parent int, kind string, parent_kind string, field string, at int, last int, depth int, nesting int, fn int, cls int,
@@ -296,6 +297,9 @@ def facts(path: str, text: str | None) -> list[tuple]:
         name, attrs = _attributes(n, digest)
         if isinstance(n, ast.Call) and name in _REGEX_CALLS and n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str):
             attrs["regex"] = f",{','.join(sorted(regex_rules(n.args[0].value)))},"
+        broken = checks(n)
+        if broken:
+            attrs["checks"] = f",{','.join(broken)},"
         inner = nesting + isinstance(n, _NESTING)
         rows.append([path, me, parent, type(n).__name__, parent_kind, field, at, me, depth, inner, fn, cls, name, digest[id(n)], getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in attrs.items()] + [(k, "true") for k in around]])
         own_fn, own_cls = (me, -1) if isinstance(n, (*_FUNCTIONS, ast.Lambda)) else (fn, me) if isinstance(n, ast.ClassDef) else (fn, cls)

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.python_checks import CHECKED
+
 #: Limits. Fixed values.
 LIMITS = {"params": 13, "returns": 3, "lines": 100, "nesting": 4, "cognitive": 15, "complexity": 15, "literals": 3, "operators": 3}
 _FN = "FunctionDef AsyncFunctionDef"
@@ -178,6 +180,9 @@ NODE_RULES = (
 )
 
 
+NODE_RULES = (*NODE_RULES, *((key, kinds, f"contains(a.checks, ',{key},')", message) for key, kinds, message in CHECKED), ("S8572", "Call", "name in ('logging.error','logger.error') and in_handler", "Use exception."))
+
+
 def node_rule_keys() -> list[str]:
     return sorted({r[0] for r in NODE_RULES})
 

@@ -265,3 +265,67 @@ def test_regex_rules(key, bad, good):
 )
 def test_needed_texts(pattern, text):
     assert regex_facts.needed(pattern) == text
+
+
+CHECKED = (
+    ("S2275", "x = '%s %d' % (a,)", "x = '%s %%' % (a,)"),
+    ("S2712", "def f():\n    yield 1\n    return 2", "def f():\n    yield 1\n    return"),
+    ("S3862", "for x in 5:\n    f(x)", "for x in '5':\n    f(x)"),
+    ("S4143", "a[1] = 2\na[1] = 3", "a[1] = 2\na[1] = a[1] + 3"),
+    ("S5361", "x = re.sub('ab', 'c', y)", "x = re.sub('a.', 'c', y)"),
+    ("S5607", "x = 'a' + 1", "x = 2.5 + 1"),
+    ("S5642", "x = a in 5", "x = a in '5'"),
+    ("S5644", "x = 5[0]", "x = '5'[0]"),
+    ("S5706", "class A:\n    def __exit__(self, a, b, c):\n        raise b", "class A:\n    def __exit__(self, a, b, c):\n        raise d"),
+    ("S5724", "class A:\n    @property\n    def a(self, b):\n        return b", "class A:\n    @property\n    def a(self):\n        return 1"),
+    ("S5845", "self.assertEqual(1, 'a')", "self.assertEqual(1, 2)"),
+    ("S5915", "with pytest.raises(A):\n    f()\n    assert b", "with pytest.raises(A):\n    f()\nassert b"),
+    ("S6468", "try:\n    f()\nexcept* ExceptionGroup:\n    g()", "try:\n    f()\nexcept* ValueError:\n    g()"),
+    ("S6553", "a = models.CharField(null=True)", "a = models.IntegerField(null=True)"),
+    ("S6556", "render(a, b, locals())", "render(a, b, {})"),
+    ("S6559", "class Meta:\n    fields = '__all__'", "class Meta:\n    fields = ['a']"),
+    ("S6560", "x = JsonResponse([1])", "x = JsonResponse([1], safe=False)"),
+    ("S6663", "x = a[1.5]", "x = a[1]"),
+    ("S6714", "x = np.array(a for a in b)", "x = np.array([a for a in b])"),
+    ("S6882", "x = datetime.date(2020, 13, 1)", "x = datetime.date(2020, 12, 1)"),
+    ("S6883", "x = a.strftime('%H:%M %p')", "x = a.strftime('%I:%M %p')"),
+    ("S6887", "x = datetime.datetime(2020, 1, 1, tzinfo=pytz.timezone('a'))", "x = datetime.datetime(2020, 1, 1, tzinfo=utc)"),
+    ("S6890", "x = pytz.timezone('a')", "x = zoneinfo.ZoneInfo('a')"),
+    ("S7511", "x = sorted(reversed(a))", "x = sorted(a)"),
+    ("S7512", "for a, _ in b.items():\n    f(a)", "for a, c in b.items():\n    f(a)"),
+    ("S8392", "app.run(host='0.0.0.0')", "app.run(host='127.0.0.1')"),
+    ("S8412", "@app.api_route('/', methods=['GET'])\ndef f():\n    return 1", "@app.get('/')\ndef f():\n    return 1"),
+    ("S8490", "@dataclass\nclass A:\n    a: int\n    def __init__(self):\n        f()", "class A:\n    def __init__(self):\n        f()"),
+    ("S8492", "if a in b:\n    b.remove(a)", "if a in b:\n    c.remove(a)"),
+    ("S8493", "def f():\n    yield 1\n    raise StopIteration", "def f():\n    raise StopIteration"),
+    ("S8503", "x = a in []", "x = a in [1]"),
+    ("S8504", "class A:\n    @property\n    def a(self):\n        f()", "class A:\n    @property\n    def a(self):\n        return f()"),
+    ("S8509", "class A(B, B):\n    x = 1", "class A(B, C):\n    x = 1"),
+    ("S8510", "for a in b:\n    for a in c:\n        f(a)", "for a in b:\n    for d in c:\n        f(a)"),
+    ("S8512", "class A:\n    x = 1\n    x = 2", "class A:\n    x = 1\n    y = 2"),
+    ("S8513", "x = a.startswith('b') or a.startswith('c')", "x = a.startswith('b') or d.startswith('c')"),
+    ("S8515", "T = TypeVar('T', covariant=True, contravariant=True)", "T = TypeVar('T', covariant=True)"),
+    ("S8517", "x = sorted(a)[-1]", "x = sorted(a)[1]"),
+    ("S8518", "for i, v in enumerate(a):\n    f(a[i])", "for i, v in enumerate(a):\n    f(b[i])"),
+    ("S8519", "x = list(a)[0]", "x = list(a)[1]"),
+    ("S8520", "x = sum(a, [])", "x = sum(a, 0)"),
+    ("S8521", "x = a in b.keys()", "x = a in b.values()"),
+    ("S8554", "logging.info(f'{a}')", "logging.info('%s', a)"),
+    ("S8572", "try:\n    f()\nexcept A:\n    logging.error('x')", "logging.error('x')"),
+    ("S8685", "@dataclass\nclass A:\n    a: list = make()", "@dataclass\nclass A:\n    a: list = field(default_factory=list)"),
+    ("S8900", "x = a.findAll('b')", "x = a.find_all('b')"),
+    ("S9001", "@pytest.mark.xfail\ndef test_a():\n    f()", "@pytest.mark.xfail(reason='b')\ndef test_a():\n    f()"),
+    ("S9076", "@pytest.yield_fixture\ndef a():\n    yield 1", "@pytest.fixture\ndef a():\n    yield 1"),
+    ("S9077", "assert False", "assert False, 'why'"),
+    ("S9083", "@pytest.fixture()\ndef a():\n    return 1", "@pytest.fixture\ndef a():\n    return 1"),
+    ("S9084", "from pytest import raises", "import pytest"),
+)
+
+
+def test_checked_rules(spark):
+    rows = [(f"{i}{kind}.py", text + "\n") for i, (_, bad, good) in enumerate(CHECKED) for kind, text in (("bad", bad), ("good", good))]
+    nodes = python_facts.nodes(spark.createDataFrame(rows, "path string, text string"), kinds=python_rules.node_kinds())
+    found = {(r.path, r.rule_key) for r in python_rules.node_findings(nodes).collect()}
+    assert [(c[0], c[1]) for i, c in enumerate(CHECKED) if (f"{i}bad.py", c[0]) not in found] == []
+    assert [(c[0], c[2]) for i, c in enumerate(CHECKED) if (f"{i}good.py", c[0]) in found] == []
+    assert {c[0] for c in CHECKED} == {c[0] for c in python_rules.CHECKED} | {"S8572"}
