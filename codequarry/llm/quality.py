@@ -6,7 +6,9 @@ behaviour, and so the probability of each pattern. A linear scorer over hashed w
 shapes learns these probabilities from a bounded sample (``SAMPLE`` documents on average) and scores
 every document from its whole text.
 
-Null and empty texts get no votes and the prior's score; repeated rows get equal scores.
+Null and empty texts get no votes and the prior's score; repeated rows get equal scores and count once
+in the sample; the order of rows and partitions doesn't matter; a score at the limit keeps its
+document; where a column has the name of an output, the output takes another one.
 """
 
 from __future__ import annotations

@@ -150,17 +150,16 @@ def resolve_revisits(records: DataFrame, keep: tuple[str, ...] = (), width: int
     r = r.withColumns({"canonical_url": canonical_url("url"), "span": F.floor(F.col("ts") / width)})
     full = (F.col("kind") == "response") & F.col("status").isin(*FULL)
     response = F.struct("ts", "record_id", "payload_bytes", "payload_sha256", F.to_json("headers").alias("headers"))
-    r = r.where(full | (F.col("kind") == "revisit")).withColumn("full", F.when(full, response))
     known = F.col("ts").isNotNull() & (F.col("canonical_url") != "")
-    lost = r.where(~known & (F.col("kind") == "revisit")).withColumn("hit", F.col("full"))
-    r = r.where(known)
-    inside = Window.partitionBy("canonical_url", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    # what has no URL or time stands alone, so that it meets nothing and makes no common place
+    place = F.when(known, F.col("canonical_url")).otherwise(F.concat(F.lit("\0"), F.coalesce("record_id", F.lit(""))))
+    r = r.where((full & known) | (F.col("kind") == "revisit")).withColumns({"full": F.when(full & known, response), "place": place, "span": F.coalesce("span", F.lit(0))})
+    inside = Window.partitionBy("place", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("near", F.max("full").over(inside))
-    spans = r.groupBy("canonical_url", "span").agg(F.max("full").alias("latest"))
-    before = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select("canonical_url", "span", F.max("latest").over(before).alias("far"))
-    found = r.where(F.col("kind") == "revisit").join(carried, ["canonical_url", "span"]).withColumn("hit", F.coalesce("near", "far"))
-    found = found.select(*lost.columns).unionByName(lost)
+    spans = r.groupBy("place", "span").agg(F.max("full").alias("latest"))
+    before = Window.partitionBy("place").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("place", "span", F.max("latest").over(before).alias("far"))
+    found = r.where(F.col("kind") == "revisit").join(carried, ["place", "span"]).withColumn("hit", F.coalesce("near", "far"))
     old = F.from_json("hit.headers", "map<string,string>")
     found = found.withColumn("old", F.coalesce(old, F.create_map().cast("map<string,string>")))
     tag = lambda m: F.regexp_replace(F.col(m)["etag"], "^W/", "")

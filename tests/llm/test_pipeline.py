@@ -32,3 +32,19 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, SMALL)
     assert df.count() > 0
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __spans string, score double, token_ids string, k int"
+    odd = [(1, None, None, None, None, "x", 1.0, "t", 5), (1, None, None, None, None, "x", 1.0, "t", 5), (None, "", "en", "s", 0, None, None, None, None), (2, "tie " * 30, "en", "s", 120, "x", 1.0, "t", 5), (3, "tie " * 30, "en", "s", 120, "x", 1.0, "t", 5), (4, "w" * 5000, "en", "s", 5000, "x", 1.0, "t", 5)]
+    docs = spark.createDataFrame(odd, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() <= len(odd), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns and none.columns == docs.columns, name
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == [1, 2, 4]  # texts without words are copies of one another, as are the ties
