@@ -192,59 +192,105 @@ def _suites(n: ast.AST):
             yield s
 
 
+def _on_operator(n: ast.BinOp):
+    kinds = _literal_kind(n.left), _literal_kind(n.right)
+    if isinstance(n.op, (ast.Add, ast.Sub)) and all(kinds) and kinds[0] != kinds[1]:
+        yield "S5607"
+    if isinstance(n.op, ast.Mod) and isinstance(_value(n.left), str) and isinstance(n.right, ast.Tuple) and not any(isinstance(e, ast.Starred) for e in n.right.elts):
+        marks = re.findall(r"%(?:%|(\([^)]*\))?[-#0 +]*(\*|\d+)?(?:\.(\*|\d+))?[hlL]?([diouxXeEfFgGcrsa]))", n.left.value)
+        used = [m for m in marks if m[3]]
+        if not any(m[0] for m in used) and sum(1 + (m[1] == "*") + (m[2] == "*") for m in used) != len(n.right.elts):
+            yield "S2275"
+
+
+def _on_condition(n: ast.BoolOp):
+    calls = [v for v in n.values if isinstance(v, ast.Call) and isinstance(v.func, ast.Attribute) and v.func.attr in ("startswith", "endswith") and len(v.args) == 1]
+    if isinstance(n.op, ast.Or) and any(a.func.attr == b.func.attr and _same(a.func.value, b.func.value) for i, a in enumerate(calls) for b in calls[:i]):
+        yield "S8513"
+
+
+def _on_subscript(n: ast.Subscript):
+    if not isinstance(n.ctx, ast.Load):
+        return
+    if isinstance(n.value, ast.Constant) and not isinstance(n.value.value, (str, bytes)):
+        yield "S5644"
+    negative = isinstance(n.slice, ast.UnaryOp)
+    index = _value(n.slice.operand if negative else n.slice)
+    if isinstance(index, float):
+        yield "S6663"
+    if _call(n.value, "sorted") and len(n.value.args) == 1 and index == int(negative):
+        yield "S8517"
+    if _call(n.value, "list") and len(n.value.args) == 1 and index == 0 and not negative:
+        yield "S8519"
+
+
+def _on_groups(n: ast.TryStar):
+    if any(h.type is not None and dotted(h.type) in ("ExceptionGroup", "BaseExceptionGroup") for h in n.handlers):
+        yield "S6468"
+
+
+def _on_assert(n: ast.Assert):
+    if isinstance(n.test, ast.Constant) and n.test.value is False and n.msg is None:
+        yield "S9077"
+
+
+def _on_import(n: ast.ImportFrom):
+    if n.module == "pytest" and not n.level:
+        yield "S9084"
+
+
+def _on_with(n: ast.With | ast.AsyncWith):
+    if any(_call(i.context_expr, "pytest.raises", "self.assertRaises") for i in n.items) and len(n.body) > 1 and isinstance(n.body[-1], ast.Assert):
+        yield "S5915"
+
+
+def _on_if(n: ast.If):
+    if len(n.body) != 1 or n.orelse or not isinstance(n.test, ast.Compare) or len(n.test.ops) != 1 or not isinstance(n.test.ops[0], ast.In):
+        return
+    s = n.body[0].value if isinstance(n.body[0], ast.Expr) else None
+    if isinstance(s, ast.Call) and isinstance(s.func, ast.Attribute) and s.func.attr == "remove" and len(s.args) == 1 and _same(s.func.value, n.test.comparators[0]) and _same(s.args[0], n.test.left):
+        yield "S8492"
+
+
+def _on_suite(suite: list[ast.stmt]):
+    """An item that is written and written again by the next statement, which doesn't read it."""
+    for a, b in zip(suite, suite[1:]):
+        if all(isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Subscript) for x in (a, b)) and _same(a.targets[0], b.targets[0]):
+            read = ast.dump(ast.Subscript(a.targets[0].value, a.targets[0].slice, ast.Load()))
+            if not any(isinstance(x, ast.Subscript) and ast.dump(x) == read for x in ast.walk(b.value)):
+                yield "S4143"
+
+
+_BY_KIND = {
+    ast.Call: _on_call,
+    ast.FunctionDef: _on_function,
+    ast.AsyncFunctionDef: _on_function,
+    ast.ClassDef: _on_class,
+    ast.Compare: _on_compare,
+    ast.For: _on_loop,
+    ast.AsyncFor: _on_loop,
+    ast.BinOp: _on_operator,
+    ast.BoolOp: _on_condition,
+    ast.Subscript: _on_subscript,
+    ast.TryStar: _on_groups,
+    ast.Assert: _on_assert,
+    ast.ImportFrom: _on_import,
+    ast.With: _on_with,
+    ast.AsyncWith: _on_with,
+    ast.If: _on_if,
+}
+_WITH_SUITES = (ast.Module, *_F, ast.ClassDef, ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.TryStar)
+
+
 def checks(n: ast.AST) -> list[str]:
     """Keys of the rules that the node breaks, sorted."""
-    found: set[str] = set()
-    if isinstance(n, ast.Call):
-        found.update(_on_call(n))
-    elif isinstance(n, _F):
-        found.update(_on_function(n))
-    elif isinstance(n, ast.ClassDef):
-        found.update(_on_class(n))
-    elif isinstance(n, ast.Compare):
-        found.update(_on_compare(n))
-    elif isinstance(n, (ast.For, ast.AsyncFor)):
-        found.update(_on_loop(n))
-    elif isinstance(n, ast.BinOp):
-        kinds = _literal_kind(n.left), _literal_kind(n.right)
-        if isinstance(n.op, (ast.Add, ast.Sub)) and all(kinds) and kinds[0] != kinds[1]:
-            found.add("S5607")
-        if isinstance(n.op, ast.Mod) and isinstance(_value(n.left), str) and isinstance(n.right, ast.Tuple) and not any(isinstance(e, ast.Starred) for e in n.right.elts):
-            marks = re.findall(r"%(?:%|(\([^)]*\))?[-#0 +]*(\*|\d+)?(?:\.(\*|\d+))?[hlL]?([diouxXeEfFgGcrsa]))", n.left.value)
-            used = [m for m in marks if m[3]]
-            if not any(m[0] for m in used) and sum(1 + (m[1] == "*") + (m[2] == "*") for m in used) != len(n.right.elts):
-                found.add("S2275")
-    elif isinstance(n, ast.BoolOp) and isinstance(n.op, ast.Or):
-        calls = [v for v in n.values if isinstance(v, ast.Call) and isinstance(v.func, ast.Attribute) and v.func.attr in ("startswith", "endswith") and len(v.args) == 1]
-        if any(a.func.attr == b.func.attr and _same(a.func.value, b.func.value) for i, a in enumerate(calls) for b in calls[:i]):
-            found.add("S8513")
-    elif isinstance(n, ast.Subscript) and isinstance(n.ctx, ast.Load):
-        if isinstance(n.value, ast.Constant) and not isinstance(n.value.value, (str, bytes)):
-            found.add("S5644")
-        index = n.slice.operand if isinstance(n.slice, ast.UnaryOp) else n.slice
-        if isinstance(_value(index), float):
-            found.add("S6663")
-        if _call(n.value, "sorted") and len(n.value.args) == 1 and _value(index) in (0, 1) and (_value(index) == 0) != isinstance(n.slice, ast.UnaryOp):
-            found.add("S8517")
-        if _call(n.value, "list") and len(n.value.args) == 1 and _value(n.slice) == 0:
-            found.add("S8519")
-    elif isinstance(n, ast.TryStar) and any(h.type is not None and dotted(h.type) in ("ExceptionGroup", "BaseExceptionGroup") for h in n.handlers):
-        found.add("S6468")
-    elif isinstance(n, ast.Assert) and _value(n.test) is False and isinstance(n.test, ast.Constant) and n.msg is None:
-        found.add("S9077")
-    elif isinstance(n, ast.ImportFrom) and n.module == "pytest" and not n.level:
-        found.add("S9084")
-    elif isinstance(n, (ast.With, ast.AsyncWith)) and any(_call(i.context_expr, "pytest.raises", "self.assertRaises") for i in n.items) and len(n.body) > 1 and isinstance(n.body[-1], ast.Assert):
-        found.add("S5915")
-    elif isinstance(n, ast.If) and len(n.body) == 1 and not n.orelse and isinstance(n.test, ast.Compare) and len(n.test.ops) == 1 and isinstance(n.test.ops[0], ast.In):
-        s = n.body[0].value if isinstance(n.body[0], ast.Expr) else None
-        if isinstance(s, ast.Call) and isinstance(s.func, ast.Attribute) and s.func.attr == "remove" and len(s.args) == 1 and _same(s.func.value, n.test.comparators[0]) and _same(s.args[0], n.test.left):
-            found.add("S8492")
-    for suite in _suites(n):
-        for a, b in zip(suite, suite[1:]):
-            if all(isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Subscript) for x in (a, b)) and _same(a.targets[0], b.targets[0]) and not any(_same(x, y) for x in ast.walk(b.value) if isinstance(x, ast.Subscript) for y in [ast.Subscript(a.targets[0].value, a.targets[0].slice, ast.Load())]):
-                found.add("S4143")
-    return sorted(found)
+    kind = type(n)
+    check = _BY_KIND.get(kind)
+    found = set(check(n)) if check else set()
+    if kind in _WITH_SUITES:
+        for suite in _suites(n):
+            found.update(_on_suite(suite))
+    return sorted(found) if found else []
 
 
 #: Key, kinds of nodes, message.
