@@ -275,39 +275,47 @@ def _symbols(path: str, text: str):
             yield scope, s, free
 
 
-def facts(path: str, text: str | None) -> list[tuple]:
-    """The rows of one file."""
+def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset()) -> list[tuple]:
+    """The rows of one file, or only those of some kinds; parse errors come always."""
     text = text or ""
     _WALKED.clear()
+    named = not kinds or "Symbol" in kinds
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-            symbols = list(_symbols(path, text))
+            symbols = list(_symbols(path, text)) if named else []
+            if not named:
+                symtable.symtable(text, path, "exec")  # refuses some texts that parse
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         line = getattr(e, "lineno", 0) or 0
         return [(path, 0, -1, "ParseError", "", "", 0, 0, 0, 0, -1, -1, type(e).__name__, "", line, 0, line, 0, [])]
     digest = _digests(tree)
-    rows: list[list] = []
+    rows: list[list | None] = []
+    parents: list[int] = []
     todo: list[tuple] = [(tree, -1, "", "", 0, 0, 0, -1, -1, ())]
-    number: dict[int, int] = {}
     while todo:
         n, parent, parent_kind, field, at, depth, nesting, fn, cls, around = todo.pop()
-        me = number[id(n)] = len(rows)
-        name, attrs = _attributes(n, digest)
-        if isinstance(n, ast.Call) and name in _REGEX_CALLS and n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str):
-            attrs["regex"] = f",{','.join(sorted(regex_rules(n.args[0].value)))},"
-        broken = checks(n)
-        if broken:
-            attrs["checks"] = f",{','.join(broken)},"
+        me, kind = len(rows), type(n).__name__
         inner = nesting + isinstance(n, _NESTING)
-        rows.append([path, me, parent, type(n).__name__, parent_kind, field, at, me, depth, inner, fn, cls, name, digest[id(n)], getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in attrs.items()] + [(k, "true") for k in around]])
+        parents.append(parent)
+        if kinds and kind not in kinds:
+            rows.append(None)
+        else:
+            name, attrs = _attributes(n, digest)
+            if isinstance(n, ast.Call) and name in _REGEX_CALLS and n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str):
+                attrs["regex"] = f",{','.join(sorted(regex_rules(n.args[0].value)))},"
+            broken = checks(n)
+            if broken:
+                attrs["checks"] = f",{','.join(broken)},"
+            shown = [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in attrs.items()] + [(k, "true") for k in around]
+            rows.append([path, me, parent, kind, parent_kind, field, at, me, depth, inner, fn, cls, name, digest[id(n)], getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, shown])
         own_fn, own_cls = (me, -1) if isinstance(n, (*_FUNCTIONS, ast.Lambda)) else (fn, me) if isinstance(n, ast.ClassDef) else (fn, cls)
         inner = 0 if isinstance(n, (*_FUNCTIONS, ast.ClassDef)) else inner
         children = []
         inherited = tuple(k for k in around if k in ("in_async", "special_method", "in_handler"))
         if isinstance(n, (*_FUNCTIONS, ast.Lambda)):
-            inherited = tuple(k for k in inherited if k == "in_handler") + ("in_async",) * isinstance(n, ast.AsyncFunctionDef) + ("special_method",) * (name in _SPECIAL)
+            inherited = tuple(k for k in inherited if k == "in_handler") + ("in_async",) * isinstance(n, ast.AsyncFunctionDef) + ("special_method",) * (getattr(n, "name", "") in _SPECIAL)
         if isinstance(n, ast.ExceptHandler) and "in_handler" not in inherited:
             inherited += ("in_handler",)
         for name, value in ast.iter_fields(n):
@@ -317,19 +325,21 @@ def facts(path: str, text: str | None) -> list[tuple]:
                 if isinstance(v, ast.AST) and not isinstance(v, (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)):
                     elif_ = isinstance(n, ast.If) and name == "orelse" and len(n.orelse) == 1 and isinstance(v, ast.If)
                     place = inherited + ("prior_unreachable",) * unreachable + ("last_in_suite",) * (i == len(suite) - 1 and isinstance(v, ast.stmt))
-                    children.append((v, me, type(n).__name__, "unreachable" if seen_jump else "elif" if elif_ else name, i, depth + 1, inner - elif_, own_fn, own_cls, place))
+                    children.append((v, me, kind, "unreachable" if seen_jump else "elif" if elif_ else name, i, depth + 1, inner - elif_, own_fn, own_cls, place))
                     unreachable, seen_jump = seen_jump, isinstance(v, _JUMPS)
         todo.extend(reversed(children))
-    for r in reversed(rows):  # the last descendant, in preorder
-        if r[2] >= 0:
-            p = rows[r[2]]
-            p[7] = max(p[7], r[7])
+    last = list(range(len(rows)))
+    for i in range(len(rows) - 1, 0, -1):  # the last descendant, in preorder
+        last[parents[i]] = max(last[parents[i]], last[i])
+    for i, r in enumerate(rows):
+        if r is not None:
+            r[7] = last[i]
     for scope, s, free in symbols:
         kind = str(scope.get_type()).rsplit(".", 1)[-1].lower()
         flags = {"scope": kind, "where": scope.get_name(), "parameter": s.is_parameter(), "imported": s.is_imported(), "assigned": s.is_assigned(), "used": s.is_referenced() or free, "free": s.is_free(), "global": s.is_global(), "local": s.is_local()}
         line = scope.get_lineno()
         rows.append([path, len(rows), -1, "Symbol", "", "", 0, len(rows), 0, 0, -1, -1, s.get_name(), "", line, 0, line, 0, [(k, str(v).lower()) for k, v in flags.items()]])
-    return [tuple(r) for r in rows]
+    return [tuple(r) for r in rows if r is not None]
 
 
 #: Rows of one record batch, about.
@@ -337,10 +347,12 @@ _ROWS = 20_000
 
 
 def nodes(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """The facts of files (path, text), or only the nodes of some kinds."""
+    """The facts of files (path, text), or only the nodes of some kinds and parse errors."""
     names = [c.split()[0] for c in NODES.split(",") if c.strip() and not c.strip().startswith("string>")]
     types = [pa.string(), *[pa.int32()] * 2, pa.string(), pa.string(), pa.string(), *[pa.int32()] * 6, pa.string(), pa.string(), *[pa.int32()] * 4, pa.map_(pa.string(), pa.string())]
 
+    wanted = frozenset(kinds)
+
     def run(batches):
         rows: list[tuple] = []
 
@@ -349,8 +361,7 @@ def nodes(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
 
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = facts(path, text)
-                rows += [r for r in found if r[3] in kinds] if kinds else found
+                rows += facts(path, text, wanted)
                 if len(rows) >= _ROWS:
                     yield batch()
                     rows.clear()
