@@ -96,7 +96,7 @@ SIGNATURES = {
     ),
     "unencumbered": ((4, "unlicense", "this is free and unencumbered software released into the public domain"),),
     "beerware": ((4, "beerware", "the beerware licen[cs]e(?: revision 42)?"), (2, "beerware", "beerware")),
-    "do what the": ((4, "wtfpl", "do what the (?:fuck|f [^ ]+) you want to public licen[cs]e"),),
+    "want to public": ((4, "wtfpl", "do what the (?:fuck|f [^ ]+) you want to public licen[cs]e"),),
     "wtfpl": ((2, "wtfpl", "wtfpl(?: version)?(?: 2)?"),),
     "unlicense": ((3, "unlicense", "(?:released|licensed|placed) under the unlicense"), (2, "unlicense", "(?:the )?unlicense")),
     "public domain": (
@@ -278,11 +278,14 @@ _HIT = "array<struct<start:int,stop:int,priority:int,rank:int,label:string>>"
 _EDGES = "struct<e1:int,e2:int,e3:int,e4:int>"
 
 
-#: The signatures with their places in the order, and the keywords' words, the rarer first: every matching text holds all of one.
+#: The signatures with their places in the order.
 _RANKED: dict[str, list[tuple[int, int, str, str]]] = {}
 for _rank, (_key, _found) in enumerate((k, x) for k, found in SIGNATURES.items() for x in found):
     _RANKED.setdefault(_key, []).append((_rank, *_found))
-_GATE = sorted({tuple(sorted(set(k.split(" ")), key=lambda w: (-len(w), w))) for k in SIGNATURES})
+#: Words that stand for a keyword which is part of longer ones; any other keyword goes by its longest word.
+_FORMS = {"bsd": ("bsd", "0bsd"), **{k: tuple(k + v + n for v in ("", "v") for n in ("", "1", "2", "3") if n or not v) for k in ("gpl", "lgpl", "agpl", "mpl")}}
+#: One of these is among the words of every text that a rule can match.
+_GATE = sorted({w for k in SIGNATURES for w in _FORMS.get(k, (max(k.split(" "), key=lambda x: (len(x), x)),))})
 
 
 def _q(s: str) -> str:
@@ -294,12 +297,6 @@ def _count(text: str) -> str:
     return f"size(filter(split({text}, {_q(_G)}, -1), w -> w <> ''))"
 
 
-def _count_whole(text: str) -> str:
-    """SQL: the same by the number of parts, less an empty one at either end."""
-    edge = _q("^" + _G)
-    return f"if({text} = '', 0, size(split({text}, {_q(_G)}, -1)) - int(left({text}, 1) rlike {edge}) - int(right({text}, 1) rlike {edge}))"
-
-
 def _walk(text: str, found: str, pattern: str, measure: str, kind: str, item: str) -> str:
     """SQL: places of the matches ``found``; positions ``acc`` are sums of ``measure`` over what stands before."""
     gaps = f"slice(split({text}, {pattern}, -1), 1, size({found}))"
@@ -310,20 +307,22 @@ def _walk(text: str, found: str, pattern: str, measure: str, kind: str, item: st
 def license_scan(df: DataFrame, text: str = "text", prefix: str = "license_") -> DataFrame:
     """All columns and ``prefix`` + n_words, base (array of (word, label)), hits (kept detections over the
     text's words joined by single spaces: start, stop, priority, label)."""
-    body, low, found, lower = (own_name(df, f"__{x}") for x in ("text", "low", "found", "lower"))
+    body, low, found, lower, words = (own_name(df, f"__{x}") for x in ("text", "low", "found", "lower", "words"))
     out = df.withColumn(body, whole_text(text))
     out = out.withColumn(lower, F.lower(body))
     may = " or ".join("(" + " and ".join(f"contains({lower}, '{w}')" for w in p.split(" ")) + ")" for p, _ in BASE_PHRASES)
     out = out.withColumn(found, F.expr(f"if({may}, regexp_extract_all({body}, {_q(_BASE)}, 0), cast(array() as array<string>))"))
     label = "case lower(left(x.m, 2)) " + " ".join(f"when '{p[:2]}' then '{label}'" for p, label in BASE_PHRASES) + " end"
     base = _walk(body, found, _q(_BASE), _count("{}"), "array<struct<word:int,label:string>>", f"named_struct('word', acc + x.g, 'label', {label})")
-    may_hold = " or ".join("(" + " and ".join(f"contains({lower}, '{w}')" for w in words) + ")" for words in _GATE)
-    one_space = f"concat(' ', array_join(filter(split({lower}, {_q(_G)}, -1), w -> w <> ''), ' '), ' ')"
+    # separators are ASCII, so that the lower-case text has the same words
+    out = out.withColumn(words, F.expr(f"split({lower}, {_q(_G)}, -1)"))
+    ends = f"int({words}[0] = '') + int(size({words}) > 1 and element_at({words}, -1) = '')"
+    gate = f"arrays_overlap({words}, array({', '.join(map(_q, _GATE))}))"
     out = out.withColumns(
         {
-            prefix + "n_words": F.expr(f"cast({_count_whole(body)} as long)"),
+            prefix + "n_words": F.expr(f"cast(size({words}) - ({ends}) as long)"),
             prefix + "base": F.expr(f"if(size({found}) = 0, cast(array() as array<struct<word:int,label:string>>), {base})"),
-            low: F.expr(f"if({may_hold}, {one_space}, '')"),
+            low: F.expr(f"if({gate}, concat(' ', array_join(filter({words}, w -> w <> ''), ' '), ' '), '')"),
         }
     )
     groups = F.array(
@@ -348,7 +347,7 @@ def license_scan(df: DataFrame, text: str = "text", prefix: str = "license_") ->
     seen = running("hits", "array<struct<hit:struct<start:int,stop:int,priority:int,rank:int,label:string>,inside:boolean>>", zero, step, merge, f"named_struct('hit', x, 'inside', {inside})", _EDGES)
     swept = f"transform(filter(transform(array({ordered}), hits -> {seen})[0], h -> not h.inside), h -> h.hit)"
     out = out.withColumn(prefix + "hits", F.expr(f"if(size({raw}) = 0, {raw}, {swept})"))
-    return out.drop(body, low, lower, found, chosen, raw)
+    return out.drop(body, low, lower, words, found, chosen, raw)
 
 
 def license_digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
