@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, gif, html_text, licenses, pii, quality, sentencepiece_fst, simhash, substring_dedup, warc
+from . import decontamination, filter_audit, gif, html_text, licenses, pii, quality, sentencepiece_fst, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -56,6 +60,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_gif, op2_html, op3_pii, op4_licenses, op5_substring, op6_sentencepiece, op7_warc, op8_simhash, op9_decontamination, op10_quality, pipeline)
+    for f in (op1_gif, op2_html, op3_pii, op4_licenses, op5_substring, op6_sentencepiece, op7_warc, op8_simhash, op9_decontamination, op10_quality, op13_filter_audit, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_filter_audit": filter_audit.ORACLE_SQL}
