@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, gif, html_text, licenses, pii, quality, sentencepiece_fst, simhash, substring_dedup, warc
+from . import decontamination, filter_audit, gif, hard_negatives, html_text, licenses, pii, quality, sentencepiece_fst, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -48,6 +49,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +66,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_gif, op2_html, op3_pii, op4_licenses, op5_substring, op6_sentencepiece, op7_warc, op8_simhash, op9_decontamination, op10_quality, op13_filter_audit, pipeline)
+    for f in (op1_gif, op2_html, op3_pii, op4_licenses, op5_substring, op6_sentencepiece, op7_warc, op8_simhash, op9_decontamination, op10_quality, op11_hard_negatives, op13_filter_audit, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {"op13_filter_audit": filter_audit.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
