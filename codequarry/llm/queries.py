@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, gif, hard_negatives, html_text, licenses, pii, quality, sentencepiece_fst, simhash, substring_dedup, warc
+from . import decontamination, filter_audit, gif, hard_negatives, html_text, licenses, minhash, pii, quality, sentencepiece_fst, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +70,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_gif, op2_html, op3_pii, op4_licenses, op5_substring, op6_sentencepiece, op7_warc, op8_simhash, op9_decontamination, op10_quality, op11_hard_negatives, op13_filter_audit, pipeline)
+    for f in (op1_gif, op2_html, op3_pii, op4_licenses, op5_substring, op6_sentencepiece, op7_warc, op8_simhash, op9_decontamination, op10_quality, op11_hard_negatives, op12_minhash, op13_filter_audit, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
