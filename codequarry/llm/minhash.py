@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, durable, frequent_keys, mix, salted, whole_text
+from .common import arrow_map, durable, frequent_keys, mix, salted, whole_text
 from .components import components
-from .set_links import clusters, exact_links, find_leaders, named_rows, set_name, sets, short_name
+from .set_links import SAMPLE, clusters, exact_links, find_leaders, key_counts, met, named_rows, new_sets, packed, pairs
 
 SHINGLE, SIMILARITY = 2, 0.8
 HASHES, RADIUS, CHUNKS = 96, 37, 19
@@ -71,83 +71,9 @@ def keys(signs: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(h, begins, axis=1)[:, _CHUNK_OF] - h + _KEY)
 
 
-def _new_sets(batches, leaders, shingle: int):
-    """Non-empty sets that are new to the task and follow no leader, with their short names, in chunks."""
-    seen: set[int] = set()
-    for b in batches:
-        texts = b.column("t").to_pylist()
-        sizes = [x.encode() for x in texts]
-        for i, j in chunks(sizes):
-            names, found = [], []
-            for x in sets(texts[i:j], shingle):
-                short = short_name(set_name(x))
-                if len(x) and short not in seen:
-                    seen.add(short)
-                    if not leaders.compare(x)[0]:
-                        names.append(short)
-                        found.append(x)
-            if found:
-                yield np.array(names, dtype=np.int64), found
-
-
-def _key_counts(texts: DataFrame, leaders, shingle: int, n: int) -> dict[int, int]:
-    """About how many entries a key has, for those that a sample of texts finds often."""
-    from .set_links import SAMPLE
-
-    step = max(1, n // SAMPLE)
-
-    def run(batches):
-        for _, found in _new_sets(batches, leaders.value, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array(keys(signatures(found)).ravel().view(np.int64))], names=["key"])
-
-    counts = arrow_map(texts.where(F.pmod("th", F.lit(step)) == 0), run, "key long").groupBy("key").count()
-    return {r.key: r["count"] * step for r in counts.where(F.col("count") * step > KEY_BLOCK).where("count >= 8").collect()}
-
-
-def _entries(texts: DataFrame, leaders, often, buckets: int, shingle: int) -> DataFrame:
-    """(bucket, rows): five longs an entry (key, short name, bits), packed by bucket."""
-
-    def run(batches):
-        for names, found in _new_sets(batches, leaders.value, shingle):
-            signs = signatures(found)
-            key = keys(signs).ravel()
-            rows = np.empty((len(key), 2 + _WORDS), np.int64)
-            rows[:, 0], rows[:, 1] = key.view(np.int64), np.repeat(names, HASHES)
-            rows[:, 2:] = np.repeat(two_bits(signs).view(np.int64), HASHES, axis=0)
-            to = mix(key) % np.uint64(buckets)
-            if often.value:
-                # a frequent key's entries go to all pairs of blocks that theirs is in
-                extra, target = [], []
-                for at in np.flatnonzero(np.isin(rows[:, 0], list(often.value))).tolist():
-                    n = often.value[int(rows[at, 0])]
-                    own = int(mix(rows[at : at + 1, 1].view(np.uint64))[0] % np.uint64(n))
-                    pairs = np.array([min(own, i) * n + max(own, i) + 1 for i in range(n)], dtype=np.uint64)
-                    extra.append(np.repeat(rows[at : at + 1], n, axis=0))
-                    target.append(mix(mix(key[at : at + 1]) ^ pairs) % np.uint64(buckets))
-                if extra:
-                    rest = ~np.isin(rows[:, 0], list(often.value))
-                    rows, to = np.concatenate([rows[rest], *extra]), np.concatenate([to[rest], *target])
-            order = np.argsort(to, kind="stable")
-            rows, to = rows[order], to[order].astype(np.int32)
-            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            end = np.append(at[1:], len(to))
-            yield pa.RecordBatch.from_arrays([pa.array(to[at]), pa.array([rows[s:e].tobytes() for s, e in zip(at, end)], pa.binary())], names=["bucket", "rows"])
-
-    return arrow_map(texts.select("t"), run, "bucket int, rows binary")
-
-
 def _meet(group: pa.Table) -> pa.Table:
     """A spanning forest of the entries of each key of a bucket that are within the radius."""
-    rows = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.int64).reshape(-1, 2 + _WORDS)
-    order = np.argsort(rows[:, 0], kind="stable")
-    key = rows[order, 0]
-    same = key[1:] == key[:-1]
-    rows = rows[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    if len(rows):
-        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
-    at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
-    end = np.append(at[1:], len(rows)) if len(rows) else at
+    rows, at, end = met(group, 2 + _WORDS)
     name, bits = rows[:, 1], rows[:, 2:].view(np.uint64)
     two = at[end - at == 2]
     two = two[distance(bits[two], bits[two + 1]) <= RADIUS]
@@ -157,16 +83,29 @@ def _meet(group: pa.Table) -> pa.Table:
         of = clusters(e - s, lambda i, others: distance(own[others], own[i]) <= RADIUS)  # noqa: B023
         links = np.flatnonzero(of != np.arange(e - s))
         found.append(np.stack([name[s + of[links]], name[s + links]], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+    return pairs(found)
 
 
 def candidates(texts: DataFrame, leaders, n: int, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b): short names that join all sets of ``texts`` (t, th) whose signatures are within the radius. ``n`` rows."""
-    share = texts.sparkSession.sparkContext.broadcast
-    often = {k: -(-v // KEY_BLOCK) for k, v in _key_counts(texts, leaders, shingle, n).items()}
+    """(a, b): short names that join all sets of the ``n`` texts (t, th) whose signatures are within the radius."""
+    step = max(1, n // SAMPLE)
+
+    def sampled(batches):
+        for _, found in new_sets(batches, leaders.value, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(keys(signatures(found)).ravel().view(np.int64))], names=["key"])
+
+    often = texts.sparkSession.sparkContext.broadcast(key_counts(arrow_map(texts.where(F.pmod("th", F.lit(step)) == 0), sampled, "key long"), step, KEY_BLOCK))
     buckets = max(1, n * HASHES // BUCKET)
-    return _entries(texts, leaders, share(often), buckets, shingle).groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct()
+
+    def entries(batches):
+        for names, found in new_sets(batches, leaders.value, shingle):
+            signs = signatures(found)
+            rows = np.empty((len(names) * HASHES, 2 + _WORDS), np.int64)
+            rows[:, 0], rows[:, 1] = keys(signs).ravel().view(np.int64), np.repeat(names, HASHES)
+            rows[:, 2:] = np.repeat(two_bits(signs).view(np.int64), HASHES, axis=0)
+            yield packed(rows, often.value, buckets)
+
+    return arrow_map(texts.select("t"), entries, "bucket int, rows binary").groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

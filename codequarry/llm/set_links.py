@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, chunks, durable, frequent_keys, salted
+from .common import Words, arrow_map, chunks, durable, frequent_keys, mix, salted
 from .decontamination import _grams
 
 #: Sets and shingles of one block.
@@ -57,6 +57,73 @@ def short_name(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True) if name else 0
 
 
+def packed(rows: np.ndarray, often: dict[int, int], buckets: int) -> pa.RecordBatch:
+    """Entries, longs whose first two are a key and a short name, packed by the bucket they go to. The entries of a
+    key in ``often`` are dealt over so many blocks, and each goes to all pairs of blocks that its own is in."""
+    key = rows[:, 0].view(np.uint64)
+    to = mix(key) % np.uint64(buckets)
+    frequent = np.isin(rows[:, 0], np.fromiter(often, np.int64, len(often))) if often else np.zeros(len(rows), dtype=bool)
+    if frequent.any():
+        extra, target = [rows[~frequent]], [to[~frequent]]
+        own = mix(rows[frequent, 1].view(np.uint64))
+        for row, k, block in zip(rows[frequent], key[frequent], own):
+            n = often[int(row[0])]
+            b = int(block % np.uint64(n))
+            pairs = np.array([min(b, i) * n + max(b, i) + 1 for i in range(n)], dtype=np.uint64)
+            extra.append(np.repeat(row[None, :], n, axis=0))
+            target.append(mix(mix(np.full(n, k)) ^ pairs) % np.uint64(buckets))
+        rows, to = np.concatenate(extra), np.concatenate(target)
+    order = np.argsort(to, kind="stable")
+    rows, to = rows[order], to[order].astype(np.int32)
+    at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+    end = np.append(at[1:], len(to)) if len(to) else at
+    return pa.RecordBatch.from_arrays([pa.array(to[at]), pa.array([rows[s:e].tobytes() for s, e in zip(at, end)], pa.binary())], names=["bucket", "rows"])
+
+
+def met(group: pa.Table, width: int):
+    """The entries of a bucket by key and name, each once, and where the keys that several have begin and end."""
+    rows = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.int64).reshape(-1, width)
+    order = np.argsort(rows[:, 0], kind="stable")
+    same = np.diff(rows[order, 0]) == 0
+    rows = rows[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]] if len(rows) else rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    if len(rows):
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+    at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
+    end = np.append(at[1:], len(rows)) if len(rows) else at
+    several = end - at > 1
+    return rows, at[several], end[several]
+
+
+def pairs(found: list[np.ndarray]) -> pa.Table:
+    both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return pa.table({"a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
+
+
+def key_counts(keys: DataFrame, step: int, block: int) -> dict[int, int]:
+    """How many blocks each key needs that a sample (one text in ``step``) finds too often for one."""
+    counts = keys.groupBy("key").count().where((F.col("count") * step > block) & (F.col("count") >= 8))
+    return {r.key: -(-r["count"] * step // block) for r in counts.collect()}
+
+
+def new_sets(batches, leaders: "Leaders", shingle: int):
+    """Short names and sets, in chunks, of the non-empty sets that are new to the task and follow no leader."""
+    seen: set[int] = set()
+    for b in batches:
+        texts = b.column("t").to_pylist()
+        for i, j in chunks([x.encode() for x in texts]):
+            names, found = [], []
+            for x in sets(texts[i:j], shingle):
+                short = short_name(set_name(x))
+                if len(x) and short not in seen:
+                    seen.add(short)
+                    if not leaders.compare(x)[0]:
+                        names.append(short)
+                        found.append(x)
+            if found:
+                yield np.array(names, dtype=np.int64), found
+
+
 def similar(shared, a, b, similarity: float):
     return shared >= similarity * (a + b - shared) - _SLACK
 
