@@ -24,30 +24,39 @@ def _words(spark, sf_dir: str) -> DataFrame:
     return f.select("language", "path", F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+"), lambda w: w != "").alias("items"))
 
 
-def _token_windows(spark, sf_dir: str) -> DataFrame:
-    """The windows of words, of documents dealt over all partitions: a text gives a digest for each of its words."""
+def _maximal(spark, sf_dir: str, k: int) -> DataFrame:
+    """Maximal clones of the documents' words, with the documents dealt over all partitions."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return clones.token_windows(_words(spark, sf_dir).repartition(n, "path"), TOKENS)
+    return clones.maximal_clones(_words(spark, sf_dir).repartition(n, "path"), k)
 
 
-_TOKEN_SQL = f"""{core._FILES_SQL}, i AS (SELECT language, path, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS items FROM f),
+#: Every pair of equal windows, its runs along diagonals, and the ranges of one text: no window is left out for another.
+_TOKEN_SQL = f"""{core._FILES_SQL}, i AS (SELECT language, path, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS items FROM f),
     w AS (SELECT language, path, start::INT AS start, md5(array_to_string(items[start:start + {TOKENS - 1}], ' ')) AS digest FROM (SELECT *, unnest(range(1, len(items) - {TOKENS - 2})) AS start FROM i)),
-    p AS (SELECT *, count(*) OVER (PARTITION BY language, digest) AS n, first_value(path) OVER o AS first_path, first_value(start) OVER o AS first FROM w WINDOW o AS (PARTITION BY language, digest ORDER BY path, start)),
-    r AS (SELECT *, start - row_number() OVER (PARTITION BY language, path, first_path, first - start ORDER BY start) AS run FROM p WHERE n > 1),
-    matches AS (SELECT language, path, min(start)::INT AS start, (max(start) + {TOKENS - 1})::INT AS stop, first_path, min(first)::INT AS first_start FROM r GROUP BY language, path, first_path, first - start, run)"""
+    q AS (SELECT a.language, a.path, a.start, b.path AS other, b.start - a.start AS shift FROM w AS a JOIN w AS b USING (language, digest) WHERE (a.path, a.start) < (b.path, b.start)),
+    r AS (SELECT *, start - row_number() OVER (PARTITION BY language, path, other, shift ORDER BY start) AS run FROM q),
+    m AS (SELECT language, path, other, shift, min(start) AS start, max(start) + {TOKENS - 1} AS stop FROM r GROUP BY language, path, other, shift, run),
+    o AS (SELECT language, path, start, stop FROM m UNION SELECT language, other, start + shift, stop + shift FROM m),
+    members AS (SELECT o.language, o.path, o.start::INT AS start, o.stop::INT AS stop, (o.stop - o.start + 1)::INT AS length, md5(array_to_string(i.items[o.start:o.stop], ' ')) AS digest FROM o JOIN i USING (language, path)),
+    matches AS MATERIALIZED (SELECT language, path, start, stop, length, digest, first_value(path) OVER g AS first_path, first_value(start) OVER g AS first_start FROM members WINDOW g AS (PARTITION BY language, length, digest ORDER BY path, start))"""
 
 
-@query(f"WITH {_TOKEN_SQL} SELECT * FROM matches")
+@query(f"WITH {_TOKEN_SQL} SELECT language, path, start, stop, first_path, first_start FROM matches")
 def token_clones(spark, sf_dir):
-    """Ranges of 100 words and more that occur again, each with the range of its group's first occurrence."""
-    return clones.clone_matches(_token_windows(spark, sf_dir), TOKENS)
+    """Maximal ranges of 100 words and more that occur again, each with the first range of its group."""
+    return clones.with_first(_maximal(spark, sf_dir, TOKENS))
 
 
-@query(f"WITH {_TOKEN_SQL} SELECT language, first_path, first_start, stop - start + 1 AS length, count(*) AS members, count(DISTINCT path) AS files FROM matches GROUP BY ALL HAVING count(*) > 1")
+@query(
+    f"""WITH {_TOKEN_SQL}, ranges AS (SELECT DISTINCT language, path, start, stop FROM matches),
+    covered AS (SELECT DISTINCT a.* FROM ranges AS a JOIN ranges AS b ON b.language = a.language AND b.path = a.path AND b.start <= a.start AND b.stop >= a.stop AND b.stop - b.start > a.stop - a.start),
+    free AS (SELECT DISTINCT language, length, digest FROM matches ANTI JOIN covered USING (language, path, start, stop))
+    SELECT language, first_path, first_start, length, count(*) AS members, count(DISTINCT path) AS files FROM matches SEMI JOIN free USING (language, length, digest) GROUP BY ALL"""
+)
 def token_clone_groups(spark, sf_dir):
-    """Groups of equal ranges of words: first place, length, members, files."""
-    m = clones.clone_matches(_token_windows(spark, sf_dir), TOKENS)
-    return m.groupBy("language", "first_path", "first_start", (F.col("stop") - F.col("start") + 1).alias("length")).agg(F.count("*").alias("members"), F.count_distinct("path").alias("files")).where("members > 1")
+    """Groups of equal maximal ranges of words that no longer ones suppress: first place, length, members, files."""
+    m = clones.with_first(clones.unsuppressed(_maximal(spark, sf_dir, TOKENS)))
+    return m.groupBy("language", "first_path", "first_start", (F.col("stop") - F.col("start") + 1).alias("length")).agg(F.count("*").alias("members"), F.count_distinct("path").alias("files"))
 
 
 _RANGES_SQL = "r AS (SELECT DISTINCT l_orderkey AS path, (l_partkey % 90)::INT AS start, (l_partkey % 90 + l_quantity)::INT AS stop FROM lineitem)"
