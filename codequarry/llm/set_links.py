@@ -96,8 +96,22 @@ def met(group: pa.Table, width: int):
 
 
 def pairs(found: list[np.ndarray]) -> pa.Table:
-    both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-    return pa.table({"a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
+    """The components of links of one task: each member (b) with the least one (a)."""
+    both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    nodes, at = np.unique(both, return_inverse=True)
+    at, least = at.reshape(-1, 2), np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[at[:, 0]], least[at[:, 1]])
+        now = least.copy()
+        for side in (0, 1):
+            np.minimum.at(now, least[at[:, side]], low)
+            np.minimum.at(now, at[:, side], low)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    others = np.flatnonzero(least != np.arange(len(nodes)))
+    return pa.table({"a": pa.array(nodes[least[others]]), "b": pa.array(nodes[others])})
 
 
 def key_counts(keys: DataFrame, step: int, block: int) -> dict[int, int]:
