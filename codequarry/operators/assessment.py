@@ -185,117 +185,3 @@ def assessment(findings: DataFrame, coverage: DataFrame, gate: DataFrame) -> Dat
     c = coverage.agg(F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))
     out = f.join(c).join(gate_status(gate).withColumnRenamed("status", "gate"))  # three tables of one row each
     return out.withColumn("consistent", (F.col("new") + F.col("existing") + F.col("uncertain") == F.col("findings")) & (F.col("covered") <= F.col("eligible")))
-
-
-# ---------------------------------------------------------------- fuzzy pairs of files
-
-
-def common_lines(a: list, b: list) -> int:
-    """Length of the longest common subsequence."""
-    if len(b) < len(a):
-        a, b = b, a
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    row = (1 << len(a)) - 1  # bit-parallel: a zero bit is a line of ``a`` that ends a longer chain
-    full = row
-    for x in b:
-        hit = row & where.get(x, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def fuzzy_candidates(current: DataFrame, reference: DataFrame, most: int = 200) -> DataFrame:
-    """path, reference_path, score of leftover files (path, digest, lines) that share a line: the longest common subsequence of lines.
-
-    Candidates meet on lines that at most ``most`` files of either side hold; a pair without such a
-    line isn't looked at, nor are files of equal content, which pairing by digest has settled.
-    """
-    line = lambda d, name: d.select(F.col("path").alias(name), F.explode(F.array_distinct("lines")).alias("line")).where("line <> ''")
-    few = lambda d: d.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("line")
-    c, r = line(current, "path"), line(reference, "reference_path")
-    rare = few(c).join(few(r), "line")
-    pairs = c.join(rare, "line").join(r, "line").select("path", "reference_path").distinct()
-    both = pairs.join(current.select("path", "digest", "lines"), "path").join(reference.select(F.col("path").alias("reference_path"), F.col("digest").alias("other_digest"), F.col("lines").alias("other")), "reference_path")
-
-    def score(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            n = [common_lines(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32())], names=["path", "reference_path", "score"])
-
-    return both.where("digest <> other_digest").select("path", "reference_path", "lines", "other").mapInArrow(score, "path string, reference_path string, score int").where("score > 0")
-
-
-def fuzzy_pairs(candidates: DataFrame) -> DataFrame:
-    """path, reference_path, pairing of the best candidates.
-
-    A current file takes its only best reference if that reference's own best score is untied; a
-    tie on either side, or a reference that an earlier path took, is ambiguous.
-    """
-    mine, theirs = Window.partitionBy("path"), Window.partitionBy("reference_path")
-    c = candidates.withColumns({"best": F.max("score").over(mine), "top": F.max("score").over(theirs)})
-    c = c.withColumns({"ties": F.count_if(F.col("score") == F.col("best")).over(mine), "rivals": F.count_if(F.col("score") == F.col("top")).over(theirs)}).where("score = best")
-    one = c.groupBy("path").agg(F.min("reference_path").alias("reference_path"), F.bool_or((F.col("ties") > 1) | (F.col("rivals") > 1)).alias("tied"))
-    clear = F.when(~F.col("tied"), F.col("reference_path"))
-    first = F.min(F.when(~F.col("tied"), F.col("path"))).over(Window.partitionBy(clear))
-    out = one.withColumn("taken", clear.isNotNull() & (first == F.col("path")))
-    return out.select("path", F.when(F.col("taken"), F.col("reference_path")).alias("reference_path"), F.when(F.col("taken"), "fuzzy").otherwise("ambiguous").alias("pairing"))
-
-
-# ---------------------------------------------------------------- alignment of lines
-
-
-def aligned(current: list, reference: list, cells: int = 4_000_000) -> tuple[list[int], bool] | None:
-    """Lines of ``current`` (from 1) that are in no longest common subsequence, and whether some line may be new or not.
-
-    A line is old if every longest chain holds it; it counts as new where one does without it, which
-    is uncertain unless all do, and so is an old line that may stand at several places. Tables of more than ``cells`` cells give None.
-    """
-    import numpy as np
-
-    n, m = len(current), len(reference)
-    if (n + 1) * (m + 1) > cells:
-        return None
-    ids: dict = {}
-    a = np.array([ids.setdefault(x, len(ids)) for x in current], dtype=np.int64)
-    b = np.array([ids.setdefault(x, len(ids)) for x in reference], dtype=np.int64)
-
-    def table(x, y):
-        """Lengths of the chains of all beginnings: a row at a time, as running maxima."""
-        out = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-        for i in range(len(x)):
-            step = np.where(y == x[i], out[i, :-1] + 1, out[i, 1:])
-            out[i + 1, 1:] = np.maximum.accumulate(step)
-        return out
-
-    before = table(a, b)
-    after = table(a[::-1], b[::-1])[::-1, ::-1]
-    longest = int(before[n, m])
-    new, uncertain = [], False
-    for i in range(n):
-        through = np.where(b == a[i], before[i, :-1] + 1 + after[i + 1, 1:], 0)
-        best = int(through.max()) if m else 0
-        if longest == 0 or best < longest:
-            new.append(i + 1)
-        else:
-            around = int((before[i] + after[i + 1]).max())
-            if around == longest:
-                new.append(i + 1)
-            uncertain |= around == longest or int((through == best).sum()) > 1
-    return new, uncertain
-
-
-def aligned_lines(pairs: DataFrame) -> DataFrame:
-    """path, new_lines, status (complete, uncertain, or too large) of paired files (path, lines, reference_lines)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [aligned(x or [], y or []) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            status = ["too large" if f is None else "uncertain" if f[1] else "complete" for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f and f[0] for f in found], pa.list_(pa.int32())), pa.array(status, pa.string())], names=["path", "new_lines", "status"])
-
-    return pairs.select("path", "lines", "reference_lines").mapInArrow(run, "path string, new_lines array<int>, status string")

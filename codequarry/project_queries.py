@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import program_queries as programs
 from . import queries as core
 from .functions.text import line_checksum, rfc3339
-from .operators import assessment, clones, history, lexical_rules, lines
+from .operators import assessment, clones, history, lexical_rules, line_pairs, lines
 from .plans import reports
 from .registry import ORACLE_SQL, query, table, values
 from .sources import files as sources
@@ -169,11 +169,51 @@ def baseline_reading(spark, sf_dir):
 
 @query()
 def fuzzy_pairs(spark, sf_dir):
-    """German files under other names and without their first line, paired by common lines (no SQL: longest common subsequences)."""
-    f = core._files(spark, sf_dir).where("language = 'de'").select("path", F.coalesce("text", F.lit("")).alias("text"))
+    """All files under other names and without their first line, paired by common lines (no SQL: longest common subsequences)."""
+    f = core._files(spark, sf_dir).select("path", F.coalesce("text", F.lit("")).alias("text"))
     cut = f.select(F.concat(F.lit("new/"), "path").alias("path"), F.regexp_replace("text", "^[^\n]*\n", "").alias("text"))
     shape = lambda d: d.select("path", F.md5("text").alias("digest"), F.split("text", "\n", -1).alias("lines"))
-    return assessment.fuzzy_pairs(assessment.fuzzy_candidates(shape(cut), shape(f)))
+    return line_pairs.fuzzy_pairs(line_pairs.fuzzy_candidates(shape(cut), shape(f)))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p FROM orders), old AS (SELECT 'old/' || c AS reference_path, k FROM o),
+    new AS (SELECT 'new/' || c AS path, k FROM o WHERE p <> '1-URGENT' UNION SELECT 'new/' || (c + 1), k FROM o WHERE k % 3 = 0),
+    a AS (SELECT path, string_agg(k, ',' ORDER BY k) AS t FROM new GROUP BY path), b AS (SELECT reference_path, string_agg(k, ',' ORDER BY k) AS t FROM old GROUP BY reference_path),
+    s AS (SELECT path, reference_path, count(*) AS score FROM new JOIN old USING (k) JOIN a USING (path) JOIN b USING (reference_path) WHERE a.t <> b.t GROUP BY ALL),
+    m AS (SELECT *, max(score) OVER (PARTITION BY path) AS best, max(score) OVER (PARTITION BY reference_path) AS top FROM s),
+    n AS (SELECT *, count(*) FILTER (score = best) OVER (PARTITION BY path) AS ties, count(*) FILTER (score = top) OVER (PARTITION BY reference_path) AS rivals FROM m),
+    k AS (SELECT path, min(reference_path) AS reference_path, bool_or(ties > 1 OR rivals > 1) AS tied FROM n WHERE score = best GROUP BY path),
+    f AS (SELECT reference_path, min(path) AS first FROM k WHERE NOT tied GROUP BY reference_path)
+    SELECT a.path, CASE WHEN NOT tied AND first = a.path THEN k.reference_path END AS reference_path, CASE WHEN NOT tied AND first = a.path THEN 'fuzzy' ELSE 'ambiguous' END AS pairing
+    FROM a LEFT JOIN k USING (path) LEFT JOIN f ON f.reference_path = k.reference_path"""
+)
+def renamed_files(spark, sf_dir):
+    """Customers' files of order numbers, of which some went and some came from a neighbour: which file became which. All have a last line in common."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))
+
+    def shape(rows: DataFrame) -> DataFrame:
+        keys = F.transform(F.array_sort(F.collect_set("k")), lambda k: k.cast("string"))
+        files = rows.groupBy("path").agg(F.concat(keys, F.array(F.lit("}"))).alias("lines"))
+        return files.select("path", F.md5(F.array_join("lines", "\n")).alias("digest"), "lines")
+
+    named = lambda d, folder, c: d.select(F.concat(F.lit(folder), c.cast("string")).alias("path"), "k")
+    new = named(o.where("p <> '1-URGENT'"), "new/", F.col("c")).union(named(o.where("k % 3 = 0"), "new/", F.col("c") + 1))
+    return line_pairs.fuzzy_pairs(line_pairs.fuzzy_candidates(shape(new), shape(named(o, "old/", F.col("c")))))
+
+
+@query(
+    """WITH o AS (SELECT (o_custkey % 100)::VARCHAR AS path, o_orderkey AS k, o_orderstatus = 'F' AS fresh, o_orderstatus <> 'F' AND o_orderpriority = '5-LOW' AS twice FROM orders),
+    l AS (SELECT path, fresh, twice, row_number() OVER (PARTITION BY path ORDER BY k, copy)::INT AS n FROM (SELECT *, unnest(CASE WHEN twice THEN [1, 2] ELSE [1] END) AS copy FROM o))
+    SELECT path, coalesce(string_agg(n, ',' ORDER BY n) FILTER (fresh OR twice), '') AS new_lines, CASE WHEN bool_or(twice) THEN 'uncertain' ELSE 'complete' END AS status FROM l GROUP BY path"""
+)
+def aligned_lines(spark, sf_dir):
+    """New lines of files of orders against an earlier snapshot: some orders are new, some lines stand twice where one stood."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).cast("string").alias("path"), F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("fresh"), ((F.col("o_orderstatus") != "F") & (F.col("o_orderpriority") == "5-LOW")).alias("twice"))
+    now = o.groupBy("path").agg(F.array_sort(F.collect_list("k")).alias("once"), F.array_sort(F.collect_list(F.when(F.col("twice"), F.col("k")))).alias("again"), F.array_sort(F.collect_list(F.when(~F.col("fresh"), F.col("k")))).alias("old"))
+    lines_of = lambda k: F.transform(k, lambda x: F.concat(F.lit("order "), x.cast("string")))
+    out = line_pairs.aligned_lines(now.select("path", lines_of(F.array_sort(F.concat("once", "again"))).alias("lines"), lines_of(F.col("old")).alias("reference_lines")))
+    return out.withColumn("new_lines", F.array_join(F.col("new_lines").cast("array<string>"), ","))
 
 
 # ---------------------------------------------------------------- findings, rules, fixes

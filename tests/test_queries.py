@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 
 from codequarry import program_queries, project_queries, queries  # noqa: F401
-from codequarry.operators import assessment, clones, history, lines
+from codequarry.operators import assessment, clones, history, line_pairs, lines
 from codequarry.plans import reports
 from codequarry.sources import reports as imports
 
@@ -40,7 +40,7 @@ def test_fuzzy_pairs_against_every_pair(spark):
     new = {f"n{i}": ([line()] + old[f"o{i}"][1:] if i % 2 and i < 12 else [line() for _ in range(5)]) for i in range(14)}
     for a in (*new.values(), *old.values()):
         for b in (*new.values(), *old.values()):
-            assert assessment.common_lines(a, b) == _lcs(a, b)
+            assert line_pairs.common_lines(a, b) == _lcs(a, b)
     shape = lambda d: spark.createDataFrame([(k, "".join(v), v) for k, v in d.items()], "path string, digest string, lines array<string>")
     score = {(n, o): _lcs(new[n], old[o]) for n in new for o in old if new[n] != old[o] and _lcs(new[n], old[o])}
     want, used = {}, set()
@@ -53,14 +53,37 @@ def test_fuzzy_pairs_against_every_pair(spark):
         clear = len(best) == 1 and rivals.count(max(rivals)) == 1 and best[0] not in used
         want[n] = (best[0], "fuzzy") if clear else (None, "ambiguous")
         used.update(best if clear else [])
-    found = assessment.fuzzy_pairs(assessment.fuzzy_candidates(shape(new), shape(old))).collect()
+    found = line_pairs.fuzzy_pairs(line_pairs.fuzzy_candidates(shape(new), shape(old))).collect()
     assert {r.path: (r.reference_path, r.pairing) for r in found} == want
     assert {p for _, p in want.values()} == {"fuzzy", "ambiguous"}
 
 
+def test_fuzzy_pairs_of_files_with_two_common_lines(spark):
+    """All files have two lines in common, many lack any other, and some have equal kept lines or equal contents."""
+    rng = random.Random(4)
+    old = {f"o{i:03}": ["{", *(f"own {i} {j}" for j in range(i % 7)), "}"] for i in range(230)}
+    new = {f"n{i:03}": [x for x in old[f"o{i:03}"] if rng.random() < 0.8] + ["}"] * (i % 11 == 0) for i in range(230)}
+    new.update({f"m{i}": ["nothing", f"in common {i}"] for i in range(3)})
+    shape = lambda d: spark.createDataFrame([(k, "\n".join(v), v) for k, v in d.items()], "path string, digest string, lines array<string>")
+    score = {(n, o): line_pairs.common_lines(new[n], old[o]) for n in new for o in old if new[n] != old[o]}
+    best, top = ({k: max((s for p, s in score.items() if p[side] == k), default=0) for k in d} for side, d in ((0, new), (1, old)))
+    want, used = {}, set()
+    for n in sorted(new):
+        mine = [o for o in old if best[n] and score.get((n, o)) == best[n]]
+        if mine:
+            rivals = sum(score.get((m, mine[0])) == top[mine[0]] for m in new)
+            clear = len(mine) == 1 and rivals == 1 and mine[0] not in used
+            want[n] = (mine[0], "fuzzy") if clear else (None, "ambiguous")
+            used.update(mine if clear else [])
+    candidates = line_pairs.fuzzy_candidates(shape(new), shape(old), rare=2).persist()
+    assert candidates.count() < 8 * (len(new) + len(old))
+    assert {r.path: (r.reference_path, r.pairing) for r in line_pairs.fuzzy_pairs(candidates).collect()} == want
+    assert {p for _, p in want.values()} == {"fuzzy", "ambiguous"} and len(want) == 230
+
+
 def test_rivals_for_one_reference_stay_ambiguous(spark):
     c = spark.createDataFrame([("n1", "o1", 5), ("n2", "o1", 5), ("n3", "o2", 4), ("n3", "o3", 4), ("n4", "o4", 2), ("n5", "o4", 3)], "path string, reference_path string, score int")
-    found = {r.path: (r.reference_path, r.pairing) for r in assessment.fuzzy_pairs(c).collect()}
+    found = {r.path: (r.reference_path, r.pairing) for r in line_pairs.fuzzy_pairs(c).collect()}
     assert found == {"n1": (None, "ambiguous"), "n2": (None, "ambiguous"), "n3": (None, "ambiguous"), "n4": ("o4", "fuzzy"), "n5": (None, "ambiguous")}
 
 
@@ -119,10 +142,22 @@ def _chains(a, b):
     return set(found)
 
 
+def test_alignment_of_long_files():
+    rng = random.Random(7)
+    base = [rng.choice(["", "}"]) if rng.random() < 0.3 else f"line {i}" for i in range(12_000)]
+    now = list(base)
+    for i in range(50):
+        now.insert(rng.randrange(len(now)), f"new {i}")
+    new, uncertain = line_pairs.aligned(now, base)
+    assert not uncertain and [now[i - 1] for i in new] == [x for x in now if x.startswith("new")]
+    now.insert(now.index("line 1"), "line 1")
+    assert line_pairs.aligned(now, base)[1] and len(line_pairs.aligned(now, base)[0]) == 52
+
+
 def test_alignment_against_all_chains(spark):
     rng = random.Random(6)
     rows = [(str(i), [rng.choice("abcd") for _ in range(rng.randrange(6))], [rng.choice("abcd") for _ in range(rng.randrange(6))]) for i in range(120)]
-    found = {r.path: r for r in assessment.aligned_lines(spark.createDataFrame(rows, "path string, lines array<string>, reference_lines array<string>")).collect()}
+    found = {r.path: r for r in line_pairs.aligned_lines(spark.createDataFrame(rows, "path string, lines array<string>, reference_lines array<string>")).collect()}
     for path, a, b in rows:
         chains = _chains(a, b)
         new, uncertain = [], False
@@ -132,4 +167,4 @@ def test_alignment_against_all_chains(spark):
                 new.append(i + 1)
             uncertain |= len(places) > 1
         assert (found[path].new_lines, found[path].status) == (new, "uncertain" if uncertain else "complete"), (a, b)
-    assert assessment.aligned(["x"] * 3000, ["y"] * 3000) is None
+    assert line_pairs.aligned(["x"] * 3000, ["y"] * 3000) == (list(range(1, 3001)), False)
