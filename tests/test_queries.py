@@ -78,7 +78,7 @@ def test_fuzzy_pairs_of_files_with_two_common_lines(spark):
     candidates = line_pairs.fuzzy_candidates(shape(new), shape(old), rare=2).persist()
     assert candidates.count() < 8 * (len(new) + len(old))
     assert {r.path: (r.reference_path, r.pairing) for r in line_pairs.fuzzy_pairs(candidates).collect()} == want
-    assert {p for _, p in want.values()} == {"fuzzy", "ambiguous"} and len(want) == 230
+    assert {p for _, p in want.values()} == {"fuzzy", "ambiguous"} and len(want) > 200
 
 
 def test_rivals_for_one_reference_stay_ambiguous(spark):
