@@ -191,7 +191,8 @@ def taint(g: Graph, steps: list[list[tuple[str, str, tuple[str, ...]]]]) -> tupl
 
 class Lowering:
     """Statements to a graph: lists of ("stmt", defs, uses), ("if", uses, then, else), ("loop", defs, uses, body, else),
-    ("try", body, handlers, finally), ("return", uses), ("break",), ("continue",). Iterative by an explicit stack."""
+    ("match", arms of (uses, captures, guard's uses or None, body, whether it always matches)), ("try", body, handlers,
+    finally), ("return", uses), ("break",), ("continue",). Iterative by an explicit stack."""
 
     def __init__(self, body: list):
         self.defs: list[set] = []
@@ -245,6 +246,20 @@ class Lowering:
                 self._link(back, b)
                 rest = yield self._suite(s[4], [b], loop)
                 ends = rest + breaks
+            elif kind == "match":
+                # what a pattern captures is bound before its guard, and stays bound if that fails
+                done = []
+                for uses, captured, guard, body, always in s[1]:
+                    b = self._block("case", (), uses)
+                    self._link(ends, b)
+                    inside, ends = [b], [] if always else [b]
+                    for more in ([("bind", captured, ())] if captured else []) + ([("guard", (), guard)] if guard is not None else []):
+                        b = self._block(*more)
+                        self._link(inside, b)
+                        inside = [b]
+                    ends = ends + inside * (guard is not None)
+                    done = done + (yield self._suite(body, inside, loop))
+                ends = done + ends
             elif kind == "try":
                 b = self._block(kind)
                 self._link(ends, b)
@@ -283,6 +298,13 @@ def _spec(body: list) -> list:
             out.append(("loop", names(s.target, ast.Store), load(s.iter), _spec(s.body), _spec(s.orelse)))
         elif isinstance(s, ast.While):
             out.append(("loop", set(), load(s.test), _spec(s.body), _spec(s.orelse)))
+        elif isinstance(s, ast.Match):
+            arms = []
+            for c in s.cases:
+                inside = list(ast.walk(c.pattern))
+                captured = {n.name for n in inside if isinstance(n, (ast.MatchAs, ast.MatchStar)) and n.name} | {n.rest for n in inside if isinstance(n, ast.MatchMapping) and n.rest}
+                arms.append((load(c.pattern), captured, None if c.guard is None else load(c.guard), _spec(c.body), isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None))
+            out += [("stmt", names(s.subject, ast.Store), load(s.subject), 0), ("match", arms)]
         elif isinstance(s, (ast.With, ast.AsyncWith)):
             out.append(("stmt", set().union(*(names(i.optional_vars, ast.Store) for i in s.items)), load(*(i.context_expr for i in s.items))))
             out += _spec(s.body)
@@ -342,6 +364,9 @@ def _lines(spec: list) -> list[int]:
             if s[0] == "stmt":
                 out.append(s[3] if len(s) > 3 else 0)
                 continue
+            if s[0] == "match":
+                todo.append(iter([z for arm in s[1] for z in arm[3]]))
+                break
             parts = [x for x in s[1:] if isinstance(x, list)]
             flat = [y for p in parts for y in (p if s[0] != "try" or not p or not isinstance(p[0], list) else [z for q in p for z in q])]
             todo.append(iter(flat))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixpoint import durable
+
 PAGE, PAGE_MOST = 100, 500
 #: States of reviews. Fixed values.
 FINDING_STATES = ("open", "confirmed", "false_positive", "accepted", "fixed")
@@ -136,7 +138,7 @@ def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", ro
     out = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("child is not null and ancestor is not null").distinct()
     n = -1
     for _ in range(rounds):
-        out = out.checkpoint() if out.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else out.persist()
+        out = durable(out)
         now = out.count()
         if now == n:
             return out

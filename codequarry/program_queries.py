@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import python_facts
-from .operators import assessment, flow, lexical_rules, lines, python_rules
+from .operators import assessment, fixpoint, flow, lexical_rules, lines, python_rules
 from .plans import fixes
 from .registry import query, table, values
 from .sources import reports as imports
@@ -162,6 +162,10 @@ FUNCTIONS = (
     ("def walk(n):\n    \"\"\"Walk.\"\"\"\n    for i in n:\n        if i:\n            print(i)\n        else:\n            print(n)", 1, 6, 3, 4, (), ()),
     ("def last(n):\n    \"\"\"Last.\"\"\"\n    x = 1\n    x = n\n    return x", 1, 4, 1, 0, ((3, "x"),), (("S1854", 3),)),
     ("def check(a):\n    \"\"\"Check.\"\"\"\n    if not a == 1:\n        raise Exception('x')\n    return len(a) >= 0", 1, 4, 2, 1, (), (("S1940", 3), ("S112", 4), ("S3981", 5))),
+    ("def choose(a):\n    \"\"\"Choose.\"\"\"\n    x = 1\n    match a:\n        case 1:\n            x = 2\n        case _:\n            print(a)\n    return x", 1, 8, 1, 0, (), ()),
+    ("def fork(a):\n    \"\"\"Fork.\"\"\"\n    x = 1\n    match a:\n        case [y, *_]:\n            x = y\n        case _:\n            x = 3\n    return x", 1, 8, 1, 0, ((3, "x"),), (("S1854", 3),)),
+    ("def deep(a, b):\n    \"\"\"Deep.\"\"\"\n    total = 0\n    while a:\n        for i in b:\n            if i and a or b:\n                total += i if a else 1\n        else:\n            total = -total\n        a -= 1\n    return [x for x in b if x], total", 2, 10, 9, 13, (), (("S2836", 5),)),
+    ("def guard(a):\n    \"\"\"Guard.\"\"\"\n    try:\n        value = int(a)\n    except ValueError:\n        value = 0\n    except (TypeError, OverflowError):\n        return None\n    return value", 1, 8, 3, 2, (), ()),
 )
 
 
@@ -220,6 +224,51 @@ def graph_facts(spark, sf_dir):
     return flow.graph_facts(e).select("fn_id", "block", "reachable", "in_cycle", "component", "idom")
 
 
+#: Variables of the blocks, and what a block does, by the number of an order of its.
+_FLOW_SQL = f"""o AS (SELECT o_orderpriority || (o_orderkey % 40) AS fn_id, (o_custkey % {BLOCKS})::BIGINT AS src, ((o_orderkey // 40) % {BLOCKS})::BIGINT AS dst, o_orderkey AS k FROM orders),
+    e AS (SELECT DISTINCT fn_id, src, dst FROM o WHERE k % 3 = 0), b AS (SELECT fn_id, src AS block, min(k) AS k FROM o GROUP BY ALL),
+    d AS (SELECT fn_id, block, chr(97 + (k % 4)::INT) AS variable FROM b WHERE k % 5 < 2),
+    s AS (SELECT fn_id, block, CASE k % 5 WHEN 0 THEN 'source' WHEN 1 THEN 'clean' ELSE 'assign' END AS kind, chr(97 + (k % 4)::INT) AS target, [chr(97 + ((k + 1) % 4)::INT), chr(97 + ((k + 2) % 4)::INT)] AS read FROM b WHERE k % 5 < 4)"""
+
+
+def _flow(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and blocks (fn_id, block, k) of graphs made of all orders."""
+    o = table(spark, sf_dir, "orders").select(
+        F.concat("o_orderpriority", (F.col("o_orderkey") % 40).cast("string")).alias("fn_id"), (F.col("o_custkey") % BLOCKS).alias("src"), (F.floor(F.col("o_orderkey") / 40) % BLOCKS).alias("dst"), F.col("o_orderkey").alias("k")
+    )
+    return o.where("k % 3 = 0").select("fn_id", "src", "dst"), o.groupBy("fn_id", F.col("src").alias("block")).agg(F.min("k").alias("k"))
+
+
+def _letter(k):
+    return F.char((F.lit(97) + k % 4).cast("int"))
+
+
+@query(
+    f"""WITH RECURSIVE {_FLOW_SQL}, r(fn_id, block, variable, site) AS (SELECT d.fn_id, e.dst, variable, block FROM d JOIN e ON e.fn_id = d.fn_id AND e.src = d.block
+        UNION SELECT r.fn_id, e.dst, r.variable, r.site FROM r JOIN e ON e.fn_id = r.fn_id AND e.src = r.block WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.fn_id = r.fn_id AND d.block = r.block AND d.variable = r.variable))
+    SELECT * FROM r"""
+)
+def reaching_definitions(spark, sf_dir):
+    """Definitions that reach the blocks of graphs made of orders."""
+    edges, blocks = _flow(spark, sf_dir)
+    return fixpoint.reaching_definitions(edges, blocks.where("k % 5 < 2").withColumn("variable", _letter(F.col("k"))))
+
+
+@query(
+    f"""WITH RECURSIVE {_FLOW_SQL}, t(fn_id, block, variable, origin) AS (SELECT fn_id, block, target, block FROM s WHERE kind = 'source'
+        UNION SELECT t.fn_id, e.dst, v.variable, t.origin FROM t JOIN e ON e.fn_id = t.fn_id AND e.src = t.block LEFT JOIN s ON s.fn_id = e.fn_id AND s.block = e.dst,
+            LATERAL (SELECT t.variable WHERE s.target IS DISTINCT FROM t.variable UNION SELECT s.target WHERE s.kind = 'assign' AND list_contains(s.read, t.variable)) AS v(variable))
+    SELECT * FROM t"""
+)
+def tainted_variables(spark, sf_dir):
+    """Tainted variables and their sources at the end of the blocks of graphs made of orders."""
+    edges, blocks = _flow(spark, sf_dir)
+    k = F.col("k")
+    kind = F.when(k % 5 == 0, "source").when(k % 5 == 1, "clean").otherwise("assign")
+    steps = blocks.where("k % 5 < 4").select("fn_id", "block", kind.alias("kind"), _letter(k).alias("target"), F.array(_letter(k + 1), _letter(k + 2)).alias("read"))
+    return fixpoint.tainted(edges, steps)
+
+
 _LCOV_SQL = """v AS (SELECT user_id, event_id, (minute(ts) + 1)::INT AS line, event_type, value, second(ts) AS branch FROM events),
     b AS (SELECT user_id, line, branch, bool_or(value > 50) AS hit FROM v WHERE event_type = 'click' GROUP BY ALL),
     h AS (SELECT user_id, line, count(*) AS branches, count(*) FILTER (hit) AS covered_branches FROM b GROUP BY ALL),
