@@ -66,7 +66,9 @@ def _scored(pairs: DataFrame, c: DataFrame, r: DataFrame) -> DataFrame:
 
     both = pairs.join(c.select(F.col("class").alias("c"), F.col("digest").alias("d"), F.col("kept").alias("x")), "c").join(r.select(F.col("class").alias("r"), F.col("digest").alias("e"), F.col("kept").alias("y")), "r")
     different = F.col("d").isNull() | F.col("e").isNull() | (F.col("d") != F.col("e"))
-    return both.where(different).select("c", "r", "x", "y").mapInArrow(score, "c string, r string, score int").where("score > 0")
+    # comparing costs far more than the few bytes of a pair suggest
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.where(different).select("c", "r", "x", "y").repartition(n, "c", "r").mapInArrow(score, "c string, r string, score int").where("score > 0")
 
 
 def _places(side: DataFrame, held: DataFrame) -> DataFrame:
@@ -212,4 +214,5 @@ def aligned_lines(pairs: DataFrame) -> DataFrame:
             found = [aligned(x or [], y or []) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array(["uncertain" if f[1] else "complete" for f in found], pa.string())], names=["path", "new_lines", "status"])
 
-    return pairs.select("path", "lines", "reference_lines").mapInArrow(run, "path string, new_lines array<int>, status string")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("path", "lines", "reference_lines").repartition(n, "path").mapInArrow(run, "path string, new_lines array<int>, status string")

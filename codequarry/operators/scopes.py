@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import least_fixpoint
+from .fixpoint import durable, least_fixpoint
 
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef", "Lambda")
 COMPREHENSIONS = ("ListComp", "SetComp", "DictComp", "GeneratorExp")
@@ -197,7 +197,7 @@ def exported(tree: DataFrame, defined: DataFrame, imported: DataFrame) -> DataFr
     passed = imported.where("name is not null").join(modules(tree).select("path", F.col("module").alias("own")), "path").select(F.col("own").alias("module"), F.col("local").alias("name"), F.col("module").alias("next"), F.col("name").alias("next_name")).distinct()
     own = defined.select("module", "name")
     first = own.select("module", "name", F.col("module").alias("at_module"), F.col("name").alias("at_name"))
-    back = passed.join(own, ["module", "name"], "left_anti")
+    back = durable(passed.join(own, ["module", "name"], "left_anti"))
 
     def step(delta: DataFrame) -> DataFrame:
         known = delta.select(F.col("module").alias("next"), F.col("name").alias("next_name"), "at_module", "at_name")
@@ -212,10 +212,10 @@ def calls_of_other_files(tree: DataFrame) -> DataFrame:
     ``sure`` tells that neither stars nor keywords are among the arguments. Names that the calling scopes bind in
     another way, or the module more than once, aren't followed.
     """
-    intervals = scope_intervals(tree)
-    bound = bindings(tree, intervals)
-    imported = imported_names(tree)
-    defined = definitions(tree)
+    intervals = scope_intervals(tree).persist()
+    bound = bindings(tree, intervals).persist()
+    imported = imported_names(tree).persist()
+    defined = definitions(tree).persist()
     once = bound.where("scope = 0").groupBy("path", "name").agg(F.count("*").alias("n")).where("n = 1").select("path", "name")
     uses = resolved(tree, intervals, bound).where("scope = 0").select("path", F.col("pre").alias("use"), "name").join(once, ["path", "name"])
     functions = tree.where("field = 'func' and name is not null").select("path", F.col("parent").alias("call"), F.col("pre").alias("func"), F.col("last").alias("use"), F.col("name").alias("callee"))

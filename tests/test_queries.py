@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-from codequarry import program_queries, project_queries, queries  # noqa: F401
+from codequarry import program_queries, project_queries, queries, scope_queries  # noqa: F401
 from codequarry.operators import assessment, clones, history, line_pairs, lines
 from codequarry.plans import reports
 from codequarry.sources import reports as imports
