@@ -11,6 +11,8 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixpoint import durable
+
 #: Lines that at most so many files of a side hold make the first round of comparisons.
 RARE = 8
 
@@ -87,13 +89,14 @@ def fuzzy_candidates(current: DataFrame, reference: DataFrame, rare: int = RARE)
     reach it, a pair has to share one of the class's rarest lines: all but those that are too few together. That
     finds every pair that may matter, however many files hold a line.
     """
-    c, c_members = (d.persist() for d in _classes(_projected(current, reference), reference))
-    r, r_members = (d.persist() for d in _classes(_projected(reference, current), current))
+    # written, not only kept: the plans of what follows stay small, and lost executors cost little
+    c, c_members = (durable(d) for d in _classes(_projected(current, reference), reference))
+    r, r_members = (durable(d) for d in _classes(_projected(reference, current), current))
     lines = lambda d: d.select("class", F.explode(F.array_distinct("kept")).alias("line"))
     held = lines(c).union(lines(r)).groupBy("line").agg(F.count("*").alias("held"))
-    cs, rs = (_places(d, held).persist() for d in (c, r))
+    cs, rs = (durable(_places(d, held)) for d in (c, r))
     few = lambda d, name: d.where(F.col("held") <= 2 * rare).select(F.col("class").alias(name), "line")
-    known = _scored(few(cs, "c").join(few(rs, "r"), "line").select("c", "r").distinct(), c, r).persist()
+    known = durable(_scored(few(cs, "c").join(few(rs, "r"), "line").select("c", "r").distinct(), c, r))
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
         # without the lines from here on there are too few left to reach the best score, which ties may equal
@@ -102,10 +105,10 @@ def fuzzy_candidates(current: DataFrame, reference: DataFrame, rare: int = RARE)
 
     every = lambda d, name: d.select(F.col("class").alias(name), "line")
     met = prefixes(cs, "c").join(every(rs, "r"), "line").select("c", "r").union(every(cs, "c").join(prefixes(rs, "r"), "line").select("c", "r")).distinct()
-    scored = known.union(_scored(met.join(known, ["c", "r"], "left_anti"), c, r))
+    scored = durable(known.union(_scored(met.join(known, ["c", "r"], "left_anti"), c, r)))
     top = lambda one, other: F.row_number().over(Window.partitionBy(one).orderBy(F.desc("score"), other))
     mine, theirs = (scored.withColumn("place", top(*x)).where("place <= 2").select("c", "r", "score") for x in (("c", "r"), ("r", "c")))
-    kept = mine.union(theirs).distinct()
+    kept = durable(mine.union(theirs).distinct())
     two = lambda d: d.where("nth is not null")
     named = lambda d, key, name: d.select(F.col("class").alias(key), F.col("path").alias(name))
     wide = kept.join(named(c_members, "c", "path"), "c").join(named(two(r_members), "r", "reference_path"), "r")

@@ -179,8 +179,9 @@ def fuzzy_pairs(spark, sf_dir):
 @query(
     """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p FROM orders), old AS (SELECT 'old/' || c AS reference_path, k FROM o),
     new AS (SELECT 'new/' || c AS path, k FROM o WHERE p <> '1-URGENT' UNION SELECT 'new/' || (c + 1), k FROM o WHERE k % 3 = 0),
-    a AS (SELECT path, string_agg(k, ',' ORDER BY k) AS t FROM new GROUP BY path), b AS (SELECT reference_path, string_agg(k, ',' ORDER BY k) AS t FROM old GROUP BY reference_path),
-    s AS (SELECT path, reference_path, count(*) AS score FROM new JOIN old USING (k) JOIN a USING (path) JOIN b USING (reference_path) WHERE a.t <> b.t GROUP BY ALL),
+    ta AS (SELECT path, string_agg(k, ',' ORDER BY k) AS t FROM new GROUP BY path), tb AS (SELECT reference_path, string_agg(k, ',' ORDER BY k) AS t FROM old GROUP BY reference_path),
+    a AS (SELECT path FROM ta ANTI JOIN tb USING (t)), b AS (SELECT reference_path FROM tb ANTI JOIN ta USING (t)),
+    s AS (SELECT path, reference_path, count(*) AS score FROM new JOIN old USING (k) JOIN a USING (path) JOIN b USING (reference_path) GROUP BY ALL),
     m AS (SELECT *, max(score) OVER (PARTITION BY path) AS best, max(score) OVER (PARTITION BY reference_path) AS top FROM s),
     n AS (SELECT *, count(*) FILTER (score = best) OVER (PARTITION BY path) AS ties, count(*) FILTER (score = top) OVER (PARTITION BY reference_path) AS rivals FROM m),
     k AS (SELECT path, min(reference_path) AS reference_path, bool_or(ties > 1 OR rivals > 1) AS tied FROM n WHERE score = best GROUP BY path),
@@ -189,7 +190,7 @@ def fuzzy_pairs(spark, sf_dir):
     FROM a LEFT JOIN k USING (path) LEFT JOIN f ON f.reference_path = k.reference_path"""
 )
 def renamed_files(spark, sf_dir):
-    """Customers' files of order numbers, of which some went and some came from a neighbour: which file became which. All have a last line in common."""
+    """Customers' files of order numbers, of which some went and some came from a neighbour: which file became which, of those that aren't as they were. All have a last line in common."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))
 
     def shape(rows: DataFrame) -> DataFrame:
@@ -199,7 +200,9 @@ def renamed_files(spark, sf_dir):
 
     named = lambda d, folder, c: d.select(F.concat(F.lit(folder), c.cast("string")).alias("path"), "k")
     new = named(o.where("p <> '1-URGENT'"), "new/", F.col("c")).union(named(o.where("k % 3 = 0"), "new/", F.col("c") + 1))
-    return line_pairs.fuzzy_pairs(line_pairs.fuzzy_candidates(shape(new), shape(named(o, "old/", F.col("c")))))
+    before, after = shape(named(o, "old/", F.col("c"))), shape(new)
+    left = lambda d, other: d.join(other.select("digest"), "digest", "left_anti")
+    return line_pairs.fuzzy_pairs(line_pairs.fuzzy_candidates(left(after, before), left(before, after)))
 
 
 @query(
