@@ -1,14 +1,16 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for length and commas to their ancestors, discounted by link density; the
-best container and the siblings that score like it are kept. Before scoring, parts that are never
-article text leave the tree: elements and roles made for menus, headers, footers, sidebars, forms,
-scripts and the like, and elements whose class or id says nothing else than that. A class that says
-it among other things halves the points only, and no element that holds most of the page's text
-goes for its class, nor does a form around the whole page.
+best container and the siblings that score like it, or are plain text, are kept. Before scoring, parts
+that are never article text leave the tree: elements and roles made for menus, headers, footers,
+sidebars, forms, scripts and the like, what readers wrote, and elements of which a class or id has a word
+that says so (paragraphs only go if it says nothing else). Sizes play no part in that: such an element stays only if all of the page's articles
+(or main parts) are in it, or if the page has no text elsewhere. The header of an article and labels inside
+paragraphs belong to the text.
 
 A null or empty page, or one without text, gives an empty text. Pages of any length and depth take
-time that grows with their length; repeated rows give repeated results; other columns are left out.
+time that grows with their length; repeated rows give repeated results; other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from .common import arrow_map
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"[ \t\n\x0b\x0c\r\xa0]+")
+_SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe template noembed noframes".split())
 #: Elements that hold no article text.
 DROPPED = frozenset(
-    "script style noscript template head title nav header footer aside form iframe svg math canvas button input select textarea option label fieldset dialog menu object video audio map figure-menu".split()
+    "script style noscript template head title nav header footer aside form iframe svg math canvas button input select textarea option dialog menu object video audio map figure-menu".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -61,6 +63,10 @@ LAYOUT = frozenset(
     outer page panel primary region right row secondary section site slot small text title top unit wrap wrapper""".split()
 )
 LIKELY = frozenset("article body content entry main post story text".split())
+#: Words after which a class only tells what stands beside. Fixed values.
+BESIDE = frozenset("with has have no not without".split())
+#: Elements that a class with a telling word among others drops; paragraphs and what is in them stay.
+CONTAINERS = frozenset("div section ul ol dl table center figure details".split())
 KEPT = frozenset("html body article main".split())
 #: Items of a list of links at least this long on average make references rather than a menu.
 REFERENCE = 25
@@ -77,36 +83,43 @@ class _Node:
         self.chars = self.linked = self.commas = 0
 
 
-_CERTAIN, _READERS, _NAMED, _MENTIONED = 4, 3, 2, 1
-#: Words of what readers wrote, which may well be longer than the article, and characters that an article has at least. Fixed values.
-READERS, LEAST = frozenset("comment comments commentlist disqus respond replies".split()), 80
+_CERTAIN, _READERS, _NAMED, _MENTIONED, _FORM = 5, 4, 3, 2, 1
+#: Words of what readers wrote. Fixed values.
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
 
 
-def _outside(tag: str, attrs: str) -> int:
-    """How sure it is that an element is no part of the article: certain, named as what readers wrote, named otherwise (goes
-    unless it holds most of the text), mentioned (halves its points), or 0."""
-    if tag == "form":
-        return _NAMED
-    if tag in DROPPED:
+def _outside(tag: str, attrs: str, parent: _Node) -> int:
+    """How sure it is that an element is no part of the article: certain, what readers wrote, named so, named so among
+    other things, a form, or 0."""
+    if tag in ("form", "fieldset"):
+        return _FORM
+    if tag == "header" or tag == "label":
+        own = ("article", "main") if tag == "header" else ("p", "li", "td", "dd", "blockquote")
+        while parent is not None and parent.tag not in own:
+            parent = parent.parent
+        if parent is None:
+            return _CERTAIN
+    elif tag in DROPPED:
         return _CERTAIN
-    if tag in KEPT or not attrs or "=" not in attrs and "hidden" not in attrs:
+    if not attrs or "=" not in attrs and "hidden" not in attrs:
         return 0
     doubt = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
+        if tag in ("html", "body"):
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return _CERTAIN
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return _CERTAIN
         if name in ("class", "id", "role", "aria-label") and _OUTSIDE_HINT.search(value):
             tokens = [[w for w in re.split(r"[^a-z]+", t) if w] for t in value.split()]
-            named = [t for t in tokens if not OUTSIDE.isdisjoint(t)]
-            if not named:
-                continue
-            likely = any(t and LIKELY.issuperset(t) for t in tokens)
-            sure = any(all(w in OUTSIDE or w in LAYOUT for w in t) for t in named)
-            readers = any(not READERS.isdisjoint(t) for t in named)
-            doubt = max(doubt, (_READERS if readers else _NAMED) if sure and not likely else _MENTIONED)
+            words = [w for w in tokens if BESIDE.isdisjoint(w) and not OUTSIDE.isdisjoint(w)]
+            if any(not READERS.isdisjoint(w) for w in words):
+                doubt = _READERS
+            elif words and tag not in KEPT and tag != "header":
+                only = any(all(x in OUTSIDE or x in LAYOUT for x in w) for w in words) and not any(w and LIKELY.issuperset(w) for w in tokens)
+                doubt = max(doubt, _NAMED if only else _MENTIONED if tag in CONTAINERS else 0)
     return doubt
 
 
@@ -158,7 +171,7 @@ def parse(page: str) -> _Node:
                 top = top.parent
             if found:
                 node = leave(found)
-        child = _Node(tag, node, _outside(tag, attrs))
+        child = _Node(tag, node, _outside(tag, attrs, node))
         node.items.append(child)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -175,25 +188,35 @@ def parse(page: str) -> _Node:
 
 
 def _settle(root: _Node) -> None:
-    """Drops what is named as no part of the article, but for what holds more than half of the page's text; what readers
-    wrote goes if there is an article's worth of text elsewhere."""
-    order, named, links, plain = [], 0, 0, 0
+    """Drops what is no part of the article, but for elements that hold all articles of the page. Where there is no text
+    elsewhere, forms stay; where there is none in forms either, elements named among other things; and where there is
+    none in these, of the rest those that hold paragraphs, or all if none does."""
+    order, inside, articles = [], [0] * 6, 0
+    found = {_FORM: False, _MENTIONED: False, _NAMED: False}  # whether there is text in nothing of a level or above it
+    paragraphs: set[int] = set()
     for node, text, entering in _walk(root):
         if text is not None:
-            n = len(text.strip())
-            node.chars += n
-            plain += 0 if named or links else n
+            if not inside[_READERS] and not text.isspace():
+                for level in found:
+                    found[level] = found[level] or not any(inside[level:_READERS])
             continue
-        change = 1 if entering else -1
-        named += change * (node.doubt >= _NAMED)
-        links += change * (node.tag == "a")
+        inside[node.doubt] += 1 if entering else -1
         if entering:
             order.append(node)
+            if node.tag in ("article", "main") and not inside[_READERS]:
+                articles += 1
+                node.chars += 1
+            if node.tag == "p" and not inside[_READERS]:
+                paragraphs.add(id(node))
     for n in reversed(order):
         if n.parent is not None:
             n.parent.chars += n.chars
+            if id(n) in paragraphs:
+                paragraphs.add(id(n.parent))
+    told = any(n.doubt == _NAMED and id(n) in paragraphs for n in order)
     for n in order:
-        n.drop = n.doubt >= _NAMED and (2 * n.chars <= root.chars or n.doubt == _READERS and plain >= LEAST)
+        elsewhere = n.doubt in found and (found[n.doubt] or any(found[k] for k in found if k < n.doubt) or n.doubt == _NAMED and told and id(n) not in paragraphs)
+        n.drop = n.doubt == _READERS or elsewhere and not (articles and n.chars == articles)
     for n in order:
         n.chars = 0
 
@@ -279,7 +302,7 @@ def best_nodes(root: _Node) -> list[_Node]:
         if isinstance(x, str) or x.drop:
             continue
         good = x.score * (1 - _density(x)) >= need
-        words = x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and x.chars and _density(x) < 0.25
+        words = x.tag in BLOCK and x.chars and _density(x) < 0.25
         if x is best or good or words:
             kept.append(x)
     return kept

@@ -94,6 +94,15 @@ def _head(data: bytes) -> dict[str, str]:
     return out
 
 
+def _seconds(date: str) -> int:
+    """Whole seconds of a record's date, which may have a fraction, or end after the year, month, day or minute."""
+    m = re.fullmatch(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.\d{1,9})?)?Z)?)?)?", date.strip(), re.A)
+    if m is None:
+        raise ValueError(date)
+    year, month, day, *clock = (int(x) if x else None for x in m.groups())
+    return int(datetime(year, month or 1, day or 1, *(x or 0 for x in clock), tzinfo=UTC).timestamp())
+
+
 def parse_records(data: bytes):
     """(record_id, kind, url, ts, status, headers, body) of each whole record."""
     at = 0
@@ -106,7 +115,7 @@ def parse_records(data: bytes):
             size = int(head["content-length"])
             if size < 0:
                 return
-            ts = int(datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
+            ts = _seconds(head["warc-date"])
         except (KeyError, ValueError):
             return
         block = data[end + 4 : end + 4 + size]

@@ -133,7 +133,7 @@ def slow_best(root):
     for k in around.kids:
         if isinstance(k, str):
             continue
-        words = k.node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and list(k.texts()) and k.density() < 0.25
+        words = k.node.tag in html_text.BLOCK and list(k.texts()) and k.density() < 0.25
         if k.node is best.node or score.get(id(k.node), 0.0) * (1 - k.density()) >= max(10.0, top * 0.2) or words:
             kept.append(k.node)
     return kept
@@ -175,3 +175,34 @@ def test_empty_table_and_clashing_columns(spark):
     assert html_text.extract_main_text(df.limit(0), keep=("page_id", "url")).count() == 0
     rows = html_text.extract_main_text(df, keep=("page_id", "url")).collect()
     assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in rows) == [(0, "", 0), (1, WORDS, len(WORDS))]
+
+
+ARTICLE = "".join(f"<p>Paragraph {i} of the article, with some words, and more of them here.</p>" for i in range(3))
+TEXT = "\n".join(f"Paragraph {i} of the article, with some words, and more of them here." for i in range(3))
+LONG = "<p>" + "Other words that go on and on, a lot. " * 60 + "</p>"
+
+
+def test_parts_go_by_name_whatever_their_size():
+    names = "article-comments post-comments user-comments story-comments article-ad google-ad ad_300x250 post-footer entry-sidebar footer cookie-notice sidebar"
+    for name in names.split():
+        for attribute in ("class", "id"):
+            assert html_text.main_text(f"<div class=post>{ARTICLE}</div><div {attribute}='{name}'>{LONG}</div>") == TEXT, name
+    assert html_text.main_text(f"<div><p>Only this.</p></div><div class=comments>{LONG}</div>") == "Only this."
+    assert html_text.main_text(f"<div>{ARTICLE}</div><article class='comment'>{LONG}</article>") == TEXT
+
+
+def test_short_parts_titles_and_labels_stay():
+    assert html_text.main_text(f"<article><section>{ARTICLE}</section><section><p>The end.</p></section></article>") == TEXT + "\nThe end."
+    assert html_text.main_text(f"<div><div>{ARTICLE}</div><div><p>The end.</p></div></div>") == TEXT + "\nThe end."
+    assert html_text.main_text(f"<header>Site</header><article><header><h1>Title</h1></header>{ARTICLE}</article>") == "Title\n" + TEXT
+    assert html_text.main_text(f"<div>{ARTICLE}<p>Some <label>words</label> here.</p></div>") == TEXT + "\nSome words here."
+
+
+def test_what_is_around_an_article_stays():
+    for page in ("<fieldset><article>{}</article></fieldset>", "<form><div class=nav>x</div><div>{}</div></form>", "<div class='content sidebar-left'><article>{}</article></div><p>Imprint</p>", "<div class='with-sidebar'>{}</div>", "<div class='banner'><div>{}</div></div>"):
+        assert html_text.main_text(page.format(ARTICLE)) == TEXT, page
+    assert html_text.main_text(f"<div class=comments>{LONG}</div>") == ""
+
+
+def test_all_white_space_in_a_block_is_one_space():
+    assert html_text.main_text("<div><p>\u3000a\u0085b\u2003c\u3000\u2028d&nbsp;&emsp;e </p></div>") == "a b c d e"

@@ -74,3 +74,13 @@ def test_digest_of_pages_against_brute_force(spark):
 def test_page_ids_may_be_text(spark):
     pages = spark.createDataFrame([("a", "http://e.org/a", "x"), (None, None, None)], "page_id string, url string, html string")
     assert {r.page_id for r in warc.revisit_digest(pages).collect()} == {"a", None}
+
+
+def test_dates_with_fractions_and_of_any_precision():
+    def record(date, body):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{body}>\r\nWARC-Target-URI: http://a.b/\r\nWARC-Date: {date}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+
+    dates = {"2024-05-06T07:08:09.123456789Z": 1714979289, "2024-05-06T07:08:09Z": 1714979289, "2024-05-06T07:08Z": 1714979280, "2024-05-06": 1714953600, "2024-05": 1714521600, "2024": 1704067200}
+    blob = b"".join(record(d, f"r{i}") for i, d in enumerate(dates))
+    assert [r[3] for r in warc.parse_records(blob)] == list(dates.values())
+    assert [r[0] for r in warc.parse_records(record("2024", "a") + record("2024-13", "b") + record("2024", "c"))] == ["a"]
