@@ -50,13 +50,32 @@ def with_reviews(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     return clear.unionByName(rest)
 
 
-def inherited_reviews(analyses: DataFrame, reviews: DataFrame, findings: DataFrame) -> DataFrame:
-    """Reviews of earlier analyses of the same branch that carry over: equal context, unambiguous identity, latest first."""
+#: Seconds of a period by which long histories of one identity are split.
+PERIOD = 30 * 86_400
+
+
+def inherited_reviews(analyses: DataFrame, reviews: DataFrame, findings: DataFrame, period: int = PERIOD) -> DataFrame:
+    """Reviews of earlier analyses of the same branch that carry over: equal context, unambiguous identity, latest first.
+
+    An as-of join without pairs: findings and reviews stand in one row of events, and each finding takes the last review
+    before it in its period, or else the last one of an earlier period that has any. Of one time's reviews the one of the
+    largest analysis counts; what has no context or identity takes none.
+    """
     at = analyses.select(F.col("id").alias("analysis_id"), "project", "branch", "analyzed_epoch", "context")
-    old = reviews.select("analysis_id", "identity", "kind", "state").join(at, "analysis_id").withColumnsRenamed({"analyzed_epoch": "old_epoch", "analysis_id": "old_id"})
-    new = findings.where(~F.col("ambiguous")).select("analysis_id", "identity", "kind").join(at, "analysis_id")
-    both = new.join(old, ["project", "branch", "context", "identity", "kind"]).where("old_epoch < analyzed_epoch")
-    return both.groupBy("analysis_id", "identity", "kind").agg(F.max_by("state", F.struct("old_epoch", "old_id")).alias("state"))
+    key = ["project", "branch", "context", "identity", "kind"]
+    old = reviews.select("analysis_id", "identity", "kind", "state").join(at, "analysis_id").groupBy(*key, "analyzed_epoch").agg(F.max_by(F.struct("state"), "analysis_id").alias("review"))
+    new = findings.where(~F.col("ambiguous")).select("analysis_id", "identity", "kind").distinct().join(at, "analysis_id")
+    events = new.withColumn("review", F.lit(None).cast("struct<state:string>")).unionByName(old.withColumn("analysis_id", F.lit(None).cast(at.schema["analysis_id"].dataType)))
+    events = events.na.drop(subset=[*key, "analyzed_epoch"]).withColumn("period", F.floor(F.col("analyzed_epoch") / period))
+    inside = Window.partitionBy(*key, "period").orderBy("analyzed_epoch").rangeBetween(Window.unboundedPreceding, -1)
+    events = events.withColumn("last", F.last("review", ignorenulls=True).over(inside))
+    ends = events.groupBy(*key, "period").agg(F.max_by("review", F.when(F.col("review").isNotNull(), F.col("analyzed_epoch"))).alias("end"))
+    earlier = Window.partitionBy(*key).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(earlier)).drop("end")
+    on = [F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*key, "period")]
+    out = events.where("analysis_id is not null").alias("e").join(carried.alias("c"), on)
+    taken = F.coalesce("e.last", "c.carried")
+    return out.where(taken.isNotNull()).select("e.analysis_id", "e.identity", "e.kind", taken["state"].alias("state"))
 
 
 def reviewed(reviews: DataFrame, requests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import running
 from ..operators import lexical_rules
+from ..operators.fixpoint import durable
 from . import reports
 
 #: Rule, languages, what it looks like in the finding's text, and what it becomes; keys and forms that need no choice.
@@ -60,6 +61,28 @@ def fixed(files: DataFrame, findings: DataFrame, wanted: tuple[str, ...] = ()) -
     return files.select("path", "language").join(done, "path").join(chosen.select("path", F.size("edits").alias("edits"), "conflicts"), "path")
 
 
+def replanned(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """path, language, text, edits, rounds of files that get fixes: fixed, analysed and fixed again until nothing is left to fix.
+
+    Only files that a round has changed go on, so that what was in conflict, or comes out by a fix, gets its turn. Fixes that
+    bring each other back are an error after as many rounds as there were findings.
+    """
+    todo = files.select("path", "language", "text").withColumns({"edits": F.lit(0), "rounds": F.lit(0)})
+    done, most = None, None
+    while True:
+        found = lexical_rules.lexical_findings(todo.select("path", "language", "text"))
+        out = fixed(todo.select("path", "language", "text"), found, wanted).select("path", F.col("text").alias("now"), F.col("edits").alias("more"))
+        both = durable(todo.join(out, "path", "left"))
+        ended = both.where("now is null and rounds > 0").select("path", "language", "text", "edits", "rounds")
+        done = ended if done is None else done.unionByName(ended)
+        todo = both.where("now is not null").select("path", "language", F.col("now").alias("text"), (F.col("edits") + F.col("more")).alias("edits"), (F.col("rounds") + 1).alias("rounds"))
+        if todo.isEmpty():
+            return done
+        most = most or found.count()
+        if todo.agg(F.max("rounds")).first()[0] > most:
+            raise ValueError("fixes bring each other back")
+
+
 def verified(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
     """path, accepted, before, after, edits: a file's fixes are accepted if its findings became fewer and no rule has more than before."""
     before = lexical_rules.lexical_findings(files)

@@ -84,30 +84,51 @@ def text_lines(findings: DataFrame) -> DataFrame:
 
 
 EDITS = "array<struct<start:int,stop:int,replacement:string>>"
-_EDIT = "struct<start:int,stop:int,replacement:string>"
 
 
-def chosen_edits(fixes: DataFrame) -> DataFrame:
-    """path, edits, conflicts: per file the fixes in order that overlap none taken before; each is one edit.
+def chosen_fixes(fixes: DataFrame) -> DataFrame:
+    """path, edits, fixes, conflicts: per file the edits of the fixes that are taken, in order, and how many are taken and not.
 
-    Insertions at one point conflict, and one at the start of a replacement; touching ends don't.
-    ``fixes`` has path, start, stop (character offsets, end exclusive), replacement. Fixes are taken
-    greedily by start and stop, which a worker does file by file.
+    ``fixes`` has path, rule_key and ``edits`` (start and stop as character offsets, end exclusive, replacement), any
+    number of them. Fixes are tried by their first edit, then by rule key, and taken whole or not at all: a fix goes if any
+    of its edits overlaps one that is taken, or another of its own, or if it has none. Insertions at one point conflict, and
+    one at the start of a replacement; touching ends don't. A file's fixes are tried one after the other in one row.
     """
 
-    def run(group):
+    def run(batches):
+        import bisect
+
         import pyarrow as pa
 
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("start", "stop", "replacement"))), key=lambda r: (r[0], r[1], r[2] or ""))
-        kept = []
-        for r in rows:
-            if not kept or r[0] >= kept[-1][1] and r[0] != kept[-1][0]:
-                kept.append(r)
-        edits = pa.array([[{"start": a, "stop": b, "replacement": x} for a, b, x in kept]], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("replacement", pa.string())])))
-        return pa.table({"path": pa.array([group.column("path")[0].as_py()], pa.string()), "edits": edits, "conflicts": pa.array([len(rows) - len(kept)], pa.int64())})
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("replacement", pa.string())]))
+        for b in batches:
+            out = []
+            for found in b.column(1).to_pylist():
+                tried = [(sorted((e["start"], e["stop"], e["replacement"] or "") for e in f["edits"] or ()), f["rule_key"] or "") for f in found]
+                kept: list[tuple] = []
+                taken = 0
+                for edits, _ in sorted((t for t in tried if t[0]), key=lambda t: (t[0][0][0], t[1], t[0])):
+                    clash = any(b[0] < a[1] or b[0] == a[0] for a, b in zip(edits, edits[1:]))
+                    for e in edits:
+                        at = bisect.bisect_left(kept, e)
+                        clash = clash or any(n[0] == e[0] or n[0] < e[1] and e[0] < n[1] for n in kept[max(0, at - 1) : at + 1])
+                    if not clash:
+                        taken += 1
+                        for e in edits:
+                            bisect.insort(kept, e)
+                out.append(([dict(zip(("start", "stop", "replacement"), e)) for e in kept], taken, len(tried) - taken))
+            columns = list(zip(*out)) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["path", "edits", "fixes", "conflicts"])
+
+    few = fixes.groupBy("path").agg(F.collect_list(F.struct("rule_key", F.col("edits").cast(EDITS).alias("edits"))).alias("found"))
+    return few.mapInArrow(run, f"path string, edits {EDITS}, fixes long, conflicts long")
 
-    few = fixes.select("path", F.col("start").cast("int"), F.col("stop").cast("int"), "replacement")
-    return few.groupBy("path").applyInArrow(run, f"path string, edits {EDITS}, conflicts long")
+
+def chosen_edits(fixes: DataFrame) -> DataFrame:
+    """path, edits, conflicts: as ``chosen_fixes``, of fixes of one edit each (path, start, stop, replacement, perhaps rule_key)."""
+    key = F.col("rule_key") if "rule_key" in fixes.columns else F.lit("")
+    one = fixes.select("path", key.alias("rule_key"), F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "replacement")).alias("edits"))
+    return chosen_fixes(one).select("path", "edits", "conflicts")
 
 
 def applied(files: DataFrame, edits: DataFrame) -> DataFrame:

@@ -375,6 +375,24 @@ def type_ancestors(spark, sf_dir):
     return history.ancestors(e.unionByName(back))
 
 
+@query(
+    """WITH RECURSIVE f AS (SELECT l_orderkey AS path, 'S' || (l_suppkey % 4) AS rule_key, (l_partkey % 60)::INT AS a, (l_quantity % 6)::INT AS w, 1 + (l_partkey % 3)::INT AS n FROM lineitem),
+    g AS (SELECT path, rule_key, [{'a': a + 15 * i, 'b': a + 15 * i + w} FOR i IN range(n)] AS edits FROM f),
+    r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY edits[1].a, rule_key, edits) AS i FROM g),
+    s(path, i, kept, fixes) AS (SELECT DISTINCT path, 0::BIGINT, []::STRUCT(a BIGINT, b BIGINT)[], 0 FROM r
+        UNION ALL SELECT s.path, r.i, CASE WHEN clash THEN kept ELSE list_concat(kept, edits) END, fixes + (NOT clash)::INT FROM s JOIN r ON r.path = s.path AND r.i = s.i + 1,
+            LATERAL (SELECT len([1 FOR k IN kept IF len([1 FOR e IN edits IF k.a = e.a OR k.a < e.b AND e.a < k.b]) > 0]) > 0 AS clash)),
+    l AS (SELECT path, kept, fixes, i - fixes AS conflicts FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY i DESC) = 1)
+    SELECT path::VARCHAR AS path, fixes::BIGINT AS fixes, conflicts::BIGINT AS conflicts, array_to_string([k.a || '-' || k.b FOR k IN list_sort(kept)], ',') AS edits FROM l"""
+)
+def atomic_fixes(spark, sf_dir):
+    """Which fixes of one to three edits are taken where they overlap: by the first edit, then by rule, whole or not at all."""
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")).alias("rule_key"), (F.col("l_partkey") % 60).alias("a"), (F.col("l_quantity") % 6).cast("int").alias("w"), (F.col("l_partkey") % 3).cast("int").alias("n"))
+    edit = lambda i: F.struct((F.col("a") + 15 * i).cast("int").alias("start"), (F.col("a") + 15 * i + F.col("w")).cast("int").alias("stop"), F.lit("x").alias("replacement"))
+    chosen = reports.chosen_fixes(f.select("path", "rule_key", F.transform(F.sequence(F.lit(0), F.col("n")), edit).alias("edits")))
+    return chosen.select("path", "fixes", "conflicts", F.array_join(F.transform("edits", lambda e: F.concat(e.start.cast("string"), F.lit("-"), e.stop.cast("string"))), ",").alias("edits"))
+
+
 ZONES = ("Z", "+02:00", "-05:30", "z", "+2:00")
 
 
