@@ -3,7 +3,7 @@
 ``encode_gif`` and ``decode_gif`` work on bytes; ``text_to_gif`` and ``gif_frames`` are the
 DataFrame operators; ``gif_media`` stores texts as GIFs, reads them back and describes their composed
 frames. Defined results: a null text counts as empty; null or damaged media, or media whose canvas
-has more than ``MAX_PIXELS``, gives no frames; frames are composed one at a time; equal bytes give
+has more pixels than the parameter ``most`` of gif_frames (None: no limit), gives no frames; frames are composed one at a time; equal bytes give
 equal results, repeated rows too; and extra columns of the input are left out, whatever their names.
 """
 
@@ -26,7 +26,7 @@ from .common import arrow_map, whole_text
 ROW = 64
 #: Rows of one frame at most, so that a frame holds 16 KiB; a longer payload goes to more frames.
 FRAME_ROWS = 256
-#: Pixels of a canvas at most, which bounds the memory of damaged or hostile files; a parameter.
+#: Pixels of a canvas at most unless a caller says otherwise, which bounds the memory of damaged or hostile files.
 MAX_PIXELS = 1 << 26
 _FULL = 4096
 
@@ -188,15 +188,19 @@ def encode_gif(width: int, height: int, palette: bytes, frames: list[Frame]) ->
     return b"".join(out)
 
 
-def read_gif(data: bytes) -> tuple[int, int, bytes, list[Frame]]:
-    """Canvas width and height, global palette, frames. Raises ValueError for damaged files."""
+def _fits(width: int, height: int, most: int | None) -> bool:
+    return most is None or width * height <= most
+
+
+def read_gif(data: bytes, most: int | None = MAX_PIXELS) -> tuple[int, int, bytes, list[Frame]]:
+    """Canvas width and height, global palette, frames. Raises ValueError for damaged files and frames of more than ``most`` pixels."""
     try:
-        return _read(data)
+        return _read(data, most)
     except (IndexError, struct.error) as e:
         raise ValueError("truncated GIF") from e
 
 
-def _read(data: bytes) -> tuple[int, int, bytes, list[Frame]]:
+def _read(data: bytes, most: int | None) -> tuple[int, int, bytes, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -230,7 +234,7 @@ def _read(data: bytes) -> tuple[int, int, bytes, list[Frame]]:
             own = data[at : at + (6 << (f & 7))]
             at += len(own)
         bits = data[at]
-        if not 1 <= bits <= 8 or w * h > MAX_PIXELS:
+        if not 1 <= bits <= 8 or not _fits(w, h, most):
             raise ValueError("too many colours or pixels")
         stream, at = joined(at + 1)
         samples = lzw_decode(stream, bits, w * h)
@@ -245,18 +249,18 @@ def _read(data: bytes) -> tuple[int, int, bytes, list[Frame]]:
     return width, height, palette, frames
 
 
-def composed(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+def composed(data: bytes, most: int | None = MAX_PIXELS) -> Iterator[tuple[int, int, np.ndarray]]:
     """(start in 1/100 s, duration, RGBA canvas) of each frame after disposal and transparency.
 
     Disposal 2 clears the frame's rectangle afterwards, 3 restores what was there before;
     others leave it. A sample equal to the transparent index keeps the canvas below. The canvas is
     the same array for all frames.
     """
-    return _composed(*read_gif(data))
+    return _composed(*read_gif(data, most), most)
 
 
-def _composed(width: int, height: int, shared: bytes, frames: list[Frame]) -> Iterator[tuple[int, int, np.ndarray]]:
-    if width * height > MAX_PIXELS:
+def _composed(width: int, height: int, shared: bytes, frames: list[Frame], most: int | None = MAX_PIXELS) -> Iterator[tuple[int, int, np.ndarray]]:
+    if not _fits(width, height, most):
         raise ValueError("canvas too large")
     canvas, clock = np.zeros((height, width), "<u4"), 0
     shown = canvas.view(np.uint8).reshape(height, width, 4)
@@ -325,10 +329,10 @@ def text_to_gif(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return arrow_map(df.select(key, text), store, schema)
 
 
-def gif_frames(df: DataFrame, key: str, media: str = "media") -> DataFrame:
+def gif_frames(df: DataFrame, key: str, media: str = "media", most: int | None = MAX_PIXELS) -> DataFrame:
     """Timed frames: key, frame_no, start_cs, duration_cs, width, height, rgba, histogram.
 
-    Rows whose media is null or damaged give no frames.
+    Rows whose media is null or damaged, or whose canvas has more than ``most`` pixels, give no frames.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, frame_no int, start_cs long, duration_cs int, width int, height int, rgba binary, histogram array<long>"
@@ -337,12 +341,12 @@ def gif_frames(df: DataFrame, key: str, media: str = "media") -> DataFrame:
         for b in batches:
             for k, m in zip(b.column(0), b.column(1).to_pylist()):
                 try:
-                    read = read_gif(m) if m is not None else (0, 0, b"", [])
+                    read = read_gif(m, most) if m is not None else (0, 0, b"", [])
                 except ValueError:
                     continue
-                if read[0] * read[1] > MAX_PIXELS:
+                if not _fits(read[0], read[1], most):
                     continue
-                for i, (start, delay, canvas) in enumerate(_composed(*read)):
+                for i, (start, delay, canvas) in enumerate(_composed(*read, most)):
                     row = [[k.as_py()], [i], [start], [delay], [canvas.shape[1]], [canvas.shape[0]], [canvas.tobytes()], [histogram(canvas).tolist()]]
                     types = [b.column(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["key", "frame_no", "start_cs", "duration_cs", "width", "height", "rgba", "histogram"])
