@@ -22,9 +22,9 @@ BUILDERS = (
     ("S1125", "javascript typescript csharp go", r"^[ ]*==?=[ ]*true$", ""),
     ("S5542", "csharp", r"\bECB$", "CBC"),
     ("S4423", "csharp", r"\.(?:Ssl2|Ssl3|Tls|Tls11)$", ".Tls12"),
-    ("G301", "go", r"^.*$", "0750"),
-    ("G302", "go", r"^.*$", "0600"),
-    ("G306", "go", r"^.*$", "0600"),
+    ("G301", "go", r"^(0[oO]?).*$", "$1750"),
+    ("G302", "go", r"^(0[oO]?).*$", "$1600"),
+    ("G306", "go", r"^(0[oO]?).*$", "$1600"),
     ("G403", "go", r"^.*$", "2048"),
     ("no-async-promise-executor", "javascript typescript", r"^async$", ""),
     ("S1309", "python", r"[ \t]*#.*$", ""),

@@ -93,12 +93,12 @@ def new_code_coverage(spark, sf_dir):
     return assessment.new_code_coverage(changed, assessment.merged_coverage(core._coverage(spark, sf_dir)))
 
 
-@query("""WITH c AS (SELECT o_custkey % 200 AS path, o_orderkey % 5000 AS line FROM orders), r AS (SELECT l_partkey % 200 AS path, l_suppkey * 40 AS start, l_suppkey * 40 + l_quantity AS stop FROM lineitem WHERE l_quantity < 20)
+@query("""WITH c AS (SELECT o_custkey % 200 AS path, o_orderkey % 5000 AS line FROM orders), r AS (SELECT l_partkey % 200 AS path, l_suppkey * 40 AS start, l_suppkey * 40 + l_quantity AS stop FROM lineitem)
     SELECT path, line FROM c WHERE EXISTS (SELECT 1 FROM r WHERE r.path = c.path AND c.line BETWEEN start AND stop)""")
 def duplicated_new_lines(spark, sf_dir):
     """Changed lines inside of clone regions."""
     c = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("path"), (F.col("o_orderkey") % 5000).alias("line"))
-    r = table(spark, sf_dir, "lineitem").where("l_quantity < 20").select((F.col("l_partkey") % 200).alias("path"), (F.col("l_suppkey") * 40).alias("start"), (F.col("l_suppkey") * 40 + F.col("l_quantity").cast("long")).alias("stop"))
+    r = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("path"), (F.col("l_suppkey") * 40).alias("start"), (F.col("l_suppkey") * 40 + F.col("l_quantity").cast("long")).alias("stop"))
     return assessment.lines_in_regions(c, r).select("path", "line")
 
 
@@ -236,23 +236,23 @@ def isolated_profile(spark, sf_dir):
     return history.registered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("rule_key")), registry).withColumnRenamed("rule_key", "l_partkey")
 
 
-@query("SELECT p_partkey AS id, p_name AS name, p_type AS severity, p_brand AS type FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+@query("SELECT p_partkey AS id, p_name AS name, p_type AS severity, p_brand AS type FROM part WHERE p_partkey IN (SELECT l_partkey * 2 FROM lineitem)")
 def generic_rules(spark, sf_dir):
     """The rules block of the generic issue import."""
     catalog = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_key"), F.col("p_name").alias("name"), F.col("p_type").alias("severity"), F.col("p_brand").alias("type"))
-    return reports.generic_rules(table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("rule_key")), catalog)
+    return reports.generic_rules(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("rule_key")), catalog)
 
 
 @query(
-    """WITH c AS (SELECT p_partkey % 5 AS language, p_partkey AS rule_key FROM part WHERE p_size < 40), i AS (SELECT DISTINCT l_partkey % 5 AS language, l_partkey AS rule_key FROM lineitem WHERE l_quantity > 48),
-    t AS (SELECT DISTINCT l_partkey AS rule_key FROM lineitem WHERE l_quantity > 48 AND l_returnflag = 'R'), j AS (SELECT coalesce(c.language, i.language) AS language, c.rule_key AS c, i.rule_key AS i, t.rule_key AS t FROM c FULL JOIN i USING (language, rule_key) LEFT JOIN t ON t.rule_key = coalesce(c.rule_key, i.rule_key))
+    """WITH c AS (SELECT p_partkey % 5 AS language, p_partkey AS rule_key FROM part), l AS (SELECT l_partkey + 1000 * (l_suppkey % 3) AS k, l_returnflag = 'R' AS returned FROM lineitem),
+    i AS (SELECT DISTINCT k % 5 AS language, k AS rule_key FROM l), t AS (SELECT DISTINCT k AS rule_key FROM l WHERE returned), j AS (SELECT coalesce(c.language, i.language) AS language, c.rule_key AS c, i.rule_key AS i, t.rule_key AS t FROM c FULL JOIN i USING (language, rule_key) LEFT JOIN t ON t.rule_key = coalesce(c.rule_key, i.rule_key))
     SELECT language, count(c) AS keys, count(*) FILTER (c IS NOT NULL AND i IS NOT NULL) AS implemented, count(*) FILTER (c IS NOT NULL AND i IS NOT NULL AND t IS NOT NULL) AS tested, count(*) FILTER (c IS NOT NULL AND i IS NULL) AS missing, count(*) FILTER (c IS NULL) AS unknown FROM j GROUP BY language"""
 )
 def coverage_audit(spark, sf_dir):
     """Catalog keys against implemented and tested ones."""
-    key = lambda c: [(F.col(c) % 5).alias("language"), F.col(c).alias("rule_key")]
-    f = table(spark, sf_dir, "lineitem").where("l_quantity > 48")
-    return history.coverage_audit(table(spark, sf_dir, "part").where("p_size < 40").select(*key("p_partkey")), f.select(*key("l_partkey")), f.where("l_returnflag = 'R'").select(*key("l_partkey")))
+    key = lambda c: [(c % 5).alias("language"), c.alias("rule_key")]
+    f = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 1000 * (F.col("l_suppkey") % 3)).alias("k"), (F.col("l_returnflag") == "R").alias("returned"))
+    return history.coverage_audit(table(spark, sf_dir, "part").select(*key(F.col("p_partkey"))), f.select(*key(F.col("k"))), f.where("returned").select(*key(F.col("k"))))
 
 
 @query(
