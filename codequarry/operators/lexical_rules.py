@@ -256,6 +256,11 @@ def _on_file(view: str, pattern: str, key: str, message: str) -> str:
     return f"if({_may(view, pattern)}{view} rlike {_q(pattern)}, array(named_struct('rule_key', {_q(key)}, 'message', {_q(message)}, {zero})), cast(array() as {_OUT}))"
 
 
+def with_origin(findings: DataFrame) -> DataFrame:
+    """Findings with the origin of their rule, base or independent: one pass over the files has both."""
+    return findings.withColumn("origin", F.when(F.col("rule_key").isin(sorted(independent_keys())), "independent").otherwise("base"))
+
+
 def quality_findings(files: DataFrame, ids: set[str] | None = None) -> DataFrame:
     """Findings of the isolated code-quality profile; ids that aren't registered are an error."""
     unknown = (ids or set()) - {r[0] for r in QUALITY_RULES}

@@ -444,7 +444,5 @@ NATIVE_SQL = "regexp_matches(rule_key, '^(G[0-9]|SA[0-9]|CA[0-9])|-')"
 @query(f"SELECT rule_key, CASE WHEN {NATIVE_SQL} THEN 'independent' ELSE 'base' END AS origin, count(*) AS findings FROM ({ORACLE_SQL['lexical_findings']}) GROUP BY ALL")
 def findings_by_origin(spark, sf_dir):
     """Base findings together with those of independent rules, by rule."""
-    f = programs._programs(spark, sf_dir)
-    own = set(lexical_rules.independent_keys())
-    both = lexical_rules.lexical_findings(f, set(lexical_rules.rule_keys()) - own).withColumn("origin", F.lit("base")).unionByName(lexical_rules.lexical_findings(f, own).withColumn("origin", F.lit("independent")))
+    both = lexical_rules.with_origin(lexical_rules.lexical_findings(programs._programs(spark, sf_dir)))
     return both.groupBy("rule_key", "origin").agg(F.count("*").alias("findings"))
