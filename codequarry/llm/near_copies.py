@@ -32,7 +32,7 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 22
 _FREQUENT, _BUCKET, _BLOCK = 3, 1 << 20, 1 << 17
 
 
-def _mark(key: str, text: str) -> Column:
+def mark(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
@@ -106,7 +106,7 @@ def candidates(texts: DataFrame, leaders, n: int, size: int, shingle: int, simil
 def first_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(k, mark, n) of the row that stays of each component of near copies: its key, the hash of its
     key and text, how many rows have both. The smallest key stays, a null one only without others."""
-    texts = df.select(F.col(key).alias("k"), _mark(key, text).alias("mark"), whole_text(text).alias("t")).withColumn("th", F.xxhash64("t"))
+    texts = df.select(F.col(key).alias("k"), mark(key, text).alias("mark"), whole_text(text).alias("t")).withColumn("th", F.xxhash64("t"))
     leaders = find_leaders(texts, shingle, similarity)
     shared = df.sparkSession.sparkContext.broadcast(leaders)
     rows = durable(named_rows(texts, ["k", "mark", "th"], shared, shingle))
@@ -120,16 +120,20 @@ def first_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     return durable(placed.select("first.k", "first.mark", "first.n"))
 
 
-def without_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows, all columns, that stay, exactly one of each component; of rows with the same key and text any."""
-    first = first_rows(df, key, text, shingle, similarity)
+def first_only(df: DataFrame, first: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that ``first`` (k, mark, n) names; of those with the same key and text any one."""
 
     def stay(which: DataFrame) -> DataFrame:
-        k, mark = own_name(df, "__k"), own_name(df, "__mark")
-        named = which.select(F.col("k").alias(k), F.col("mark").alias(mark))
-        return df.join(named, F.col(key).eqNullSafe(F.col(k)) & (_mark(key, text) == F.col(mark)), "left_semi")
+        k, own = own_name(df, "__k"), own_name(df, "__mark")
+        named = which.select(F.col("k").alias(k), F.col("mark").alias(own))
+        return df.join(named, F.col(key).eqNullSafe(F.col(k)) & (mark(key, text) == F.col(own)), "left_semi")
 
     repeated = first.where("n > 1")
     if repeated.isEmpty():
         return stay(first)
     return stay(first.where("n = 1")).union(stay(repeated).dropDuplicates([key, text]))
+
+
+def without_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows, all columns, that stay, exactly one of each component; of rows with the same key and text any."""
+    return first_only(df, first_rows(df, key, text, shingle, similarity), key, text)
