@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontamination, near_copies, pii, quality, sentencepiece_fst
+from codequarry.llm import decontamination, pii, quality, sentencepiece_fst, simhash
 from codequarry.llm.common import own_name, shared_folder, table
 
 
@@ -22,8 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles are 0.8 or more alike the one with the smallest id stays."""
-    return near_copies.without_copies(docs)
+    """Of each group of texts that SimHash links (three bits or fewer, as in op 8) the one with the smallest id stays."""
+    return simhash.without_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
