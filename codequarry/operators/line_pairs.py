@@ -136,6 +136,57 @@ def fuzzy_pairs(candidates: DataFrame) -> DataFrame:
 
 #: Rows between those that are kept while ranks run down a table.
 _KEPT = 256
+#: Pairs of equal lines, for each line of both sides, that are always taken one by one; how many there may be at all;
+#: how many places of a band take as long as one of them.
+_PAIRS_A_LINE, _PAIRS, _PLACES = 16, 1 << 24, 60
+
+
+def _by_pairs(a, b):
+    """Which lines of ``a`` some longest chain leaves out, and whether there are several chains, from the pairs of equal lines.
+
+    Each pair gets the lengths of the longest chains up to it and from it on, by piles of their last and first lines. A chain
+    that leaves a line out goes from a pair before it to one of the next rank behind it. Pairs of one rank run from low left to
+    high right, so that the last one of the next rank that stands further right than a pair is the furthest that it leads to.
+    """
+    import bisect
+
+    import numpy as np
+
+    order = np.argsort(b, kind="stable")
+    first, end = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    n = end - first
+    i = np.repeat(np.arange(len(a)), n)
+    # of a line's pairs the last comes first, so that none follows another
+    j = order[np.repeat(end, n) - 1 - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
+
+    def lengths(places: list[int]):
+        piles: list[int] = []
+        out = np.zeros(len(places), dtype=np.int64)
+        for at, x in enumerate(places):
+            pile = bisect.bisect_left(piles, x)
+            if pile == len(piles):
+                piles.append(x)
+            else:
+                piles[pile] = x
+            out[at] = pile + 1
+        return out
+
+    rank, rest = lengths(j.tolist()), lengths((-j[::-1]).tolist())[::-1]
+    longest = int(rank.max())
+    on = rank + rest - 1 == longest
+    i, j, rank = i[on], j[on], rank[on]
+    size = len(b) + 1
+    key = rank * size + (len(b) - j)
+    by = np.argsort(key, kind="stable")
+    i, j, rank, key = i[by], j[by], rank[by], key[by]
+    inner = rank < longest
+    furthest = i[np.searchsorted(key, (rank[inner] + 1) * size + (len(b) - j[inner])) - 1]
+    low = np.concatenate([[0], i[inner] + 1, [i[rank == longest].min() + 1]])
+    high = np.concatenate([[i[rank == 1].max()], furthest, [len(a)]])
+    steps = np.zeros(len(a) + 1, dtype=np.int64)
+    np.add.at(steps, low, 1)
+    np.add.at(steps, high, -1)
+    return np.cumsum(steps[:-1]) > 0, len(rank) > longest
 
 
 def _ranks(a, b, low: int, width: int, first: int = 0, row=None):
@@ -167,7 +218,8 @@ def aligned(current: list, reference: list) -> tuple[list[int], bool]:
     length. A pair of equal lines with f lines of a chain up to it and g from it on lies on a longest chain if f + g - 1 is
     that length; there is just one longest chain if each rank f has one such pair. Lines that the other side lacks are left
     out first; as many steps aside as the rest needs bound the band in which pairs are looked for, and lengths from
-    the end are kept for every 256th line and made again between.
+    the end are kept for every 256th line and made again between. Where the pairs of equal lines are fewer than the
+    band's places, they alone are looked at.
     """
     import numpy as np
 
@@ -176,11 +228,18 @@ def aligned(current: list, reference: list) -> tuple[list[int], bool]:
     y = np.array([ids.setdefault(v, len(ids)) for v in reference], dtype=np.int64)
     place = np.flatnonzero(np.isin(x, y))
     a, b = x[place], y[np.isin(y, x)]
-    longest = common_lines(a.tolist(), b.tolist())
-    if not longest:
+    if not len(a):
         return list(range(1, len(current) + 1)), False
     n, m = len(a), len(b)
-    low, width = -(n - longest), (n - longest) + (m - longest) + 1
+    equal_pairs = int((np.bincount(a, minlength=len(ids)) * np.bincount(b, minlength=len(ids))).sum())
+    few = equal_pairs <= _PAIRS_A_LINE * (n + m)
+    if not few:
+        longest = common_lines(a.tolist(), b.tolist())
+        low, width = -(n - longest), (n - longest) + (m - longest) + 1
+        few = equal_pairs <= _PAIRS and _PLACES * equal_pairs < n * width
+    if few:
+        free, several = _by_pairs(a, b)
+        return (np.setdiff1d(np.arange(len(current)), place[~free]) + 1).tolist(), several
     # from the end both are read backwards: place d of the band is place width - 1 - d there
     back_low = -(m - longest) + (m - n)
     kept = {i: row for i, row in _ranks(a[::-1], b[::-1], back_low, width) if i % _KEPT == 0}
@@ -214,7 +273,7 @@ def aligned_lines(pairs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [aligned(x or [], y or []) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = [aligned(x.as_py() or [], y.as_py() or []) for x, y in zip(batch.column(1), batch.column(2))]  # one file's lines at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array(["uncertain" if f[1] else "complete" for f in found], pa.string())], names=["path", "new_lines", "status"])
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
