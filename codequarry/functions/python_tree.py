@@ -10,6 +10,7 @@ import ast
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: ``field`` and ``at`` say where a node stands in its parent; ``name`` is an identifier, a dotted name or a module;
 #: ``other`` an alias's new name, a name's context or the dots before a module.
@@ -91,3 +92,29 @@ def tree(files: DataFrame) -> DataFrame:
             yield batch()
 
     return files.select("path", "text").mapInArrow(run, TREE)
+
+
+#: A file's nodes by columns, in preorder: how many are below a node, how far above its parent stands, how many lines it goes on.
+_PACKED = [("below", pa.int32()), ("up", pa.int32()), *((c, t) for c, t in zip("field at kind name other sl sc".split(), _TYPES[4:11])), ("more", pa.int32()), ("ec", pa.int32())]
+
+
+def placed_tree(files: DataFrame, n: int) -> DataFrame:
+    """The nodes of files, as of ``tree``, with each file in one of ``n`` partitions by its path. Files travel as one row each with a
+    list (of strings: a text of lines) for each column, which takes a fraction of what their nodes would."""
+    types = {pa.string(): "string", pa.int32(): "array<int>"}
+
+    def run(batches):
+        for b in batches:
+            for path, text in zip(b.column(0), b.column(1)):
+                r = list(zip(*tree_rows(path.as_py(), text.as_py())))
+                pre, last, parent, sl, el = r[1], r[2], r[3], r[9], r[11]
+                columns = [[x - y for x, y in zip(last, pre)], [x - y for x, y in zip(pre, parent)], *r[4:11], [x - y for x, y in zip(el, sl)], r[12]]
+                # no name holds a line's end or a zero byte
+                packed = [pa.array(["\n".join("\0" if x is None else x for x in c)]) if t == pa.string() else pa.array([c], pa.list_(t)) for c, (_, t) in zip(columns, _PACKED)]
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()], pa.string()), *packed], names=["path", *(c for c, _ in _PACKED)])
+
+    whole = files.select("path", "text").mapInArrow(run, "path string, " + ", ".join(f"{c} {types[t]}" for c, t in _PACKED)).repartition(n, "path")
+    lists = whole.select("path", *(F.split(c, "\n", -1).alias(c) if t == pa.string() else c for c, t in _PACKED))
+    nodes = lists.select("path", F.posexplode(F.arrays_zip(*(c for c, _ in _PACKED))).alias("pre", "n"))
+    own = {"last": F.col("pre") + F.col("n.below"), "parent": F.col("pre") - F.col("n.up"), "el": F.col("n.sl") + F.col("n.more"), **{c: F.nullif(F.col(f"n.{c}"), F.lit("\0")) for c in ("name", "other")}}
+    return nodes.select(*(F.col(c) if c in ("path", "pre") else own.get(c, F.col(f"n.{c}")).alias(c) for c in (x.split()[0] for x in TREE.split(", "))))

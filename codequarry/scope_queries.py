@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import python_tree
 from .operators import scopes
 from .registry import query, table
 
@@ -13,8 +12,7 @@ from .registry import query, table
 def _tree(rows: DataFrame, part) -> DataFrame:
     """The trees of files whose parts (path, o_orderkey) stand one below the other; files are dealt over all partitions."""
     files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("p"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return python_tree.tree(files.select("path", F.array_join("p.part", "\n").alias("text")).repartition(n, "path")).persist()
+    return scopes.trees_by_path(files.select("path", F.array_join("p.part", "\n").alias("text")))
 
 
 @query(
