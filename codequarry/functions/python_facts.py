@@ -99,6 +99,19 @@ def cognitive(fn: ast.AST) -> int:
     return total
 
 
+def _params(fn: ast.AST) -> list[str]:
+    a = fn.args
+    return [p.arg for p in (*a.posonlyargs, *a.args, *a.kwonlyargs)]
+
+
+def _size(fn: ast.AST) -> int:
+    return (fn.end_lineno or fn.lineno) - fn.body[0].lineno + 1
+
+
+#: Measures of a function that need no other node's digest.
+_MEASURES = {"params": lambda fn: len(_params(fn)), "lines": _size, "complexity": complexity, "cognitive": cognitive}
+
+
 def _plain(suite: list[ast.stmt]) -> bool:
     return all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is ... for s in suite)
 
@@ -113,13 +126,13 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
     suite = lambda s: "".join(map(d, s))
     if isinstance(n, _FUNCTIONS):
         a = n.args
-        params = [p.arg for p in (*a.posonlyargs, *a.args, *a.kwonlyargs)]
+        params = _params(n)
         returns = _own(n, ast.Return)
         yields = _own(n, (ast.Yield, ast.YieldFrom))
         defaults = [x for x in (*a.defaults, *a.kw_defaults) if x is not None]
         body = [s for s in n.body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str))]
         return n.name, {
-            "params": len(params),
+            **{k: f(n) for k, f in _MEASURES.items()},
             "positional": len(a.posonlyargs) + len(a.args),
             "first": (params or [""])[0],
             "star": bool(a.vararg or a.kwarg),
@@ -135,9 +148,6 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
             "empty": _plain(n.body),
             "trivial": len(body) <= 1,
             "body": suite(body),
-            "lines": (n.end_lineno or n.lineno) - n.body[0].lineno + 1,
-            "complexity": complexity(n),
-            "cognitive": cognitive(n),
             "mutable_default": any(isinstance(x, (ast.List, ast.Dict, ast.Set, ast.ListComp, ast.DictComp, ast.SetComp)) or isinstance(x, ast.Call) and dotted(x.func) in ("list", "dict", "set") for x in defaults),
             "decorators": ",".join(dotted(x.func if isinstance(x, ast.Call) else x) for x in n.decorator_list),
             "hint": n.returns is not None,
@@ -264,6 +274,33 @@ def _digests(tree: ast.AST) -> dict[int, str]:
     return out
 
 
+def _parsed(text: str) -> ast.AST:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return ast.parse(text)
+
+
+def functions(path: str, text: str | None) -> list[tuple]:
+    """(path, name, sl, params, lines, complexity, cognitive) of the functions of one file; none of one that doesn't parse."""
+    text = text or ""
+    _WALKED.clear()
+    try:
+        tree = _parsed(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            symtable.symtable(text, path, "exec")  # refuses some texts that parse
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    found, todo = [], [tree]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, _FUNCTIONS):
+            found.append((path, n.name, n.lineno, *(f(n) for f in _MEASURES.values())))
+        if not isinstance(n, ast.expr):  # no function stands within an expression
+            todo.extend(ast.iter_child_nodes(n))
+    return found
+
+
 def _symbols(path: str, text: str):
     """(scope kind, scope, name, flags) of each name of each scope."""
     todo = [symtable.symtable(text, path, "exec")]
@@ -281,9 +318,9 @@ def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset()) -> l
     _WALKED.clear()
     named = not kinds or "Symbol" in kinds
     try:
+        tree = _parsed(text)
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(text)
             symbols = list(_symbols(path, text)) if named else []
             if not named:
                 symtable.symtable(text, path, "exec")  # refuses some texts that parse
@@ -369,3 +406,28 @@ def nodes(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
             yield batch()
 
     return files.select("path", "text").mapInArrow(run, NODES)
+
+
+def function_measures(files: DataFrame) -> DataFrame:
+    """path, name, sl, params, lines, complexity, cognitive of each function of the files (path, text), without digests
+    or the other attributes of ``nodes``."""
+    schema = "path string, name string, sl int, params int, lines int, complexity int, cognitive int"
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.string(), pa.string(), *[pa.int32()] * 5]
+
+    def run(batches):
+        rows: list[tuple] = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        for b in batches:
+            for path, text in zip(b.column(0), b.column(1)):
+                rows += functions(path.as_py(), text.as_py())
+                if len(rows) >= _ROWS:
+                    yield batch()
+                    rows.clear()
+        if rows:
+            yield batch()
+
+    return files.select("path", "text").mapInArrow(run, schema)

@@ -183,8 +183,7 @@ _FUNCTION_SQL = f"""{values("functions", "pick, name, rows, params, lines, compl
 @query(f"WITH {_FUNCTION_SQL} SELECT path, name, sl, params, lines, complexity, cognitive FROM p")
 def python_functions(spark, sf_dir):
     """Parameters, lines, cyclomatic and cognitive complexity of each function."""
-    n = python_facts.nodes(_python(spark, sf_dir), kinds=("FunctionDef", "AsyncFunctionDef")).where("kind <> 'ParseError'")
-    return n.select("path", "name", "sl", *(F.col("attrs")[c].cast("int").alias(c) for c in ("params", "lines", "complexity", "cognitive")))
+    return python_facts.function_measures(_python(spark, sf_dir))
 
 
 @query(
