@@ -16,18 +16,21 @@ import warnings
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .python_checks import checks
+from .python_checks import WALKED, checks, child_fields, children, inside
 from .regex_facts import regex_rules
 
 NODES = """path string, id int, parent int, kind string, parent_kind string, field string, at int, last int, depth int, nesting int, fn int, cls int,
     name string, digest string, sl int, sc int, el int, ec int, attrs map<string,string>"""
 _NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_FRAMES = frozenset((*_FUNCTIONS, ast.Lambda))
 #: Methods that answer NotImplemented. Fixed names.
 _SPECIAL = frozenset(f"__{n}__" for n in "eq lt le gt ge ne add sub mul getitem iter len contains".split())
 #: Calls whose first argument is a pattern. Fixed names.
 _REGEX_CALLS = frozenset(f"re.{n}" for n in "compile match search fullmatch split findall finditer sub subn".split())
 _JUMPS = (ast.Return, ast.Raise, ast.Break, ast.Continue)
+_LOOPS = frozenset((ast.For, ast.AsyncFor, ast.While))
+_BRANCHING = frozenset((ast.If, *_LOOPS, ast.ExceptHandler, ast.IfExp))
 
 
 def dotted(node: ast.AST) -> str:
@@ -41,32 +44,21 @@ def dotted(node: ast.AST) -> str:
     return "." + parts[0] if parts else ""
 
 
-#: The nodes of each function of the file at hand, walked once.
-_WALKED: dict[int, list[ast.AST]] = {}
-
-
 def _own(fn: ast.AST, kinds) -> list[ast.AST]:
     """Nodes of these kinds in a function but not in functions inside it."""
-    if id(fn) not in _WALKED:
-        every, todo = [], list(ast.iter_child_nodes(fn))
-        while todo:
-            n = todo.pop()
-            every.append(n)
-            if not isinstance(n, (*_FUNCTIONS, ast.Lambda, ast.ClassDef)):
-                todo.extend(ast.iter_child_nodes(n))
-        _WALKED[id(fn)] = every
-    return [n for n in _WALKED[id(fn)] if isinstance(n, kinds)]
+    return [n for n in inside(fn) if isinstance(n, kinds)]
 
 
 def complexity(fn: ast.AST) -> int:
     """Cyclomatic: one, and one for each branch, loop, handler, condition of a comprehension and boolean operator."""
     total = 1
-    for n in _own(fn, ast.AST):
-        if isinstance(n, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp)):
+    for n in inside(fn):
+        kind = type(n)
+        if kind in _BRANCHING:
             total += 1
-        elif isinstance(n, ast.BoolOp):
+        elif kind is ast.BoolOp:
             total += len(n.values) - 1
-        elif isinstance(n, ast.comprehension):
+        elif kind is ast.comprehension:
             total += 1 + len(n.ifs)
     return total
 
@@ -77,8 +69,8 @@ def cognitive(fn: ast.AST) -> int:
     todo: list[tuple[ast.AST, int, bool]] = [(n, 0, False) for n in fn.body]
     while todo:
         n, nest, chained = todo.pop()
-        deeper = nest
-        if isinstance(n, ast.If):
+        deeper, kind = nest, type(n)
+        if kind is ast.If:
             total += 1 if chained else 1 + nest
             only = len(n.orelse) == 1 and isinstance(n.orelse[0], ast.If)
             if n.orelse and not only:
@@ -86,15 +78,15 @@ def cognitive(fn: ast.AST) -> int:
             todo += [(n.test, nest, False), *((c, nest + 1, False) for c in n.body)]
             todo += [(n.orelse[0], nest, True)] if only else [(c, nest + 1, False) for c in n.orelse]
             continue
-        if isinstance(n, (ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp)):
+        if kind in _BRANCHING:
             total += 1 + nest
             deeper = nest + 1
-        elif isinstance(n, (*_FUNCTIONS, ast.Lambda)):
+        elif kind in _FRAMES:
             deeper = nest + 1
-        elif isinstance(n, ast.BoolOp):
+        elif kind is ast.BoolOp:
             total += 1
-        todo += [(c, deeper, False) for c in ast.iter_child_nodes(n)]
-        if isinstance(n, (ast.For, ast.AsyncFor, ast.While)) and n.orelse:
+        todo += [(c, deeper, False) for c in children(n)]
+        if kind in _LOOPS and n.orelse:
             total += 1
     return total
 
@@ -112,6 +104,10 @@ def _size(fn: ast.AST) -> int:
 _MEASURES = {"params": lambda fn: len(_params(fn)), "lines": _size, "complexity": complexity, "cognitive": cognitive}
 
 
+#: Nodes without a name or attributes, of those that there are most of.
+_PLAIN = (ast.Return, ast.AugAssign, ast.Module, ast.arguments, ast.arg, ast.Pass, ast.keyword, ast.Subscript, ast.List, ast.Tuple)
+
+
 def _plain(suite: list[ast.stmt]) -> bool:
     return all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is ... for s in suite)
 
@@ -120,15 +116,55 @@ def _ends(suite: list[ast.stmt]) -> str:
     return type(suite[-1]).__name__ if suite else ""
 
 
-def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, object]]:
+class _Digests:
+    """Digests of a file's nodes, made when they are asked for: from kind, values and children; positions and contexts don't count."""
+
+    def __init__(self):
+        self.known: dict[int, str] = {}
+
+    def __call__(self, n: ast.AST) -> str:
+        known = self.known
+        if id(n) in known:
+            return known[id(n)]
+        order, todo = [], [n]
+        while todo:
+            x = todo.pop()
+            if id(x) not in known:
+                order.append(x)
+                todo.extend(ast.iter_child_nodes(x))
+        for x in reversed(order):
+            parts = [type(x).__name__]
+            for name, value in ast.iter_fields(x):
+                if name in ("ctx", "type_comment", "kind"):
+                    continue
+                for v in value if isinstance(value, list) else [value]:
+                    parts.append(known[id(v)] if isinstance(v, ast.AST) else repr(v))
+                parts.append(";")
+            known[id(x)] = hashlib.blake2b("|".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+        return known[id(n)]
+
+    def same(self, a: ast.AST, b: ast.AST) -> bool:
+        """Whether two nodes are equal code; a target equals what reads it."""
+        return type(a) is type(b) and (a.id == b.id if isinstance(a, ast.Name) else self(a) == self(b))
+
+
+def _attributes(n: ast.AST, d: _Digests, told: frozenset[str]) -> tuple[str, dict[str, object]]:
     """Name and attributes of a node."""
-    d = lambda x: digest[id(x)]
+    if isinstance(n, ast.Constant):
+        return "", {"type": type(n.value).__name__, "value": n.value if isinstance(n.value, str) else ""}
+    if isinstance(n, (ast.Name, ast.Attribute)):
+        return dotted(n), {"store": isinstance(n.ctx, ast.Store)}
+    if isinstance(n, _PLAIN):
+        return "", {}
     suite = lambda s: "".join(map(d, s))
     if isinstance(n, _FUNCTIONS):
         a = n.args
         params = _params(n)
-        returns = _own(n, ast.Return)
-        yields = _own(n, (ast.Yield, ast.YieldFrom))
+        own: dict[type, list] = {}
+        for x in inside(n):
+            own.setdefault(type(x), []).append(x)
+        count = lambda *kinds: sum(len(own.get(k, ())) for k in kinds)
+        returns, yields = own.get(ast.Return, []), count(ast.Yield, ast.YieldFrom)
         defaults = [x for x in (*a.defaults, *a.kw_defaults) if x is not None]
         body = [s for s in n.body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str))]
         return n.name, {
@@ -141,18 +177,18 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
             "valued": sum(r.value is not None and not (isinstance(r.value, ast.Constant) and r.value.value is None) for r in returns),
             "bare": sum(r.value is None for r in returns),
             "falls": _ends(n.body) not in ("Return", "Raise", "While", "If", "Try", "With", "Match"),
-            "invariant": len(returns) > 1 and len({d(r.value) if r.value else "" for r in returns}) == 1 and all(isinstance(r.value, ast.Constant) for r in returns),
-            "yields": len(yields),
-            "awaits": len(_own(n, (ast.Await, ast.AsyncFor, ast.AsyncWith))) + len(yields),
+            "invariant": len(returns) > 1 and all(isinstance(r.value, ast.Constant) for r in returns) and len({d(r.value) for r in returns}) == 1,
+            "yields": yields,
+            "awaits": count(ast.Await, ast.AsyncFor, ast.AsyncWith) + yields,
             "doc": ast.get_docstring(n, clean=False) is not None,
             "empty": _plain(n.body),
             "trivial": len(body) <= 1,
-            "body": suite(body),
+            **({"body": suite(body)} if not told or "body" in told else {}),
             "mutable_default": any(isinstance(x, (ast.List, ast.Dict, ast.Set, ast.ListComp, ast.DictComp, ast.SetComp)) or isinstance(x, ast.Call) and dotted(x.func) in ("list", "dict", "set") for x in defaults),
             "decorators": ",".join(dotted(x.func if isinstance(x, ast.Call) else x) for x in n.decorator_list),
             "hint": n.returns is not None,
             "timeout": "timeout" in params,
-            "self_call": any(dotted(c.func) == n.name for c in _own(n, ast.Call)) and not _own(n, (ast.If, ast.IfExp, ast.For, ast.While, ast.Try, ast.BoolOp, ast.Match)),
+            "self_call": any(dotted(c.func) == n.name for c in own.get(ast.Call, ())) and not count(ast.If, ast.IfExp, ast.For, ast.While, ast.Try, ast.BoolOp, ast.Match),
         }
     if isinstance(n, ast.ClassDef):
         return n.name, {"bases": ",".join(map(dotted, n.bases)), "doc": ast.get_docstring(n, clean=False) is not None, "empty": _plain(n.body), "methods": sum(isinstance(s, _FUNCTIONS) for s in n.body)}
@@ -169,7 +205,7 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
             "first_number": first.value if isinstance(first, ast.Constant) and type(first.value) in (int, float) else "",
             "second_value": n.args[1].value if len(n.args) > 1 and isinstance(n.args[1], ast.Constant) and isinstance(n.args[1].value, str) else "",
             "second_number": n.args[1].value if len(n.args) > 1 and isinstance(n.args[1], ast.Constant) and type(n.args[1].value) is int else "",
-            "same_args": len(n.args) > 1 and d(n.args[0]) == d(n.args[1]),
+            "same_args": len(n.args) > 1 and d.same(n.args[0], n.args[1]),
             "starred": any(isinstance(x, ast.Starred) for x in n.args),
             **{"kw_" + k: v for k, v in literal.items()},
         }
@@ -177,7 +213,7 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
         left, right = n.left, n.comparators[0]
         return type(n.ops[0]).__name__, {
             "ops": len(n.ops),
-            "same": len(n.ops) == 1 and d(left) == d(right),
+            "same": len(n.ops) == 1 and d.same(left, right),
             "float": any(isinstance(x, ast.Constant) and isinstance(x.value, float) for x in (left, right)),
             "left": dotted(left.func) if isinstance(left, ast.Call) else dotted(left),
             "right": dotted(right.func) if isinstance(right, ast.Call) else dotted(right),
@@ -187,20 +223,23 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
             "left_slice": isinstance(left, ast.Subscript) and isinstance(left.slice, ast.Slice),
         }
     if isinstance(n, ast.BinOp):
-        return type(n.op).__name__, {"same": d(n.left) == d(n.right), "left_kind": type(n.left).__name__, "left_string": isinstance(n.left, ast.Constant) and isinstance(n.left.value, str), "right_string": isinstance(n.right, ast.Constant) and isinstance(n.right.value, str), "right_number": isinstance(n.right, ast.Constant) and type(n.right.value) in (int, float), "number": isinstance(n.left, ast.Constant) and type(n.left.value) in (int, float)}
+        return type(n.op).__name__, {"same": d.same(n.left, n.right), "left_kind": type(n.left).__name__, "left_string": isinstance(n.left, ast.Constant) and isinstance(n.left.value, str), "right_string": isinstance(n.right, ast.Constant) and isinstance(n.right.value, str), "right_number": isinstance(n.right, ast.Constant) and type(n.right.value) in (int, float), "number": isinstance(n.left, ast.Constant) and type(n.left.value) in (int, float)}
     if isinstance(n, ast.BoolOp):
-        every = [d(v) for v in n.values]
-        return type(n.op).__name__, {"same": any(a == b for a, b in zip(every, every[1:])), "operands": len(every), "constant": any(isinstance(v, ast.Constant) for v in n.values)}
+        return type(n.op).__name__, {"same": any(map(d.same, n.values, n.values[1:])), "operands": len(n.values), "constant": any(isinstance(v, ast.Constant) for v in n.values)}
     if isinstance(n, ast.UnaryOp):
         return type(n.op).__name__, {"operand": type(n.operand).__name__, "operand_ops": len(n.operand.ops) if isinstance(n.operand, ast.Compare) else 0, "same_op": isinstance(n.operand, ast.UnaryOp) and type(n.operand.op) is type(n.op)}
     if isinstance(n, (ast.If, ast.IfExp)):
         b, o = (n.body, n.orelse) if isinstance(n, ast.If) else ([n.body], [n.orelse])
-        tests, branches, x = [d(n.test)], [suite(b)], n
+        tests, branches, x = [n.test], [b], n
         while isinstance(x, ast.If) and len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If):
             x = x.orelse[0]
-            tests.append(d(x.test))
-            branches.append(suite(x.body))
-        closing = suite(x.orelse) if isinstance(x, ast.If) and x.orelse else suite(o) if isinstance(n, ast.IfExp) else ""
+            tests.append(x.test)
+            branches.append(x.body)
+        closing = x.orelse if isinstance(x, ast.If) else o
+        if closing or len(branches) > 1:
+            tests, branches, closing = list(map(d, tests)), list(map(suite, branches)), suite(closing)
+        else:
+            branches = []  # one branch alone equals none
         alone = len(b) == 1 and isinstance(b[0], ast.If) and not b[0].orelse and not o
         return "", {"test": type(n.test).__name__, "constant": isinstance(n.test, (ast.Constant, ast.List, ast.Dict, ast.Tuple, ast.Lambda)), "repeated_test": len(set(tests)) < len(tests), "repeated_branch": any(p == q for p, q in zip(branches, branches[1:] + [closing])) and not all(p == closing for p in branches), "all_same": bool(closing) and all(p == closing for p in branches), "only_if": alone, "empty": isinstance(n, ast.If) and _plain(b), "walrus": isinstance(n.test, ast.NamedExpr)}
     if isinstance(n, (ast.For, ast.AsyncFor, ast.While)):
@@ -222,9 +261,7 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
         return dotted(v.func) if isinstance(v, ast.Call) else "", {"value": type(v).__name__, "text": isinstance(v, ast.Constant) and (isinstance(v.value, str) or v.value is ...)}
     if isinstance(n, ast.Assign):
         t = n.targets[0]
-        return dotted(t), {"same": any(d2 == d(n.value) for d2 in (_loaded(x, digest) for x in n.targets)), "value": type(n.value).__name__, "value_name": dotted(n.value.func) if isinstance(n.value, ast.Call) else "", "text": n.value.value if isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) else "", "unary": type(n.value.op).__name__ if isinstance(n.value, ast.UnaryOp) else "", "gap": n.value.col_offset - t.end_col_offset if n.value.lineno == t.end_lineno else -1, "non_strings": isinstance(n.value, (ast.List, ast.Tuple)) and any(not (isinstance(e, ast.Constant) and isinstance(e.value, str)) for e in n.value.elts)}
-    if isinstance(n, ast.Constant):
-        return "", {"type": type(n.value).__name__, "value": n.value if isinstance(n.value, str) else ""}
+        return dotted(t), {"same": any(d.same(x, n.value) for x in n.targets), "value": type(n.value).__name__, "value_name": dotted(n.value.func) if isinstance(n.value, ast.Call) else "", "text": n.value.value if isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) else "", "unary": type(n.value.op).__name__ if isinstance(n.value, ast.UnaryOp) else "", "gap": n.value.col_offset - t.end_col_offset if n.value.lineno == t.end_lineno else -1, "non_strings": isinstance(n.value, (ast.List, ast.Tuple)) and any(not (isinstance(e, ast.Constant) and isinstance(e.value, str)) for e in n.value.elts)}
     if isinstance(n, ast.Dict):
         keys = [d(k) for k in n.keys if isinstance(k, ast.Constant)]
         return "", {"repeated": len(set(keys)) < len(keys), "unhashable": any(isinstance(k, (ast.List, ast.Dict, ast.Set)) for k in n.keys)}
@@ -237,10 +274,8 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
         return n.module or "", {"star": any(x.name == "*" for x in n.names)}
     if isinstance(n, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
         g = n.generators
-        target = d(n.elt) == _loaded(g[0].target, digest) if not isinstance(n, ast.DictComp) else False
+        target = d.same(n.elt, g[0].target) if not isinstance(n, ast.DictComp) else False
         return "", {"copy": len(g) == 1 and not g[0].ifs and target, "constant_value": isinstance(n, ast.DictComp) and isinstance(n.value, ast.Constant)}
-    if isinstance(n, (ast.Name, ast.Attribute)):
-        return dotted(n), {"store": isinstance(n.ctx, ast.Store)}
     if isinstance(n, ast.NamedExpr):
         return dotted(n.target), {}
     if isinstance(n, ast.Delete):
@@ -248,32 +283,6 @@ def _attributes(n: ast.AST, digest: dict[int, str]) -> tuple[str, dict[str, obje
     return "", {}
 
 
-def _loaded(target: ast.AST, digest: dict[int, str]) -> str:
-    """The digest of an assignment's target as if it were read."""
-    return digest.get(-id(target), "")
-
-
-def _digests(tree: ast.AST) -> dict[int, str]:
-    """Digest of each node from its kind, values and children; positions and contexts don't count."""
-    out: dict[int, str] = {}
-    order, todo = [], [tree]
-    while todo:
-        n = todo.pop()
-        order.append(n)
-        todo.extend(ast.iter_child_nodes(n))
-    for n in reversed(order):
-        parts = [type(n).__name__]
-        for name, value in ast.iter_fields(n):
-            if name in ("ctx", "type_comment", "kind"):
-                continue
-            for v in value if isinstance(value, list) else [value]:
-                parts.append(out[id(v)] if isinstance(v, ast.AST) else repr(v))
-            parts.append(";")
-        out[id(n)] = hashlib.blake2b("|".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        out[-id(n)] = out[id(n)]
-    return out
-
-
 def _parsed(text: str) -> ast.AST:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -283,7 +292,7 @@ def _parsed(text: str) -> ast.AST:
 def functions(path: str, text: str | None) -> list[tuple]:
     """(path, name, sl, params, lines, complexity, cognitive) of the functions of one file; none of one that doesn't parse."""
     text = text or ""
-    _WALKED.clear()
+    WALKED.clear()
     try:
         tree = _parsed(text)
         with warnings.catch_warnings():
@@ -297,7 +306,7 @@ def functions(path: str, text: str | None) -> list[tuple]:
         if isinstance(n, _FUNCTIONS):
             found.append((path, n.name, n.lineno, *(f(n) for f in _MEASURES.values())))
         if not isinstance(n, ast.expr):  # no function stands within an expression
-            todo.extend(ast.iter_child_nodes(n))
+            todo += children(n)
     return found
 
 
@@ -312,10 +321,18 @@ def _symbols(path: str, text: str):
             yield scope, s, free
 
 
-def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset()) -> list[tuple]:
-    """The rows of one file, or only those of some kinds; parse errors come always."""
+_TOLD = {True: "true", False: "false"}
+_HIDDEN = (*_FUNCTIONS, ast.ClassDef)
+
+
+def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset(), told: frozenset[str] = frozenset()) -> list[tuple]:
+    """The rows of one file, or only those of some kinds; parse errors come always.
+
+    Where the attributes that are asked for are ``told``, no others come, digests are empty, and constants other than texts
+    and returns inside of functions without anything to tell are left out.
+    """
     text = text or ""
-    _WALKED.clear()
+    WALKED.clear()
     named = not kinds or "Symbol" in kinds
     try:
         tree = _parsed(text)
@@ -327,7 +344,7 @@ def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset()) -> l
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         line = getattr(e, "lineno", 0) or 0
         return [(path, 0, -1, "ParseError", "", "", 0, 0, 0, 0, -1, -1, type(e).__name__, "", line, 0, line, 0, [])]
-    digest = _digests(tree)
+    digest = _Digests()
     rows: list[list | None] = []
     parents: list[int] = []
     todo: list[tuple] = [(tree, -1, "", "", 0, 0, 0, -1, -1, ())]
@@ -336,38 +353,50 @@ def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset()) -> l
         me, kind = len(rows), type(n).__name__
         inner = nesting + isinstance(n, _NESTING)
         parents.append(parent)
-        if kinds and kind not in kinds:
+        idle = told and (kind == "Return" and fn >= 0 and field != "unreachable" or kind == "Constant" and not (n.value and isinstance(n.value, str)))
+        if idle or kinds and kind not in kinds:
             rows.append(None)
         else:
-            name, attrs = _attributes(n, digest)
+            name, attrs = _attributes(n, digest, told)
             if isinstance(n, ast.Call) and name in _REGEX_CALLS and n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str):
                 attrs["regex"] = f",{','.join(sorted(regex_rules(n.args[0].value)))},"
             broken = checks(n)
             if broken:
                 attrs["checks"] = f",{','.join(broken)},"
-            shown = [(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in attrs.items()] + [(k, "true") for k in around]
-            rows.append([path, me, parent, kind, parent_kind, field, at, me, depth, inner, fn, cls, name, digest[id(n)], getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, shown])
-        own_fn, own_cls = (me, -1) if isinstance(n, (*_FUNCTIONS, ast.Lambda)) else (fn, me) if isinstance(n, ast.ClassDef) else (fn, cls)
-        inner = 0 if isinstance(n, (*_FUNCTIONS, ast.ClassDef)) else inner
-        children = []
-        inherited = tuple(k for k in around if k in ("in_async", "special_method", "in_handler"))
-        if isinstance(n, (*_FUNCTIONS, ast.Lambda)):
+            shown = [(k, _TOLD[v] if v is True or v is False else str(v)) for k, v in attrs.items() if not told or k in told] + [(k, "true") for k in around]
+            rows.append([path, me, parent, kind, parent_kind, field, at, me, depth, inner, fn, cls, name, "" if told else digest(n), getattr(n, "lineno", 0), getattr(n, "col_offset", 0), getattr(n, "end_lineno", 0) or 0, getattr(n, "end_col_offset", 0) or 0, shown])
+        fields = child_fields(type(n))
+        if not fields:
+            continue
+        function = isinstance(n, (*_FUNCTIONS, ast.Lambda))
+        own_fn, own_cls = (me, -1) if function else (fn, me) if isinstance(n, ast.ClassDef) else (fn, cls)
+        inner = 0 if isinstance(n, _HIDDEN) else inner
+        below = []
+        inherited = tuple(k for k in around if k in ("in_async", "special_method", "in_handler")) if around else ()
+        if function:
             inherited = tuple(k for k in inherited if k == "in_handler") + ("in_async",) * isinstance(n, ast.AsyncFunctionDef) + ("special_method",) * (getattr(n, "name", "") in _SPECIAL)
         if isinstance(n, ast.ExceptHandler) and "in_handler" not in inherited:
             inherited += ("in_handler",)
-        for name, value in ast.iter_fields(n):
+        for name in fields:
+            value = getattr(n, name, None)
+            if type(value) is not list:
+                if isinstance(value, ast.AST):
+                    below.append((value, me, kind, name, 0, depth + 1, inner, own_fn, own_cls, inherited))
+                continue
             seen_jump = unreachable = False
-            suite = value if isinstance(value, list) else [value]
-            for i, v in enumerate(suite):
-                if isinstance(v, ast.AST) and not isinstance(v, (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)):
-                    elif_ = isinstance(n, ast.If) and name == "orelse" and len(n.orelse) == 1 and isinstance(v, ast.If)
-                    place = inherited + ("prior_unreachable",) * unreachable + ("last_in_suite",) * (i == len(suite) - 1 and isinstance(v, ast.stmt))
-                    children.append((v, me, kind, "unreachable" if seen_jump else "elif" if elif_ else name, i, depth + 1, inner - elif_, own_fn, own_cls, place))
+            for i, v in enumerate(value):
+                if isinstance(v, ast.stmt):
+                    elif_ = isinstance(n, ast.If) and name == "orelse" and len(value) == 1 and isinstance(v, ast.If)
+                    place = inherited + ("prior_unreachable",) * unreachable + ("last_in_suite",) * (i == len(value) - 1)
+                    below.append((v, me, kind, "unreachable" if seen_jump else "elif" if elif_ else name, i, depth + 1, inner - elif_, own_fn, own_cls, place))
                     unreachable, seen_jump = seen_jump, isinstance(v, _JUMPS)
-        todo.extend(reversed(children))
+                elif isinstance(v, ast.AST):
+                    below.append((v, me, kind, name, i, depth + 1, inner, own_fn, own_cls, inherited))
+        todo += below[::-1]
     last = list(range(len(rows)))
     for i in range(len(rows) - 1, 0, -1):  # the last descendant, in preorder
-        last[parents[i]] = max(last[parents[i]], last[i])
+        if last[i] > last[parents[i]]:
+            last[parents[i]] = last[i]
     for i, r in enumerate(rows):
         if r is not None:
             r[7] = last[i]
@@ -383,12 +412,12 @@ def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset()) -> l
 _ROWS = 20_000
 
 
-def nodes(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """The facts of files (path, text), or only the nodes of some kinds and parse errors."""
+def nodes(files: DataFrame, kinds: tuple[str, ...] = (), told: tuple[str, ...] = ()) -> DataFrame:
+    """The facts of files (path, text), or only the nodes of some kinds and parse errors, and only the attributes that are told."""
     names = [c.split()[0] for c in NODES.split(",") if c.strip() and not c.strip().startswith("string>")]
     types = [pa.string(), *[pa.int32()] * 2, pa.string(), pa.string(), pa.string(), *[pa.int32()] * 6, pa.string(), pa.string(), *[pa.int32()] * 4, pa.map_(pa.string(), pa.string())]
 
-    wanted = frozenset(kinds)
+    wanted, asked = frozenset(kinds), frozenset(told)
 
     def run(batches):
         rows: list[tuple] = []
@@ -398,7 +427,7 @@ def nodes(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
 
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += facts(path, text, wanted)
+                rows += facts(path, text, wanted, asked)
                 if len(rows) >= _ROWS:
                     yield batch()
                     rows.clear()

@@ -192,6 +192,13 @@ def node_kinds(keys: set[str] | None = None) -> tuple[str, ...]:
     return tuple(sorted({k for key, kinds, *_ in NODE_RULES if keys is None or key in keys for k in kinds.split()}))
 
 
+def node_attributes(keys: set[str] | None = None) -> tuple[str, ...]:
+    """The attributes that the rules on single nodes ask for."""
+    import re
+
+    return tuple(sorted({a for key, _, predicate, _ in NODE_RULES if keys is None or key in keys for a in re.findall(r"(?<![\w.])a\.([a-z_]+)", predicate)}))
+
+
 def _context(nodes: DataFrame) -> DataFrame:
     """The nodes with what some rules ask of the surroundings; the parser has seen it all."""
     told = lambda c: F.coalesce(F.col("attrs")[c] == "true", F.lit(False)).alias(c)
