@@ -209,16 +209,17 @@ def _is(piece: str, language: str, part: int) -> str:
 def views(files: DataFrame) -> DataFrame:
     """path, language, text, code, plain, solid and comments of the files (path, language, text) in known languages."""
     f = files.where(F.col("language").isin(*LEXEMES)).select("path", "language", F.coalesce("text", F.lit("")).alias("text"))
-    f = f.withColumn("pieces", F.expr(_pieces("text", "language")))
-    blank = "regexp_replace(p, '[^\\n]', '{}')"
-    hollow = "concat(left(p, 1), regexp_replace(substring(p, 2, length(p) - 2), '[^\\n]', ' '), right(p, 1))"
-    comment, literal = _is("p", "language", 0), _is("p", "language", 1)
+    # what a piece is, is found out once for all views
+    kind = f"case when length(p) > 1 or p = '#' then case when {_is('p', 'language', 0)} then 0 when {_is('p', 'language', 1)} then 1 else 2 end else 2 end"
+    f = f.withColumn("pieces", F.expr(f"transform({_pieces('text', 'language')}, p -> named_struct('p', p, 'k', {kind}))"))
+    blank = "regexp_replace(x.p, '[^\\n]', '{}')"
+    hollow = "concat(left(x.p, 1), regexp_replace(substring(x.p, 2, length(x.p) - 2), '[^\\n]', ' '), right(x.p, 1))"
 
     def view(of_comment: str, of_literal: str, of_rest: str) -> Column:
-        return F.expr(f"array_join(transform(pieces, p -> case when {comment} then {of_comment} when {literal} then {of_literal} else {of_rest} end), '')")
+        return F.expr(f"array_join(transform(pieces, x -> case x.k when 2 then {of_rest} when 0 then {of_comment} else {of_literal} end), '')")
 
     space = blank.format(" ")
-    return f.select("path", "language", "text", view(space, hollow, "p").alias("code"), view(space, "p", "p").alias("plain"), view(blank.format("¤"), hollow, "p").alias("solid"), view("p", space, space).alias("comments"))
+    return f.select("path", "language", "text", view(space, hollow, "x.p").alias("code"), view(space, "x.p", "x.p").alias("plain"), view(blank.format("¤"), hollow, "x.p").alias("solid"), view("x.p", space, space).alias("comments"))
 
 
 _OUT = "array<struct<rule_key:string,message:string,sl:int,sc:int,el:int,ec:int>>"
@@ -230,24 +231,27 @@ def _may(view: str, pattern: str) -> str:
     return f"contains({view}, {_q(word)}) and " if word else ""
 
 
+#: A character for the ends of matches; texts that hold it are read with its neighbour in its place, which no rule tells from it.
+_MARK, _OTHER = "\ue000", "\ue001"
+
+
 def _matches(view: str, pattern: str, key: str, message: str) -> str:
-    """SQL: a rule with the lines and last columns of the gaps and matches, or null."""
-    p = _q(pattern)
-    found = f"regexp_extract_all({view}, {p}, 0)"
-    size = lambda n, t: f"'{n}b', length({t}) - length(replace({t}, '\\n', '')), '{n}t', length(substring_index({t}, '\\n', -1))"
-    pairs = f"zip_with(slice(split({view}, {p}, -1), 1, size({found})), {found}, (g, m) -> named_struct({size('g', 'g')}, {size('m', 'm')}))"
-    return f"if({_may(view, pattern)}{view} rlike {p}, named_struct('key', {_q(key)}, 'message', {_q(message)}, 'pairs', {pairs}), null)"
+    """SQL: a rule with the view where the ends of its matches are marked, or null. The pattern runs once."""
+    marked = f"regexp_replace({view}, {_q(pattern)}, '{_MARK}$0{_MARK}')"
+    found = f"transform(array({marked}), k -> if(contains(k, '{_MARK}'), named_struct('key', {_q(key)}, 'message', {_q(message)}, 'marked', k), null))[0]"
+    return f"if({_may(view, pattern)}true, {found}, null)"
 
 
-def _placed(rules: list[str]) -> str:
-    """SQL: the findings of rules that matched; ``acc`` is how many lines and columns the text before takes."""
-    move = lambda n, lines, tail: f"named_struct('l', {n}.l + {lines}, 'c', if({lines} > 0, {tail}, {n}.c + {tail}))"
-    begin = f"transform(array({move('acc', 'x.gb', 'x.gt')}), s -> "
-    end = move("s", "x.mb", "x.mt")
-    hit = f"{begin} transform(array({end}), e -> named_struct('rule_key', r.key, 'message', r.message, 'sl', 1 + s.l, 'sc', s.c, 'el', 1 + e.l, 'ec', e.c))[0])[0]"
-    walk = running("pairs", _OUT, "named_struct('l', 0, 'c', 0)", f"{begin}{end})[0]", move("acc", "b.l", "b.c"), hit, "struct<l:int,c:int>")
-    matched = f"filter(array({', '.join(rules)}), r -> r is not null)"
-    return f"flatten(transform({matched}, r -> transform(array(r.pairs), pairs -> {walk})[0]))"
+def _placed(rules: str) -> str:
+    """SQL: the findings of an array of rules that matched, from the lines of their marked views."""
+    far = running("sizes", "array<int>", "0", "acc + x", "acc + b", "acc + x", "int")
+    near = "transform(sizes, (x, i) -> aggregate(slice(sizes, 1, i + 1), 0, (acc, y) -> acc + y))"
+    # a mark's column is the size of what stands before it in its line
+    columns = f"transform(array(transform(slice(p, 1, size(p) - 1), x -> length(x))), sizes -> if(size(sizes) > 32, {far}, {near}))[0]"
+    on_line = f"transform(array(split(t, '{_MARK}', -1)), p -> transform({columns}, c -> named_struct('l', i + 1, 'c', c)))[0]"
+    marks = f"flatten(transform(split(r.marked, '\n', -1), (t, i) -> if(contains(t, '{_MARK}'), {on_line}, cast(array() as array<struct<l:int,c:int>>))))"
+    hit = "named_struct('rule_key', r.key, 'message', r.message, 'sl', m[2 * j].l, 'sc', m[2 * j].c, 'el', m[2 * j + 1].l, 'ec', m[2 * j + 1].c)"
+    return f"flatten(transform(filter({rules}, r -> r is not null), r -> transform(array({marks}), m -> transform(sequence(0, cast(size(m) / 2 as int) - 1), j -> {hit}))[0]))"
 
 
 def _on_file(view: str, pattern: str, key: str, message: str) -> str:
@@ -272,12 +276,15 @@ def quality_findings(files: DataFrame, ids: set[str] | None = None) -> DataFrame
 def lexical_findings(files: DataFrame, keys: set[str] | None = None, rules: tuple = RULES, file_rules: tuple = FILE_RULES) -> DataFrame:
     """path, rule_key, message, sl, sc, el, ec (lines from 1, columns from 0) of all rules in one pass over the files."""
     wanted = lambda rules, name: [r for r in rules if name in r[1].split() and (keys is None or r[0] in keys)]
-    by_language = ""
+    on_places, on_files = "", ""
     for name in LEXEMES:
-        parts = [_placed([_matches(view, pattern, key, message) for key, _, view, pattern, message in found]) for found in (wanted(rules, name),) if found]
-        parts += [_on_file(view, pattern, key, message) for key, _, view, pattern, message in wanted(file_rules, name)]
-        if parts:
-            by_language += f" when '{name}' then concat({', '.join(parts)})"
-    out = views(files).select("path", F.expr(f"case language{by_language} else cast(array() as {_OUT}) end" if by_language else f"cast(array() as {_OUT})").alias("hits"))
+        parts = [_matches(view, pattern, key, message) for key, _, view, pattern, message in wanted(rules, name)]
+        on_places += f" when '{name}' then array({', '.join(parts)})" if parts else ""
+        parts = [_on_file(view, pattern, key, message) for key, _, view, pattern, message in wanted(file_rules, name)]
+        on_files += f" when '{name}' then concat({', '.join(parts)})" if parts else ""
+    hits = [_placed(f"case language{on_places} else array() end")] if on_places else []
+    hits += [f"case language{on_files} else cast(array() as {_OUT}) end"] if on_files else []
+    texts = files.withColumn("text", F.replace("text", F.lit(_MARK), F.lit(_OTHER)))
+    out = views(texts).select("path", F.expr(f"concat({', '.join(hits)})" if hits else f"cast(array() as {_OUT})").alias("hits"))
     # The outer form keeps the optimizer from a filter on the array, which would work out every view anew for each rule.
     return out.select("path", F.explode_outer("hits").alias("h")).where("h is not null").select("path", "h.*")
