@@ -152,8 +152,25 @@ def registered(findings: DataFrame, registry: DataFrame) -> DataFrame:
     return findings.join(registry.select("rule_key").distinct(), "rule_key", "left_semi")
 
 
-def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", rounds: int = 40) -> DataFrame:
-    """child, ancestor, depth (the least) of a type hierarchy, cycles included; depth doubles with each round."""
+#: Rows of one key from which on they are dealt over so many salts.
+HOT, SALTS = 50_000, 64
+
+
+def _spread(paths: DataFrame, hot: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """The paths by their ancestor and by their child (key, salt), so that no task gets all rows below a root."""
+    often = F.broadcast(paths.groupBy(F.col("ancestor").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot")))
+    below = paths.withColumn("key", F.col("ancestor")).join(often, "key", "left")
+    below = below.select("key", F.when(F.col("hot"), F.pmod(F.xxhash64("child"), F.lit(salts))).otherwise(0).alias("salt"), "child", "depth")
+    above = paths.withColumn("key", F.col("child")).join(often, "key", "left")
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return below, above.select("key", F.explode(every.cast("array<bigint>")).alias("salt"), F.col("ancestor").alias("up"), F.col("depth").alias("d"))
+
+
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", rounds: int = 40, hot: int = HOT, salts: int = SALTS) -> DataFrame:
+    """child, ancestor, depth (the least) of a type hierarchy, cycles included; depth doubles with each round.
+
+    A type that many have above them is met by salted rows: there are few such types, and each has few above itself.
+    """
     out = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("child is not null and ancestor is not null").distinct()
     n = -1
     for _ in range(rounds):
@@ -162,6 +179,7 @@ def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", ro
         if now == n:
             return out
         n = now
-        more = out.alias("a").join(out.select(F.col("child").alias("mid"), F.col("ancestor").alias("up"), F.col("depth").alias("d")), F.col("ancestor") == F.col("mid")).select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("d")).alias("depth"))
+        below, above = _spread(out, hot, salts)
+        more = below.join(above, ["key", "salt"]).select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("d")).alias("depth"))
         out = out.unionByName(more).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
     raise ValueError(f"hierarchy is deeper than {rounds} doublings")
