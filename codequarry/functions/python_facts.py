@@ -148,6 +148,11 @@ class _Digests:
         return type(a) is type(b) and (a.id == b.id if isinstance(a, ast.Name) else self(a) == self(b))
 
 
+def _digests() -> _Digests:
+    """Digests of a file, none made yet."""
+    return _Digests()
+
+
 def _attributes(n: ast.AST, d: _Digests, told: frozenset[str]) -> tuple[str, dict[str, object]]:
     """Name and attributes of a node."""
     if isinstance(n, ast.Constant):
@@ -344,7 +349,7 @@ def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset(), told
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         line = getattr(e, "lineno", 0) or 0
         return [(path, 0, -1, "ParseError", "", "", 0, 0, 0, 0, -1, -1, type(e).__name__, "", line, 0, line, 0, [])]
-    digest = _Digests()
+    digest = _digests()
     rows: list[list | None] = []
     parents: list[int] = []
     todo: list[tuple] = [(tree, -1, "", "", 0, 0, 0, -1, -1, ())]
