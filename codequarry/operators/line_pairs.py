@@ -32,52 +32,74 @@ def common_lines(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def _projected(own: DataFrame, other: DataFrame) -> DataFrame:
-    """path, digest, kept: the files with the lines that the other side has too; no other line can count."""
-    there = other.select(F.explode("lines").alias("line")).distinct()
-    rows = own.select("path", F.posexplode("lines").alias("at", "line")).join(there, "line")
-    kept = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("r"))
-    return own.select("path", "digest").join(kept, "path").select("path", "digest", F.col("r.line").alias("kept"))
+def _key(line):
+    """A line, or the SHA-256 of a longer one: 44 characters, as no line that stands for itself has."""
+    return F.when(F.octet_length(line) < 44, line).otherwise(F.base64(F.unhex(F.sha2(line, 256))))
 
 
-def _classes(files: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files whose kept lines are equal score alike: (class, digest, kept) with one row a class, and (class, path, nth).
+def _kept(current: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (mine, path, digest, kept) as numbers of the lines that both sides have, and these (line, held): no other line can count.
+
+    Lines that more files hold have larger numbers. Texts end here; what follows moves numbers.
+    """
+    side = lambda d, mine: d.select(F.lit(mine).alias("mine"), "path", "digest", F.transform("lines", _key).alias("keys"))
+    both = durable(side(current, True).unionByName(side(reference, False)).withColumn("file", F.monotonically_increasing_id()))
+    a, b = F.count_if("mine"), F.count_if(~F.col("mine"))
+    held = both.select("mine", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(a.alias("a"), b.alias("b")).where("a > 0 and b > 0")
+    lines = durable(held.select("key", (F.col("a") + F.col("b")).alias("held")).orderBy("held").select("key", "held", F.monotonically_increasing_id().alias("line")))
+    rows = both.select("file", F.posexplode("keys").alias("at", "key")).join(lines.select("key", "line"), "key")
+    kept = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("r"))
+    files = both.select("file", "mine", "path", "digest").join(kept, "file").select("mine", "path", "digest", F.col("r.line").alias("kept"))
+    return files, lines.select("line", "held")
+
+
+def _classes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files of a side whose kept lines are equal score alike: (class, mine, digest, kept, n) with one row a class, and (class, path).
 
     Files whose whole content the other side has are classes of their own content, since equal files aren't compared.
     """
-    twins = other.select("digest").distinct().withColumn("twin", F.lit(True))
-    named = files.join(twins, "digest", "left").withColumn("digest", F.when(F.col("twin"), F.col("digest")))
-    named = named.withColumn("class", F.sha2(F.concat_ws("\x00", F.coalesce("digest", F.lit("")), F.array_join("kept", "\x01")), 256))
-    one = named.groupBy("class").agg(F.first("digest").alias("digest"), F.first("kept").alias("kept"))
-    first = named.groupBy("class").agg(F.min("path").alias("first"))
-    second = named.join(first, "class").where("path > first").groupBy("class").agg(F.min("path").alias("second"))
-    ends = first.join(second, "class", "left")
-    members = named.select("class", "path").join(ends, "class").select("class", "path", F.when(F.col("path") == F.col("first"), 1).when(F.col("path") == F.col("second"), 2).alias("nth"))
-    return one, members
+    twins = files.groupBy("digest").agg(F.min("mine").alias("low"), F.max("mine").alias("high")).where("low <> high").select("digest", F.lit(True).alias("twin"))
+    named = files.join(twins, "digest", "left").withColumn("digest", F.when(F.col("twin"), F.col("digest"))).drop("twin")
+    same = F.concat_ws(",", F.col("mine").cast("string"), F.coalesce("digest", F.lit("")), F.col("kept").cast("array<string>"))
+    named = durable(named.withColumn("same", F.unhex(F.sha2(same, 256))))
+    one = named.groupBy("same").agg(*(F.first(c).alias(c) for c in ("mine", "digest", "kept")), F.count("*").alias("n"))
+    one = durable(one.withColumn("class", F.monotonically_increasing_id()))
+    return one.drop("same"), durable(named.select("same", "path").join(one.select("same", "class"), "same").select("class", "path"))
 
 
-def _scored(pairs: DataFrame, c: DataFrame, r: DataFrame) -> DataFrame:
-    """c, r, score of pairs of classes with different content."""
+def _scored(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """c, r, score of pairs of classes with different content, and how many files each stands for (2 at most)."""
 
     def score(batches):
         import pyarrow as pa
 
         for b in batches:
             n = [common_lines(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32())], names=["c", "r", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), b.column(4), b.column(5)], names=["c", "r", "score", "cs", "rs"])
 
-    both = pairs.join(c.select(F.col("class").alias("c"), F.col("digest").alias("d"), F.col("kept").alias("x")), "c").join(r.select(F.col("class").alias("r"), F.col("digest").alias("e"), F.col("kept").alias("y")), "r")
+    side = lambda mine, *names: classes.where(F.col("mine") == mine).select(*(F.col(x).alias(y) for x, y in zip(("class", "digest", "kept", "n"), names)))
+    both = pairs.join(side(True, "c", "d", "x", "cs"), "c").join(side(False, "r", "e", "y", "rs"), "r")
     different = F.col("d").isNull() | F.col("e").isNull() | (F.col("d") != F.col("e"))
+    few = lambda n: F.least(F.col(n), F.lit(2)).cast("int").alias(n)
     # comparing costs far more than the few bytes of a pair suggest
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.where(different).select("c", "r", "x", "y").repartition(n, "c", "r").mapInArrow(score, "c string, r string, score int").where("score > 0")
+    return both.where(different).select("c", "r", "x", "y", few("cs"), few("rs")).repartition(n, "c", "r").mapInArrow(score, "c long, r long, score int, cs int, rs int").where("score > 0")
+
+
+def _places(classes: DataFrame) -> DataFrame:
+    """mine, class, line, after and the other columns: the different lines of each class, rare ones first, and how many lines come from each on."""
+    rows = classes.withColumn("kept", F.sort_array("kept")).select("*", F.posexplode("kept").alias("i", "line"))
+    return rows.where("i = 0 or kept[i - 1] <> line").withColumn("after", F.size("kept") - F.col("i")).drop("kept", "i", "digest", "n")
+
+
+def _needed(known: DataFrame) -> DataFrame:
+    """class, need: the score that a pair needs to matter to a class: its best one, or more where two files have that already."""
 
+    def side(name: str, others: str) -> DataFrame:
+        scores = known.groupBy(F.col(name).alias("class"), "score").agg(F.sum(others).alias("files"))
+        return scores.groupBy("class").agg(F.max(F.struct("score", "files")).alias("best"))
 
-def _places(side: DataFrame, held: DataFrame) -> DataFrame:
-    """class, line, n, held, after: the different lines of each class, rare ones first, and how many lines come from each on."""
-    lines = side.select("class", F.explode("kept").alias("line")).groupBy("class", "line").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("class").orderBy(F.desc("held"), F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.join(held, "line").withColumn("after", F.sum("n").over(order))
+    return side("c", "rs").union(side("r", "cs")).select("class", (F.col("best.score") + F.when(F.col("best.files") > 1, 1).otherwise(0)).alias("need"))
 
 
 def fuzzy_candidates(current: DataFrame, reference: DataFrame, rare: int = RARE) -> DataFrame:
@@ -85,34 +107,39 @@ def fuzzy_candidates(current: DataFrame, reference: DataFrame, rare: int = RARE)
 
     All pairs that can tell a file's best counterpart are there: every file's best one, a second one where it is tied,
     and for each reference's best likewise; pairs of equal content aren't. Files are compared by classes of those with
-    equal lines, as far as the other side has them. Lines that few files hold give each class a first best score. To
-    reach it, a pair has to share one of the class's rarest lines: all but those that are too few together. That
-    finds every pair that may matter, however many files hold a line.
+    equal lines, as far as the other side has them. Pairs that share a line of few files are compared first, then a class
+    with two others that hold one of its frequent lines and the most lines after it. To reach the best score so far, or
+    to exceed it where two files have it, a pair has to share one of the class's rarest lines, and both need as many
+    lines from the first common one on. That finds every pair that may matter, however many files hold a line.
     """
     # written, not only kept: the plans of what follows stay small, and lost executors cost little
-    c, c_members = (durable(d) for d in _classes(_projected(current, reference), reference))
-    r, r_members = (durable(d) for d in _classes(_projected(reference, current), current))
-    lines = lambda d: d.select("class", F.explode(F.array_distinct("kept")).alias("line"))
-    held = lines(c).union(lines(r)).groupBy("line").agg(F.count("*").alias("held"))
-    cs, rs = (durable(_places(d, held)) for d in (c, r))
-    few = lambda d, name: d.where(F.col("held") <= 2 * rare).select(F.col("class").alias(name), "line")
-    known = durable(_scored(few(cs, "c").join(few(rs, "r"), "line").select("c", "r").distinct(), c, r))
-
-    def prefixes(side: DataFrame, name: str) -> DataFrame:
-        # without the lines from here on there are too few left to reach the best score, which ties may equal
-        best = known.groupBy(F.col(name).alias("class")).agg(F.max("score").alias("best"))
-        return side.join(best, "class", "left").where(F.col("after") >= F.coalesce("best", F.lit(1))).select(F.col("class").alias(name), "line")
-
-    every = lambda d, name: d.select(F.col("class").alias(name), "line")
-    met = prefixes(cs, "c").join(every(rs, "r"), "line").select("c", "r").union(every(cs, "c").join(prefixes(rs, "r"), "line").select("c", "r")).distinct()
-    scored = durable(known.union(_scored(met.join(known, ["c", "r"], "left_anti"), c, r)))
+    files, lines = _kept(current, reference)
+    classes, members = _classes(files)
+    often = lines.where(F.col("held") > 2 * rare).agg(F.min("line")).first()[0]
+    few = F.lit(True) if often is None else F.col("line") < often
+    of = lambda mine: F.collect_list(F.when(F.col("mine") == mine, F.col("class")))
+    met = _places(classes).where(few).groupBy("line").agg(of(True).alias("cs"), of(False).alias("rs"))
+    scored = durable(_scored(met.select(F.explode("cs").alias("c"), "rs").select("c", F.explode("rs").alias("r")).distinct(), classes))
+
+    def more(others: DataFrame) -> DataFrame:
+        # without the lines from here on there are too few left to reach the score that is needed
+        own = _places(classes.join(_needed(scored), "class", "left").withColumn("need", F.coalesce("need", F.lit(1)))).where(~few & (F.col("after") >= F.col("need")))
+        other = others.select((~F.col("mine")).alias("mine"), "line", F.col("class").alias("other"), F.col("after").alias("left"))
+        pairs = own.join(other, ["mine", "line"]).where("left >= need").select(F.when(F.col("mine"), F.col("class")).otherwise(F.col("other")).alias("c"), F.when(F.col("mine"), F.col("other")).otherwise(F.col("class")).alias("r"))
+        return durable(scored.union(_scored(pairs.distinct().join(scored, ["c", "r"], "left_anti"), classes)))
+
+    if often is not None:
+        every = _places(classes).where(~few)
+        longest = Window.partitionBy("line", "mine").orderBy(F.desc("after"), "class")
+        scored = more(every.withColumn("nth", F.row_number().over(longest)).where("nth <= 2"))
+        scored = more(every)
     top = lambda one, other: F.row_number().over(Window.partitionBy(one).orderBy(F.desc("score"), other))
     mine, theirs = (scored.withColumn("place", top(*x)).where("place <= 2").select("c", "r", "score") for x in (("c", "r"), ("r", "c")))
     kept = durable(mine.union(theirs).distinct())
-    two = lambda d: d.where("nth is not null")
+    two = members.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("path"))).where("nth <= 2")
     named = lambda d, key, name: d.select(F.col("class").alias(key), F.col("path").alias(name))
-    wide = kept.join(named(c_members, "c", "path"), "c").join(named(two(r_members), "r", "reference_path"), "r")
-    tall = kept.join(named(two(c_members), "c", "path"), "c").join(named(r_members, "r", "reference_path"), "r")
+    wide = kept.join(named(members, "c", "path"), "c").join(named(two, "r", "reference_path"), "r")
+    tall = kept.join(named(two, "c", "path"), "c").join(named(members, "r", "reference_path"), "r")
     return wide.select("path", "reference_path", "score").union(tall.select("path", "reference_path", "score")).distinct()
 
 
