@@ -86,6 +86,62 @@ def text_lines(findings: DataFrame) -> DataFrame:
 EDITS = "array<struct<start:int,stop:int,replacement:string>>"
 
 
+def _chosen(batches):
+    """Batches of path, edits, fixes, conflicts from those of path and its fixes (rule_key, edits)."""
+    import bisect
+
+    import pyarrow as pa
+
+    def plain(column, null=None):
+        column = column if null is None else column.fill_null(null)
+        # to_pylist makes a scalar of each value, which takes far longer
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+    for b in batches:
+        found = b.column(1)
+        ends, keys, edits = plain(found.offsets), plain(found.values.field("rule_key"), ""), found.values.field("edits")
+        of, e = plain(edits.offsets), edits.values
+        every = list(zip(plain(e.field("start")), plain(e.field("stop")), plain(e.field("replacement"), "")))
+        out: list[tuple] = []
+        stops, fixes, conflicts = [0], [], []
+        for low, high in zip(ends, ends[1:]):
+            tried = []
+            for f in range(low, high):
+                own = every[of[f] : of[f + 1]]
+                if len(own) > 1:
+                    own.sort()
+                if own:
+                    tried.append((own[0][0], keys[f], own))
+            tried.sort()
+            kept: list[tuple] = []
+            taken = 0
+            for _, _, own in tried:
+                clash = len(own) > 1 and any(b[0] < a[1] or b[0] == a[0] for a, b in zip(own, own[1:]))
+                # behind all that are taken nothing overlaps
+                behind = not kept or own[0][0] > kept[-1][0] and own[0][0] >= kept[-1][1]
+                if not clash and not behind:
+                    for e in own:
+                        at = bisect.bisect_left(kept, e)
+                        if any(n[0] == e[0] or n[0] < e[1] and e[0] < n[1] for n in kept[max(0, at - 1) : at + 1]):
+                            clash = True
+                            break
+                if not clash:
+                    taken += 1
+                    for e in own:
+                        if behind:
+                            kept.append(e)
+                        else:
+                            bisect.insort(kept, e)
+            out += kept
+            stops.append(len(out))
+            fixes.append(taken)
+            conflicts.append(high - low - taken)
+        columns = list(zip(*out)) if out else ([], [], [])
+        flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string()))], names=["start", "stop", "replacement"])
+        taken_edits = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), flat)
+        yield pa.RecordBatch.from_arrays([b.column(0), taken_edits, pa.array(fixes, pa.int64()), pa.array(conflicts, pa.int64())], names=["path", "edits", "fixes", "conflicts"])
+
+
 def chosen_fixes(fixes: DataFrame) -> DataFrame:
     """path, edits, fixes, conflicts: per file the edits of the fixes that are taken, in order, and how many are taken and not.
 
@@ -94,34 +150,8 @@ def chosen_fixes(fixes: DataFrame) -> DataFrame:
     of its edits overlaps one that is taken, or another of its own, or if it has none. Insertions at one point conflict, and
     one at the start of a replacement; touching ends don't. A file's fixes are tried one after the other in one row.
     """
-
-    def run(batches):
-        import bisect
-
-        import pyarrow as pa
-
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("replacement", pa.string())]))
-        for b in batches:
-            out = []
-            for found in b.column(1).to_pylist():
-                tried = [(sorted((e["start"], e["stop"], e["replacement"] or "") for e in f["edits"] or ()), f["rule_key"] or "") for f in found]
-                kept: list[tuple] = []
-                taken = 0
-                for edits, _ in sorted((t for t in tried if t[0]), key=lambda t: (t[0][0][0], t[1], t[0])):
-                    clash = any(b[0] < a[1] or b[0] == a[0] for a, b in zip(edits, edits[1:]))
-                    for e in edits:
-                        at = bisect.bisect_left(kept, e)
-                        clash = clash or any(n[0] == e[0] or n[0] < e[1] and e[0] < n[1] for n in kept[max(0, at - 1) : at + 1])
-                    if not clash:
-                        taken += 1
-                        for e in edits:
-                            bisect.insort(kept, e)
-                out.append(([dict(zip(("start", "stop", "replacement"), e)) for e in kept], taken, len(tried) - taken))
-            columns = list(zip(*out)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["path", "edits", "fixes", "conflicts"])
-
     few = fixes.groupBy("path").agg(F.collect_list(F.struct("rule_key", F.col("edits").cast(EDITS).alias("edits"))).alias("found"))
-    return few.mapInArrow(run, f"path string, edits {EDITS}, fixes long, conflicts long")
+    return few.mapInArrow(_chosen, f"path string, edits {EDITS}, fixes long, conflicts long")
 
 
 def chosen_edits(fixes: DataFrame) -> DataFrame:
