@@ -59,3 +59,18 @@ def test_a_line_that_half_of_the_files_hold_makes_few_pairs(spark, monkeypatch):
     new = {f"n{i:03}": [f"{text}{i}"] for i in range(n)} | {f"m{i:03}": ["all", f"only {i}"] for i in range(n)}
     assert _found(spark, new, old) == _want(new, old)
     assert sum(seen) < 8 * n
+
+
+def test_renamed_files_writes_lines_once_and_then_numbers(spark, monkeypatch):
+    from codequarry import project_queries
+
+    texts, durable = [], line_pairs.durable
+
+    def seen(df):
+        texts.append({name for name, kind in df.dtypes if "string" in kind})
+        return durable(df)
+
+    monkeypatch.setattr(line_pairs, "durable", seen)
+    assert project_queries.renamed_files(spark, "/root/testdata/sf0.001").count() > 0
+    assert texts[:2] == [{"path", "digest", "keys"}, {"key"}]
+    assert all(t <= {"path", "digest"} for t in texts[2:])
