@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
+import re
 import symtable
 import warnings
 
@@ -349,10 +350,21 @@ def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset(), told
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         line = getattr(e, "lineno", 0) or 0
         return [(path, 0, -1, "ParseError", "", "", 0, 0, 0, 0, -1, -1, type(e).__name__, "", line, 0, line, 0, [])]
+    rows = _rows(path, (tree, -1, "", "", 0, 0, 0, -1, -1, ()), kinds, told)
+    for scope, s, free in symbols:
+        kind = str(scope.get_type()).rsplit(".", 1)[-1].lower()
+        flags = {"scope": kind, "where": scope.get_name(), "parameter": s.is_parameter(), "imported": s.is_imported(), "assigned": s.is_assigned(), "used": s.is_referenced() or free, "free": s.is_free(), "global": s.is_global(), "local": s.is_local()}
+        line = scope.get_lineno()
+        rows.append([path, len(rows), -1, "Symbol", "", "", 0, len(rows), 0, 0, -1, -1, s.get_name(), "", line, 0, line, 0, [(k, str(v).lower()) for k, v in flags.items()]])
+    return [tuple(r) for r in rows if r is not None]
+
+
+def _rows(path: str, root: tuple, kinds: frozenset[str], told: frozenset[str]) -> list[list | None]:
+    """The rows of a node and all below it; ``root`` is the node and its place."""
     digest = _digests()
     rows: list[list | None] = []
     parents: list[int] = []
-    todo: list[tuple] = [(tree, -1, "", "", 0, 0, 0, -1, -1, ())]
+    todo: list[tuple] = [root]
     while todo:
         n, parent, parent_kind, field, at, depth, nesting, fn, cls, around = todo.pop()
         me, kind = len(rows), type(n).__name__
@@ -405,12 +417,85 @@ def facts(path: str, text: str | None, kinds: frozenset[str] = frozenset(), told
     for i, r in enumerate(rows):
         if r is not None:
             r[7] = last[i]
-    for scope, s, free in symbols:
-        kind = str(scope.get_type()).rsplit(".", 1)[-1].lower()
-        flags = {"scope": kind, "where": scope.get_name(), "parameter": s.is_parameter(), "imported": s.is_imported(), "assigned": s.is_assigned(), "used": s.is_referenced() or free, "free": s.is_free(), "global": s.is_global(), "local": s.is_local()}
-        line = scope.get_lineno()
-        rows.append([path, len(rows), -1, "Symbol", "", "", 0, len(rows), 0, 0, -1, -1, s.get_name(), "", line, 0, line, 0, [(k, str(v).lower()) for k, v in flags.items()]])
-    return [tuple(r) for r in rows if r is not None]
+    return rows
+
+
+#: Words and signs of what the compiler's symbol tables may refuse though it parses, besides equal parameters. Long statements, which may be deep, are left to them, too.
+_REFUSABLE = re.compile(r"\b(?:global|nonlocal|yield|await|async|type|lambda|__debug__)\b|:=|\b(?:def|class)\s+\w+\s*[\[\\]|\bimport\b[^\n]*\*|\bimport\s*\\")
+_LONG = 2_000
+
+
+def _refusable(statement: ast.stmt, text: str | None) -> bool:
+    """Whether a statement has something in it for which symbol tables might be refused."""
+    if text is None or len(text) > _LONG or not text.isascii() or _REFUSABLE.search(text):
+        return True
+    todo = [statement]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, _FUNCTIONS):
+            a = n.args
+            given = [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x is not None]
+            if len(set(given)) < len(given):
+                return True
+        for suite in ("body", "orelse", "finalbody", "handlers", "cases"):
+            todo += getattr(n, suite, ())
+    return False
+
+
+class EqualStatements:
+    """Nodes of files by statements: what stands in a file's outermost statements is worked out once for equal statements.
+
+    A node's row depends on nothing outside of its outermost statement but on the statement's own place, so that equal
+    lines at equal columns have equal rows, some lines further down. Rows are kept for as many statements as ``most``.
+    """
+
+    def __init__(self, kinds: frozenset[str], told: frozenset[str], most: int = 5_000):
+        self.kinds, self.told, self.most = kinds, told, most
+        self.known: dict[tuple, tuple[list[tuple], bool]] = {}
+
+    def of_file(self, path: str, text: str | None):
+        """(key, rows, line) of the file's parts: rows with lines from the part's first one, and how many lines stand before it."""
+        text = text or ""
+        WALKED.clear()
+        try:
+            tree = _parsed(text)
+            parts, refusable = self._parts(tree, text)
+            if refusable:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    symtable.symtable(text, path, "exec")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            rows = facts(path, text, self.kinds, self.told)
+            return [(("error", path), [("", *r[1:]) for r in rows], 0)]
+        return parts
+
+    def _parts(self, tree: ast.Module, text: str):
+        lines = None if "\r" in text else text.split("\n")
+        parts, refusable, unreachable, jumped = [], False, False, False
+        broken = checks(tree)
+        if broken and "Module" in self.kinds and (not self.told or "checks" in self.told):
+            attrs = [("checks", f",{','.join(broken)},")]
+            parts.append((("module", *broken), [("", 0, -1, "Module", "", "", 0, 0, 0, 0, -1, -1, "", "", 0, 0, 0, 0, attrs)], 0))
+        for i, n in enumerate(tree.body):
+            place = ("prior_unreachable",) * unreachable + ("last_in_suite",) * (i == len(tree.body) - 1)
+            field = "unreachable" if jumped else "body"
+            unreachable, jumped = jumped, isinstance(n, _JUMPS)
+            first = min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", ()))])
+            own = "\n".join(lines[first - 1 : n.end_lineno]) if lines else None
+            key = (field, place, n.lineno - first, n.col_offset, n.end_col_offset, own) if lines else None
+            known = self.known.get(key)
+            if known is None:
+                rows = _rows("", (n, 0, "Module", field, i, 1, 0, -1, -1, place), self.kinds, self.told)
+                rows = [(*r[:14], r[14] - first + 1, r[15], r[16] - first + 1, *r[17:]) for r in rows if r is not None]
+                known = rows, _refusable(n, own)
+                if key:
+                    if len(self.known) >= self.most:
+                        self.known.clear()
+                    self.known[key] = known
+            refusable |= known[1]
+            if known[0]:
+                parts.append((key or object(), known[0], first - 1))
+        return parts, refusable
 
 
 #: Rows of one record batch, about.
@@ -442,6 +527,42 @@ def nodes(files: DataFrame, kinds: tuple[str, ...] = (), told: tuple[str, ...] =
     return files.select("path", "text").mapInArrow(run, NODES)
 
 
+def placed_nodes(files: DataFrame, kinds: tuple[str, ...], told: tuple[str, ...]) -> DataFrame:
+    """The nodes of ``nodes`` with the ``places`` (path, line: how many lines stand before) where they occur in a batch: nodes of
+    equal outermost statements come once. Lines are counted from the statement's first one; paths are empty."""
+    names = [c.split()[0] for c in NODES.split(",") if c.strip() and not c.strip().startswith("string>")]
+    types = [pa.string(), *[pa.int32()] * 2, pa.string(), pa.string(), pa.string(), *[pa.int32()] * 6, pa.string(), pa.string(), *[pa.int32()] * 4, pa.map_(pa.string(), pa.string())]
+    place = pa.list_(pa.struct([("path", pa.string()), ("line", pa.int32())]))
+    wanted, asked = frozenset(kinds), frozenset(told)
+
+    def run(batches):
+        statements = EqualStatements(wanted, asked)
+        found: dict = {}
+        size = copies = 0
+
+        def batch():
+            rows = [r for rows, _ in found.values() for r in rows]
+            places = pa.array([p for _, p in found.values()], place).take(pa.array([i for i, (rows, _) in enumerate(found.values()) for _ in rows], pa.int32()))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), places], names=[*names, "places"])
+
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for key, rows, line in statements.of_file(path, text):
+                    if key not in found:
+                        found[key] = rows, []
+                        size += len(rows)
+                    found[key][1].append((path, line))
+                    copies += len(rows)
+                if size >= _ROWS or copies >= 10 * _ROWS:
+                    yield batch()
+                    found.clear()
+                    size = copies = 0
+        if found:
+            yield batch()
+
+    return files.select("path", "text").mapInArrow(run, NODES + ", places array<struct<path:string,line:int>>")
+
+
 def function_measures(files: DataFrame) -> DataFrame:
     """path, name, sl, params, lines, complexity, cognitive of each function of the files (path, text), without digests
     or the other attributes of ``nodes``."""

@@ -6,6 +6,7 @@ over the nodes, each kind through its own rules only. Others group or join nodes
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -194,8 +195,6 @@ def node_kinds(keys: set[str] | None = None) -> tuple[str, ...]:
 
 def node_attributes(keys: set[str] | None = None) -> tuple[str, ...]:
     """The attributes that the rules on single nodes ask for."""
-    import re
-
     return tuple(sorted({a for key, _, predicate, _ in NODE_RULES if keys is None or key in keys for a in re.findall(r"(?<![\w.])a\.([a-z_]+)", predicate)}))
 
 
@@ -206,8 +205,6 @@ def _context(nodes: DataFrame) -> DataFrame:
 
 
 def _expression(predicate: str, limits: dict[str, int]) -> Column:
-    import re
-
     for name, n in limits.items():
         predicate = predicate.replace("{" + name + "}", str(n))
     return F.coalesce(F.expr(re.sub(r"(?<![\w.])a\.([a-z_]+)", r"attrs['\1']", predicate)), F.lit(False))
@@ -217,8 +214,8 @@ def _finding(key: str, message: str, **at: str) -> list[Column]:
     return ["path", F.lit(key).alias("rule_key"), F.lit(message).alias("message"), *(F.col(at.get(c, c)).cast("int").alias(c) for c in ("sl", "sc", "el", "ec"))]
 
 
-def node_findings(nodes: DataFrame, keys: set[str] | None = None, limits: dict[str, int] | None = None) -> DataFrame:
-    """Findings of the rules on single nodes in one pass; a node's kind chooses the rules that are tried."""
+def node_findings(nodes: DataFrame, keys: set[str] | None = None, limits: dict[str, int] | None = None, *more: str) -> DataFrame:
+    """Findings of the rules on single nodes in one pass, with ``more`` columns; a node's kind chooses the rules that are tried."""
     limits = {**LIMITS, **(limits or {})}
     by_kind: dict[str, list[Column]] = {}
     for key, kinds, predicate, message in NODE_RULES:
@@ -227,10 +224,20 @@ def node_findings(nodes: DataFrame, keys: set[str] | None = None, limits: dict[s
             for kind in kinds.split():
                 by_kind.setdefault(kind, []).append(hit)
     if not by_kind:
-        return nodes.limit(0).select(*_finding("", ""))
+        return nodes.limit(0).select(*_finding("", ""), *more)
     hits = reduce(lambda rest, item: rest.when(F.col("kind") == item[0], F.array(*item[1])), by_kind.items(), F.when(F.lit(False), F.array().cast("array<struct<rule_key:string,message:string>>")))
     rows = _context(nodes).where(F.col("kind").isin(*by_kind)).withColumn("h", F.explode(F.array_compact(hits)))
-    return rows.select("path", "h.rule_key", "h.message", "sl", "sc", "el", "ec")
+    return rows.select("path", "h.rule_key", "h.message", "sl", "sc", "el", "ec", *more)
+
+
+def placed_findings(nodes: DataFrame, keys: set[str] | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+    """The findings of ``node_findings`` on nodes that stand in several places (``python_facts.placed_nodes``): rules that don't
+    ask for the path are tried once for all of them."""
+    by_path = {kind for key, kinds, predicate, _ in NODE_RULES if re.search(r"(?<![\w.'])path\b", predicate) for kind in kinds.split()}
+    groups = F.when(F.col("kind").isin(*by_path), F.transform("places", lambda p: F.array(p))).otherwise(F.array("places"))
+    rows = nodes.withColumn("places", F.explode(groups)).withColumn("path", F.col("places")[0]["path"])
+    found = node_findings(rows, keys, limits, "places").withColumn("place", F.explode("places"))
+    return found.select(F.col("place.path").alias("path"), "rule_key", "message", *((F.col(c) + F.col("place.line")).alias(c) if c in ("sl", "el") else c for c in ("sl", "sc", "el", "ec")))
 
 
 def group_findings(nodes: DataFrame, literals: int = LIMITS["literals"]) -> DataFrame:

@@ -192,7 +192,7 @@ def python_functions(spark, sf_dir):
 )
 def python_findings(spark, sf_dir):
     """Rules on nodes of Python's syntax tree; files are parsed once."""
-    return python_rules.node_findings(python_facts.nodes(_python(spark, sf_dir), kinds=python_rules.node_kinds(), told=python_rules.node_attributes())).select("path", "rule_key", "sl")
+    return python_rules.placed_findings(python_facts.placed_nodes(_python(spark, sf_dir), python_rules.node_kinds(), python_rules.node_attributes())).select("path", "rule_key", "sl")
 
 
 @query(f"""WITH {_FUNCTION_SQL}, {values("dead", "pick, line, name", [(i, line, name) for i, f in enumerate(FUNCTIONS) for line, name in f[5]])} SELECT path, (p.sl + dead.line - 1)::INT AS line, dead.name FROM p JOIN dead USING (pick)""")
