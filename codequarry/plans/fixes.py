@@ -57,8 +57,7 @@ def planned(files: DataFrame, findings: DataFrame) -> DataFrame:
 def fixed(files: DataFrame, findings: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
     """path, language, text (fixed), edits, conflicts of the files with fixes of the wanted rules."""
     chosen = reports.chosen_edits(reports.selected_fixes(planned(files, findings), list(wanted)))
-    done = reports.applied(files, chosen).select("path", F.col("fixed").alias("text"))
-    return files.select("path", "language").join(done, "path").join(chosen.select("path", F.size("edits").alias("edits"), "conflicts"), "path")
+    return files.select("path", "language", "text").join(chosen, "path").select("path", "language", reports.edited().alias("text"), F.size("edits").alias("edits"), "conflicts")
 
 
 def replanned(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
@@ -85,8 +84,9 @@ def replanned(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
 
 def verified(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
     """path, accepted, before, after, edits: a file's fixes are accepted if its findings became fewer and no rule has more than before."""
-    before = lexical_rules.lexical_findings(files)
-    out = fixed(files, before, wanted)
+    # written once each: counts, plans and the second analysis read them
+    before = durable(lexical_rules.lexical_findings(files).drop("message"))
+    out = durable(fixed(files, before, wanted))
     after = lexical_rules.lexical_findings(out.select("path", "language", "text"))
     count = lambda d, n: d.groupBy("path", "rule_key").agg(F.count("*").alias(n))
     both = count(before, "b").join(count(after, "a"), ["path", "rule_key"], "full").na.fill(0, ["a", "b"])

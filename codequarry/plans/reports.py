@@ -166,11 +166,15 @@ def applied(files: DataFrame, edits: DataFrame) -> DataFrame:
 
     Edits are in order and don't overlap, as ``chosen_edits`` gives them.
     """
-    f = files.select("path", "text").join(edits.select("path", "edits"), "path", "left")
+    return files.select("path", "text").join(edits.select("path", "edits"), "path", "left").select("path", "text", edited().alias("fixed"))
+
+
+def edited() -> Column:
+    """What the ``edits`` of a row make of its ``text``, as of ``applied``."""
     pieces = "transform(edits, (x, i) -> concat(substring(text, if(i = 0, 0, edits[i - 1].stop) + 1, x.start - if(i = 0, 0, edits[i - 1].stop)), x.replacement))"
     whole = f"concat(array_join({pieces}, ''), substring(text, element_at(edits, -1).stop + 1))"
     good = F.expr("forall(edits, x -> x.start >= 0 and x.start <= x.stop and x.stop <= length(text))")
-    return f.select("path", "text", F.when(F.col("edits").isNull() | (F.size("edits") == 0), F.col("text")).when(good, F.expr(whole)).alias("fixed"))
+    return F.when(F.col("edits").isNull() | (F.size("edits") == 0), F.col("text")).when(good, F.expr(whole))
 
 
 def selected_fixes(fixes: DataFrame, wanted: list[str]) -> DataFrame:
