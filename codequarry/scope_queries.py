@@ -56,9 +56,8 @@ def _scopes(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     body = F.concat(F.transform(F.slice("l", 1, 3), text("    ")), F.when(F.size("l") > 3, F.concat(F.array(F.lit("    def g():")), F.transform(F.slice("l", 4, 1000), text("        ")))).otherwise(F.array()))
     head = F.concat(F.when(F.col("top"), F.concat(F.lit("v"), (F.col("o_orderkey") % 6).cast("string"), F.lit(" = 1\n"))).otherwise(""), F.lit("def f"), F.col("o_orderkey").cast("string"), F.lit("(p):\n"))
     tree = _tree(lines.withColumn("path", F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".py"))), F.concat(head, F.array_join(body, "\n")))
-    intervals = scopes.scope_intervals(tree).persist()
-    bound = scopes.bindings(tree, intervals).persist()
-    return tree, bound, scopes.resolved(tree, intervals, bound)
+    bound = scopes.bindings(tree).persist()
+    return tree, bound, scopes.resolved(tree, None, bound)
 
 
 @query(f"WITH {_SCOPE_SQL} SELECT 'c' || c || '.py' AS path, line, name, level FROM u")
